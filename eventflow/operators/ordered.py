@@ -75,9 +75,14 @@ class Ordered:
         table = (self.crossing.groupBy(CHUNK, *self.keys)
                  .agg(*[c.alias(n) for n, c in totals.items()])
                  .select(CHUNK, *self.keys, *[f(earlier).alias(n) for n, f in before.items()]))
-        table = table.select(*[F.col(c).alias(f"__r_{c}") for c in (CHUNK, *self.keys)], *before)
+        return self.attach(table)
 
-        def attach(df: DataFrame) -> DataFrame:
+    def attach(self, table: DataFrame) -> Ordered:
+        """Join a table of one row per (chunk, crossing key) to the rows."""
+        added = [c for c in table.columns if c not in (CHUNK, *self.keys)]
+        table = table.select(*[F.col(c).alias(f"__r_{c}") for c in (CHUNK, *self.keys)], *added)
+
+        def join(df: DataFrame) -> DataFrame:
             match = F.lit(True)
             for c in (CHUNK, *self.keys):
                 match = match & F.col(c).eqNullSafe(F.col(f"__r_{c}"))
@@ -85,7 +90,7 @@ class Ordered:
             joined = df.join(F.broadcast(table), match, "left")
             return joined.drop(*[f"__r_{c}" for c in (CHUNK, *self.keys)])
 
-        return self._each(attach)
+        return self._each(join)
 
     def row_number(self, name: str) -> Ordered:
         """1-based position within the key."""

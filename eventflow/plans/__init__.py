@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("envelope", "delivery", "metrics", "logs",
+MODULES = ("envelope", "delivery", "metrics", "logs", "sources", "library", "handlers", "batches", "streams",
            )
 
 
