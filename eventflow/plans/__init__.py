@@ -12,8 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("envelope", "delivery", "metrics", "logs", "sources", "library", "handlers", "batches", "streams",
-           )
+MODULES = ("envelope", "sources", "library", "handlers", "batches", "delivery", "metrics", "logs", "registry", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

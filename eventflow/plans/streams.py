@@ -42,7 +42,7 @@ SELECT topic, shard_id, greatest(coalesce(max(event_id + 1 - 10) FILTER (NOT pro
 def _d3(spark, sf_dir):
     rows = D.ack_decision(event_stream(spark, sf_dir)).withColumn("offset", F.col("event_id"))
     out = twins.frontier_stream(rows, 10)
-    return twins.latest_rows(spark, _run(spark, out, "update"), ("topic", "shard_id"), out.schema.add("batch", "int"))
+    return twins.latest_rows(spark, _run(spark, out, "update"), ("topic", "shard_id"), out.schema.add("batch", "integer"))
 
 
 @query("d8_pending_stream", f"""WITH {EVENTS}
@@ -52,7 +52,7 @@ def _d8(spark, sf_dir):
     acks = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(
         ~F.col("process_error") & (F.col("event_id") % 9 != 0))
     out = twins.pending_stream(rows, acks)
-    state = twins.latest_rows(spark, _run(spark, out, "update"), D.POSITION, out.schema.add("batch", "int"))
+    state = twins.latest_rows(spark, _run(spark, out, "update"), D.POSITION, out.schema.add("batch", "integer"))
     return state.filter(F.col("received") & ~F.col("acked")).groupBy("topic", "shard_id").agg(
         F.count(F.lit(1)).alias("pending"))
 

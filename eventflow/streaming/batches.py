@@ -47,12 +47,15 @@ class _Batcher(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [f.name for f in self.values]
-        fresh = pd.concat(list(rows)).sort_values(self.order)
+        parts = [part for part in rows if len(part)]
+        if not parts:
+            return
+        fresh = pd.concat(parts).sort_values(self.order)
         held = list(self.rows.get()) if self.rows.exists() else []
         opened, number = self.head.get() if self.head.exists() else (None, -1)
         if held:
             self.handle.deleteTimer(self._timer(opened))
-        for now, row in zip(fresh["__us"], fresh[names].itertuples(index=False, name=None)):
+        for now, row in zip(fresh["order_us"], fresh[names].itertuples(index=False, name=None)):
             now = int(now)
             if held and (len(held) >= self.size or now - opened >= self.timeout_us):
                 yield self._emit(key, held, number)
@@ -90,10 +93,10 @@ def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[
     """
     if stream.isStreaming:
         use_rocksdb(stream.sparkSession)
-    keys, order = list(keys), ["__us", *tie]
-    rows = stream.withColumn("__us", F.unix_micros(ts))
+    keys, order = list(keys), ["order_us", *tie]
+    rows = stream.withColumn("order_us", F.unix_micros(ts))
     schema = rows.schema
     out = T.StructType([*schema, T.StructField("batch_no", T.LongType()), T.StructField("pos", T.IntegerType())])
     batcher = _Batcher(keys, order, size, duration_text_us(timeout), schema)
     return (rows.withWatermark(ts, delay).groupBy(*keys)
-            .transformWithStateInPandas(batcher, out, "append", "EventTime").drop("__us"))
+            .transformWithStateInPandas(batcher, out, "append", "EventTime").drop("order_us"))
