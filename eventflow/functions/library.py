@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from eventflow.functions.maps import sorted_pairs
 
@@ -57,29 +57,23 @@ def slugify(df: DataFrame, column: str, name: str = "slug") -> DataFrame:
 def encrypt_body(df: DataFrame, key_conf: str, column: str = "body", header: str = "X-Encryption") -> DataFrame:
     """AES-GCM encrypt a body; the algorithm goes to a header.
 
-    `key_conf` names a session setting that holds the base64 key.  The key reaches the plan only
-    through a session variable, so plan texts do not show it.
+    `key_conf` names a session setting that holds the base64 key.  The key enters as a subquery over
+    a one-row table, so plan texts do not show it.
     """
-    variable = _key_variable(df, key_conf)
     return df.withColumns({
-        column: F.aes_encrypt(F.col(column).cast("binary"), F.unbase64(F.expr(variable)), F.lit("GCM")),
+        column: F.aes_encrypt(F.col(column).cast("binary"), _key(df, key_conf), F.lit("GCM")),
         "headers": F.map_concat(F.map_filter("headers", lambda k, v: k != header),
                                 F.create_map(F.lit(header), F.lit("AES-GCM")))})
 
 
 def decrypt_body(df: DataFrame, key_conf: str, column: str = "body") -> DataFrame:
     """The inverse of `encrypt_body`; null where the key does not fit."""
-    variable = _key_variable(df, key_conf)
-    return df.withColumn(column, F.try_aes_decrypt(F.col(column), F.unbase64(F.expr(variable)), F.lit("GCM")))
+    return df.withColumn(column, F.try_aes_decrypt(F.col(column), _key(df, key_conf), F.lit("GCM")))
 
 
-def _key_variable(df: DataFrame, key_conf: str) -> str:
+def _key(df: DataFrame, key_conf: str) -> Column:
     spark = df.sparkSession
-    name = "ef_key_" + "".join(c if c.isalnum() else "_" for c in key_conf)
-    key = spark.conf.get(key_conf)
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} STRING")
-    spark.sql(f"SET VARIABLE {name} = :key", args={"key": key})
-    return name
+    return spark.createDataFrame([(spark.conf.get(key_conf),)], "key string").select(F.unbase64("key")).scalar()
 
 
 def render_fields(df: DataFrame, column: str = "fields", name: str = "rendered") -> DataFrame:
