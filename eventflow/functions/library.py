@@ -35,16 +35,21 @@ def json_field(df: DataFrame, column: str, path: str, kind: str = "string", name
                            "error": F.when(document.isNull() & F.col(column).isNotNull(), F.lit("malformed body"))})
 
 
-# fixed values: unit names
-DATE_UNITS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond")
+# fixed values: units of time and their short forms
+DATE_UNITS = {"year": "y", "quarter": "Q", "month": "M", "week": "w", "day": "d", "hour": "h", "minute": "m",
+              "second": "s", "millisecond": "ms"}
 
 
 def date_add_unit(df: DataFrame, ts: str, value: str, unit: str, name: str = "shifted") -> DataFrame:
-    """Add `value` `unit`s (singular or plural) to a timestamp; an unknown unit gives null."""
-    singular = F.regexp_replace(F.lower(unit), "s$", "")
+    """Add `value` `unit`s to a timestamp; an unknown unit gives null.
+
+    Units are singular or plural in any case, or short, where ``M`` is a month and ``m`` a minute.
+    """
+    lower = F.lower(unit)
     shifted = F.lit(None).cast("timestamp")
-    for u in reversed(DATE_UNITS):
-        shifted = F.when(singular == u, F.timestamp_add(u.upper(), F.col(value).cast("int"), F.col(ts))).otherwise(shifted)
+    for long, short in reversed(DATE_UNITS.items()):
+        shifted = F.when(lower.isin(long, long + "s") | (F.col(unit) == short),
+                         F.timestamp_add(long.upper(), F.col(value).cast("int"), F.col(ts))).otherwise(shifted)
     return df.withColumn(name, shifted)
 
 

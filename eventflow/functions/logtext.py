@@ -45,8 +45,10 @@ def datetime_text(text: Column) -> Column:
 
 def log_time(value: Column) -> Column:
     """Timestamp of a time given as text: epoch milliseconds, or any of the text layouts."""
-    millis = F.floor(value.try_cast("double")).cast("bigint")
-    return F.coalesce(F.timestamp_millis(millis), text_time(value), text_time(datetime_text(value)))
+    number = value.rlike(r"^-?\d+(?:\.\d*)?(?:[eE][+-]?\d+)?$")
+    millis = F.floor(F.when(number, value.try_cast("double"))).cast("bigint")
+    return (F.when(number, F.timestamp_millis(millis)).when(F.contains(value, F.lit(" ")), text_time(datetime_text(value)))
+            .otherwise(text_time(value)))
 
 
 def worker_id(given: Column, name: Column) -> Column:

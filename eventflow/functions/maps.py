@@ -12,16 +12,18 @@ def empty_map() -> Column:
     return F.create_map().cast(STRING_MAP)
 
 
-def last_wins_map(entries: Column) -> Column:
-    """Map from an array of (key, value) structs; of equal keys the last entry counts.
+def last_wins_map(keys: Column, values: Column) -> Column:
+    """Map from an array of keys and an array of values; of equal keys the last counts.
 
-    ``map_from_entries`` refuses duplicate keys, so the keys are made distinct first, reading the
-    entries from the back.
+    ``map_from_arrays`` refuses equal keys, so only where there are some they are made distinct,
+    reading from the back.
     """
-    backwards = F.reverse(entries)
-    keys = F.array_distinct(F.transform(backwards, lambda e: e["key"]))
-    values = F.transform(keys, lambda k: F.filter(backwards, lambda e: e["key"] == k)[0]["value"])
-    return F.when(entries.isNull(), empty_map()).otherwise(F.map_from_arrays(keys, values))
+    back_keys, back_values = F.reverse(keys), F.reverse(values)
+    distinct = F.array_distinct(back_keys)
+    last = F.transform(distinct, lambda k: F.get(back_values, (F.array_position(back_keys, k) - 1).cast("int")))
+    return (F.when(keys.isNull(), empty_map())
+            .when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values))
+            .otherwise(F.map_from_arrays(distinct, last)))
 
 
 def typed_value(mapping: Column | str, key: str, kind: str = "string") -> Column:

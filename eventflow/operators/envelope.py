@@ -45,8 +45,7 @@ def to_envelope(df: DataFrame, mapping: Mapping[str, Column | str], kind: str, n
 
 def normalize_kafka(df: DataFrame, name: str = "kafka", keep: tuple[str, ...] = ()) -> DataFrame:
     """Kafka source rows as events; of repeated header keys the last counts."""
-    headers = last_wins_map(F.transform("headers", lambda h: F.struct(
-        h["key"].cast("string").alias("key"), h["value"].cast("string").alias("value"))))
+    headers = last_wins_map(F.col("headers.key").cast("array<string>"), F.col("headers.value").cast("array<string>"))
     return to_envelope(df, {
         "body": "value", "shard_id": "partition", "path": "topic", "topic": "topic", "offset": "offset",
         "ts": "timestamp", "headers": headers}, "kafka-cluster", name, keep=keep)
@@ -66,7 +65,7 @@ def normalize_shard_records(df: DataFrame, kind: str = "shard-stream", name: str
         raise ValueError(f"unknown shard source: {kind}")
     present = set(df.columns)
     if "stream_path" in present:
-        mapping |= {"topic": "stream_path", "path": "stream_path"}
+        mapping["topic"] = "stream_path"
     if "shard_id" in present:
         mapping["shard_id"] = "shard_id"
     if "sequence" in present:
@@ -95,11 +94,11 @@ def normalize_queue(df: DataFrame, kind: str, name: str | None = None, url: str
                                      F.coalesce("routing_key", F.lit(""))),
                     "content_type": "content_type", "ts": "ts"}
     elif kind == "mqtt":
-        mapping |= {"id": "message_id", "path": "topic", "url": F.lit(url)}
+        mapping |= {"id": "message_id", "path": "topic", "topic": "topic", "url": F.lit(url)}
     elif kind == "nats":
-        mapping |= {"path": "subject"}
+        mapping |= {"path": "subject", "headers": "headers"}
     elif kind == "pubsub":
-        mapping |= {"id": "message_id", "path": "topic", "url": "topic", "headers": "headers", "ts": "ts"}
+        mapping |= {"path": "topic", "url": "topic", "headers": "headers"}
     else:
         raise ValueError(f"unknown queue kind: {kind}")
     return to_envelope(df, mapping, kind, name or kind, keep=keep)
@@ -113,10 +112,10 @@ def query_fields(url: Column) -> Column:
     def decoded(text: Column) -> Column:
         return F.coalesce(F.try_url_decode(text), text)
 
-    return last_wins_map(F.transform(parts, lambda p: F.struct(
-        decoded(F.substring_index(p, "=", 1)).alias("key"),
-        F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, "=") + 1)))
-        .otherwise(F.lit("")).alias("value"))))
+    return last_wins_map(
+        F.transform(parts, lambda p: decoded(F.substring_index(p, "=", 1))),
+        F.transform(parts, lambda p: F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, "=") + 1)))
+                    .otherwise(F.lit(""))))
 
 
 def normalize_http_log(df: DataFrame, name: str = "http", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -140,9 +139,12 @@ def normalize_schedule(ticks: DataFrame, body: str = "", headers: Mapping[str, s
 
 
 def normalize_items(df: DataFrame, name: str = "item-poller", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Polled items (system columns and an `attributes` map) as events."""
+    """Polled items (system columns and an `attributes` map) as events; headers hold both."""
+    system = ("__name", "__mtime_secs", "__mtime_nsecs", "__obj_type", "__size")
+    own = F.map_filter(F.coalesce("attributes", empty_map()), lambda k, v: ~k.isin(*system))
+    given = F.create_map(*[x for c in system for x in (F.lit(c), F.col(c).cast("string"))])
     return to_envelope(df, {
-        "headers": "attributes", "ts": item_time(F.col("__mtime_secs"), F.col("__mtime_nsecs")),
+        "headers": F.map_concat(own, given), "ts": item_time(F.col("__mtime_secs"), F.col("__mtime_nsecs")),
         "size": "__size", "path": "__name", "url": "__name"}, "item-poller", name, trigger_class="batch",
         keep=keep)
 

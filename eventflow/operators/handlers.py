@@ -22,25 +22,68 @@ _ARROW_RESPONSE = pa.schema([
     ("headers", pa.map_(pa.string(), pa.string())), ("no_ack", pa.bool_()), ("error", pa.string())])
 
 
-@dataclass
 class Event:
-    """What a handler sees of one row."""
+    """What a handler sees of one row.
 
-    id: str | None = None
-    body: Any = b""
-    headers: dict = field(default_factory=dict)
-    fields: dict = field(default_factory=dict)
-    content_type: str | None = None
-    method: str | None = None
-    path: str | None = None
-    url: str | None = None
-    topic: str | None = None
-    shard_id: int | None = None
-    offset: int | None = None
-    timestamp: Any = None
-    trigger_kind: str | None = None
-    trigger_name: str | None = None
-    type: str | None = None
+    Attributes are id, body, headers, fields, content_type, method, path, url, topic, shard_id,
+    num_shards, offset, timestamp, trigger_kind, trigger_name, type, type_version, version and size.
+    Those of a table row are read from its Arrow batch when first asked for.
+    """
+
+    # fixed values: attributes of an event made by hand
+    DEFAULTS = {"id": None, "body": b"", "content_type": None, "method": None, "path": None, "url": None, "topic": None,
+                "shard_id": None, "num_shards": None, "offset": None, "timestamp": None, "trigger_kind": None,
+                "trigger_name": None, "type": None, "type_version": None, "version": None, "size": None}
+
+    def __init__(self, **attributes: Any):
+        self.__dict__.update({**self.DEFAULTS, "headers": {}, "fields": {}, **attributes})
+
+    @classmethod
+    def of_row(cls, columns: _Columns, row: int) -> Event:
+        """The event of a row of a batch."""
+        event = cls.__new__(cls)
+        event.__dict__.update(_columns=columns, _row=row)
+        return event
+
+    def __getattr__(self, name: str) -> Any:
+        # only asked for names that are not set yet
+        if name.startswith("_") or "_columns" not in self.__dict__:
+            raise AttributeError(name)
+        value = self._columns.attribute(name, self._row)
+        self.__dict__[name] = value
+        return value
+
+
+class _Columns:
+    """A batch's columns as lists, each made when first needed."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self._batch = batch
+        self._names = set(batch.schema.names)
+        self._lists: dict[str, list] = {}
+
+    def values(self, name: str) -> list | None:
+        if name not in self._names:
+            return None
+        if name not in self._lists:
+            self._lists[name] = self._batch.column(name).to_pylist()
+        return self._lists[name]
+
+    def value(self, name: str, row: int) -> Any:
+        values = self.values(name)
+        return None if values is None else values[row]
+
+    def attribute(self, name: str, row: int) -> Any:
+        if name in ("headers", "fields"):
+            return dict(self.value(name, row) or [])
+        if name == "body":
+            object_text = self.value("body_object", row)
+            return json.loads(object_text) if object_text else (self.value("body", row) or b"")
+        if name == "timestamp":
+            return self.value("ts", row)
+        if name not in Event.DEFAULTS:
+            raise AttributeError(name)
+        return self.value(name, row)
 
 
 @dataclass
@@ -86,33 +129,56 @@ def _as_response(answer: Any) -> Response:
     return Response(answer if isinstance(answer, (str, bytes)) else json.dumps(answer))
 
 
-def _row_of(answer: Any, event_id: str | None) -> dict:
-    r = _as_response(answer)
-    body = r.body
-    if isinstance(body, (dict, list)):
-        body = json.dumps(body)
-    if isinstance(body, str):
-        body = body.encode()
-    elif not isinstance(body, (bytes, bytearray)):
-        body = str(body).encode()
-    return {"event_id": event_id, "status_code": int(r.status_code), "content_type": r.content_type,
-            "body": bytes(body), "headers": [(str(k), str(v)) for k, v in r.headers.items()],
-            "no_ack": r.headers.get(NO_ACK_HEADER) is True, "error": None}
-
-
-def _failure(exc: Exception, event_id: str | None) -> dict:
-    text = f'Exception caught in handler - "{exc}"'
-    return {"event_id": event_id, "status_code": 500, "content_type": "text/plain", "body": text.encode(),
-            "headers": [], "no_ack": False, "error": str(exc) or type(exc).__name__}
-
-
-def _event_of(row: dict) -> Event:
-    known = {k: row.get(k) for k in Event.__dataclass_fields__ if k in row}
-    for name in ("headers", "fields"):
-        known[name] = dict(row.get(name) or [])
-    known["body"] = json.loads(row["body_object"]) if row.get("body_object") else (row.get("body") or b"")
-    known["timestamp"] = row.get("ts")
-    return Event(**known)
+class _Answers:
+    """Answers of a batch, gathered by column."""
+
+    def __init__(self):
+        self.rows: list[int] = []
+        self.ids: list[str | None] = []
+        self.status: list[int] = []
+        self.kinds: list[str] = []
+        self.bodies: list[bytes] = []
+        self.headers: list[list] = []
+        self.no_ack: list[bool] = []
+        self.errors: list[str | None] = []
+
+    def add(self, row: int, event_id: str | None, answer: Any) -> None:
+        r = _as_response(answer)
+        body = r.body
+        if isinstance(body, (dict, list)):
+            body = json.dumps(body)
+        if isinstance(body, str):
+            body = body.encode()
+        elif not isinstance(body, bytes):
+            body = bytes(body) if isinstance(body, (bytearray, memoryview)) else str(body).encode()
+        self._put(row, event_id, int(r.status_code), r.content_type, body,
+                  [(str(k), str(v)) for k, v in r.headers.items()], r.headers.get(NO_ACK_HEADER) is True, None)
+
+    def add_failure(self, row: int, event_id: str | None, exc: Exception) -> None:
+        text = f'Exception caught in handler - "{exc}"'
+        self._put(row, event_id, 500, "text/plain", text.encode(), [], False, str(exc) or type(exc).__name__)
+
+    def _put(self, row, event_id, status, kind, body, headers, no_ack, error) -> None:
+        self.rows.append(row)
+        self.ids.append(event_id)
+        self.status.append(status)
+        self.kinds.append(kind)
+        self.bodies.append(body)
+        self.headers.append(headers)
+        self.no_ack.append(no_ack)
+        self.errors.append(error)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def cut(self, length: int) -> None:
+        """Forget the answers after the first `length`."""
+        for values in (self.rows, self.ids, self.status, self.kinds, self.bodies, self.headers, self.no_ack, self.errors):
+            del values[length:]
+
+    def arrays(self) -> list[pa.Array]:
+        columns = (self.ids, self.status, self.kinds, self.bodies, self.headers, self.no_ack, self.errors)
+        return [pa.array(values, f.type) for values, f in zip(columns, _ARROW_RESPONSE)]
 
 
 def _handler_input(df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -121,10 +187,6 @@ def _handler_input(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return df.select(*keep, *[F.to_json("body_object").alias(c) if c == "body_object" else F.col(c) for c in seen])
 
 
-def _output(batch_schema: pa.Schema, keep: Sequence[str]) -> pa.Schema:
-    return pa.schema([*[batch_schema.field(k) for k in keep], *_ARROW_RESPONSE])
-
-
 def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None = None,
                 keep: Sequence[str] = (), registry: Mapping[str, Callable] | None = None) -> DataFrame:
     """Run `handler(context, event)` for each event; the rows of its answers, with `keep` columns.
@@ -142,16 +204,20 @@ def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None
         if init_context is not None:
             init_context(context)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
+            columns, out = _Columns(batch), _Answers()
+            ids = columns.values("id") or [None] * batch.num_rows
+            for i in range(batch.num_rows):
+                before = len(out)
                 try:
-                    answer = _finished(handler(context, _event_of(row)))
-                    answers = answer if isinstance(answer, list) else [answer]
-                    made = [_row_of(a, row.get("id")) for a in answers]
+                    answer = _finished(handler(context, Event.of_row(columns, i)))
+                    for item in answer if isinstance(answer, list) else (answer,):
+                        out.add(i, ids[i], item)
                 except Exception as exc:  # the handler's failure is its answer
-                    made = [_failure(exc, row.get("id"))]
-                out += [{**{k: row[k] for k in keep}, **m} for m in made]
-            yield pa.RecordBatch.from_pylist(out, schema=_output(batch.schema, keep))
+                    out.cut(before)
+                    out.add_failure(i, ids[i], exc)
+            places = pa.array(out.rows, pa.int64())
+            kept = [batch.column(k).take(places) for k in keep]
+            yield pa.RecordBatch.from_arrays(kept + out.arrays(), names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -168,32 +234,40 @@ def map_batches(df: DataFrame, handler: Callable, init_context: Callable | None
     placed = rows.repartition(batch).sortWithinPartitions(batch, pos)
     schema = T.StructType([df.schema[batch], T.StructField("answer_no", T.IntegerType()), *RESPONSE])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = Context(registry)
         if init_context is not None:
             init_context(context)
-        current, events, target = None, [], None
+        key, events, key_type = None, [], None
 
-        def answer() -> list[dict]:
+        def answer(keys: list, out: _Answers) -> None:
+            before = len(out)
             try:
-                answers = _finished(handler(context, events))
-                made = [_row_of(a, a.event_id if isinstance(a, Response) else None) for a in answers]
+                for i, item in enumerate(_finished(handler(context, events))):
+                    out.add(i, item.event_id if isinstance(item, Response) else None, item)
             except Exception as exc:  # the whole batch failed
-                made = [_failure(exc, None)]
-            return [{batch: current, "answer_no": i, **m} for i, m in enumerate(made)]
-
-        for part in batches:
-            target = pa.schema([part.schema.field(batch), pa.field("answer_no", pa.int32()), *_ARROW_RESPONSE])
-            out = []
-            for row in part.to_pylist():
-                if events and row[batch] != current:
-                    out += answer()
+                out.cut(before)
+                out.add_failure(0, None, exc)
+            keys += [key] * (len(out) - before)
+
+        def made(keys: list, out: _Answers) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type), pa.array(out.rows, pa.int32()), *out.arrays()], names=schema.names)
+
+        for part in parts:
+            key_type = part.schema.field(batch).type
+            columns, keys, out = _Columns(part), [], _Answers()
+            for i, here in enumerate(columns.values(batch)):
+                if events and here != key:
+                    answer(keys, out)
                     events = []
-                current = row[batch]
-                events.append(_event_of(row))
-            yield pa.RecordBatch.from_pylist(out, schema=target)
+                key = here
+                events.append(Event.of_row(columns, i))
+            yield made(keys, out)
         if events:
-            yield pa.RecordBatch.from_pylist(answer(), schema=target)
+            keys, out = [], _Answers()
+            answer(keys, out)
+            yield made(keys, out)
 
     return placed.mapInArrow(run, schema)
 

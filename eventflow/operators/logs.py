@@ -12,95 +12,101 @@ from eventflow.operators.ordered import CHUNK_ROWS, Ordered, ordered
 EVENT_LOG_BYTES = 4096
 
 
+_FIELDS = "struct<" + ",".join(f"`{k}`:variant" for k in L.LINE_KEYS) + ">"
+
+
 def parse_logs(lines: DataFrame, column: str = "line") -> DataFrame:
     """Add the parsed fields of each line; `raw` marks lines that are not log records.
 
     A record is a JSON object with time (or datetime), level and message; `with` values must be
     strings.  Adds time, clock, level, message, name, worker, text, formatted and brief.
     """
-    doc = F.try_parse_json(L.strip_line(F.col(column)))
-    df = lines.withColumn("__d", F.when(F.schema_of_variant(doc).startswith("OBJECT"), doc))
-
-    def part(path: str, kind: str):
-        return F.try_variant_get("__d", path, kind)
-
-    def shape(path: str):
-        return F.coalesce(F.schema_of_variant(part(path, "variant")), F.lit("VOID"))
-
-    def string_or_absent(path: str):
-        return shape(path).isin("STRING", "VOID")
-
-    entries = part("$.with", "map<string,variant>")
-    with_ok = (shape("$.with") == "VOID") | F.coalesce(
-        F.forall(F.map_values(entries), lambda v: F.schema_of_variant(v).isin("STRING", "VOID")), F.lit(False))
-    time_shape = shape("$.time")
-    dated = part("$.datetime", "string")
-    time_text = F.when(dated.isNotNull(), L.datetime_text(dated)).when(time_shape == "STRING", part("$.time", "string"))
-    is_number = time_shape.isin("BIGINT", "DOUBLE", "FLOAT") | time_shape.startswith("DECIMAL")
-    millis = F.when(dated.isNull() & is_number,
-                    F.floor(part("$.time", "double")).cast("bigint"))
-    time = F.when(time_text.isNotNull(), L.text_time(time_text)).otherwise(F.timestamp_millis(millis))
-    clock = F.when(time_text.isNotNull(), L.text_clock(time_text)).otherwise(
-        F.date_format(F.timestamp_millis(millis), "HH:mm:ss.SSS"))
-    fine = (F.col("__d").isNotNull() & (shape("$.level") == "STRING") & (shape("$.message") == "STRING")
-            & (part("$.level", "string") != "") & string_or_absent("$.name") & string_or_absent("$.datetime")
-            & with_ok & time.isNotNull())
-    more_shape = shape("$.more")
-    every = F.try_variant_get("__d", "$", "map<string,variant>")
-    extra = F.map_filter(every, lambda k, v: ~k.isin(*L.LINE_KEYS) & (F.schema_of_variant(v) == "STRING"))
+    # each step is a projection of its own, so that no parse is repeated
+    stripped = F.ltrim(L.strip_line(F.col(column)))
+    df = lines.withColumn("__d", F.when(stripped.startswith("{"), F.try_parse_json(stripped)))
+    df = df.withColumn("__s", F.try_variant_get("__d", "$", _FIELDS))
+    df = df.withColumns({f"__k_{k}": F.coalesce(F.schema_of_variant(F.col("__s")[k]), F.lit("VOID")) for k in L.LINE_KEYS})
+
+    def kind(name: str):
+        return F.col(f"__k_{name}")
+
+    def string(name: str):
+        return F.when(kind(name) == "STRING", F.try_variant_get(F.col("__s")[name], "$", "string"))
+
+    def is_object(name: str):
+        return kind(name).startswith("OBJECT")
+
+    def map_of(name: str, values: str):
+        return F.when(is_object(name), F.try_variant_get(F.col("__s")[name], "$", f"map<string,{values}>"))
+
+    is_number = kind("time").isin("BIGINT", "DOUBLE", "FLOAT") | kind("time").startswith("DECIMAL")
+    known = sum((F.col("__s")[k].isNotNull().cast("int") for k in L.LINE_KEYS), F.lit(0))
+    df = df.withColumns({
+        "__level": string("level"), "__message": string("message"), "__name": string("name"),
+        "__stamp": F.when(kind("datetime") == "STRING", L.datetime_text(string("datetime"))).otherwise(string("time")),
+        "__millis": F.when((kind("datetime") == "VOID") & is_number,
+                           F.floor(F.try_variant_get(F.col("__s")["time"], "$", "double")).cast("bigint")),
+        "__with": map_of("with", "string"), "__more": string("more"), "__more_map": map_of("more", "string"),
+        "__every": F.when(F.col("__s").isNotNull(), F.try_variant_get("__d", "$", "map<string,variant>")),
+        "__known": known})
+    with_ok = (kind("with") == "VOID") | F.coalesce(F.forall(
+        F.map_values(map_of("with", "variant")), lambda v: F.schema_of_variant(v).isin("STRING", "VOID")), F.lit(False))
+    extra = F.when(F.size("__every") > F.col("__known"), F.map_filter(
+        "__every", lambda k, v: ~k.isin(*L.LINE_KEYS) & (F.schema_of_variant(v) == "STRING")))
     df = df.withColumns({
-        "raw": ~F.coalesce(fine, F.lit(False)), "__time": time, "__clock": clock,
-        "__level": part("$.level", "string"), "__message": part("$.message", "string"),
-        "__name": part("$.name", "string"),
-        "__with": F.when(shape("$.with") != "VOID", part("$.with", "map<string,string>")),
-        "__more": F.when(more_shape == "STRING", part("$.more", "string")),
-        "__more_map": F.when(more_shape.startswith("OBJECT"), part("$.more", "map<string,string>")),
+        "__time": F.coalesce(L.text_time(F.col("__stamp")), F.timestamp_millis("__millis")),
+        "__fine": (F.col("__level") != "") & F.col("__message").isNotNull() & kind("name").isin("STRING", "VOID")
+        & kind("datetime").isin("STRING", "VOID") & with_ok,
         "__extra": F.transform_values(extra, lambda k, v: F.try_variant_get(v, "$", "string"))})
     df = df.withColumns({
+        "raw": ~F.coalesce(F.col("__fine") & F.col("__time").isNotNull(), F.lit(False)),
         "__worker": L.worker_id(F.try_element_at("__with", F.lit("worker_id")), F.col("__name")),
+        "__clock": F.when(F.col("__stamp").isNotNull(), L.text_clock(F.col("__stamp"))).otherwise(
+            F.date_format(F.timestamp_millis("__millis"), "HH:mm:ss.SSS")),
         "__text": L.message_and_args(F.col("__message"), F.col("__with"), F.col("__more"), F.col("__more_map"),
                                      F.col("__extra"))})
 
-    def kept(value, name):
-        return F.when(~F.col("raw"), value).alias(name)
+    def kept(name: str):
+        return F.when(~F.col("raw"), F.col(f"__{name}")).alias(name)
 
     return df.select(
-        *lines.columns, "raw", kept(F.col("__time"), "time"), kept(F.col("__clock"), "clock"),
-        kept(F.col("__level"), "level"), kept(F.col("__message"), "message"), kept(F.col("__name"), "name"),
-        kept(F.col("__worker"), "worker"), kept(F.col("__text"), "text"),
+        *lines.columns, "raw", *[kept(n) for n in ("time", "clock", "level", "message", "name", "worker", "text")],
         F.when(F.col("raw"), F.col(column)).otherwise(
             L.format_line(F.col("__clock"), F.col("__level"), F.col("__text"))).alias("formatted"),
-        kept(L.is_brief(F.col("__level"), F.col("__message"), F.col("__worker")), "brief"))
+        F.when(~F.col("raw"), L.is_brief(F.col("__level"), F.col("__message"), F.col("__worker"))).alias("brief"))
 
 
 def suppress_after_panic(parsed: DataFrame, keys: Sequence[str] = ("stream",), order: str = "seq",
                          column: str = "line") -> DataFrame:
     """Add `brief_raw`: raw lines before the stream's first line that starts a panic or call stack.
 
-    That line's position is one minimum per stream, so no stream is put in order for it.
+    That line's position is one minimum per stream, so no stream is put in order for it.  Such a
+    line is never a record, so finding it needs no parsing.
     """
     stops = F.col(column).startswith("panic: Wrapper") | F.col(column).startswith("Call stack:")
-    first = parsed.filter(F.col("raw") & stops).groupBy(*keys).agg(F.min(order).alias("__stop"))
+    first = parsed.filter(stops).groupBy(*keys).agg(F.min(order).alias("__stop"))
     return (parsed.join(first, list(keys), "left")
             .withColumn("brief_raw", F.col("raw") & (F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))))
             .drop("__stop"))
 
 
-def mark_runs(df: DataFrame, keys: Sequence[str], order: str, column: str, chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def mark_runs(df: DataFrame, keys: Sequence[str], order: str, column: str, chunk_rows: int = CHUNK_ROWS,
+              at_most: int | None = None) -> Ordered:
     """Rows with `__run`, the number of the run of equal neighbouring values within the key."""
-    scan = ordered(df, keys, [order], chunk_rows).row_number("__n").lag({"__previous": column})
+    scan = ordered(df, keys, [order], chunk_rows, at_most).row_number("__n").lag({"__previous": column})
     begins = (F.col("__n") == 1) | ~F.col(column).eqNullSafe(F.col("__previous"))
     return scan.with_columns({"__begins": begins.cast("bigint")}).running_sum("__begins", "__run")
 
 
 def collapse_repeats(df: DataFrame, keys: Sequence[str], order: str, column: str,
-                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+                     chunk_rows: int = CHUNK_ROWS, at_most: int | None = None) -> DataFrame:
     """One row per run of equal neighbouring values, in `order` within `keys`.
 
     Gives the keys, the order value of the run's first row, `repeats`, the value, and `collapsed`:
-    ``[repeated N times] value`` for runs of more than one.
+    ``[repeated N times] value`` for runs of more than one.  `at_most` is a known bound of the
+    number of rows.
     """
-    runs = mark_runs(df, keys, order, column, chunk_rows).rows.groupBy(*keys, "__run").agg(
+    runs = mark_runs(df, keys, order, column, chunk_rows, at_most).rows.groupBy(*keys, "__run").agg(
         F.min(order).alias(order), F.count(F.lit(1)).alias("repeats"), F.min(column).alias(column))
     text = F.when(F.col("repeats") > 1, F.concat(
         F.lit("[repeated "), F.col("repeats").cast("string"), F.lit(" times] "), column)).otherwise(F.col(column))
@@ -120,7 +126,7 @@ def log_report(lines: DataFrame, keys: Sequence[str] = ("stream",), order: str =
                               L.unescape(F.col("formatted")).alias("text"))
     short = marked.filter(F.coalesce("brief", F.lit(False)) | F.col("brief_raw")).select(
         *keys, order, F.when(F.col("raw"), F.col(column)).otherwise(F.col("text")).alias("__text"))
-    brief = collapse_repeats(short, keys, order, "__text", chunk_rows).select(
+    brief = collapse_repeats(short, keys, order, "__text", chunk_rows, lines.count()).select(
         *keys, F.lit("brief").alias("part"), order, L.unescape(F.col("collapsed")).alias("text"))
     return formatted.unionByName(brief)
 

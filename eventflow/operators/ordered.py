@@ -137,13 +137,14 @@ class Ordered:
             name, F.coalesce(F.col(name), F.col("__before").cast(kind))).drop("__before"))
 
 
-def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> Ordered:
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int = CHUNK_ROWS,
+            at_most: int | None = None) -> Ordered:
     """Cut `df` into chunks of about `chunk_rows` rows in the order (key hash, `order`).
 
-    Runs a count and, above one chunk, a sample of the key and order columns.  The order should
-    be unique within a key.
+    Runs a count, unless `at_most` bounds the number of rows, and, above one chunk, a sample of
+    the key and order columns.  The order should be unique within a key.
     """
-    total = df.count()
+    total = df.count() if at_most is None else at_most
     chunks = min(MAX_CHUNKS, math.ceil(total / chunk_rows))
     if chunks <= 1:
         return Ordered(df.withColumn(CHUNK, F.lit(0)).withColumn(EDGE, F.lit(False)), None,

@@ -59,12 +59,12 @@ def permitted(resources: DataFrame, grants: DataFrame, members: Sequence[str], a
 
 
 def with_gateways(functions: DataFrame, gateways: DataFrame) -> DataFrame:
-    """One row per function and gateway that has it as an upstream; functions without one appear once.
+    """One row per function and upstream entry of a gateway; functions without one appear once.
 
     The list of a function's gateways has no size limit, so it stays rows.
     """
     upstreams = gateways.select(F.col("name").alias("gateway"), F.explode("upstreams").alias("u")).select(
-        F.col("u.function").alias("name"), "gateway").distinct()
+        F.col("u.function").alias("name"), "gateway")
     return functions.join(upstreams, "name", "left")
 
 

@@ -48,7 +48,7 @@ def _e2(spark, sf_dir):
 
 
 @query("e3_normalize_shard_records", f"""WITH {EVENTS}
-SELECT 'shard-stream' AS kind, event_id AS "offset", '/streams/' || topic AS path, shard_id, epoch_us(ts) AS ts_us, body FROM ev
+SELECT 'shard-stream' AS kind, event_id AS "offset", '/streams/' || topic AS topic, shard_id, epoch_us(ts) AS ts_us, body FROM ev
 UNION ALL SELECT 'kinesis', NULL, NULL, NULL, NULL, body FROM ev
 UNION ALL SELECT 'eventhub', event_id, NULL, shard_id, NULL, body FROM ev""")
 def _e3(spark, sf_dir):
@@ -63,7 +63,7 @@ def _e3(spark, sf_dir):
     out = (E.normalize_shard_records(records, "shard-stream")
            .unionByName(E.normalize_shard_records(records.select("data"), "kinesis"))
            .unionByName(E.normalize_shard_records(sections, "eventhub")))
-    return out.select(F.col("trigger_kind").alias("kind"), "offset", "path", "shard_id",
+    return out.select(F.col("trigger_kind").alias("kind"), "offset", "topic", "shard_id",
                       F.unix_micros("ts").alias("ts_us"), F.expr(TEXT))
 
 
@@ -71,8 +71,8 @@ def _e3(spark, sf_dir):
 SELECT 'rabbit-mq' AS kind, 'm' || event_id AS id, topic AS method, 'ex/' || shard_id AS path,
   'reply-' || topic AS url, CAST(user_id AS VARCHAR) AS h_user, body FROM ev
 UNION ALL SELECT 'mqtt', 'm' || event_id, NULL, topic, 'tcp://broker:1883', NULL, body FROM ev
-UNION ALL SELECT 'nats', NULL, NULL, 'sub.' || topic, NULL, NULL, body FROM ev
-UNION ALL SELECT 'pubsub', 'm' || event_id, NULL, topic, topic, CAST(user_id AS VARCHAR), body FROM ev""")
+UNION ALL SELECT 'nats', NULL, NULL, 'sub.' || topic, NULL, CAST(user_id AS VARCHAR), body FROM ev
+UNION ALL SELECT 'pubsub', NULL, NULL, topic, topic, CAST(user_id AS VARCHAR), body FROM ev""")
 def _e4(spark, sf_dir):
     messages = events(spark, sf_dir).select(
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), F.col("topic").alias("type"),
@@ -122,12 +122,12 @@ def item_rows(spark, sf_dir):
 
 
 @query("e7_normalize_items", """
-SELECT doc_id, lang AS h_lang, n_chars AS size, source || '/' || doc_id || '.' || lang AS path,
+SELECT doc_id, lang AS h_lang, CAST(n_chars AS VARCHAR) AS h_size, n_chars AS size, source || '/' || doc_id || '.' || lang AS path,
   (1700000000 + n_chars) * 1000000 + (doc_id * 1000 % 1000000000) // 1000 AS ts_us, 'batch' AS trigger_class
 FROM documents""")
 def _e7(spark, sf_dir):
     return E.normalize_items(item_rows(spark, sf_dir), keep=("doc_id",)).select(
-        "doc_id", header("lang").alias("h_lang"), "size", "path", F.unix_micros("ts").alias("ts_us"), "trigger_class")
+        "doc_id", header("lang").alias("h_lang"), header("__size").alias("h_size"), "size", "path", F.unix_micros("ts").alias("ts_us"), "trigger_class")
 
 
 def cloud_events(spark, sf_dir):

@@ -8,11 +8,11 @@ from eventflow.operators import batching as B
 from eventflow.operators import handlers as H
 from eventflow.operators.envelope import to_envelope
 from eventflow.plans import query
-from eventflow.plans.tables import EVENTS, events, table
+from eventflow.plans.tables import EVENTS, events, spread, table
 
 
 def _envelope(spark, sf_dir, keep=()):
-    return to_envelope(events(spark, sf_dir), {"id": "event_id", "body": "body", "path": "topic", "topic": "topic",
+    return to_envelope(spread(events(spark, sf_dir)), {"id": "event_id", "body": "body", "path": "topic", "topic": "topic",
                                                "offset": "event_id", "ts": "ts"}, "kafka-cluster", "k", keep=keep)
 
 
@@ -118,7 +118,7 @@ def _h5(spark, sf_dir):
 @query("h6_shell_handler", """
 SELECT conv_id, turn, 200 AS status_code, CAST(strlen(text) AS VARCHAR) AS body FROM conversations""")
 def _h6(spark, sf_dir):
-    rows = to_envelope(table(spark, sf_dir, "conversations"), {"body": "text"}, "http", "web", keep=("conv_id", "turn"))
+    rows = to_envelope(spread(table(spark, sf_dir, "conversations")), {"body": "text"}, "http", "web", keep=("conv_id", "turn"))
     out = H.shell_handler(rows, "wc", ["-c"], keep=("conv_id", "turn"))
     return out.select("conv_id", "turn", "status_code", F.trim(F.regexp_replace(F.col("body").cast("string"), r"\s", "")).alias("body"))
 

@@ -35,12 +35,12 @@ def _f3(spark, sf_dir):
 
 
 @query("f4_date_add_unit", """WITH e AS (SELECT event_id, ts, user_id % 40 - 20 AS v,
-  list_value('years', 'month', 'weeks', 'day', 'hours', 'minute', 'seconds', 'fortnight')[1 + event_id % 8] AS unit FROM events)
-SELECT event_id, unit, epoch_us(CASE unit WHEN 'years' THEN ts + to_years(CAST(v AS INTEGER)) WHEN 'month' THEN ts + to_months(CAST(v AS INTEGER))
-  WHEN 'weeks' THEN ts + to_days(CAST(v * 7 AS INTEGER)) WHEN 'day' THEN ts + to_days(CAST(v AS INTEGER)) WHEN 'hours' THEN ts + to_hours(v)
-  WHEN 'minute' THEN ts + to_minutes(v) WHEN 'seconds' THEN ts + to_seconds(v) END) AS shifted_us FROM e""")
+  list_value('years', 'M', 'weeks', 'day', 'Hours', 'm', 'seconds', 'fortnight')[1 + event_id % 8] AS unit FROM events)
+SELECT event_id, unit, epoch_us(CASE unit WHEN 'years' THEN ts + to_years(CAST(v AS INTEGER)) WHEN 'M' THEN ts + to_months(CAST(v AS INTEGER))
+  WHEN 'weeks' THEN ts + to_days(CAST(v * 7 AS INTEGER)) WHEN 'day' THEN ts + to_days(CAST(v AS INTEGER)) WHEN 'Hours' THEN ts + to_hours(v)
+  WHEN 'm' THEN ts + to_minutes(v) WHEN 'seconds' THEN ts + to_seconds(v) END) AS shifted_us FROM e""")
 def _f4(spark, sf_dir):
-    units = ("years", "month", "weeks", "day", "hours", "minute", "seconds", "fortnight")
+    units = ("years", "M", "weeks", "day", "Hours", "m", "seconds", "fortnight")
     rows = events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 40 - 20).alias("v"), F.get(
         F.array(*[F.lit(u) for u in units]), (F.col("event_id") % 8).cast("int")).alias("unit"))
     return lib.date_add_unit(rows, "ts", "v", "unit").select("event_id", "unit", F.unix_micros("shifted").alias("shifted_us"))

@@ -8,7 +8,7 @@ from eventflow.functions.labels import dedupe_list, list_minus
 from eventflow.operators import registry as R
 from eventflow.operators import secrets as S
 from eventflow.plans import query
-from eventflow.plans.tables import events, table
+from eventflow.plans.tables import events, spread, table
 
 
 def function_configs(spark, sf_dir):
@@ -89,8 +89,8 @@ def _r4(spark, sf_dir):
     return kept.select("name", F.lit(True).alias("kept")).unionByName(filtered.select("name", F.lit(False).alias("kept")))
 
 
-@query("r5_with_gateways", """WITH u AS (SELECT DISTINCT o_custkey AS k, 'gw-' || (o_orderkey % 50) AS gateway FROM orders
-  UNION SELECT (o_custkey + 1) AS k, 'gw-' || (o_orderkey % 50) FROM orders)
+@query("r5_with_gateways", """WITH u AS (SELECT o_custkey AS k, 'gw-' || (o_orderkey % 50) AS gateway FROM orders
+  UNION ALL SELECT (o_custkey + 1) AS k, 'gw-' || (o_orderkey % 50) FROM orders)
 SELECT c_name AS name, gateway FROM customer LEFT JOIN u ON k = c_custkey""")
 def _r5(spark, sf_dir):
     def named(key):
@@ -107,7 +107,7 @@ def config_documents(spark, sf_dir):
     """Each customer as a JSON configuration with and without secrets."""
     k = F.col("c_custkey")
     key = k.cast("string")
-    return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.format_string(
+    return spread(table(spark, sf_dir, "customer")).select(F.col("c_name").alias("name"), F.format_string(
         '{"metadata": {"name": "%s"}, "spec": {"build": {"codeEntryAttributes": {"password": "%s", "workDir": "/w"}}, '
         '"image": "i", "not-a-password": %s, "triggers": {"t1": {"password": "%s", "attributes": {"password": "a%s"}}}, '
         '"volumes": [{"volume": {"flexVolume": {"options": {"accesskey": "%s"}}}}]}}',

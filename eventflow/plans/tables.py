@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Input for Python work: a table of fewer files than cores is spread over the cores.
+
+    Larger tables have tasks enough and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as outcomes: no shuffle, positions are the event ids."""
     value = F.col("value")

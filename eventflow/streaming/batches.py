@@ -5,83 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventflow.functions.durations import duration_text_us
 from eventflow.operators.batching import DEFAULT_SIZE, DEFAULT_TIMEOUT
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Stateful processors need this state store; it also keeps large state out of the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-class _Batcher(StatefulProcessor):
-    """Holds the open batch of a key: at most `size` rows."""
-
-    def __init__(self, keys: list[str], order: list[str], size: int, timeout_us: int, schema: T.StructType):
-        self.keys, self.order, self.size, self.timeout_us = keys, order, size, timeout_us
-        self.schema = schema
-        self.values = [f for f in schema if f.name not in keys]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.head = handle.getValueState("head", "opened bigint, batch_no bigint")
-        self.rows = handle.getListState("rows", T.StructType(self.values))
-
-    def _emit(self, key: tuple, rows: list[tuple], number: int) -> pd.DataFrame:
-        names = [f.name for f in self.values]
-        out = pd.DataFrame(rows, columns=names, dtype="object")
-        for name, value in zip(self.keys, key):
-            out[name] = value
-        out["batch_no"] = number
-        out["pos"] = range(len(rows))
-        return out[[*self.schema.names, "batch_no", "pos"]]
-
-    def _timer(self, opened: int) -> int:
-        # whole milliseconds, never before the timeout
-        return -(-(opened + self.timeout_us) // 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in self.values]
-        parts = [part for part in rows if len(part)]
-        if not parts:
-            return
-        fresh = pd.concat(parts).sort_values(self.order)
-        held = list(self.rows.get()) if self.rows.exists() else []
-        opened, number = self.head.get() if self.head.exists() else (None, -1)
-        if held:
-            self.handle.deleteTimer(self._timer(opened))
-        for now, row in zip(fresh["order_us"], fresh[names].itertuples(index=False, name=None)):
-            now = int(now)
-            if held and (len(held) >= self.size or now - opened >= self.timeout_us):
-                yield self._emit(key, held, number)
-                held = []
-            if not held:
-                opened, number = now, number + 1
-            held.append(row)
-        if len(held) >= self.size:
-            yield self._emit(key, held, number)
-            held = []
-        self.head.update((opened, number))
-        if held:
-            self.rows.put(held)
-            self.handle.registerTimer(self._timer(opened))
-        else:
-            self.rows.clear()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.rows.get()) if self.rows.exists() else []
-        if held:
-            self.rows.clear()
-            yield self._emit(key, held, self.head.get()[1])
-
-    def close(self) -> None:
-        pass
-
 
 def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], size: int = DEFAULT_SIZE,
                  timeout: str = DEFAULT_TIMEOUT, delay: str = "10 minutes") -> DataFrame:
@@ -89,14 +18,48 @@ def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[
 
     A batch closes at `size` rows, at a row `timeout` or more after its first, or when the
     watermark (`delay` behind the latest event) passes that time.  Rows of one micro-batch are put
-    in order; a row later than the watermark is dropped.  State per key is one open batch.
+    in order; a row later than the watermark is dropped.  State per key is one open batch, at most
+    `size` rows.
     """
-    if stream.isStreaming:
-        use_rocksdb(stream.sparkSession)
-    keys, order = list(keys), ["order_us", *tie]
+    keys, order, limit = list(keys), ["order_us", *tie], duration_text_us(timeout)
     rows = stream.withColumn("order_us", F.unix_micros(ts))
-    schema = rows.schema
-    out = T.StructType([*schema, T.StructField("batch_no", T.LongType()), T.StructField("pos", T.IntegerType())])
-    batcher = _Batcher(keys, order, size, duration_text_us(timeout), schema)
+    names = [c for c in rows.columns if c not in keys]
+    held_type = T.ArrayType(T.StructType([rows.schema[c] for c in names]))
+    state_type = T.StructType([T.StructField("opened", T.LongType()), T.StructField("batch_no", T.LongType()),
+                               T.StructField("held", held_type)])
+    out_type = T.StructType([*rows.schema, T.StructField("batch_no", T.LongType()), T.StructField("pos", T.IntegerType())])
+
+    def frame(key: tuple, batches: list[tuple[int, list[tuple]]]) -> pd.DataFrame:
+        made = [(*row, number, pos) for number, held in batches for pos, row in enumerate(held)]
+        out = pd.DataFrame(made, columns=[*names, "batch_no", "pos"], dtype="object")
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[out_type.names]
+
+    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, number, held = state.get if state.exists else (0, -1, [])
+        held = [tuple(r) for r in held]
+        closed = []
+        if not state.hasTimedOut:
+            fresh = pd.concat(list(parts)).sort_values(order)
+            for now, row in zip(fresh["order_us"].tolist(), fresh[names].itertuples(index=False, name=None)):
+                if held and (len(held) >= size or now - opened >= limit):
+                    closed.append((number, held))
+                    held = []
+                if not held:
+                    opened, number = now, number + 1
+                held.append(row)
+        # whole milliseconds, never before the timeout
+        due = -(-(opened + limit) // 1000)
+        if held and (len(held) >= size or due <= state.getCurrentWatermarkMs()):
+            closed.append((number, held))
+            held = []
+        state.update((opened, number, held))
+        if held:
+            state.setTimeoutTimestamp(due)
+        if closed:
+            yield frame(key, closed)
+
     return (rows.withWatermark(ts, delay).groupBy(*keys)
-            .transformWithStateInPandas(batcher, out, "append", "EventTime").drop("order_us"))
+            .applyInPandasWithState(take, out_type, state_type, "append", GroupStateTimeout.EventTimeTimeout)
+            .drop("order_us"))

@@ -110,8 +110,9 @@ def test_decode_results(spark):
 def test_last_header_wins(spark):
     df = spark.sql("SELECT array(struct('a' AS key, '1' AS value), struct('b' AS key, '2' AS value), "
                    "struct('a' AS key, '3' AS value)) AS h, cast(null AS array<struct<key:string,value:string>>) AS n")
-    row = df.select(last_wins_map(F.col("h")).alias("h"), last_wins_map(F.col("n")).alias("n")).first()
-    assert row.h == {"a": "3", "b": "2"} and row.n == {}
+    row = df.select(last_wins_map(F.col("h.key"), F.col("h.value")).alias("h"), last_wins_map(F.col("n.key"), F.col("n.value")).alias("n"),
+                    last_wins_map(F.array(F.lit("x")), F.array(F.lit("y"))).alias("o")).first()
+    assert row.h == {"a": "3", "b": "2"} and row.n == {} and row.o == {"x": "y"}
 
 
 def test_http_request(spark):

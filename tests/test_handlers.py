@@ -119,6 +119,16 @@ def test_whole_batch_error(spark):
     assert {r.outcome for r in H.correlate(events, responses).collect()} == {"failure"}
 
 
+def test_one_bad_item_fails_its_call(spark):
+    df = requests(spark, ["x", "y"]).withColumns({"batch_id": F.lit("b"), "pos": F.col("id").cast("int")})
+
+    def half(context, given):
+        return ["fine", {"set": {1}}]
+
+    for rows in (H.map_batches(df, half).collect(), H.map_handler(df.filter("id = '0'"), half).collect()):
+        assert len(rows) == 1 and rows[0].status_code == 500 and rows[0].error
+
+
 def test_shell(spark):
     df = requests(spark, ["upper me", "b"])
     up = H.shell_handler(df, "tr", ["a-z", "A-Z"]).collect()
