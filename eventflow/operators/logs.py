@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from eventflow.functions import logtext as L
-from eventflow.operators.ordered import CHUNK_ROWS, Ordered, ordered
+from eventflow.operators.ordered import CHUNK_ROWS, ordered
 
 EVENT_LOG_BYTES = 4096
 
@@ -90,14 +90,6 @@ def suppress_after_panic(parsed: DataFrame, keys: Sequence[str] = ("stream",), o
             .drop("__stop"))
 
 
-def mark_runs(df: DataFrame, keys: Sequence[str], order: str, column: str, chunk_rows: int = CHUNK_ROWS,
-              at_most: int | None = None) -> Ordered:
-    """Rows with `__run`, the number of the run of equal neighbouring values within the key."""
-    scan = ordered(df, keys, [order], chunk_rows, at_most).row_number("__n").lag({"__previous": column})
-    begins = (F.col("__n") == 1) | ~F.col(column).eqNullSafe(F.col("__previous"))
-    return scan.with_columns({"__begins": begins.cast("bigint")}).running_sum("__begins", "__run")
-
-
 def collapse_repeats(df: DataFrame, keys: Sequence[str], order: str, column: str,
                      chunk_rows: int = CHUNK_ROWS, at_most: int | None = None) -> DataFrame:
     """One row per run of equal neighbouring values, in `order` within `keys`.
@@ -106,11 +98,15 @@ def collapse_repeats(df: DataFrame, keys: Sequence[str], order: str, column: str
     ``[repeated N times] value`` for runs of more than one.  `at_most` is a known bound of the
     number of rows.
     """
-    runs = mark_runs(df, keys, order, column, chunk_rows, at_most).rows.groupBy(*keys, "__run").agg(
-        F.min(order).alias(order), F.count(F.lit(1)).alias("repeats"), F.min(column).alias(column))
+    # wrapped, so that "no row before" and "null before" differ
+    wrapped = df.withColumn("__value", F.struct(F.col(column).alias("v")))
+    scan = ordered(wrapped, keys, [order], chunk_rows, at_most).lag({"__previous": "__value"})
+    begins = F.col("__previous").isNull() | ~F.col(column).eqNullSafe(F.col("__previous.v"))
+    scan = scan.with_columns({"__begin": F.when(begins, F.col(order))}).last_value("__begin", "__start")
+    runs = scan.rows.groupBy(*keys, F.col("__start").alias(order), column).agg(F.count(F.lit(1)).alias("repeats"))
     text = F.when(F.col("repeats") > 1, F.concat(
         F.lit("[repeated "), F.col("repeats").cast("string"), F.lit(" times] "), column)).otherwise(F.col(column))
-    return runs.withColumn("collapsed", text).drop("__run")
+    return runs.select(*keys, order, "repeats", column, text.alias("collapsed"))
 
 
 def log_report(lines: DataFrame, keys: Sequence[str] = ("stream",), order: str = "seq", column: str = "line",

@@ -64,7 +64,11 @@ if __name__ == "__main__":
     import __spark_entry__ as entry_module
 
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    if os.environ.get("PLAIN"):  # a session without this package's settings
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     sqls = entry_module.oracle_sql()
