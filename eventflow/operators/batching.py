@@ -6,6 +6,7 @@ A batch opens at its first event.  It closes when it holds `size` events, and an
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +19,7 @@ from eventflow.operators.ordered import CHUNK, CHUNK_ROWS, EDGE, Ordered, ordere
 
 DEFAULT_SIZE = 10
 DEFAULT_TIMEOUT = "1s"
+WALK_ROWS = 1_000_000
 
 _OPEN = ("__open_us", "__open_n", "__open_no")
 
@@ -102,12 +104,17 @@ def _openings(scan: Ordered, size: int, timeout_us: int) -> DataFrame:
         # a chunk of one key, at most about `chunk_rows` rows
         times = np.sort(group["__us"].to_numpy())
         n = len(times)
-        after = np.minimum(np.arange(n) + size, np.searchsorted(times, times + timeout_us, side="left"))
-        after = after.tolist()
-        last, begun = [0] * n, [0] * n
-        for i in range(n - 1, -1, -1):
-            j = after[i]
-            last[i], begun[i] = (i, 1) if j >= n else (last[j], begun[j] + 1)
+        # from the back: where the batches that begin at a row end up, and how many they are
+        last, begun = array("q", bytes(8 * n)), array("q", bytes(8 * n))
+        for high in range(n, 0, -WALK_ROWS):
+            low = max(0, high - WALK_ROWS)
+            part = times[low:high]
+            after = np.minimum(np.arange(low, high) + size, np.searchsorted(times, part + timeout_us, side="left"))
+            for i, j in zip(range(high - 1, low - 1, -1), after[::-1].tolist()):
+                if j >= n:
+                    last[i], begun[i] = i, 1
+                else:
+                    last[i], begun[i] = last[j], begun[j] + 1
         heads = range(min(size, n))
         row = {c: group[c].iloc[0] for c in (CHUNK, *keys)}
         row |= {"n": n, "heads": [int(times[p]) for p in heads], "end_us": [int(times[last[p]]) for p in heads],

@@ -127,8 +127,8 @@ def redelivered(log: DataFrame, commits: DataFrame, style: str = "kafka") -> Dat
 
 
 def pending(events: DataFrame, acks: DataFrame) -> DataFrame:
-    """Events received and not acked yet."""
-    return events.join(acks.select(*POSITION), list(POSITION), "left_anti")
+    """Events received and not acked yet.  Repeated acks are combined before the shuffle."""
+    return events.join(acks.select(*POSITION).distinct(), list(POSITION), "left_anti")
 
 
 def pending_size(events: DataFrame, acks: DataFrame) -> DataFrame:

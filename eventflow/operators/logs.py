@@ -10,6 +10,7 @@ from eventflow.functions import logtext as L
 from eventflow.operators.ordered import CHUNK_ROWS, ordered
 
 EVENT_LOG_BYTES = 4096
+HOT_SHARE = 10_000
 
 
 _FIELDS = "struct<" + ",".join(f"`{k}`:variant" for k in L.LINE_KEYS) + ">"
@@ -136,10 +137,16 @@ def event_logs(logs: DataFrame, keys: Sequence[str] = ("event_id",), order: str
                column: str = "entry") -> DataFrame:
     """The log entries (JSON texts) of an event as one JSON array, if below 4096 bytes.
 
-    Sizes are summed first, so that only entries of small arrays are brought together.
+    Sizes are summed first, so that only entries of small arrays are brought together.  Events
+    with a great share of all entries are dropped before the shuffle.
     """
-    size = logs.groupBy(*keys).agg((F.sum(F.octet_length(column)) + F.count(F.lit(1)) + 1).alias("__bytes"))
-    small = size.filter(F.col("__bytes") < EVENT_LOG_BYTES).select(*keys)
+    sizes = logs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                    (F.sum(F.octet_length(column)) + F.count(F.lit(1)) + 1).alias("__bytes"))
+    total = sizes.agg(F.sum("__n")).scalar()
+    # no more than HOT_SHARE events can each hold more than that part of all entries
+    hot = sizes.filter((F.col("__bytes") >= EVENT_LOG_BYTES) & (F.col("__n") * HOT_SHARE > total)).select(*keys)
+    small = sizes.filter(F.col("__bytes") < EVENT_LOG_BYTES).select(*keys)
     entries = F.array_sort(F.collect_list(F.struct(order, column)))
-    return logs.join(small, list(keys), "left_semi").groupBy(*keys).agg(
+    rest = logs.join(F.broadcast(hot), list(keys), "left_anti").join(small, list(keys), "left_semi")
+    return rest.groupBy(*keys).agg(
         F.concat(F.lit("["), F.array_join(F.transform(entries, lambda e: e[column]), ","), F.lit("]")).alias("logs"))

@@ -149,7 +149,7 @@ def stuck_events(starts: DataFrame, ends: DataFrame, timeout: str, now: datetime
     now = now if isinstance(now, Column) else F.lit(now)
     running = F.unix_micros(now.cast("timestamp")) - F.unix_micros("ts")
     late = starts.filter(running > duration_text_us(timeout))
-    return late.join(ends.select("event_id"), "event_id", "left_anti")
+    return late.join(ends.select("event_id").distinct(), "event_id", "left_anti")
 
 
 def health_transitions(functions: DataFrame, conditions: DataFrame) -> DataFrame:

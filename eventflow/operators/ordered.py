@@ -21,7 +21,7 @@ CHUNK = "__chunk"
 EDGE = "__edge"
 
 CHUNK_ROWS = 2_000_000
-MAX_CHUNKS = 16_384
+MAX_CHUNKS = 32_768
 SAMPLES_PER_CHUNK = 20
 
 

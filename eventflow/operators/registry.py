@@ -53,7 +53,8 @@ def permitted(resources: DataFrame, grants: DataFrame, members: Sequence[str], a
     """
     if not members or override:
         return resources, resources.select("name").limit(0)
-    allowed = grants.filter(F.col("member").isin(list(members)) & (F.col("action") == action)).select("resource")
+    allowed = grants.filter(F.col("member").isin(list(members)) & (F.col("action") == action)).select(
+        "resource").distinct()
     return (resources.join(allowed, "resource", "left_semi"),
             resources.join(allowed, "resource", "left_anti").select("name"))
 
@@ -65,7 +66,9 @@ def with_gateways(functions: DataFrame, gateways: DataFrame) -> DataFrame:
     """
     upstreams = gateways.select(F.col("name").alias("gateway"), F.explode("upstreams").alias("u")).select(
         F.col("u.function").alias("name"), "gateway")
-    return functions.join(upstreams, "name", "left")
+    # an inner join, which Spark can split on either side, and the functions it leaves out
+    without = functions.join(upstreams.select("name").distinct(), "name", "left_anti")
+    return functions.join(upstreams, "name").unionByName(without.withColumn("gateway", F.lit(None).cast("string")))
 
 
 def export_view(functions: DataFrame, prev_state: Column | str = "state", scrub: bool = True,

@@ -21,6 +21,7 @@ MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 WEEKDAYS = "sun mon tue wed thu fri sat".split()
 
 DAY_SECONDS = 86_400
+TICK_BLOCK = 100_000
 
 
 @dataclass(frozen=True)
@@ -117,10 +118,14 @@ def ticks_between(df: DataFrame, spec: str, start: str, end: str, name: str = "t
     schedule = parse_schedule(spec)
     start_us, end_us = F.unix_micros(start), F.unix_micros(end)
     if isinstance(schedule, Interval):
-        steps = F.when(end_us - start_us >= schedule.micros,
-                       F.sequence(F.lit(1), F.floor((end_us - start_us) / schedule.micros).cast("bigint")))
-        rows = df.withColumn("__n", F.explode(steps))
-        return rows.withColumn(name, F.timestamp_micros(start_us + F.col("__n") * schedule.micros)).drop("__n")
+        # block by block, so that no row makes one long array
+        count = F.floor((end_us - start_us) / schedule.micros).cast("bigint")
+        blocks = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / TICK_BLOCK).cast("bigint")))
+        rows = df.withColumns({"__count": count, "__block": F.explode(blocks)})
+        first = F.col("__block") * TICK_BLOCK
+        rows = rows.withColumn("__n", F.explode(F.sequence(first + 1, F.least(first + TICK_BLOCK, F.col("__count")))))
+        return rows.withColumn(name, F.timestamp_micros(start_us + F.col("__n") * schedule.micros)).drop(
+            "__count", "__block", "__n")
     first, last = F.to_date(start), F.to_date(end)
     rows = df.withColumn("__day", F.explode(F.when(first <= last, F.sequence(first, last))))
     rows = rows.filter(schedule.runs_on(F.col("__day")))

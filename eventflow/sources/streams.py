@@ -14,6 +14,10 @@ from eventflow.functions.durations import duration_text_us
 FETCH_DEFAULT_BYTES = 1024 * 1024
 FETCH_MIN_BYTES = 1
 
+# a micro-batch is bounded, and with it what one key can bring to a stateful operator at once
+MAX_OFFSETS_PER_TRIGGER = 5_000_000
+MAX_FILES_PER_TRIGGER = 1_000
+
 
 def kafka_options(trigger: Mapping) -> dict[str, str]:
     """Options of Spark's Kafka source for a trigger configuration.
@@ -36,6 +40,7 @@ def kafka_options(trigger: Mapping) -> dict[str, str]:
         "kafka.group.id": attributes["consumerGroup"],
         "startingOffsets": initial_offset(attributes.get("initialOffset")),
         "includeHeaders": "true",
+        "maxOffsetsPerTrigger": str(attributes.get("maxOffsetsPerTrigger") or MAX_OFFSETS_PER_TRIGGER),
         "kafka.fetch.min.bytes": str(attributes.get("fetchMin") or FETCH_MIN_BYTES),
         "kafka.max.partition.fetch.bytes": str(attributes.get("fetchDefault") or FETCH_DEFAULT_BYTES),
     }
@@ -129,11 +134,11 @@ def eventhub_options(trigger: Mapping) -> dict[str, str]:
 
 
 def open_stream(spark: SparkSession, trigger: Mapping, schema: StructType | str | None = None) -> DataFrame:
-    """A streaming frame for a trigger configuration.
+    """A streaming frame for a trigger configuration, with bounded micro-batches.
 
     Kinds: ``kafka-cluster`` and ``eventhub`` (Spark's Kafka source), ``kinesis`` (a Kinesis source
     on the class path), and ``landing``: files of one `format` that arrive in `path`, read with
-    `schema`, at most `maxFilesPerTrigger` per batch.
+    `schema`.
     """
     kind = trigger.get("kind")
     if kind in ("kafka-cluster", "kafka"):
@@ -147,9 +152,11 @@ def open_stream(spark: SparkSession, trigger: Mapping, schema: StructType | str
         if schema is None:
             raise ValueError("a landing stream needs a schema")
         reader = spark.readStream.format(attributes.get("format") or "parquet").schema(schema)
-        for option in ("maxFilesPerTrigger", "pathGlobFilter", "recursiveFileLookup"):
-            if attributes.get(option) is not None:
-                reader = reader.option(option, str(attributes[option]))
+        for option, default in (("maxFilesPerTrigger", MAX_FILES_PER_TRIGGER), ("pathGlobFilter", None),
+                                ("recursiveFileLookup", None)):
+            value = attributes.get(option, default)
+            if value is not None:
+                reader = reader.option(option, str(value))
         return reader.load(attributes["path"])
     raise ValueError(f"unknown stream trigger kind: {kind}")
 

@@ -18,8 +18,8 @@ def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[
 
     A batch closes at `size` rows, at a row `timeout` or more after its first, or when the
     watermark (`delay` behind the latest event) passes that time.  Rows of one micro-batch are put
-    in order; a row later than the watermark is dropped.  State per key is one open batch, at most
-    `size` rows.
+    in order, so a task holds one key's rows of a micro-batch (the source bounds its size); a row
+    later than the watermark is dropped.  State per key is one open batch, at most `size` rows.
     """
     keys, order, limit = list(keys), ["order_us", *tie], duration_text_us(timeout)
     rows = stream.withColumn("order_us", F.unix_micros(ts))

@@ -73,3 +73,11 @@ def test_poll_cycles_flush(spark):
 def test_size_below_one(spark):
     with pytest.raises(ValueError):
         B.assign_batches(spark.range(1).withColumn("ts", F.current_timestamp()), ["id"], "ts", [], 0)
+
+
+def test_long_chunks_are_walked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(B, "WALK_ROWS", 7)
+    rows = make_rows(400, 9, 30)
+    df = spark.createDataFrame(rows, "k string, i long, ts timestamp")
+    got = B.assign_batches(df, ["k"], "ts", ["i"], 4, "25ms", 60).collect()
+    assert {(r.k, r.i): (r.batch_no, r.pos) for r in got} == direct(rows, 4, 25)

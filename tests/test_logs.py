@@ -128,3 +128,10 @@ def test_event_logs_limit(spark):
                                "event_id string, seq int, entry string")
     got = {r.event_id: r.logs for r in O.event_logs(df).collect()}
     assert got["a"] == "[1,2]" and len(got["b"]) == 4095 and "c" not in got
+
+
+def test_hot_event_is_left_out_early(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("event_id"),
+                                    F.col("id").alias("seq"), F.lit("abc").alias("entry"))
+    out = O.event_logs(df)
+    assert out.count() == 20_000 and out.filter("event_id = -1").count() == 0

@@ -186,3 +186,11 @@ def test_poll_filters_reach_the_scan(spark, folder):
     out = polling.poll_items(spark.read.parquet(f"{folder}/items"), None, suffixes=["1"], predicates=["__size > 3"], attributes=["color"])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(__size,3)" in plan and "StringEndsWith(__name,1)" in plan and "unused" not in plan
+
+
+def test_interval_blocks(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "TICK_BLOCK", 10)
+    df = spark.createDataFrame([(1, NOW, NOW + timedelta(seconds=33)), (2, NOW, NOW), (3, NOW, NOW + timedelta(seconds=20))],
+                               "i int, a timestamp, b timestamp")
+    rows = schedule.ticks_between(df, "1s", "a", "b").groupBy("i").agg(F.countDistinct("tick").alias("n"), F.count("*").alias("m")).collect()
+    assert {r.i: (r.n, r.m) for r in rows} == {1: (33, 33), 3: (20, 20)}
