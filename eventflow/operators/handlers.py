@@ -106,16 +106,20 @@ class Context:
 
     def call(self, name: str, event: Event) -> Response:
         """Run another handler on an event and give its answer; its exceptions pass through."""
-        answer = _finished(self._registry[name](self, event))
-        return answer if isinstance(answer, Response) else _as_response(answer)
+        return _as_response(_finished(self._registry[name](self, event)))
 
 
 def _finished(answer: Any) -> Any:
     return asyncio.run(answer) if asyncio.iscoroutine(answer) else answer
 
 
+def _is_response(answer: Any) -> bool:
+    # by shape: a handler's module may come with its own import of this class
+    return hasattr(answer, "status_code") and hasattr(answer, "body")
+
+
 def _as_response(answer: Any) -> Response:
-    if isinstance(answer, Response):
+    if _is_response(answer):
         return answer
     if isinstance(answer, tuple) and len(answer) == 2:
         status, rest = answer
@@ -244,7 +248,7 @@ def map_batches(df: DataFrame, handler: Callable, init_context: Callable | None
             before = len(out)
             try:
                 for i, item in enumerate(_finished(handler(context, events))):
-                    out.add(i, item.event_id if isinstance(item, Response) else None, item)
+                    out.add(i, item.event_id if _is_response(item) else None, item)
             except Exception as exc:  # the whole batch failed
                 out.cut(before)
                 out.add_failure(0, None, exc)

@@ -12,7 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ("envelope", "sources", "library", "handlers", "batches", "delivery", "metrics", "logs", "registry", "streams")
+MODULES = ("envelope", "sources", "library", "handlers", "batches", "delivery", "metrics", "logs", "registry", "streams",
+           "chains")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventflow.operators import delivery as D
+from eventflow.operators import handlers as H
+from eventflow.operators.envelope import to_envelope
 from eventflow.plans import query
 from eventflow.plans.sources import event_stream, fresh_dir
 from eventflow.plans.tables import EVENTS
 from eventflow.sources import sinks
-from eventflow.streaming import batches, twins
+from eventflow.streaming import batches, process, twins
 
 
 def _run(spark, stream, mode="append"):
@@ -85,3 +87,28 @@ def _m9(spark, sf_dir):
         "event_id", F.timestamp_micros(F.unix_micros("ts") + took).alias("ts"))
     out = twins.stuck_stream(starts, ends, "1m").select("event_id")
     return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")
+
+
+def _check(context, event):
+    value = event.offset % 20
+    if value == 0:
+        raise ValueError("bad event")
+    return H.Response(event.body, headers={H.NO_ACK_HEADER: True} if value == 1 else {})
+
+
+@query("process_stream", f"""WITH {EVENTS}, c AS (SELECT topic, shard_id, greatest(coalesce(max(event_id + 1) FILTER (event_id % 20 <> 1 AND event_id % 40 <> 2), 0), 0) AS committed,
+  count(*) FILTER (event_id % 40 <> 2) AS success, count(*) FILTER (event_id % 40 = 2) AS failure, count(*) FILTER (event_id % 20 = 0 OR event_id % 40 = 2) AS answered_500 FROM ev GROUP BY ALL)
+SELECT topic, shard_id, committed, answered_500, CAST(sum(success) OVER (PARTITION BY topic) AS BIGINT) AS success,
+  CAST(sum(failure) OVER (PARTITION BY topic) AS BIGINT) AS failure FROM c""")
+def _process(spark, sf_dir):
+    out = fresh_dir(spark)
+    broken = F.col("event_id") % 40 == 2
+    rows = to_envelope(event_stream(spark, sf_dir), {
+        "topic": "topic", "shard_id": "shard_id", "offset": "event_id", "ts": "ts",
+        "content_type": F.when(broken, "application/cloudevents+json").otherwise("text/plain"),
+        "body": F.when(broken, "{nope").otherwise(F.col("body"))}, "kafka-cluster", "k")
+    sinks.run_once(process.process_events(rows, _check, out, f"{out}/state", "enable"))
+    counts = process.handled(spark, out).groupBy("topic").pivot("result", ["success", "failure"]).sum("value")
+    failed = process.outcomes_of(spark, out).groupBy("topic", "shard_id").agg(
+        F.count_if(F.col("status_code") == 500).alias("answered_500"))
+    return process.committed(spark, out).join(failed, ["topic", "shard_id"]).join(counts, "topic")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import duckdb  # noqa: F401
 import pytest
 
 import __spark_entry__ as entry_module
 from check_queries import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
-NATIVE = ("d", "m", "l", "e", "f", "r", "s")
+# queries that run user code, walk documents, or start a stream
+PYTHON = ("b", "h", "r6", "r7", "d11", "s1_", "s8", "s9", "s10", "request_chain", "poll_chain")
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def plan_of(df):
 
 def test_native_queries_have_no_python(spark):
     for name, fn in entry_module.queries().items():
-        if name[0] in "bh" or name.startswith(("r6", "r7", "d11", "s1_", "s8", "s9", "s10")) or name.endswith("_stream"):
+        if name.startswith(PYTHON) or name.endswith("_stream"):
             continue
         plan = plan_of(fn(spark, SF_DIR))
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan, name
@@ -48,3 +48,26 @@ def test_columns_are_pruned_and_filters_pushed(spark):
     assert "props" not in plan and "event_type" not in plan
     plan = plan_of(entry_module.queries()["shard_report"](spark, SF_DIR))
     assert plan.count("Exchange") == 1
+
+
+def test_every_operator_is_registered():
+    """One query and one SQL text at least for each operator id."""
+    counts = {"e": 13, "s": 10, "h": 9, "f": 7, "b": 3, "d": 12, "m": 11, "l": 11, "r": 15}
+    wanted = {f"{group}{i}" for group, n in counts.items() for i in range(1, n + 1)}
+    assert wanted <= {name.split("_")[0] for name in entry_module.queries()}
+    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from eventflow.session import shared_dir
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default),
+                               sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(session("yarn", "/shared/place/")) == "/shared/place"
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", None))
+    assert shared_dir(spark) != shared_dir(spark)

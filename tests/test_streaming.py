@@ -165,3 +165,41 @@ def test_unknown_trigger(spark):
         streams.open_stream(spark, {"kind": "pigeon"})
     with pytest.raises(ValueError):
         streams.open_stream(spark, {"kind": "landing", "attributes": {"path": "x"}})
+
+
+def test_processing_over_batches(spark, landing):
+    """Six micro-batches: positions and counts grow, and equal those of the whole table."""
+    from eventflow.operators.handlers import NO_ACK_HEADER, Response
+    from eventflow.operators.metrics import counter_delta
+    from eventflow.streaming import process
+
+    stream, table, folder = landing
+
+    def handler(context, event):
+        context.user_data["seen"] = context.user_data.get("seen", 0) + 1
+        if event.offset % 5 == 0:
+            raise ValueError("no")
+        if event.offset % 7 == 0:
+            return ["two", "answers"]
+        return Response(event.body, headers={NO_ACK_HEADER: event.offset % 3 == 0})
+
+    def envelope(rows):
+        broken = F.col("value") == 9
+        return to_envelope(rows, {
+            "topic": "topic", "shard_id": "shard_id", "offset": "offset", "ts": "ts",
+            "content_type": F.when(broken, "application/cloudevents+json").otherwise("text/plain"),
+            "body": F.when(broken, "{nope").otherwise(F.col("topic"))}, "kafka-cluster", "k")
+
+    sinks.run_once(process.process_events(envelope(stream()), handler, folder, f"{folder}/state", "enable", 2))
+    whole = process.handle(envelope(table), handler)
+    want = D.commit_frontier(D.ack_decision(whole, "enable"), 2)
+    assert as_set(process.committed(spark, folder), "topic", "shard_id", "committed") == as_set(want, "topic", "shard_id", "committed")
+    counts = {r.result: r.n for r in process.handled(spark, folder).groupBy("result").agg(F.sum("value").alias("n")).collect()}
+    broken = table.filter("value = 9").count()
+    assert counts == {"success": 240 - broken, "failure": broken} and broken > 0
+    assert process.outcomes_of(spark, folder).count() == whole.count() > 240
+    # the counts of each batch are snapshots of growing counters
+    snaps = spark.read.option("basePath", f"{folder}/handled").parquet(f"{folder}/handled").withColumn(
+        "at", F.timestamp_seconds("batch"))
+    deltas = counter_delta(snaps, ["topic", "result"], "at", ["value"])
+    assert deltas.filter("value_delta < 0").count() == 0 and snaps.select("batch").distinct().count() == 6
