@@ -58,7 +58,7 @@ def test_every_operator_is_registered():
     assert set(entry_module.oracle_sql()) == set(entry_module.queries())
 
 
-def test_shared_folder(spark):
+def test_shared_folder():
     from types import SimpleNamespace
 
     from eventflow.session import shared_dir
@@ -70,4 +70,4 @@ def test_shared_folder(spark):
     assert shared_dir(session("yarn", "/shared/place/")) == "/shared/place"
     with pytest.raises(ValueError):
         shared_dir(session("spark://host:7077", None))
-    assert shared_dir(spark) != shared_dir(spark)
+    assert shared_dir(session("local[2]", None)) != shared_dir(session("local[2]", None))
