@@ -5,6 +5,7 @@ from __future__ import annotations
 import asyncio
 import json
 import subprocess
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -19,21 +20,23 @@ NO_ACK_HEADER = "X-Stream-No-Ack"
 
 _ARROW_RESPONSE = pa.schema([
     ("event_id", pa.string()), ("status_code", pa.int32()), ("content_type", pa.string()), ("body", pa.binary()),
-    ("headers", pa.map_(pa.string(), pa.string())), ("no_ack", pa.bool_()), ("error", pa.string())])
+    ("headers", pa.map_(pa.string(), pa.string())), ("no_ack", pa.bool_()), ("error", pa.string()),
+    ("duration_ms", pa.float64())])
 
 
 class Event:
     """What a handler sees of one row.
 
     Attributes are id, body, headers, fields, content_type, method, path, url, topic, shard_id,
-    num_shards, offset, timestamp, trigger_kind, trigger_name, type, type_version, version and size.
+    num_shards, offset, timestamp, trigger_kind, trigger_name, trigger_class, type, type_version,
+    version and size.
     Those of a table row are read from its Arrow batch when first asked for.
     """
 
     # fixed values: attributes of an event made by hand
     DEFAULTS = {"id": None, "body": b"", "content_type": None, "method": None, "path": None, "url": None, "topic": None,
                 "shard_id": None, "num_shards": None, "offset": None, "timestamp": None, "trigger_kind": None,
-                "trigger_name": None, "type": None, "type_version": None, "version": None, "size": None}
+                "trigger_name": None, "trigger_class": None, "type": None, "type_version": None, "version": None, "size": None}
 
     def __init__(self, **attributes: Any):
         self.__dict__.update({**self.DEFAULTS, "headers": {}, "fields": {}, **attributes})
@@ -145,6 +148,7 @@ class _Answers:
         self.headers: list[list] = []
         self.no_ack: list[bool] = []
         self.errors: list[str | None] = []
+        self.durations: list[float] = []
 
     def add(self, row: int, event_id: str | None, answer: Any) -> None:
         r = _as_response(answer)
@@ -180,8 +184,12 @@ class _Answers:
         for values in (self.rows, self.ids, self.status, self.kinds, self.bodies, self.headers, self.no_ack, self.errors):
             del values[length:]
 
+    def took(self, seconds: float) -> None:
+        """Give the answers since the last call the time of theirs."""
+        self.durations += [seconds * 1000.0] * (len(self.rows) - len(self.durations))
+
     def arrays(self) -> list[pa.Array]:
-        columns = (self.ids, self.status, self.kinds, self.bodies, self.headers, self.no_ack, self.errors)
+        columns = (self.ids, self.status, self.kinds, self.bodies, self.headers, self.no_ack, self.errors, self.durations)
         return [pa.array(values, f.type) for values, f in zip(columns, _ARROW_RESPONSE)]
 
 
@@ -197,8 +205,8 @@ def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None
 
     `init_context(context)` runs once per task.  Answers: text or bytes (status 200), a dict (JSON),
     (status, answer), a `Response`, or a list of these (one row each).  Coroutines are awaited.  An
-    exception becomes a row with status 500, and the job goes on.  Results may be produced again
-    when a task is retried.
+    exception becomes a row with status 500, and the job goes on.  `duration_ms` is the time of the
+    call.  Results may be produced again when a task is retried.
     """
     rows = _handler_input(df, keep)
     schema = T.StructType([*[df.schema[k] for k in keep], *RESPONSE])
@@ -211,7 +219,7 @@ def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None
             columns, out = _Columns(batch), _Answers()
             ids = columns.values("id") or [None] * batch.num_rows
             for i in range(batch.num_rows):
-                before = len(out)
+                before, began = len(out), time.perf_counter()
                 try:
                     answer = _finished(handler(context, Event.of_row(columns, i)))
                     for item in answer if isinstance(answer, list) else (answer,):
@@ -219,6 +227,7 @@ def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None
                 except Exception as exc:  # the handler's failure is its answer
                     out.cut(before)
                     out.add_failure(i, ids[i], exc)
+                out.took(time.perf_counter() - began)
             places = pa.array(out.rows, pa.int64())
             kept = [batch.column(k).take(places) for k in keep]
             yield pa.RecordBatch.from_arrays(kept + out.arrays(), names=schema.names)
@@ -245,13 +254,14 @@ def map_batches(df: DataFrame, handler: Callable, init_context: Callable | None
         key, events, key_type = None, [], None
 
         def answer(keys: list, out: _Answers) -> None:
-            before = len(out)
+            before, began = len(out), time.perf_counter()
             try:
                 for i, item in enumerate(_finished(handler(context, events))):
                     out.add(i, item.event_id if _is_response(item) else None, item)
             except Exception as exc:  # the whole batch failed
                 out.cut(before)
                 out.add_failure(0, None, exc)
+            out.took(time.perf_counter() - began)
             keys += [key] * (len(out) - before)
 
         def made(keys: list, out: _Answers) -> pa.RecordBatch:
@@ -309,24 +319,35 @@ def with_status(df: DataFrame) -> DataFrame:
                          .otherwise(F.coalesce("status_code", F.lit(200))))
 
 
+# fixed values: event attributes that a program finds in its environment
+SHELL_ENVIRONMENT = ("id", "content_type", "path", "url", "method", "shard_id", "num_shards", "topic", "offset", "type",
+                     "type_version", "version", "trigger_class", "trigger_kind", "trigger_name")
+
+
 def shell_handler(df: DataFrame, command: str, args: Sequence[str] = (), arguments_header: str | None = None,
-                  keep: Sequence[str] = (), timeout: float = 60.0) -> DataFrame:
+                  keep: Sequence[str] = (), timeout: float = 60.0, env: Mapping[str, str] | None = None,
+                  response_headers: Mapping[str, str] | None = None) -> DataFrame:
     """Run a program for each event: the body is its input, the output is the answer.
 
-    Event attributes are in its environment as EVENT_ID, EVENT_PATH and so on.  `args` is a list and
-    no shell reads it; with `arguments_header` that header's text, split at spaces, replaces it.  A
-    non-zero exit gives status 500 with the error text.
+    The environment is `env` and the event's attributes, as EVENT_ID, EVENT_PATH and so on, with
+    EVENT_TIMESTAMP in seconds.  `args` is a list and no shell reads it; with `arguments_header`
+    that header's text, split at spaces, replaces it.  Output and errors are one text; a non-zero
+    exit gives status 500 with that text.
     """
+    base = {"PATH": "/usr/local/bin:/usr/bin:/bin", **(env or {})}
+
     def handler(context: Context, event: Event) -> Response:
         given = event.headers.get(arguments_header) if arguments_header else None
         arguments = given.split(" ") if given else list(args)
-        names = ("id", "path", "method", "content_type", "topic", "shard_id", "offset", "trigger_kind", "trigger_name")
-        environment = {f"EVENT_{n.upper()}": str(getattr(event, n)) for n in names if getattr(event, n) is not None}
-        done = subprocess.run([command, *arguments], input=event.body, capture_output=True, timeout=timeout,
-                              env={"PATH": "/usr/local/bin:/usr/bin:/bin", **environment})
+        own = {f"EVENT_{n.upper()}": str(getattr(event, n)) for n in SHELL_ENVIRONMENT if getattr(event, n) is not None}
+        if event.timestamp is not None:
+            own["EVENT_TIMESTAMP"] = str(int(event.timestamp.timestamp()))
+        done = subprocess.run([command, *arguments], input=event.body, stdout=subprocess.PIPE, stderr=subprocess.STDOUT,
+                              timeout=timeout, env={**base, **own})
+        headers = dict(response_headers or {})
         if done.returncode != 0:
-            return Response(done.stderr or done.stdout or f"exit status {done.returncode}", status_code=500)
-        return Response(done.stdout)
+            return Response(f"exit status {done.returncode}\n".encode() + done.stdout, 500, headers=headers)
+        return Response(done.stdout, headers=headers)
 
     return map_handler(df, handler, keep=keep)
 

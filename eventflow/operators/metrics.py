@@ -129,16 +129,17 @@ def idle_functions(candidates: DataFrame, metrics: DataFrame, now: datetime | Co
     A metric without samples in its window counts as idle.  Metrics are (function, metric_name,
     ts, value).
     """
-    now = now if isinstance(now, Column) else F.lit(now)
-    now_us = F.unix_micros(now.cast("timestamp"))
+    now = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
+    now_us = F.unix_micros(now)
     resources = candidates.select(F.col("name").alias("function"), F.explode("scale_to_zero").alias("r")).select(
         "function", F.col("r.metric_name").alias("metric_name"), F.col("r.threshold").alias("threshold"),
         duration_us(F.col("r.window_size")).alias("window_us"))
-    age = now_us - F.unix_micros("ts")
-    # one row per (function, metric, threshold, window): the samples are reduced before the shuffle
-    # that follows the join
-    seen = (metrics.filter(age >= 0).join(resources, ["function", "metric_name"])
-            .filter(age < F.col("window_us"))
+    # no sample older than the widest window matters; the bounds are on the plain column, for the scan
+    widest = resources.agg(F.max("window_us")).scalar()
+    recent = metrics.filter((F.col("ts") <= now) & (F.col("ts") > F.timestamp_micros(now_us - widest)))
+    # one row per function leaves each task: samples are reduced before the shuffle after the join
+    seen = (recent.join(resources, ["function", "metric_name"])
+            .filter(now_us - F.unix_micros("ts") < F.col("window_us"))
             .groupBy("function").agg(F.bool_and(F.col("value") <= F.col("threshold")).alias("__quiet")))
     return (candidates.join(seen.withColumnRenamed("function", "name"), "name", "left")
             .withColumn("idle", F.coalesce("__quiet", F.lit(True))).drop("__quiet"))
@@ -146,9 +147,9 @@ def idle_functions(candidates: DataFrame, metrics: DataFrame, now: datetime | Co
 
 def stuck_events(starts: DataFrame, ends: DataFrame, timeout: str, now: datetime | Column) -> DataFrame:
     """Events started, not finished, and running longer than `timeout` at `now`."""
-    now = now if isinstance(now, Column) else F.lit(now)
-    running = F.unix_micros(now.cast("timestamp")) - F.unix_micros("ts")
-    late = starts.filter(running > duration_text_us(timeout))
+    now = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
+    # a constant bound on the plain column, for the scan
+    late = starts.filter(F.col("ts") < F.timestamp_micros(F.unix_micros(now) - duration_text_us(timeout)))
     return late.join(ends.select("event_id").distinct(), "event_id", "left_anti")
 
 

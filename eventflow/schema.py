@@ -38,6 +38,7 @@ RESPONSE = T.StructType([
     T.StructField("headers", STRING_MAP),
     T.StructField("no_ack", T.BooleanType()),
     T.StructField("error", T.StringType()),
+    T.StructField("duration_ms", T.DoubleType()),
 ])
 
 RECORDED = T.StructType([

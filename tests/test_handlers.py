@@ -81,6 +81,16 @@ def test_context_coroutines_and_no_ack(spark):
     assert {r.event_id: r.no_ack for r in rows} == {**{str(i): False for i in range(6)}, "0": True}
 
 
+def test_durations_feed_the_counters(spark):
+    import time as clock
+
+    from eventflow.operators.metrics import durations
+
+    rows = H.map_handler(requests(spark, ["a", "b"]), lambda c, e: clock.sleep(0.02), keep=("topic",))
+    total = durations(rows, ("topic",)).first()
+    assert total.duration_ms_count == 2 and 40 <= total.duration_ms_sum < 2000
+
+
 def test_object_bodies_and_kept_columns(spark):
     df = requests(spark, ['{"a": [1, 2]}'], body_object=F.try_parse_json("body")).withColumn("extra", F.lit(7))
     row = H.map_handler(df, lambda c, e: {"got": e.body["a"]}, keep=("extra",)).first()
@@ -133,8 +143,9 @@ def test_shell(spark):
     df = requests(spark, ["upper me", "b"])
     up = H.shell_handler(df, "tr", ["a-z", "A-Z"]).collect()
     assert {bytes(r.body).decode() for r in up} == {"UPPER ME", "B"}
-    env = H.shell_handler(df, "printenv", ["EVENT_PATH"]).first()
-    assert bytes(env.body).decode().strip() == "/some/path"
+    env = H.shell_handler(df, "printenv", ["EVENT_PATH", "EVENT_TRIGGER_KIND", "EVENT_TIMESTAMP", "MINE"], env={"MINE": "x"},
+                          response_headers={"h": "v"}).orderBy("event_id").first()
+    assert bytes(env.body).decode().split() == ["/some/path", "http", "0", "x"] and env.headers == {"h": "v"}
     bad = H.shell_handler(df, "ls", ["/does/not/exist"]).first()
     assert bad.status_code == 500 and "exist" in bytes(bad.body).decode()
     missing = H.shell_handler(df, "no-such-program").first()

@@ -88,3 +88,14 @@ def test_stuck(spark):
 def test_exposition(spark):
     df = spark.createDataFrame([("m", {"b": 'q"x', "a": "1\\2"}, 3.0), ("n", {}, 0.5)], "metric string, labels map<string,string>, value double")
     assert [r.line for r in M.to_exposition(df).collect()] == ['m{a="1\\\\2",b="q\\"x"} 3', "n 0.5"]
+
+
+def test_time_bounds_reach_the_scan(spark, folder):
+    spark.range(10).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit("f").alias("function"),
+                           F.lit("m").alias("metric_name"), F.lit(1.0).alias("value")).write.parquet(f"{folder}/rows")
+    rows = spark.read.parquet(f"{folder}/rows")
+    plan = M.stuck_events(rows, rows.limit(0), "1m", NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(ts," in plan
+    candidates = M.idle_candidates(functions(spark, [("a", "ready", 0, 0, [("m", "10m", 1.0)], None)]))
+    plan = M.idle_functions(candidates, rows, NOW)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(ts," in plan
