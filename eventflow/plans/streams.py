@@ -39,6 +39,25 @@ def _b3(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{path}/batch=*").select("user_id", "event_id", "batch_no", "pos")
 
 
+@query("b3_write_batched", """WITH RECURSIVE o AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+b AS (SELECT user_id, event_id, rn, us AS opened, 1 AS held, 0 AS batch_no, 0 AS pos FROM o WHERE rn = 1
+  UNION ALL SELECT n.user_id, n.event_id, n.rn, CASE WHEN held >= 4 OR us - opened >= 108000000000 THEN us ELSE opened END,
+    CASE WHEN held >= 4 OR us - opened >= 108000000000 THEN 1 ELSE held + 1 END,
+    CASE WHEN held >= 4 OR us - opened >= 108000000000 THEN batch_no + 1 ELSE batch_no END,
+    CASE WHEN held >= 4 OR us - opened >= 108000000000 THEN 0 ELSE pos + 1 END
+  FROM b JOIN o n ON n.user_id = b.user_id AND n.rn = b.rn + 1),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id, batch_no) AS k, max(batch_no) OVER (PARTITION BY user_id) AS last,
+  first_value(event_id) OVER (PARTITION BY user_id, batch_no ORDER BY pos) AS first FROM b)
+SELECT user_id, event_id, user_id || '/' || opened || '/' || first AS batch_id, CAST(pos AS INTEGER) AS pos FROM c
+WHERE batch_no < last OR k >= 4 OR opened + 108000000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""")
+def _b3_written(spark, sf_dir):
+    rows = event_stream(spark, sf_dir).select("user_id", "event_id", "ts")
+    out = fresh_dir(spark)
+    sinks.run_once(batches.write_batched(rows, ["user_id"], "ts", ["event_id"], out, f"{out}/state", 4, "30h"))
+    return batches.batched(spark, out).select("user_id", "event_id", "batch_id", "pos")
+
+
 @query("d3_frontier_stream", f"""WITH {EVENTS}
 SELECT topic, shard_id, greatest(coalesce(max(event_id + 1 - 10) FILTER (NOT process_error), 0), 0) AS committed FROM ev GROUP BY ALL""")
 def _d3(spark, sf_dir):

@@ -1,15 +1,17 @@
-"""Size-or-timeout batches on a stream."""
+"""Size-or-timeout batches on a stream: as state per key, or batch by batch for keys of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventflow.functions.durations import duration_text_us
-from eventflow.operators.batching import DEFAULT_SIZE, DEFAULT_TIMEOUT
+from eventflow.operators.batching import DEFAULT_SIZE, DEFAULT_TIMEOUT, assign_batches
+from eventflow.operators.ordered import CHUNK_ROWS
 
 
 def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], size: int = DEFAULT_SIZE,
@@ -63,3 +65,57 @@ def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[
     return (rows.withWatermark(ts, delay).groupBy(*keys)
             .applyInPandasWithState(take, out_type, state_type, "append", GroupStateTimeout.EventTimeTimeout)
             .drop("order_us"))
+
+
+def write_batched(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], path: str, checkpoint: str,
+                  size: int = DEFAULT_SIZE, timeout: str = DEFAULT_TIMEOUT, delay: str = "10m",
+                  chunk_rows: int = CHUNK_ROWS) -> DataStreamWriter:
+    """The same batches for keys too busy for one task, written to ``closed`` below `path`.
+
+    Each micro-batch joins its rows to the ``open`` ones of the micro-batch before (less than
+    `size` per key) and batches them with `assign_batches`, which spreads a hot key over tasks.
+    Rows get `batch_id` (key values, the microsecond the batch opened, `tie` of its first row) and
+    `pos`.  Rows later than the watermark are dropped.  A micro-batch that runs again replaces its
+    folders; folders older than the last one are only read as results.
+    """
+    keys, tie, limit, late = list(keys), list(tie), duration_text_us(timeout), duration_text_us(delay)
+    schema, batch_keys = stream.schema, [*keys, "batch_no"]
+
+    def save(fresh: DataFrame, batch_id: int) -> None:
+        spark = fresh.sparkSession
+
+        def folder(name: str, number: int = batch_id) -> str:
+            return f"{path}/{name}/batch={number}"
+
+        rows, mark = fresh, None
+        if batch_id > 0:
+            mark = spark.read.schema("mark bigint").parquet(folder("mark", batch_id - 1)).first()["mark"]
+            held = spark.read.schema(schema).parquet(folder("open", batch_id - 1))
+            rows = (fresh if mark is None else fresh.filter(F.unix_micros(ts) >= mark)).unionByName(held)
+        rows.write.mode("overwrite").parquet(folder("rows"))
+        rows = spark.read.schema(schema).parquet(folder("rows"))
+        last = rows.agg(F.max(F.unix_micros(ts)) - late).first()[0]
+        mark = max((m for m in (mark, last) if m is not None), default=None)
+        spark.createDataFrame([(mark,)], "mark bigint").coalesce(1).write.mode("overwrite").parquet(folder("mark"))
+
+        numbered = assign_batches(rows, keys, ts, tie, size, timeout, chunk_rows).drop("batch_id")
+        numbered.write.mode("overwrite").parquet(folder("numbered"))
+        numbered = spark.read.schema(numbered.schema).parquet(folder("numbered"))
+        batches = numbered.groupBy(*batch_keys).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.unix_micros(ts)).alias("opened"),
+            F.min_by(F.concat_ws("/", *[F.col(c).cast("string") for c in tie]), "pos").alias("first"))
+        newest = batches.groupBy(*keys).agg(F.max("batch_no").alias("batch_no"))
+        waiting = (F.col("n") < size) & (F.col("opened") + limit > F.lit(mark))
+        # groups of (key, batch) are at most `size` rows, so these joins have no hot keys
+        open_now = batches.filter(waiting).join(newest, batch_keys, "left_semi").select(*batch_keys)
+        numbered.join(open_now, batch_keys, "left_semi").select(*schema.names).write.mode("overwrite").parquet(folder("open"))
+        done = numbered.join(batches, batch_keys).join(open_now, batch_keys, "left_anti")
+        name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("opened").cast("string"), "first")
+        done.select(*schema.names, name.alias("batch_id"), "pos").write.mode("overwrite").parquet(folder("closed"))
+
+    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
+def batched(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all closed batches that `write_batched` wrote."""
+    return spark.read.parquet(f"{path}/closed/batch=*")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from eventflow.operators.delivery import POSITION, SHARD, ack_decision, commit_frontier, dedupe
+from eventflow.operators.delivery import POSITION, ack_decision, commit_frontier, dedupe
 from eventflow.operators.envelope import ensure_id, unwrap_cloudevents
 from eventflow.operators.handlers import map_handler
 from eventflow.operators.metrics import handled_events

@@ -203,3 +203,23 @@ def test_processing_over_batches(spark, landing):
         "at", F.timestamp_seconds("batch"))
     deltas = counter_delta(snaps, ["topic", "result"], "at", ["value"])
     assert deltas.filter("value_delta < 0").count() == 0 and snaps.select("batch").distinct().count() == 6
+
+
+@pytest.mark.parametrize("chunk_rows", [15, 100_000])
+def test_written_batches(spark, landing, chunk_rows):
+    """Micro-batch by micro-batch, with keys cut into chunks, the batches are those of one walk."""
+    stream, table, folder = landing
+    sentinel = spark.createDataFrame([(10_000 + i, t, s, 999, START + timedelta(days=1 + d), False, 0) for d in (0, 1)
+                                      for i, (t, s) in enumerate((t, s) for t in "tu" for s in (0, 1))], SCHEMA)
+    sentinel.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    sinks.run_once(batches.write_batched(stream(), ["topic", "shard_id"], "ts", ["event_id"], f"{folder}/b", f"{folder}/state", 4,
+                                         "2m", "0s", chunk_rows))
+    got = batches.batched(spark, f"{folder}/b").filter("event_id < 10000")
+    walked = assign_batches(table, ["topic", "shard_id"], "ts", ["event_id"], 4, "2m")
+    first = walked.groupBy("batch_id").agg(F.min_by(F.struct(F.unix_micros("ts").alias("us"), "event_id"), "pos").alias("f"))
+    want = walked.join(first, "batch_id").withColumn("batch_id", F.concat_ws(
+        "/", "topic", F.col("shard_id").cast("string"), F.col("f.us").cast("string"), F.col("f.event_id").cast("string")))
+    columns = ("event_id", "batch_id", "pos", "value")
+    assert as_set(got, *columns) == as_set(want, *columns)
+    assert max(r["count"] for r in spark.read.option("basePath", f"{folder}/b/open").parquet(f"{folder}/b/open").groupBy(
+        "batch", "topic", "shard_id").count().collect()) < 4
