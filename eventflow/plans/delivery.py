@@ -72,18 +72,17 @@ def _d3(spark, sf_dir):
 
 @query("d4_apply_acks", f"""WITH {EVENTS}
 SELECT 'kafka' AS style, topic, shard_id, max(event_id) + 1 AS committed FROM ev
-  WHERE event_id % 3 = 0 AND event_id % 5 <> 0 AND shard_id < 6 GROUP BY ALL
+  WHERE NOT process_error AND value >= 5 AND shard_id < 6 GROUP BY ALL
 UNION ALL SELECT 'stream', c.topic, c.shard_id, max(e.event_id) - 5 FROM ev e
   JOIN (SELECT DISTINCT topic, shard_id FROM ev WHERE shard_id < 6) c
-    ON c.shard_id = e.shard_id AND (e.topic = c.topic OR e.event_id % 5 = 0)
-  WHERE e.event_id % 3 = 0 AND e.event_id >= 5 AND (e.topic = c.topic AND e.event_id % 5 <> 0 OR e.event_id % 5 = 0)
-  GROUP BY ALL""")
+    ON c.shard_id = e.shard_id AND (e.value < 5 OR e.topic = c.topic)
+  WHERE NOT e.process_error AND e.event_id >= 5 GROUP BY ALL""")
 def _d4(spark, sf_dir):
     rows = events(spark, sf_dir)
-    acks = rows.filter(F.col("event_id") % 3 == 0).select(
-        F.lit("streamMessageAck").alias("kind"),
-        F.when(F.col("event_id") % 5 == 0, F.lit("/")).otherwise(F.col("topic")).alias("topic"), "shard_id",
-        F.col("event_id").alias("offset"))
+    # what succeeded is acked, now and then for every topic of the shard
+    acks = rows.filter(~F.col("process_error")).select(
+        F.lit("streamMessageAck").alias("kind"), F.when(F.col("value") < 5, F.lit("/")).otherwise(F.col("topic")).alias("topic"),
+        "shard_id", F.col("event_id").alias("offset"))
     claims = rows.filter("shard_id < 6").select("topic", "shard_id").distinct()
     return (D.apply_acks(acks, claims, 0, "kafka").withColumn("style", F.lit("kafka"))
             .unionByName(D.apply_acks(acks, claims, 5, "stream").withColumn("style", F.lit("stream"))))
@@ -139,30 +138,32 @@ def _d7(spark, sf_dir):
 
 
 @query("d8_pending", f"""WITH {EVENTS}
-SELECT topic, shard_id, count(*) AS pending FROM ev WHERE process_error OR event_id % 9 = 0 GROUP BY ALL""")
+SELECT topic, shard_id, count(*) AS pending FROM ev WHERE status_code <> 200 GROUP BY ALL""")
 def _d8(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("offset", F.col("event_id"))
-    acks = rows.filter(~F.col("process_error") & (F.col("event_id") % 9 != 0)).select("topic", "shard_id", "offset")
-    return D.pending_size(rows, acks)
+    return D.pending_size(rows, rows.filter(F.col("status_code") == 200).select("topic", "shard_id", "offset"))
 
 
 @query("d9_dedupe", f"""WITH {EVENTS} SELECT event_id, topic, shard_id, body FROM ev""")
 def _d9(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "topic", "shard_id", F.col("event_id").alias("offset"), "body")
-    again = rows.filter((F.col("event_id") % 3 == 0) | (F.col("topic") == "click"))
-    return D.dedupe(rows.unionByName(again)).select("event_id", "topic", "shard_id", "body")
+    # every record twice, those of one topic four times
+    again = rows.unionByName(rows.filter(F.col("topic") == "click"))
+    return D.dedupe(rows.unionByName(again).unionByName(rows.filter(F.col("topic") == "click"))).select(
+        "event_id", "topic", "shard_id", "body")
 
 
 @query("d10_discard_drained", f"""WITH {EVENTS}, s AS (
-  SELECT shard_id AS worker, ts, CASE WHEN event_id % 200 = 0 THEN 'drain' WHEN event_id % 200 = 50 THEN 'terminate'
-    ELSE 'continue' END AS signal FROM ev WHERE event_id % 50 = 0)
+  SELECT shard_id AS worker, ts, CASE WHEN value > 180 THEN 'terminate' WHEN value > 150 THEN 'drain' ELSE 'continue' END AS signal
+  FROM ev WHERE value > 100)
 SELECT e.event_id, e.shard_id AS worker FROM ev e ASOF LEFT JOIN s ON e.shard_id = s.worker AND e.ts >= s.ts
 WHERE coalesce(s.signal, 'continue') = 'continue'""")
 def _d10(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("worker", F.col("shard_id"))
-    signals = rows.filter(F.col("event_id") % 50 == 0).select("worker", "ts", F.when(
-        F.col("event_id") % 200 == 0, "drain").when(F.col("event_id") % 200 == 50, "terminate")
-        .otherwise("continue").alias("signal"))
+    value = F.col("value")
+    # slow events make their worker drain, terminate or go on
+    signals = rows.filter(value > 100).select("worker", "ts", F.when(value > 180, "terminate").when(value > 150, "drain")
+                                              .otherwise("continue").alias("signal"))
     return D.discard_drained(rows.select("event_id", "worker", "ts"), signals).drop("ts")
 
 

@@ -130,41 +130,16 @@ def _e7(spark, sf_dir):
         "doc_id", header("lang").alias("h_lang"), header("__size").alias("h_size"), "size", "path", F.unix_micros("ts").alias("ts_us"), "trigger_class")
 
 
-def cloud_events(spark, sf_dir):
-    """A third each of structured, binary and plain events; some bodies and times do not parse."""
-    source = events(spark, sf_dir)
-    n = F.col("event_id") % 3
-    broken = F.col("event_id") % 30 == 0
-    bad_time = F.col("event_id") % 30 == 1
-    document = F.to_json(F.struct(
-        F.lit("0.1").alias("cloudEventsVersion"), F.col("topic").alias("eventType"), F.lit("1.0").alias("eventTypeVersion"),
-        F.concat(F.lit("/users/"), F.col("user_id").cast("string")).alias("source"),
-        F.concat(F.lit("A-"), F.col("event_id").cast("string")).alias("eventID"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), F.lit("text/xml").alias("contentType"),
-        F.create_map(F.lit("ext"), F.col("topic")).alias("extensions"),
-        F.concat(F.lit("data of "), "topic").alias("data")))
-    time_text = F.when(bad_time, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    ce_headers = F.create_map(
-        F.lit("CE-EventID"), F.concat(F.lit("B-"), F.col("event_id").cast("string")),
-        F.lit("CE-Source"), F.concat(F.lit("/users/"), F.col("user_id").cast("string")),
-        F.lit("CE-EventTime"), time_text, F.lit("CE-EventType"), F.col("topic"),
-        F.lit("CE-EventTypeVersion"), F.lit("1.0"), F.lit("CE-CloudEventsVersion"), F.lit("0.1"))
-    return E.to_envelope(source, {
-        "id": F.concat(F.lit("P-"), F.col("event_id").cast("string")),
-        "content_type": F.when(n == 0, "application/cloudevents+json").otherwise("application/json"),
-        "headers": F.when(n == 1, ce_headers),
-        "body": F.when((n == 0) & broken, F.lit("{broken")).when(n == 0, document).otherwise(F.col("body")),
-        "path": F.lit("/in"), "ts": "ts"}, "http", "web", keep=("event_id",))
+def _plain_event(spark, sf_dir, **attributes):
+    return E.to_envelope(events(spark, sf_dir), {
+        "id": F.concat(F.lit("P-"), F.col("event_id").cast("string")), "path": F.lit("/in"), "ts": "ts", **attributes},
+        "http", "web", keep=("event_id",))
 
 
-CLOUD_COLUMNS = ("event_id", "id", "trigger_kind", "trigger_class", "content_type", "type", "version", "path",
-                 "decode_error")
-
-
-def _cloud(spark, sf_dir, part):
-    rows = cloud_events(spark, sf_dir).filter(part)
+def _unwrapped(rows):
     return E.unwrap_cloudevents(rows).select(
-        *CLOUD_COLUMNS, F.unix_micros("ts").alias("ts_us"), F.size("headers").alias("n_headers"), F.expr(TEXT))
+        "event_id", "id", "trigger_kind", "trigger_class", "content_type", "type", "version", "path", "decode_error",
+        F.unix_micros("ts").alias("ts_us"), F.size("headers").alias("n_headers"), F.expr(TEXT))
 
 
 @query("e8_structured_cloudevents", f"""WITH {EVENTS}
@@ -177,9 +152,17 @@ SELECT event_id, CASE WHEN bad THEN 'P-' ELSE 'A-' END || event_id AS id,
   CASE WHEN bad THEN epoch_us(ts) ELSE epoch_us(date_trunc('second', ts)) END AS ts_us,
   CASE WHEN bad THEN 0 ELSE 1 END AS n_headers,
   CASE WHEN bad THEN '{{broken' ELSE 'data of ' || topic END AS body
-FROM (SELECT *, event_id % 30 = 0 AS bad FROM ev WHERE event_id % 3 = 0)""")
+FROM (SELECT *, process_error AS bad FROM ev)""")
 def _e8(spark, sf_dir):
-    return _cloud(spark, sf_dir, F.col("content_type").startswith("application/cloudevents"))
+    document = F.to_json(F.struct(
+        F.lit("0.1").alias("cloudEventsVersion"), F.col("topic").alias("eventType"), F.lit("1.0").alias("eventTypeVersion"),
+        F.concat(F.lit("/users/"), F.col("user_id").cast("string")).alias("source"),
+        F.concat(F.lit("A-"), F.col("event_id").cast("string")).alias("eventID"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("eventTime"), F.lit("text/xml").alias("contentType"),
+        F.create_map(F.lit("ext"), F.col("topic")).alias("extensions"),
+        F.concat(F.lit("data of "), "topic").alias("data")))
+    return _unwrapped(_plain_event(spark, sf_dir, content_type=F.lit("application/cloudevents+json"),
+                                   body=F.when(F.col("process_error"), "{broken").otherwise(document)))
 
 
 @query("e9_binary_cloudevents", f"""WITH {EVENTS}
@@ -188,12 +171,19 @@ SELECT event_id, CASE WHEN ce THEN 'B-' ELSE 'P-' END || event_id AS id,
   CASE WHEN ce THEN 'unsupported' ELSE 'async' END AS trigger_class, 'application/json' AS content_type,
   CASE WHEN ce THEN topic END AS type, CASE WHEN ce THEN '0.1' END AS version, '/in' AS path,
   CAST(NULL AS VARCHAR) AS decode_error,
-  CASE WHEN NOT ce THEN epoch_us(ts) WHEN event_id % 30 = 1 THEN NULL
+  CASE WHEN NOT ce THEN epoch_us(ts) WHEN process_error THEN NULL
        ELSE epoch_us(date_trunc('second', ts)) END AS ts_us,
   CASE WHEN ce THEN 6 ELSE 0 END AS n_headers, body
-FROM (SELECT *, event_id % 3 = 1 AS ce FROM ev WHERE event_id % 3 <> 0)""")
+FROM (SELECT *, topic <> 'error' AS ce FROM ev)""")
 def _e9(spark, sf_dir):
-    return _cloud(spark, sf_dir, ~F.col("content_type").startswith("application/cloudevents"))
+    time_text = F.when(F.col("process_error"), "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    headers = F.create_map(
+        F.lit("CE-EventID"), F.concat(F.lit("B-"), F.col("event_id").cast("string")),
+        F.lit("CE-Source"), F.concat(F.lit("/users/"), F.col("user_id").cast("string")),
+        F.lit("CE-EventTime"), time_text, F.lit("CE-EventType"), F.col("topic"),
+        F.lit("CE-EventTypeVersion"), F.lit("1.0"), F.lit("CE-CloudEventsVersion"), F.lit("0.1"))
+    return _unwrapped(_plain_event(spark, sf_dir, content_type=F.lit("application/json"), body="body",
+                                   headers=F.when(F.col("topic") != "error", headers)))
 
 
 @query("e10_ensure_id", f"""WITH {EVENTS}

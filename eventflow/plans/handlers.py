@@ -91,28 +91,28 @@ def _h4(spark, sf_dir):
         "batch_id", "answer_no", "event_id", "status_code", F.col("body").cast("string").alias("body"))
 
 
-@query("h5_correlate", f"""WITH {EVENTS}
+@query("h5_correlate", f"""WITH {EVENTS}, broken AS (SELECT DISTINCT event_id // 10 AS b FROM ev WHERE process_error)
 SELECT CAST(event_id // 10 AS VARCHAR) AS batch_id, CAST(event_id AS VARCHAR) AS event_id,
-  CASE WHEN event_id // 10 % 7 = 0 THEN 'failure' WHEN event_id % 11 IN (0, 1) THEN 'no_response'
+  CASE WHEN event_id // 10 IN (SELECT b FROM broken) THEN 'failure' WHEN event_id % 11 IN (0, 1) THEN 'no_response'
     WHEN event_id % 11 = 2 THEN 'failure' ELSE 'success' END AS outcome,
-  CASE WHEN event_id % 11 NOT IN (0, 1) AND event_id // 10 % 7 <> 0 THEN 200 + CAST(event_id % 11 AS INTEGER) END AS status_code FROM ev
-UNION ALL SELECT CAST(event_id // 10 AS VARCHAR), 'x' || event_id, 'orphan', 200 FROM ev WHERE event_id % 11 = 0 AND event_id // 10 % 7 <> 0""")
+  CASE WHEN event_id % 11 NOT IN (0, 1) THEN 200 + CAST(event_id % 11 AS INTEGER) END AS status_code FROM ev
+UNION ALL SELECT CAST(event_id // 10 AS VARCHAR), 'x' || event_id, 'orphan', 200 FROM ev WHERE event_id % 11 = 0""")
 def _h5(spark, sf_dir):
     rows = events(spark, sf_dir)
-    n, batch = F.col("event_id") % 11, F.floor(F.col("event_id") / 10).cast("bigint")
-    known = rows.select(batch.cast("string").alias("batch_id"), F.col("event_id").cast("string").alias("event_id"))
+    n, batch = F.col("event_id") % 11, F.floor(F.col("event_id") / 10).cast("bigint").cast("string")
     text = F.col("event_id").cast("string")
-    usual = rows.filter(batch % 7 != 0).select(
-        batch.cast("string").alias("batch_id"),
-        F.when(n == 0, F.concat(F.lit("x"), text)).when(n == 1, "").otherwise(text).alias("event_id"),
+    known = rows.select(batch.alias("batch_id"), text.alias("event_id"))
+    # an answer for each event, some for unknown events or for none, and a later one for most
+    first = rows.select(
+        batch.alias("batch_id"), F.when(n == 0, F.concat(F.lit("x"), text)).when(n == 1, "").otherwise(text).alias("event_id"),
         (F.lit(200) + n).cast("int").alias("status_code"), F.when(n == 2, "failed").alias("error"),
         F.lit(0).alias("answer_no"))
-    second = usual.withColumns({"answer_no": F.lit(1), "status_code": F.lit(599), "error": F.lit("later answer")}).filter(
-        F.col("event_id") != "")
-    broken = rows.filter(batch % 7 == 0).select(batch.cast("string").alias("batch_id")).distinct().select(
+    later = first.withColumns({"answer_no": F.lit(1), "status_code": F.lit(599), "error": F.when(
+        F.col("event_id") != "", "later answer")})
+    broken = rows.filter("process_error").select(batch.alias("batch_id")).distinct().select(
         "batch_id", F.lit(None).cast("string").alias("event_id"), F.lit(500).alias("status_code"),
         F.lit("bad batch").alias("error"), F.lit(0).alias("answer_no"))
-    return H.correlate(known, usual.unionByName(second).unionByName(broken))
+    return H.correlate(known, first.unionByName(later).unionByName(broken))
 
 
 @query("h6_shell_handler", """

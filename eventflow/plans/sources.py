@@ -56,7 +56,7 @@ def _s2(spark, sf_dir):
 
 def _stamps(items):
     """Stamps of an earlier run: some before, some at, some after the item's time."""
-    return items.filter(F.col("doc_id") % 4 != 3).select(
+    return items.filter(F.col("__size") < 2000).select(
         "__name", (F.col("__mtime_secs") - F.col("doc_id") % 2).alias("secs"),
         (F.col("__mtime_nsecs") + F.when(F.col("doc_id") % 4 == 2, 1).otherwise(0)).alias("nsecs"))
 
@@ -64,7 +64,7 @@ def _stamps(items):
 @query("s3_poll_items", """WITH i AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS name, lang, n_chars AS size,
   1700000000 + n_chars AS secs, doc_id * 1000 % 1000000000 AS nsecs FROM documents)
 SELECT name, secs, nsecs, size, lang FROM i WHERE (lang = 'en' OR lang = 'de') AND size > 100
-  AND (doc_id % 4 = 3 OR secs > secs - doc_id % 2)
+  AND (size >= 2000 OR doc_id % 2 = 1)
 UNION ALL SELECT 'first:' || name, secs, nsecs, size, lang FROM i WHERE lang = 'en' AND size > 100""")
 def _s3(spark, sf_dir):
     items = item_rows(spark, sf_dir).withColumn("lang", F.col("attributes")["lang"])
@@ -77,10 +77,10 @@ def _s3(spark, sf_dir):
 
 
 @query("s3_stamp_items", """WITH i AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS name,
-  1700000000 + n_chars AS secs, doc_id * 1000 % 1000000000 AS nsecs FROM documents)
+  1700000000 + n_chars AS secs, doc_id * 1000 % 1000000000 AS nsecs, n_chars AS size FROM documents)
 SELECT name, CASE WHEN doc_id % 5 <> 0 THEN 1800000000 + doc_id ELSE secs - doc_id % 2 END AS secs,
   CASE WHEN doc_id % 5 <> 0 THEN 5000 ELSE nsecs + CASE WHEN doc_id % 4 = 2 THEN 1 ELSE 0 END END AS nsecs
-FROM i WHERE doc_id % 5 <> 0 OR doc_id % 4 <> 3""")
+FROM i WHERE doc_id % 5 <> 0 OR size < 2000""")
 def _s3_stamps(spark, sf_dir):
     items = item_rows(spark, sf_dir)
     processed = items.select(
@@ -174,10 +174,10 @@ def _s8(spark, sf_dir):
 
 
 @query("s9_record_events", f"""WITH {EVENTS}
-SELECT body, topic AS h_topic, epoch_us(ts) AS ts_us FROM ev WHERE event_id % 4 <> 0 AND body <> '{{"k": 7}}'""")
+SELECT body, topic AS h_topic, epoch_us(ts) AS ts_us FROM ev WHERE topic <> 'error' AND body <> '{{"k": 7}}'""")
 def _s9(spark, sf_dir):
     out = fresh_dir(spark)
-    kind = F.when(F.col("event_id") % 4 == 0, "http").otherwise("kafka-cluster")
+    kind = F.when(F.col("topic") == "error", "http").otherwise("kafka-cluster")
     rows = E.to_envelope(event_stream(spark, sf_dir), {
         "trigger_kind": kind, "body": "body", "ts": "ts", "headers": F.create_map(F.lit("topic"), F.col("topic"))},
         "kafka-cluster", "k")

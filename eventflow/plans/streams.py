@@ -67,11 +67,11 @@ def _d3(spark, sf_dir):
 
 
 @query("d8_pending_stream", f"""WITH {EVENTS}
-SELECT topic, shard_id, count(*) AS pending FROM ev WHERE process_error OR event_id % 9 = 0 GROUP BY ALL""")
+SELECT topic, shard_id, count(*) AS pending FROM ev WHERE process_error OR value < 10 GROUP BY ALL""")
 def _d8(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id"))
     acks = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(
-        ~F.col("process_error") & (F.col("event_id") % 9 != 0))
+        ~F.col("process_error") & (F.col("value") >= 10))
     out = twins.pending_stream(rows, acks)
     state = twins.latest_rows(spark, _run(spark, out, "update"), D.POSITION, out.schema.add("batch", "integer"))
     return state.filter(F.col("received") & ~F.col("acked")).groupBy("topic", "shard_id").agg(
@@ -81,7 +81,7 @@ def _d8(spark, sf_dir):
 @query("d9_dedupe_stream", f"WITH {EVENTS} SELECT event_id, topic, body FROM ev")
 def _d9(spark, sf_dir):
     rows = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id"))
-    again = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(F.col("event_id") % 3 == 0)
+    again = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(F.col("topic") == "click")
     out = twins.dedupe_stream(rows.unionByName(again)).select("event_id", "topic", "body")
     return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")
 
@@ -96,13 +96,13 @@ def _m6(spark, sf_dir):
     return done.select("metric", F.unix_micros("window_start").alias("start_us"), "n", "total", "low", "high")
 
 
-@query("m9_stuck_stream", f"""WITH {EVENTS}, e AS (SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) + CAST(floor(value * 1000000) AS BIGINT) AS end_us FROM ev),
-w AS (SELECT least((SELECT max(us) FROM e), (SELECT max(end_us) FROM e WHERE event_id % 5 <> 0)) - 600000000 AS wm)
-SELECT event_id FROM e, w WHERE (event_id % 5 = 0 OR end_us - us > 60000000) AND us + 60000000 < wm""")
+@query("m9_stuck_stream", f"""WITH {EVENTS}, e AS (SELECT event_id, topic, epoch_us(ts) AS us, epoch_us(ts) + CAST(floor(value * 1000000) AS BIGINT) AS end_us FROM ev),
+w AS (SELECT least((SELECT max(us) FROM e), (SELECT max(end_us) FROM e WHERE topic <> 'error')) - 600000000 AS wm)
+SELECT event_id FROM e, w WHERE (topic = 'error' OR end_us - us > 60000000) AND us + 60000000 < wm""")
 def _m9(spark, sf_dir):
     starts = event_stream(spark, sf_dir).select("event_id", "ts")
     took = F.floor(F.col("value") * 1_000_000).cast("bigint")
-    ends = event_stream(spark, sf_dir).filter(F.col("event_id") % 5 != 0).select(
+    ends = event_stream(spark, sf_dir).filter(F.col("topic") != "error").select(
         "event_id", F.timestamp_micros(F.unix_micros("ts") + took).alias("ts"))
     out = twins.stuck_stream(starts, ends, "1m").select("event_id")
     return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")

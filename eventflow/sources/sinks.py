@@ -10,10 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from eventflow.schema import RECORDED
 
 
-def run_once(writer: DataStreamWriter, timeout: int = 600) -> StreamingQuery:
-    """Process everything that is there, then stop."""
+def run_once(writer: DataStreamWriter, timeout: int | None = None) -> StreamingQuery:
+    """Process everything that is there, then stop; with `timeout`, give up after that many seconds."""
     query = writer.trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("the one-shot run did not finish in time")
     return query
