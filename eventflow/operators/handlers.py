@@ -293,17 +293,18 @@ def correlate(events: DataFrame, responses: DataFrame, batch: str = "batch_id")
     error, or its whole batch has), ``no_response``, or ``orphan`` for a response to an unknown
     event.  Responses with an empty id are dropped; of several for one event the first counts.
     """
-    answer = F.struct("status_code", "error")
-    first = (responses.filter(F.coalesce("event_id", F.lit("")) != "")
-             .groupBy(batch, "event_id").agg(F.min_by(answer, "answer_no").alias("__a")))
+    # plain numbers and flags, so that the aggregate hashes instead of sorting
+    first = responses.filter(F.coalesce("event_id", F.lit("")) != "").groupBy(batch, "event_id").agg(
+        F.min_by("status_code", "answer_no").alias("status_code"),
+        F.min_by(F.col("error").isNotNull(), "answer_no").alias("__failed"))
     broken = (responses.filter((F.coalesce("event_id", F.lit("")) == "") & F.col("error").isNotNull())
               .select(batch).distinct().withColumn("__broken", F.lit(True)))
     known = events.select(batch, "event_id").withColumn("__known", F.lit(True))
     joined = known.join(first, [batch, "event_id"], "full_outer").join(broken, batch, "left")
     outcome = (F.when(F.col("__known").isNull(), "orphan").when(F.col("__broken"), "failure")
-               .when(F.col("__a").isNull(), "no_response").when(F.col("__a.error").isNotNull(), "failure")
+               .when(F.col("__failed").isNull(), "no_response").when(F.col("__failed"), "failure")
                .otherwise("success"))
-    return joined.select(batch, "event_id", outcome.alias("outcome"), F.col("__a.status_code").alias("status_code"))
+    return joined.select(batch, "event_id", outcome.alias("outcome"), "status_code")
 
 
 # fixed values: submit errors that mean no worker was free
