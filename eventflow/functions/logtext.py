@@ -23,12 +23,13 @@ _WORKER_NAME = r"^processor\..*\.w[0-9]+\..*"
 
 def strip_line(line: Column) -> Column:
     """The JSON text of a line: without one leading ``l`` and one trailing comma."""
-    return F.regexp_replace(F.regexp_replace(line, "^l", ""), ",$", "")
+    body = F.when(line.startswith("l"), F.substr(line, F.lit(2))).otherwise(line)
+    return F.when(body.endswith(","), F.left(body, F.length(body) - 1)).otherwise(body)
 
 
 def text_time(text: Column) -> Column:
     """Timestamp of a text like 2020-02-27T12:10:04.805Z, or with an offset with or without colon."""
-    with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    with_colon = F.when(text.endswith("Z"), text).otherwise(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2"))
     return F.when(text.rlike(_CLOCK), F.try_to_timestamp(with_colon))
 
 
@@ -68,14 +69,12 @@ def message_and_args(message: Column, with_map: Column, more_text: Column, more_
     `with_map` replaces `more`, which is a text or a map; `extra` are further string keys of the
     line.  Keys are sorted.  An empty `with_map` still gives empty brackets.
     """
-    pairs = F.transform(F.array_sort(F.map_entries(more_map)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    from_more = F.when(F.size(more_map) > 0, pairs).when(more_text != "", F.array(more_text))
-    from_with = F.when(with_map.isNotNull(), F.array(quoted_pairs(with_map)))
-    nothing = F.array().cast("array<string>")
-    from_extra = F.when(F.size(extra) > 0, F.array(quoted_pairs(extra)))
-    parts = F.concat(F.coalesce(from_with, from_more, nothing), F.coalesce(from_extra, nothing))
-    return F.when(F.size(parts) > 0, F.concat(message, F.lit(" ["), F.array_join(parts, " || "), F.lit("]"))).otherwise(
-        message)
+    from_more = (F.when(F.size(more_map) > 0, sorted_pairs(more_map, lambda k, v: F.concat(k, F.lit("="), v), " || "))
+                 .when(more_text != "", more_text))
+    first = F.when(with_map.isNotNull(), quoted_pairs(with_map)).otherwise(from_more)
+    second = F.when(F.size(extra) > 0, quoted_pairs(extra))
+    return F.when(first.isNull() & second.isNull(), message).otherwise(
+        F.concat(message, F.lit(" ["), F.concat_ws(" || ", first, second), F.lit("]")))
 
 
 def level_letter(level: Column) -> Column:

@@ -54,5 +54,5 @@ def field(key: str, kind: str = "string") -> Column:
 
 def sorted_pairs(mapping: Column, pair, delimiter: str) -> Column:
     """Join a map's entries, sorted by key, with ``pair(key, value)`` for each."""
-    entries = F.array_sort(F.map_entries(mapping))
+    entries = F.sort_array(F.map_entries(mapping))
     return F.array_join(F.transform(entries, lambda e: pair(e["key"], e["value"])), delimiter)

@@ -64,8 +64,8 @@ def parse_logs(lines: DataFrame, column: str = "line") -> DataFrame:
         "__worker": L.worker_id(F.try_element_at("__with", F.lit("worker_id")), F.col("__name")),
         "__clock": F.when(F.col("__stamp").isNotNull(), L.text_clock(F.col("__stamp"))).otherwise(
             F.date_format(F.timestamp_millis("__millis"), "HH:mm:ss.SSS")),
-        "__text": L.message_and_args(F.col("__message"), F.col("__with"), F.col("__more"), F.col("__more_map"),
-                                     F.col("__extra"))})
+        "__text": F.when(F.col("__fine"), L.message_and_args(
+            F.col("__message"), F.col("__with"), F.col("__more"), F.col("__more_map"), F.col("__extra")))})
 
     def kept(name: str):
         return F.when(~F.col("raw"), F.col(f"__{name}")).alias(name)
@@ -146,7 +146,7 @@ def event_logs(logs: DataFrame, keys: Sequence[str] = ("event_id",), order: str
     # no more than HOT_SHARE events can each hold more than that part of all entries
     hot = sizes.filter((F.col("__bytes") >= EVENT_LOG_BYTES) & (F.col("__n") * HOT_SHARE > total)).select(*keys)
     small = sizes.filter(F.col("__bytes") < EVENT_LOG_BYTES).select(*keys)
-    entries = F.array_sort(F.collect_list(F.struct(order, column)))
+    entries = F.sort_array(F.collect_list(F.struct(order, column)))
     rest = logs.join(F.broadcast(hot), list(keys), "left_anti").join(small, list(keys), "left_semi")
     return rest.groupBy(*keys).agg(
         F.concat(F.lit("["), F.array_join(F.transform(entries, lambda e: e[column]), ","), F.lit("]")).alias("logs"))
