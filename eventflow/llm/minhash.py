@@ -182,6 +182,7 @@ def _across(members: DataFrame, percent: int, deeper: int) -> DataFrame:
     """
     groups = members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(
         F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("comps")).filter("comps > 1")
+    groups = stored(groups, "groups")
     pairs = (F.col("all") * F.col("all") - F.col("own")) / 2
     marked = members.join(groups.select("key", (pairs > PER_MEMBER * F.col("all")).alias("crowded")), "key")
     left = marked if deeper <= 0 else marked.filter(~F.col("crowded"))
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
 
     members = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
-    shared = stored(members.join(buckets.select("key", "pivot"), "key"), "shared")
+    shared = stored(members.join(stored(buckets.select("key", "pivot"), "buckets"), "key"), "shared")
     sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"))
     first = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n").distinct()
     first = stored(first.join(sizes, "b").filter(_close(percent, "n", "m")).select("a", "b"), "pairs")
@@ -225,8 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     found = stored(components(links), "components")
     comp = F.coalesce("component", "node").alias("comp")
     several = shared.join(found, "node", "left").select("key", "node", "n", comp)
+    several = stored(several, "labelled")
     mixed = several.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
-    several = several.join(mixed, "key").join(nodes.select("node", "bands"), "node").select("key", "node", "n", "comp", "bands")
+    several = several.join(stored(mixed, "mixed"), "key").join(nodes.select("node", "bands"), "node").select("key", "node", "n", "comp", "bands")
     rest = _across(stored(several, "several"), percent, 2).distinct().join(first, ["a", "b"], "left_anti")
     more = confirmed(stored(rest, "pairs"), frame, width, percent)
 

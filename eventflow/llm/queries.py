@@ -12,6 +12,7 @@ from .chat_format import canonical_rows, chat_digest, format_chat
 from .common import read
 from .decontamination import judged
 from .exact_dedup import exact_duplicates
+from .line_dedup import with_removed
 from .minhash import near_duplicates
 from .packing import pack, packing_digest
 from .token_counts import token_counts
@@ -56,6 +57,13 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op2_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = with_removed(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["words"])
+    return cleaned.select("doc_id", "text", F.size("removed").cast("long").alias("n_passages"), gone.alias("n_removed_words"))
+
+
 @query("op3_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
