@@ -12,6 +12,7 @@ from .chat_format import canonical_rows, chat_digest, format_chat
 from .common import read
 from .decontamination import judged
 from .exact_dedup import exact_duplicates
+from .html_extract import extract
 from .line_dedup import with_removed
 from .minhash import near_duplicates
 from .packing import pack, packing_digest
@@ -69,6 +70,18 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+@query("op4_html_extract", r"""
+with articles as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) s from pages),
+bare as (select page_id, url, regexp_replace(regexp_replace(s, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') s from articles),
+plain as (select page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'),
+  '&gt;?', '>', 'g'), '&amp;?', '&', 'g') s from bare),
+joined as (select page_id, url, trim(regexp_replace(s, '\s+', ' ', 'g')) s from plain)
+select page_id, url, s as text, length(s)::bigint n_chars from joined""")
+def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op5_minhash", r"""
 with recursive words as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
