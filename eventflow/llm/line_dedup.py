@@ -92,38 +92,39 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, done = batch.column("id"), 0
         for group in by_bytes(batch.column("text").to_pylist(), GROUP):
             c = chunks_of(group)
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(pa.array(c.doc + done)), *[pa.array(x.astype(np.int32)) for x in c[2:]]],
-                                             ["h", "id", "pos", "words", "before", "after"])
+            at = pa.array(c.doc + done)
+            yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(at), batch.column("tag").take(at),
+                                              *[pa.array(x.astype(np.int32)) for x in c[2:]]], ["h", "id", "tag", "pos", "words", "before", "after"])
             done += len(group)
 
 
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs of repeated chunks that may belong to a repeat of `min_words`; `docs` is (id, text).
+    """Runs of repeated chunks that may belong to a repeat of `min_words`; `docs` is (id, tag, text).
 
-    (id, start, words, keeper, at, before, after): words from `start` of document `id` seem to stand at word `at` of the
+    (id, tag, start, words, keeper, at, before, after): words from `start` of document `id` seem to stand at word `at` of the
     earlier document `keeper`; a longer match is looked for up to `before` and `after` words further.  Past the chunks next to
     a stretch of repeated ones there is none, since such a chunk would be repeated itself.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    chunks = docs.filter("id is not null").mapInArrow(_chunk_rows, f"h bigint, id {kind}, pos int, words int, before int, after int")
+    chunks = docs.filter("id is not null").mapInArrow(_chunk_rows, f"h bigint, id {kind}, tag int, pos int, words int, before int, after int")
     several = chunks.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last")
     found = stored(chunks.join(stored(several.select("h", "keeper"), "several"), "h"), "found")
     at = stored(found.filter("id = keeper").groupBy("h").agg(F.min("pos").alias("at")), "at")
-    later = found.filter("id > keeper")
+    later = found.filter("id > keeper").distinct()  # rows may be repeated
     # neighbouring chunks form a stretch, of which those from one place of one keeper form a run
-    order = Window.partitionBy("id").orderBy("pos")
+    order = Window.partitionBy("id", "tag").orderBy("pos")
     ended = F.lag(F.col("pos") + F.col("words")).over(order)
     later = later.withColumn("stretch", F.when(ended == F.col("pos"), 0).otherwise(1))
     later = later.withColumn("stretch", F.sum("stretch").over(order))
-    whole = Window.partitionBy("id", "stretch")
+    whole = Window.partitionBy("id", "tag", "stretch")
     later = later.withColumn("low", F.min(F.col("pos") - F.col("before")).over(whole))
     later = later.withColumn("high", F.max(F.col("pos") + F.col("words") + F.col("after")).over(whole))
     later = stored(later.filter(F.col("high") - F.col("low") >= min_words).drop("before", "after"), "later").join(at, "h")
     shift = F.col("pos") - F.col("at")
-    along = Window.partitionBy("id", "stretch", "keeper").orderBy("pos")
+    along = Window.partitionBy("id", "tag", "stretch", "keeper").orderBy("pos")
     goes_on = (F.lag(shift).over(along) == shift) & (F.lag(F.col("pos") + F.col("words")).over(along) == F.col("pos"))
     later = later.withColumn("run", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("run").over(along))
-    return later.groupBy("id", "stretch", "keeper", "run").agg(
+    return later.groupBy("id", "tag", "stretch", "keeper", "run").agg(
         F.min("pos").alias("start"), F.sum("words").alias("words"), F.min("at").alias("at"),
         F.least(F.lit(CONTEXT), F.min(F.col("pos") - F.col("low"))).alias("before"),
         F.least(F.lit(CONTEXT), F.min(F.col("high") - F.col("pos") - F.col("words"))).alias("after")).drop("stretch", "run")
@@ -140,8 +141,8 @@ def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead = min(before, at)
             leads.append(lead)
             out.append(b" ".join(words[at - lead:at + n + after]))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "start", "words")], pa.array(leads, pa.int32()), pa.array(out, pa.binary())],
-                                         ["id", "start", "words", "lead", "snippet"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "tag", "start", "words")], pa.array(leads, pa.int32()), pa.array(out, pa.binary())],
+                                         ["id", "tag", "start", "words", "lead", "snippet"])
 
 
 def repeated_words(words: list[bytes], runs: list[dict]) -> np.ndarray:
@@ -195,27 +196,27 @@ def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
     A word is ``[^\\x20\\x09-\\x0D]+``.  A passage goes when it has at least `min_words` words and each of them stands in a chunk
     (or next to one, in the same order) that a document with a smaller id has too; so the first document keeps it.  White space
     between words is not compared; that behind a passage goes with it.  All else in a text stays byte for byte.  A document that
-    is a whole copy keeps its row, with empty text.  Rows under one id count as one document; rows with null id or null text
+    is a whole copy keeps its row, with empty text.  Rows under one id never take a passage from each other; rows with null id or null text
     stay as they are, with nothing removed.  A column named `removed` is replaced; others pass through.
     """
     names = [c for c in docs.columns if c != "removed"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
-    frame = docs.select(F.col(doc_id).alias("id"), filled(text).alias("text"))
+    frame = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), filled(text).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
     runs = stored(repeated_runs(frame, min_words), "runs")
     keepers = stored(runs.select(F.col("keeper").alias("id")).distinct(), "keepers")
-    earlier = matching(frame, keepers, ["id"], BOUND).withColumnRenamed("id", "keeper")
-    asked = runs.join(earlier, "keeper").select("id", "start", "words", "at", "before", "after", "text")
-    asked = asked.mapInArrow(_snippets, f"id {kind}, start int, words bigint, lead int, snippet binary")
-    of_doc = stored(asked.groupBy("id").agg(F.collect_list(F.struct("start", "words", "lead", "snippet")).alias("runs__")), "of_doc")
-
-    ids = of_doc.select(F.col("id").alias(doc_id))
-    none = F.array().cast(SPANS)
-    touched = matching(docs, ids, [doc_id], BOUND).filter(F.col(text).isNotNull()).join(of_doc.withColumnRenamed("id", doc_id), doc_id).select(*names, "runs__")
+    earlier = matching(frame.select("id", "text"), keepers, ["id"], BOUND).withColumnRenamed("id", "keeper")
+    asked = runs.join(earlier, "keeper").select("id", "tag", "start", "words", "at", "before", "after", "text")
+    asked = asked.mapInArrow(_snippets, f"id {kind}, tag int, start int, words bigint, lead int, snippet binary")
+    of_doc = stored(asked.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "words", "lead", "snippet")).alias("runs__")), "of_doc")
+
+    found = of_doc.withColumnsRenamed({"id": doc_id, "tag": "tag__"})
+    keys = found.select(doc_id, "tag__")
+    tagged = docs.withColumn("tag__", F.hash(text))
+    touched = matching(tagged, keys, [doc_id, "tag__"], BOUND).join(found, [doc_id, "tag__"]).select(*[F.col(f"`{c}`") for c in names], "runs__")
     touched = touched.mapInArrow(_rewrite(text, min_words), T.StructType([*docs.schema.fields, T.StructField("removed__", SPANS)]))
-    untouched = matching(docs, ids, [doc_id], BOUND, "left_anti").withColumn("removed__", none)
-    silent = matching(docs, ids, [doc_id], BOUND).filter(F.col(text).isNull()).withColumn("removed__", none)
-    return touched.unionByName(untouched).unionByName(silent).withColumnRenamed("removed__", "removed")
+    untouched = matching(tagged, keys, [doc_id, "tag__"], BOUND, "left_anti").drop("tag__").withColumn("removed__", F.array().cast(SPANS))
+    return touched.unionByName(untouched).withColumnRenamed("removed__", "removed")
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ YOU = ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 WORD = re.compile(r"[^\W_]+")
-MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*.\-_]+[^\W\d_]+)+")
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*.\-_]++[^\W\d_]++)+")  # possessive: linear on long runs
 UPPER = bytes(range(65, 91))
 PUNCTUATION = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 FEATURES = ("strong", "strong_density", "strong_kinds", "weak", "weak_density", "stems", "stem_density", "insults", "near_you", "capitals",
