@@ -13,7 +13,7 @@ VALID = rf"^[+-]?(?:0|(?:{_NUMBER}{_UNIT})+)$"
 
 
 def duration_us(text: Column) -> Column:
-    """Microseconds of a duration text; null when it does not parse."""
+    """Microseconds of a duration text; null when it does not parse or is too long for a number."""
     units = F.create_map(*[F.lit(x) for pair in UNIT_MICROS.items() for x in pair])
     parts = F.regexp_extract_all(text, F.lit(rf"{_NUMBER}{_UNIT}"), F.lit(0))
 
@@ -23,7 +23,7 @@ def duration_us(text: Column) -> Column:
 
     total = F.aggregate(F.transform(parts, micros), F.lit(0.0), lambda acc, x: acc + x)
     sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(text.rlike(VALID), (F.round(total) * sign).cast("bigint"))
+    return F.when(text.rlike(VALID), (F.round(total) * sign).try_cast("bigint"))
 
 
 def duration_text_us(text: str) -> int:

@@ -42,6 +42,13 @@ def typed_value(mapping: Column | str, key: str, kind: str = "string") -> Column
     raise ValueError(f"unknown value kind: {kind}")
 
 
+def any_case(mapping: Column | str, key: str) -> Column:
+    """The entry whose key equals `key` in any case, of several the last; an empty string if there is none."""
+    mapping = F.col(mapping) if isinstance(mapping, str) else mapping
+    fitting = F.filter(F.map_entries(mapping), lambda e: F.lower(e["key"]) == key.lower())
+    return F.coalesce(F.element_at(F.when(F.size(fitting) > 0, fitting), -1)["value"], F.lit(""))
+
+
 def header(key: str, kind: str = "string") -> Column:
     """Typed access to the envelope's ``headers``."""
     return typed_value("headers", key, kind)

@@ -63,19 +63,19 @@ def commit_frontier(outcomes: DataFrame, window: int = 0, style: str = "kafka",
     """Committed position per (topic, shard_id) after the acked events.
 
     Kafka style commits the next offset less the ack window; stream style commits the sequence
-    number less the window once there are that many.  The position is never negative and never
+    number less the window once there are that many.  A shard without such an event has no row, as
+    nothing is marked there.  The position is never negative and never
     below `prior` (topic, shard_id, committed).  A plain maximum: late rows do no harm, and the
     same call works on a streaming frame in update mode (without `prior`).
     """
     reached = F.max(F.when(F.col("acked"), _next_position(F.col("offset"), window, style)))
     out = outcomes.groupBy(*SHARD).agg(
-        F.greatest(F.coalesce(reached, F.lit(0)), F.lit(0)).cast("bigint").alias("committed"))
+        F.when(reached.isNotNull(), F.greatest(reached, F.lit(0))).cast("bigint").alias("committed")).filter("committed is not null")
     if prior is None:
         return out
     before = prior.select(*SHARD, F.col("committed").alias("__prior"))
     return out.join(before, list(SHARD), "full_outer").select(
-        *SHARD, F.greatest(F.coalesce("committed", F.lit(0)), F.coalesce("__prior", F.lit(0)))
-        .cast("bigint").alias("committed"))
+        *SHARD, F.greatest("committed", "__prior").cast("bigint").alias("committed"))
 
 
 def apply_acks(acks: DataFrame, claims: DataFrame, window: int = 0, style: str = "kafka") -> DataFrame:
@@ -137,8 +137,16 @@ def pending_size(events: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame, columns: tuple[str, ...] = POSITION) -> DataFrame:
-    """One row per (topic, shard_id, offset).  Copies are combined before the shuffle."""
-    return df.dropDuplicates(list(columns))
+    """One row per (topic, shard_id, offset).  Copies are combined before the shuffle.
+
+    A row that lacks one of these is no copy of another and stays.
+    """
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    if df.isStreaming:  # no column may be added to what the state is kept by
+        return df.dropDuplicates(list(columns))
+    return df.withColumn("__own", F.when(~whole, F.uuid())).dropDuplicates([*columns, "__own"]).drop("__own")
 
 
 def discard_drained(events: DataFrame, signals: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

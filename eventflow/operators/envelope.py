@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventflow.functions.maps import empty_map, last_wins_map, typed_value
+from eventflow.functions.maps import any_case, empty_map, last_wins_map
 from eventflow.schema import ENVELOPE, STRING_MAP
 
 
@@ -124,7 +124,7 @@ def normalize_http_log(df: DataFrame, name: str = "http", keep: tuple[str, ...]
     return to_envelope(df, {
         "method": "method", "url": "url", "path": F.when(path == "", F.lit("/")).otherwise(path),
         "fields": query_fields(F.col("url")), "headers": "headers",
-        "content_type": typed_value("headers", "Content-Type"), "body": "body", "ts": "ts"},
+        "content_type": any_case("headers", "Content-Type"), "body": "body", "ts": "ts"},
         "http", name, trigger_class="sync", keep=keep)
 
 
@@ -153,13 +153,13 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
     """Replace the attributes of events that wrap a cloud event.
 
     Structured form: the content type starts with ``application/cloudevents`` and the body is a
-    JSON document.  Binary form: the header ``CE-CloudEventsVersion`` is not empty and the
-    ``CE-*`` headers hold the attributes.  A structured body that does not parse keeps the row
+    JSON object.  Binary form: the header ``CE-CloudEventsVersion`` is not empty and the
+    ``CE-*`` headers (in any case) hold the attributes.  A structured body that does not parse keeps the row
     unchanged with `decode_error` set; a binary time that does not parse is null.
     """
     content_type = F.coalesce("content_type", F.lit(""))
     structured = content_type.startswith("application/cloudevents")
-    binary = ~structured & (typed_value("headers", "CE-CloudEventsVersion") != "")
+    binary = ~structured & (any_case("headers", "CE-CloudEventsVersion") != "")
     df = df.withColumn("__doc", F.when(structured, F.try_parse_json(F.col("body").cast("string"))))
 
     def doc(path: str, kind: str = "string") -> Column:
@@ -167,7 +167,8 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
 
     time_text = doc("$.eventTime")
     event_time = F.try_to_timestamp(time_text)
-    bad = structured & (F.col("__doc").isNull() | (time_text.isNotNull() & event_time.isNull()))
+    no_object = ~F.coalesce(F.schema_of_variant("__doc").startswith("OBJECT"), F.lit(False))
+    bad = structured & (no_object | (time_text.isNotNull() & event_time.isNull()))
     good = structured & ~bad
     data = doc("$.data", "variant")
     is_object = F.schema_of_variant(data).startswith("OBJECT")
@@ -179,7 +180,7 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
         return chosen.otherwise(F.col(name)).alias(name)
 
     def ce(name: str) -> Column:
-        return typed_value("headers", f"CE-{name}")
+        return any_case("headers", f"CE-{name}")
 
     changed = {
         "id": pick("id", doc("$.eventID"), ce("EventID")),
@@ -203,11 +204,13 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
 def ensure_id(df: DataFrame, deterministic: bool = True) -> DataFrame:
     """Give an id to events without one; existing ids stay.
 
-    Deterministic ids hash (topic, shard_id, offset), so a retried task yields the same id.
+    Deterministic ids hash (topic, shard_id, offset), so a retried task yields the same id.  An event that lacks any of
+    these has no identity but its own arrival and gets a random id; write such events before using them twice.
     """
-    position = F.concat_ws("/", F.coalesce("topic", F.lit("")), F.coalesce(F.col("shard_id").cast("string"), F.lit("")),
-                           F.coalesce(F.col("offset").cast("string"), F.lit("")))
-    fresh = F.sha2(position, 256) if deterministic else F.uuid()
+    names = ("topic", "shard_id", "offset")
+    placed = F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull() & F.col(names[2]).isNotNull()
+    position = F.concat_ws("/", *[F.col(n).cast("string") for n in names])
+    fresh = F.when(placed, F.sha2(position, 256)).otherwise(F.uuid()) if deterministic else F.uuid()
     return df.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), fresh))
 
 
@@ -239,13 +242,35 @@ _RESULT = ("array<struct<body:string, content_type:string, headers:map<string,st
            "body_encoding:string, event_id:string>>")
 
 
+# what a result's attributes must be, as far as they are there
+_TYPES = {"status_code": ("BIGINT",), "body": ("STRING",), "content_type": ("STRING",), "body_encoding": ("STRING",),
+          "event_id": ("STRING",), "headers": ("OBJECT",)}
+
+
+def _is_results(document: Column) -> Column:
+    """Whether a document is an object, or a list of objects, whose attributes have the right types."""
+    def fits(item: Column) -> Column:
+        good = F.schema_of_variant(item).startswith("OBJECT")
+        for name, kinds in _TYPES.items():
+            kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
+            here = kind.startswith("VOID")
+            for k in kinds:
+                here = here | kind.startswith(k)
+            good = good & F.coalesce(here, F.lit(True))
+        return F.coalesce(good, F.lit(False))
+
+    listed = F.try_variant_get(document, "$", "array<variant>")
+    return F.when(F.schema_of_variant(document).startswith("ARRAY"), F.coalesce(F.forall(listed, fits), F.lit(False))).otherwise(fits(document))
+
+
 def decode_results(df: DataFrame, column: str = "data") -> DataFrame:
     """One row per handler result in a JSON text that holds one result or a list of them.
 
-    Adds the result's attributes, `decoded_body`, and `result_error` for text that is not JSON or
-    for an unknown body encoding.
+    Adds the result's attributes, `decoded_body`, and `result_error` for text that is not JSON, is neither an object nor a
+    list of objects, or has an attribute of another type, and for an unknown body encoding.
     """
     document = F.try_parse_json(column)
+    document = F.when(_is_results(document), document)
     results = F.when(document.isNotNull(), F.from_json(column, _RESULT))
     rows = df.select("*", document.isNull().alias("__bad"), F.explode_outer(results).alias("__r"))
     encoding = F.col("__r.body_encoding")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import asyncio
+import copy
 import json
 import subprocess
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from datetime import timezone
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventflow.functions.durations import duration_text_us
+from eventflow.functions.maps import any_case
 from eventflow.schema import ENVELOPE, RESPONSE
 
 NO_ACK_HEADER = "X-Stream-No-Ack"
@@ -106,14 +109,29 @@ class Context:
     def __init__(self, registry: Mapping[str, Callable] | None = None):
         self.user_data: dict = {}
         self._registry = dict(registry or {})
+        self.loop: asyncio.AbstractEventLoop | None = None
 
     def call(self, name: str, event: Event) -> Response:
         """Run another handler on an event and give its answer; its exceptions pass through."""
-        return _as_response(_finished(self._registry[name](self, event)))
+        answer = self._registry[name](self, event)
+        # a coroutine cannot wait for its own loop
+        return _as_response(_finished(answer, None if self.loop is None or self.loop.is_running() else self.loop))
 
 
-def _finished(answer: Any) -> Any:
-    return asyncio.run(answer) if asyncio.iscoroutine(answer) else answer
+def _finished(answer: Any, loop: asyncio.AbstractEventLoop | None = None) -> Any:
+    """What a coroutine gives, run on the task's own loop, so that what one event opens serves the next."""
+    if not asyncio.iscoroutine(answer):
+        return answer
+    return loop.run_until_complete(answer) if loop else asyncio.run(answer)
+
+
+def _task_context(registry: Mapping[str, Callable] | None, init_context: Callable | None) -> Context:
+    """The context of one task, with a loop that all its coroutines share."""
+    context = Context(registry)
+    context.loop = asyncio.new_event_loop()
+    if init_context is not None:
+        _finished(init_context(context), context.loop)
+    return context
 
 
 def _is_response(answer: Any) -> bool:
@@ -126,7 +144,7 @@ def _as_response(answer: Any) -> Response:
         return answer
     if isinstance(answer, tuple) and len(answer) == 2:
         status, rest = answer
-        out = _as_response(rest)
+        out = copy.copy(_as_response(rest))  # the handler may answer with one object again and again
         out.status_code = status
         return out
     if isinstance(answer, dict):
@@ -204,24 +222,22 @@ def map_handler(df: DataFrame, handler: Callable, init_context: Callable | None
     """Run `handler(context, event)` for each event; the rows of its answers, with `keep` columns.
 
     `init_context(context)` runs once per task.  Answers: text or bytes (status 200), a dict (JSON),
-    (status, answer), a `Response`, or a list of these (one row each).  Coroutines are awaited.  An
-    exception becomes a row with status 500, and the job goes on.  `duration_ms` is the time of the
-    call.  Results may be produced again when a task is retried.
+    (status, answer), a `Response`, or a list of these (one row each).  Coroutines, `init_context` too,
+    are awaited on one loop per task.  An exception becomes a row with status 500, and the job goes
+    on.  `duration_ms` is the time of the call, failed ones included.  Results may be produced again when a task is retried.
     """
     rows = _handler_input(df, keep)
     schema = T.StructType([*[df.schema[k] for k in keep], *RESPONSE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = Context(registry)
-        if init_context is not None:
-            init_context(context)
+        context = _task_context(registry, init_context)
         for batch in batches:
             columns, out = _Columns(batch), _Answers()
             ids = columns.values("id") or [None] * batch.num_rows
             for i in range(batch.num_rows):
                 before, began = len(out), time.perf_counter()
                 try:
-                    answer = _finished(handler(context, Event.of_row(columns, i)))
+                    answer = _finished(handler(context, Event.of_row(columns, i)), context.loop)
                     for item in answer if isinstance(answer, list) else (answer,):
                         out.add(i, ids[i], item)
                 except Exception as exc:  # the handler's failure is its answer
@@ -248,15 +264,13 @@ def map_batches(df: DataFrame, handler: Callable, init_context: Callable | None
     schema = T.StructType([df.schema[batch], T.StructField("answer_no", T.IntegerType()), *RESPONSE])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = Context(registry)
-        if init_context is not None:
-            init_context(context)
+        context = _task_context(registry, init_context)
         key, events, key_type = None, [], None
 
         def answer(keys: list, out: _Answers) -> None:
             before, began = len(out), time.perf_counter()
             try:
-                for i, item in enumerate(_finished(handler(context, events))):
+                for i, item in enumerate(_finished(handler(context, events), context.loop)):
                     out.add(i, item.event_id if _is_response(item) else None, item)
             except Exception as exc:  # the whole batch failed
                 out.cut(before)
@@ -326,12 +340,13 @@ SHELL_ENVIRONMENT = ("id", "content_type", "path", "url", "method", "shard_id",
 
 
 def shell_handler(df: DataFrame, command: str, args: Sequence[str] = (), arguments_header: str | None = None,
-                  keep: Sequence[str] = (), timeout: float = 60.0, env: Mapping[str, str] | None = None,
+                  keep: Sequence[str] = (), timeout: float | None = None, env: Mapping[str, str] | None = None,
                   response_headers: Mapping[str, str] | None = None) -> DataFrame:
     """Run a program for each event: the body is its input, the output is the answer.
 
-    The environment is `env` and the event's attributes, as EVENT_ID, EVENT_PATH and so on, with
-    EVENT_TIMESTAMP in seconds.  `args` is a list and no shell reads it; with `arguments_header`
+    An object body is its JSON text.  The environment is `env` and the event's attributes, as EVENT_ID, EVENT_PATH and so on,
+    with EVENT_TIMESTAMP as RFC 3339 in UTC.  With `timeout` (seconds; none by default) a program that takes longer is ended
+    and gives status 408 with what it has written.  `args` is a list and no shell reads it; with `arguments_header`
     that header's text, split at spaces, replaces it.  Output and errors are one text; a non-zero
     exit gives status 500 with that text.
     """
@@ -342,10 +357,14 @@ def shell_handler(df: DataFrame, command: str, args: Sequence[str] = (), argumen
         arguments = given.split(" ") if given else list(args)
         own = {f"EVENT_{n.upper()}": str(getattr(event, n)) for n in SHELL_ENVIRONMENT if getattr(event, n) is not None}
         if event.timestamp is not None:
-            own["EVENT_TIMESTAMP"] = str(int(event.timestamp.timestamp()))
-        done = subprocess.run([command, *arguments], input=event.body, stdout=subprocess.PIPE, stderr=subprocess.STDOUT,
-                              timeout=timeout, env={**base, **own})
+            own["EVENT_TIMESTAMP"] = event.timestamp.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         headers = dict(response_headers or {})
+        given_body = event.body if event.body is None or isinstance(event.body, bytes) else json.dumps(event.body).encode()
+        try:
+            done = subprocess.run([command, *arguments], input=given_body, stdout=subprocess.PIPE, stderr=subprocess.STDOUT,
+                                  timeout=timeout, env={**base, **own})
+        except subprocess.TimeoutExpired as late:
+            return Response(late.stdout or b"", 408, headers=headers)
         if done.returncode != 0:
             return Response(f"exit status {done.returncode}\n".encode() + done.stdout, 500, headers=headers)
         return Response(done.stdout, headers=headers)
@@ -382,13 +401,13 @@ class Cors:
 
 
 def admit(df: DataFrame, cors: Cors | None = None, max_body: int = MAX_BODY_BYTES) -> DataFrame:
-    """Add `admitted`, `reason` and `status` to request rows (method, headers, body).
+    """Add `admitted`, `reason` and `status` to request rows (method, headers in any case, body).
 
     A preflight (the preflight method with a requested method) is answered by 200 or 400.  Another
     request is refused without a status for its origin, and with 413 for its body.
     """
     def head(name: str):
-        return F.coalesce(F.try_element_at("headers", F.lit(name)), F.lit(""))
+        return any_case("headers", name)
 
     def one_of(value, allowed: Sequence[str]):
         return F.lower(value).isin([a.lower() for a in allowed])

@@ -121,7 +121,7 @@ def log_report(lines: DataFrame, keys: Sequence[str] = ("stream",), order: str =
     marked = suppress_after_panic(parse_logs(lines, column), keys, order, column)
     formatted = marked.select(*keys, F.lit("formatted").alias("part"), order,
                               L.unescape(F.col("formatted")).alias("text"))
-    short = marked.filter(F.coalesce("brief", F.lit(False)) | F.col("brief_raw")).select(
+    short = marked.filter((F.coalesce("brief", F.lit(False)) & (F.col("raw") | (F.col("text") != ""))) | F.col("brief_raw")).select(
         *keys, order, F.when(F.col("raw"), F.col(column)).otherwise(F.col("text")).alias("__text"))
     brief = collapse_repeats(short, keys, order, "__text", chunk_rows, lines.count()).select(
         *keys, F.lit("brief").alias("part"), order, L.unescape(F.col("collapsed")).alias("text"))

@@ -68,10 +68,10 @@ def counter_delta(snaps: DataFrame, keys: Sequence[str], ts: str, cols: Sequence
 
 def allocation_stats(allocs: DataFrame, keys: Sequence[str] = ("trigger_id",)) -> DataFrame:
     """Worker allocations from a log with `result` (immediate, after_wait, timeout), `wait_ms`,
-    `available` and `total` workers.  Waits count only where a worker came; each availability is
+    `available` and `total` workers.  A total of 0 has no percentage.  Waits count only where a worker came; each availability is
     cut to a whole percent."""
     result = F.col("result")
-    percent = F.floor(F.col("available") * 100 / F.col("total")).cast("bigint")
+    percent = F.floor(F.try_divide(F.col("available") * 100, "total")).cast("bigint")
     return allocs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("allocation_count"),
         F.count_if(result == "immediate").alias("success_immediate"),

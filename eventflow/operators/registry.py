@@ -195,7 +195,7 @@ def canary_split(df: DataFrame, key: str, percent: int) -> DataFrame:
 
 
 def with_defaults(triggers: DataFrame) -> DataFrame:
-    """Fill unset trigger settings; an attribute beats an annotation.
+    """Fill unset trigger settings; an attribute beats an annotation, and a negative wait is unset.
 
     Columns: num_workers, worker_wait_ms, termination_timeout, explicit_ack_mode, batch (struct of
     mode, size, timeout), attributes, annotations.  Adds worker_allocation_mode.  Batch settings are
@@ -214,7 +214,7 @@ def with_defaults(triggers: DataFrame) -> DataFrame:
     ack = F.when(annotated_ack.isin("enable", "explicitOnly"), annotated_ack)
     return triggers.withColumns({
         "num_workers": F.coalesce(F.nullif("num_workers", F.lit(0)), F.lit(DEFAULT_WORKERS)),
-        "worker_wait_ms": F.coalesce("worker_wait_ms", F.lit(DEFAULT_WORKER_WAIT_MS)),
+        "worker_wait_ms": F.coalesce(F.when(F.col("worker_wait_ms") >= 0, F.col("worker_wait_ms")), F.lit(DEFAULT_WORKER_WAIT_MS)),
         "termination_timeout": F.coalesce(given("termination_timeout"), F.lit(DEFAULT_TERMINATION)),
         "explicit_ack_mode": F.coalesce(ack, given("explicit_ack_mode"), F.lit("disable")),
         "worker_allocation_mode": F.coalesce(of("attributes", "workerAllocationMode"),

@@ -23,6 +23,7 @@ SENSITIVE_PATHS = (
     r"^/spec/build/codeentryattributes/s3secretaccesskey$",
     r"^/spec/build/codeentryattributes/s3sessiontoken$",
     r"^/spec/build/codeentryattributes/headers/authorization$",
+    r"^/spec/build/codeentryattributes/headers/x-.+-session-key$",
     r"^/spec/volumes\[\d+\]/volume/volumesource/flexvolume/options/accesskey$",
     r"^/spec/volumes\[\d+\]/volume/flexvolume/options/accesskey$",
     r"^/spec/triggers/.+/password$",
@@ -35,6 +36,12 @@ SENSITIVE_PATHS = (
     r"^/spec/triggers/.+/attributes/accesscertificate$",
     r"^/spec/triggers/.+/attributes/sasl/password$",
     r"^/spec/triggers/.+/attributes/sasl/oauth/clientsecret$",
+    r"^/metadata/annotations/.+/kafka-ca-cert$",
+    r"^/metadata/annotations/.+/kafka-access-key$",
+    r"^/metadata/annotations/.+/kafka-access-cert$",
+    r"^/metadata/annotations/.+/kafka-sasl-password$",
+    r"^/metadata/annotations/.+/kafka-sasl-oauth-client-secret$",
+    r"^/metadata/annotations/.+/kafka-sasl-oauth-token-url$",
 )
 
 
@@ -47,6 +54,14 @@ def _walk(node: Any, path: str, leaf: Callable[[str, Any], Any]) -> Any:
     return leaf(path, node)
 
 
+def _parsed(text: str) -> tuple[Any, str | None]:
+    """A document's tree, or what is wrong with it."""
+    try:
+        return json.loads(text), None
+    except ValueError as exc:
+        return None, f"malformed document: {exc}"
+
+
 def _matcher(patterns: Sequence[str]) -> Callable[[str], bool]:
     compiled = [re.compile(p, re.IGNORECASE) for p in patterns]
     return lambda path: any(c.search(path) for c in compiled)
@@ -55,7 +70,7 @@ def _matcher(patterns: Sequence[str]) -> Callable[[str], bool]:
 def _map_documents(df: DataFrame, column: str, needs: Sequence[str], added: list[tuple[str, T.DataType, pa.DataType]],
                    change: Callable[..., tuple]) -> DataFrame:
     """Replace `column` and add columns by ``change(text, *needs)`` for each row; `needs` are dropped."""
-    kept = [c for c in df.columns if c not in needs]
+    kept = [c for c in df.columns if c not in needs and c not in [n for n, _, _ in added]]
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, t, _ in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +90,17 @@ def scrub(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, existing: Da
 
     A leaf whose path (``/a/b[0]/c``) matches a pattern, in any case, becomes ``$ref:`` plus the
     path in lower case.  Empty texts and references stay.  Secrets are rows (key, secret_key, value
-    as JSON); `existing` ones are kept unless there is a new value.
+    as JSON); `existing` ones are kept unless there is a new value.  A document that does not parse
+    is replaced by null, as it may hold anything, and `config_error` says so.
     """
     matches = _matcher(patterns)
 
     def change(text: str | None) -> tuple:
         if text is None:
-            return None, []
+            return None, [], None
+        tree, error = _parsed(text)
+        if error is not None:
+            return None, [], error
         found: dict[str, str] = {}
 
         def leaf(path: str, value: Any) -> Any:
@@ -93,20 +112,22 @@ def scrub(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, existing: Da
             found[reference] = json.dumps(value)
             return reference
 
-        redacted = _walk(json.loads(text), "", leaf)
-        return json.dumps(redacted), list(found.items())
+        redacted = _walk(tree, "", leaf)
+        return json.dumps(redacted), list(found.items()), None
 
     walked = _map_documents(df, column, (), [(
-        "__secrets", T.MapType(T.StringType(), T.StringType()), pa.map_(pa.string(), pa.string()))], change)
+        "__secrets", T.MapType(T.StringType(), T.StringType()), pa.map_(pa.string(), pa.string())),
+        ("config_error", T.StringType(), pa.string())], change)
     fresh = walked.select(key, F.explode("__secrets").alias("secret_key", "value"))
     if existing is not None:
-        old = existing.select(key, "secret_key", "value")
-        fresh = fresh.unionByName(old.join(fresh.select(key, "secret_key"), [key, "secret_key"], "left_anti"))
+        old = existing.select(key, "secret_key", "value", F.lit(0).alias("__new"))
+        both = fresh.withColumn("__new", F.lit(1)).unionByName(old)
+        fresh = both.groupBy(key, "secret_key").agg(F.max_by("value", "__new").alias("value"))
     return walked.drop("__secrets"), fresh
 
 
 def restore(df: DataFrame, secrets: DataFrame, key: str = "name", column: str = "config") -> DataFrame:
-    """Put the secrets back where the references are; a reference without a secret stays."""
+    """Put the secrets back where the references are; a reference without a secret stays, as does a text that does not parse."""
     # a document's secrets come from that one document, so the group is as small as a row
     held = secrets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("secret_key", "value"))).alias("__held"))
 
@@ -114,19 +135,22 @@ def restore(df: DataFrame, secrets: DataFrame, key: str = "name", column: str =
         if text is None:
             return (None,)
         values = dict(held or [])
+        tree, error = _parsed(text)
+        if error is not None:
+            return (text,)
 
         def leaf(path: str, value: Any) -> Any:
             if isinstance(value, str) and value.startswith(REFERENCE) and value in values:
                 return json.loads(values[value])
             return value
 
-        return (json.dumps(_walk(json.loads(text), "", leaf)),)
+        return (json.dumps(_walk(tree, "", leaf)),)
 
     return _map_documents(df.join(held, key, "left"), column, ("__held",), [], change).select(*df.columns)
 
 
 def has_refs(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, column: str = "config") -> DataFrame:
-    """Add `has_refs`: whether a sensitive path holds a reference."""
+    """Add `has_refs`: whether a sensitive path holds a reference; null for a text that does not parse."""
     matches = _matcher(patterns)
 
     def change(text: str | None) -> tuple:
@@ -138,7 +162,10 @@ def has_refs(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, column: s
             return value
 
         if text is not None:
-            _walk(json.loads(text), "", leaf)
+            tree, error = _parsed(text)
+            if error is not None:
+                return text, None
+            _walk(tree, "", leaf)
         return text, bool(seen)
 
     return _map_documents(df, column, (), [("has_refs", T.BooleanType(), pa.bool_())], change)

@@ -61,11 +61,13 @@ def _d2(spark, sf_dir):
 
 @query("d3_commit_frontier", f"""WITH {LOG}
 SELECT topic, shard_id, 'kafka' AS style,
-  greatest(coalesce(max("offset" + 1 - 10) FILTER (NOT process_error), 0), 0) AS committed FROM log GROUP BY ALL
-UNION ALL SELECT topic, shard_id, 'stream',
-  coalesce(max("offset" - 10) FILTER (NOT process_error AND "offset" >= 10), 0) FROM log GROUP BY ALL""")
+  greatest(max("offset" + 1 - 10) FILTER (NOT process_error AND shard_id <> 5), 0) AS committed FROM log GROUP BY ALL
+  HAVING count(*) FILTER (NOT process_error AND shard_id <> 5) > 0
+UNION ALL SELECT topic, shard_id, 'stream', max("offset" - 10) FILTER (NOT process_error AND shard_id <> 5 AND "offset" >= 10)
+  FROM log GROUP BY ALL HAVING count(*) FILTER (NOT process_error AND shard_id <> 5 AND "offset" >= 10) > 0""")
 def _d3(spark, sf_dir):
-    rows = D.ack_decision(event_log(spark, sf_dir))
+    # nothing of shard 5 is acked, so it has no position
+    rows = D.ack_decision(event_log(spark, sf_dir)).withColumn("acked", F.col("acked") & (F.col("shard_id") != 5))
     return (D.commit_frontier(rows, 10, "kafka").withColumn("style", F.lit("kafka"))
             .unionByName(D.commit_frontier(rows, 10, "stream").withColumn("style", F.lit("stream"))))
 
@@ -121,13 +123,15 @@ def _d6(spark, sf_dir):
 
 
 @query("d7_redelivered", f"""WITH {LOG}, c AS (
-  SELECT topic, shard_id, greatest(coalesce(max("offset" + 1 - 25) FILTER (NOT process_error), 0), 0) AS kafka,
-    coalesce(max("offset" - 25) FILTER (NOT process_error AND "offset" >= 25), 0) AS stream
+  SELECT topic, shard_id, CASE WHEN count(*) FILTER (NOT process_error AND shard_id <> 5) > 0
+      THEN greatest(max("offset" + 1 - 25) FILTER (NOT process_error), 0) END AS kafka,
+    max("offset" - 25) FILTER (NOT process_error AND "offset" >= 25 AND shard_id <> 5) AS stream
   FROM log WHERE shard_id <> 3 GROUP BY topic, shard_id)
 SELECT 'kafka' AS style, event_id FROM log LEFT JOIN c USING (topic, shard_id) WHERE kafka IS NULL OR "offset" >= kafka
 UNION ALL SELECT 'stream', event_id FROM log LEFT JOIN c USING (topic, shard_id) WHERE stream IS NULL OR "offset" > stream""")
 def _d7(spark, sf_dir):
-    rows = D.ack_decision(event_log(spark, sf_dir))
+    # nothing of shard 5 is acked, so all of it comes again, offset 0 too
+    rows = D.ack_decision(event_log(spark, sf_dir)).withColumn("acked", F.col("acked") & (F.col("shard_id") != 5))
     acked = rows.filter("shard_id <> 3")
     out = None
     for style in ("kafka", "stream"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventflow.functions.maps import field, header
+from eventflow.functions.maps import empty_map, field, header
 from eventflow.operators import envelope as E
 from eventflow.plans import query
 from eventflow.plans.tables import EVENTS, LOG, event_log, events, table
@@ -186,6 +186,21 @@ def _e9(spark, sf_dir):
                                    headers=F.when(F.col("topic") != "error", headers)))
 
 
+@query("e10_ids_without_position", """SELECT 'http' AS kind, count(*) AS n, count(*) AS ids FROM pages
+UNION ALL SELECT 'cron', count(*), count(*) FROM events UNION ALL SELECT 'queue', count(*), count(*) FROM events""")
+def _e10_fresh(spark, sf_dir):
+    """Requests, ticks and queue messages have no position; all of them carry the same content here."""
+    calls = table(spark, sf_dir, "pages").select(F.lit("GET").alias("method"), F.lit("http://h/p").alias("url"), empty_map().alias("headers"),
+                                                 F.lit(b"").alias("body"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    ticks = table(spark, sf_dir, "events").select(F.timestamp_seconds(F.lit(0)).alias("tick"))
+    queue = E.to_envelope(ticks, {"ts": "tick", "topic": F.lit("q")}, "nats", "q")
+    out = None
+    for kind, rows in (("http", E.normalize_http_log(calls)), ("cron", E.normalize_schedule(ticks)), ("queue", queue)):
+        part = E.ensure_id(rows).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("e10_ensure_id", f"""WITH {EVENTS}
 SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'id-' || event_id
   ELSE sha256(topic || '/' || shard_id || '/' || event_id) END AS id FROM ev""")

@@ -115,6 +115,16 @@ def _h5(spark, sf_dir):
     return H.correlate(known, first.unionByName(later).unionByName(broken))
 
 
+@query("h6_timeout", """SELECT conv_id, turn, CASE WHEN conv_id % 50 = 0 AND turn = 0 THEN 408 ELSE 200 END AS status_code FROM conversations""")
+def _h6_timeout(spark, sf_dir):
+    rows = spread(table(spark, sf_dir, "conversations"))
+    slow = (F.col("conv_id") % 50 == 0) & (F.col("turn") == 0)
+    headers = F.create_map(F.lit("X-Args"), F.when(slow, "60").otherwise("0"))
+    rows = to_envelope(rows, {"body": "text", "headers": headers}, "http", "web", keep=("conv_id", "turn"))
+    out = H.shell_handler(rows, "sleep", arguments_header="X-Args", keep=("conv_id", "turn"), timeout=1.0)
+    return out.select("conv_id", "turn", "status_code")
+
+
 @query("h6_shell_handler", """
 SELECT conv_id, turn, 200 AS status_code, CAST(strlen(text) AS VARCHAR) AS body FROM conversations""")
 def _h6(spark, sf_dir):

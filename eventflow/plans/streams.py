@@ -115,6 +115,17 @@ def _check(context, event):
     return H.Response(event.body, headers={H.NO_ACK_HEADER: True} if value == 1 else {})
 
 
+@query("process_stream_http", f"""WITH {EVENTS} SELECT count(*) AS success, count(DISTINCT event_id) AS ids FROM ev""")
+def _process_http(spark, sf_dir):
+    """Requests have no position; each is one handled event."""
+    out = fresh_dir(spark)
+    rows = to_envelope(event_stream(spark, sf_dir), {"ts": "ts", "path": "topic", "body": F.lit(b"same")}, "http", "web", trigger_class="sync")
+    sinks.run_once(process.process_events(rows, lambda context, event: None, out, f"{out}/state"))
+    ids = process.outcomes_of(spark, out).agg(F.countDistinct("id").alias("ids"))
+    counts = process.handled(spark, out).filter("result = 'success'").agg(F.sum("value").cast("bigint").alias("success"))
+    return counts.crossJoin(ids)
+
+
 @query("process_stream", f"""WITH {EVENTS}, c AS (SELECT topic, shard_id, greatest(coalesce(max(event_id + 1) FILTER (event_id % 20 <> 1 AND event_id % 40 <> 2), 0), 0) AS committed,
   count(*) FILTER (event_id % 40 <> 2) AS success, count(*) FILTER (event_id % 40 = 2) AS failure, count(*) FILTER (event_id % 20 = 0 OR event_id % 40 = 2) AS answered_500 FROM ev GROUP BY ALL)
 SELECT topic, shard_id, committed, answered_500, CAST(sum(success) OVER (PARTITION BY topic) AS BIGINT) AS success,

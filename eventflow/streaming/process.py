@@ -27,7 +27,7 @@ def handle(events: DataFrame, handler: Callable, init_context: Callable | None =
     unwrapped does not reach the handler; its error is a process error.
     """
     prepared = ensure_id(unwrap_cloudevents(events))
-    kept = (*POSITION, "trigger_kind", "trigger_name", "ts")
+    kept = (*POSITION, "trigger_kind", "trigger_name", "ts", "id")
     answers = map_handler(prepared.filter(F.col("decode_error").isNull()), handler, init_context, keep=kept,
                           registry=registry).withColumn("process_error", F.lit(None).cast("string"))
     broken = prepared.filter(F.col("decode_error").isNotNull()).select(
@@ -60,8 +60,10 @@ def process_events(stream: DataFrame, handler: Callable, path: str, checkpoint:
         write(outcomes, "outcomes")
         written = spark.read.schema(outcomes.schema).parquet(f"{path}/outcomes/batch={batch_id}")
         write(commit_frontier(ack_decision(written, ack_mode), window, style, before("commits", COMMITS)), "commits")
-        # an event with a list of answers is one handled event
-        once = dedupe(written.select(*POSITION, *LABELS[:2], "process_error"))
+        # an event with a list of answers is one handled event; without a position its id tells it from others
+        once = dedupe(written.select(*POSITION, *LABELS[:2], "process_error", "id").withColumn("offset", F.coalesce("offset", F.lit(-1)))
+                      .withColumns({"topic": F.coalesce("topic", F.lit("")), "shard_id": F.coalesce("shard_id", F.lit(-1))}), (*POSITION, "id"))
+        once = once.withColumn("topic", F.when(F.col("topic") != "", F.col("topic")))
         counts = handled_events(once, labels=LABELS).unionByName(before("handled", COUNTS))
         write(counts.groupBy(*LABELS, "result").agg(F.sum("value").alias("value")), "handled")
 

@@ -53,7 +53,7 @@ def test_ack_modes(spark, mode, want):
 @pytest.mark.parametrize("mode", ["enable", "explicitOnly"])
 def test_explicit_ack_story(spark, mode):
     log = outcomes(spark, 10, 0).withColumn("no_ack", F.lit(True))
-    assert D.commit_frontier(D.ack_decision(log, mode)).first().committed == 0
+    assert D.commit_frontier(D.ack_decision(log, mode)).first() is None  # nothing is marked
     none = log.limit(0).select("topic", "shard_id", "offset")
     assert D.pending(log, none).count() == 10
     acks = log.filter("offset < 6").select(F.lit("streamMessageAck").alias("kind"), "topic", "shard_id", "offset")
@@ -139,3 +139,9 @@ def test_dedupe_and_redelivery_of_uncommitted(spark):
     assert D.redelivered(outcomes(spark, 4), none).count() == 4
     at = spark.createDataFrame([("t", 0, 3)], "topic string, shard_id int, committed long")
     assert sorted(r.offset for r in D.redelivered(outcomes(spark, 4), at).collect()) == [3, 4]
+
+
+def test_rows_without_position_are_no_copies(spark):
+    rows = spark.createDataFrame([("t", 0, 1), ("t", 0, 1), (None, None, None), (None, None, None), ("t", None, 1), ("t", None, 1)],
+                                 "topic string, shard_id int, offset long")
+    assert D.dedupe(rows).count() == 5

@@ -140,3 +140,25 @@ def test_schedule_event(spark):
     row = E.normalize_schedule(ticks, "b", {"h": "v"}, "/p", "PUT").first()
     assert bytes(row.body) == b"b" and row.headers == {"h": "v"} and (row.path, row.method) == ("/p", "PUT")
     assert row.trigger_kind == "cron" and row.ts is not None
+
+
+def test_ids_without_position_differ(spark):
+    from eventflow.operators.envelope import ensure_id, normalize_http_log, normalize_schedule
+
+    calls = spark.range(50).select(F.lit("GET").alias("method"), F.lit("http://h/p").alias("url"), F.expr("map('content-TYPE', 'a/b')").alias("headers"),
+                                   F.lit(b"x").alias("body"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    events = ensure_id(normalize_http_log(calls))
+    assert events.select("id").distinct().count() == 50 and events.first().content_type == "a/b"
+    ticks = ensure_id(normalize_schedule(spark.range(20).select(F.timestamp_seconds(F.lit(0)).alias("tick"))))
+    assert ticks.select("id").distinct().count() == 20
+
+
+def test_documents_that_are_no_objects(spark):
+    from eventflow.operators.envelope import decode_results, to_envelope, unwrap_cloudevents
+
+    rows = spark.createDataFrame([("5",), ('"abc"',), ("[1]",), ('{"status_code": "abc", "body": "b", "body_encoding": "text"}',),
+                                  ('{"status_code": 201, "body": "b", "body_encoding": "text"}',)], "data string")
+    got = [(r.status_code, r.result_error is None) for r in decode_results(rows).collect()]
+    assert got == [(None, False)] * 4 + [(201, True)]
+    events = to_envelope(rows, {"body": F.col("data").cast("binary"), "content_type": F.lit("application/cloudevents+json")}, "http", "h")
+    assert [r.decode_error is None for r in unwrap_cloudevents(events).collect()] == [False, False, False, True, True]

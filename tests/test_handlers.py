@@ -19,51 +19,53 @@ def requests(spark, bodies, **more):
     return to_envelope(df, mapping, "http", "web")
 
 
-def matrix(context, event):
-    body = event.body.decode()
-    if body == "return_string":
-        return "a string"
-    if body == "return_status_and_string":
-        return 201, "a string after status"
-    if body == "return_dict":
-        return {"a": "dict", "b": "foo"}
-    if body == "return_status_and_dict":
-        return 201, {"a": "dict after status", "b": "foo"}
-    if body == "return_response":
-        return H.Response("response body", 201, "text/plain", {"h1": "v1", "h2": "v2"})
-    if body == "return_error":
-        raise RuntimeError("some error")
-    if body == "return_path":
-        return event.path
-    if body == "return_method":
-        return event.method
-    if body == "return_binary":
-        return b"hello"
-    if body == "return_fields":
-        return ",".join(f"{k}={v}" for k, v in sorted(event.fields.items()))
-    if body == "return_two":
-        return ["one", "two"]
-    raise ValueError("unexpected return mode")
-
-
-def test_answer_matrix(spark):
-    bodies = ["return_string", "return_status_and_string", "return_dict", "return_status_and_dict", "return_response",
-              "invalid", "return_error", "return_path", "return_method", "return_binary", "return_fields", "return_two"]
-    fields = F.create_map(F.lit("y"), F.lit("2"), F.lit("x"), F.lit("1"))
-    rows = H.map_handler(requests(spark, bodies, fields=fields), matrix).collect()
+# what a handler answers for each body, and what must come of it: status, content type, body
+ANSWERS = {
+    "plain": (lambda e: "warm", (200, "text/plain", "warm")),
+    "raw": (lambda e: b"\x00\x01", (200, "text/plain", "\x00\x01")),
+    "nothing": (lambda e: None, (200, "text/plain", "")),
+    "object": (lambda e: {"degrees": 21, "at": e.topic}, (200, "application/json", '{"degrees": 21, "at": "t"}')),
+    "number": (lambda e: 7.5, (200, "text/plain", "7.5")),
+    "accepted": (lambda e: (202, "queued"), (202, "text/plain", "queued")),
+    "teapot": (lambda e: (418, {"kind": "pot"}), (418, "application/json", '{"kind": "pot"}')),
+    "whole": (lambda e: H.Response("<i/>", 207, "text/xml", {"x-one": "1"}), (207, "text/xml", "<i/>")),
+    "where": (lambda e: f"{e.method} {e.path}?{e.fields['unit']}", (200, "text/plain", "POST /some/path?kelvin")),
+    "broken": (lambda e: 1 / 0, (500, "text/plain", None)),
+}
+
+
+def test_answers_of_every_shape(spark):
+    bodies = [*ANSWERS, "several", "unknown"]
+    table = {k: v[0] for k, v in ANSWERS.items()} | {"several": lambda e: ["left", "right"]}
+    fields = F.create_map(F.lit("unit"), F.lit("kelvin"))
     got = {}
-    for r in rows:
-        got.setdefault(bodies[int(r.event_id)], []).append((r.status_code, r.content_type, bytes(r.body).decode(), r.headers))
-    assert got["return_string"] == [(200, "text/plain", "a string", {})]
-    assert got["return_status_and_string"] == [(201, "text/plain", "a string after status", {})]
-    status, kind, body, _ = got["return_dict"][0]
-    assert (status, kind, json.loads(body)) == (200, "application/json", {"a": "dict", "b": "foo"})
-    assert got["return_status_and_dict"][0][:2] == (201, "application/json")
-    assert got["return_response"] == [(201, "text/plain", "response body", {"h1": "v1", "h2": "v2"})]
-    assert got["invalid"][0][0] == 500 and got["return_error"][0][0] == 500 and "some error" in got["return_error"][0][2]
-    assert got["return_path"][0][2] == "/some/path" and got["return_method"][0][2] == "POST"
-    assert got["return_binary"][0][2] == "hello" and got["return_fields"][0][2] == "x=1,y=2"
-    assert sorted(x[2] for x in got["return_two"]) == ["one", "two"]
+    for r in H.map_handler(requests(spark, bodies, fields=fields), lambda c, e: table[e.body.decode()](e)).collect():
+        got.setdefault(bodies[int(r.event_id)], []).append(r)
+    for name, (_, (status, kind, body)) in ANSWERS.items():
+        (row,) = got[name]
+        assert row.status_code == status
+        if body is not None:
+            assert (row.content_type, bytes(row.body).decode()) == (kind, body)
+    assert "division" in bytes(got["broken"][0].body).decode() and got["unknown"][0].status_code == 500
+    assert got["whole"][0].headers == {"x-one": "1"} and got["plain"][0].headers == {}
+    assert sorted(bytes(r.body) for r in got["several"]) == [b"left", b"right"]
+
+
+def test_shared_answers_stay_as_they_are(spark):
+    shared = H.Response("same")
+    rows = H.map_handler(requests(spark, ["a", "b", "c"]).coalesce(1), lambda c, e: (404, shared) if e.id == "0" else shared).collect()
+    assert sorted((r.event_id, r.status_code) for r in rows) == [("0", 404), ("1", 200), ("2", 200)]
+
+
+def test_one_loop_per_task(spark):
+    async def init(context):
+        context.user_data["loop"] = asyncio.get_running_loop()
+
+    async def handler(context, event):
+        return str(context.user_data["loop"] is asyncio.get_running_loop())
+
+    rows = H.map_handler(requests(spark, ["a", "b"]), handler, init).collect()
+    assert [bytes(r.body) for r in rows] == [b"True", b"True"]
 
 
 def test_context_coroutines_and_no_ack(spark):
@@ -145,9 +147,13 @@ def test_shell(spark):
     assert {bytes(r.body).decode() for r in up} == {"UPPER ME", "B"}
     env = H.shell_handler(df, "printenv", ["EVENT_PATH", "EVENT_TRIGGER_KIND", "EVENT_TIMESTAMP", "MINE"], env={"MINE": "x"},
                           response_headers={"h": "v"}).orderBy("event_id").first()
-    assert bytes(env.body).decode().split() == ["/some/path", "http", "0", "x"] and env.headers == {"h": "v"}
+    assert bytes(env.body).decode().split() == ["/some/path", "http", "1970-01-01T00:00:00Z", "x"] and env.headers == {"h": "v"}
     bad = H.shell_handler(df, "ls", ["/does/not/exist"]).first()
     assert bad.status_code == 500 and "exist" in bytes(bad.body).decode()
+    late = H.shell_handler(df, "sleep", ["20"], timeout=0.2).first()
+    assert late.status_code == 408
+    nested = requests(spark, ['{"a": 1}'], body_object=F.try_parse_json("body"))
+    assert json.loads(bytes(H.shell_handler(nested, "cat").first().body)) == {"a": 1}
     missing = H.shell_handler(df, "no-such-program").first()
     assert missing.status_code == 500
     # the text is an argument, not a script

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from check_queries import compare, connect
+from eventflow import plans
 
 SF_DIR = "/root/testdata/sf0.001"
 # queries that run user code, walk documents, or start a stream
@@ -17,9 +18,9 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, con, name):
-    rows, wrong = compare(spark, con, name, entry_module.queries()[name], entry_module.oracle_sql().get(name), SF_DIR)
+    rows, wrong = compare(spark, con, name, plans.QUERIES[name], plans.SQL.get(name), SF_DIR)
     assert wrong is None and rows > 0
 
 
@@ -35,7 +36,7 @@ def plan_of(df):
 
 
 def test_native_queries_have_no_python(spark):
-    for name, fn in entry_module.queries().items():
+    for name, fn in plans.QUERIES.items():
         if name.startswith(PYTHON) or name.endswith("_stream"):
             continue
         plan = plan_of(fn(spark, SF_DIR))
@@ -54,8 +55,8 @@ def test_every_operator_is_registered():
     """One query and one SQL text at least for each operator id."""
     counts = {"e": 13, "s": 10, "h": 9, "f": 7, "b": 3, "d": 12, "m": 11, "l": 11, "r": 15}
     wanted = {f"{group}{i}" for group, n in counts.items() for i in range(1, n + 1)}
-    assert wanted <= {name.split("_")[0] for name in entry_module.queries()}
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert wanted <= {name.split("_")[0] for name in plans.QUERIES}
+    assert set(plans.SQL) == set(plans.QUERIES) and set(plans.QUERIES) <= set(entry_module.queries())
 
 
 def test_shared_folder():

@@ -9,41 +9,45 @@ from eventflow.functions.labels import selector
 from eventflow.operators import registry as R
 from eventflow.operators import secrets as S
 
-CONFIG = {
-    "metadata": {"name": "f"},
+# each secret stands at another kind of sensitive path; what must stay is next to it
+DOCUMENT = {
+    "metadata": {"name": "mill", "annotations": {"grain.example/kafka-sasl-password": "rye", "grain.example/owner": "jo"}},
     "spec": {
-        "build": {"codeEntryAttributes": {"password": "abcd", "s3SecretAccessKey": "some-s3-secret", "s3SessionToken": "some-s3-session-token",
-                                          "workDir": "/path/to/repo", "headers": {"Authorization": "token 1234", "X-Other": "kept"}}},
-        "image": "some-image",
-        "volumes": [{"volume": {"name": "v", "flexVolume": {"options": {"accesskey": "some-access-key"}}}},
-                    {"volume": {"volumeSource": {"flexVolume": {"options": {"accessKey": 77}}}}}],
-        "triggers": {"secret-trigger": {"password": "4567", "secret": "", "attributes": {"password": "1234", "sasl": {"password": ["x"]}}},
-                     "non-secret-trigger": {"attributes": {"not-a-password": "4321"}}},
+        "build": {"codeEntryAttributes": {"Password": "barley", "branch": "dev", "headers": {"authorization": "oat", "x-mill-session-key": "spelt", "accept": "*"}}},
+        "volumes": [{"volume": {"flexVolume": {"options": {"accessKey": 12}, "driver": "d"}}}],
+        "triggers": {"belt": {"kind": "kafka", "secret": "", "attributes": {"caCert": "millet", "sasl": {"oauth": {"clientSecret": ["hops"]}}, "topic": "password"}}},
     }}
+SECRETS = {
+    "/metadata/annotations/grain.example/kafka-sasl-password": "rye",
+    "/spec/build/codeentryattributes/password": "barley",
+    "/spec/build/codeentryattributes/headers/authorization": "oat",
+    "/spec/build/codeentryattributes/headers/x-mill-session-key": "spelt",
+    "/spec/volumes[0]/volume/flexvolume/options/accesskey": 12,
+    "/spec/triggers/belt/attributes/cacert": "millet",
+    "/spec/triggers/belt/attributes/sasl/oauth/clientsecret[0]": None,  # below the sensitive path, so it stays
+}
 
 
 def test_scrub_and_restore(spark):
-    text = json.dumps(CONFIG)
-    df = spark.createDataFrame([("f", text), ("g", json.dumps({"spec": {}})), ("h", None)], "name string, config string")
+    rows = [("mill", json.dumps(DOCUMENT)), ("bare", "{}"), ("none", None), ("torn", '{"spec": ')]
+    df = spark.createDataFrame(rows, "name string, config string")
     redacted, secrets = S.scrub(df)
-    doc = json.loads(redacted.filter("name = 'f'").first().config)
-    code = doc["spec"]["build"]["codeEntryAttributes"]
-    assert code["password"] == "$ref:/spec/build/codeentryattributes/password"
-    assert code["headers"] == {"Authorization": "$ref:/spec/build/codeentryattributes/headers/authorization", "X-Other": "kept"}
-    assert code["workDir"] == "/path/to/repo" and doc["spec"]["image"] == "some-image"
-    assert doc["spec"]["volumes"][0]["volume"]["flexVolume"]["options"]["accesskey"].startswith("$ref:/spec/volumes[0]/")
-    trigger = doc["spec"]["triggers"]["secret-trigger"]
-    assert trigger["password"].startswith("$ref:") and trigger["secret"] == "" and trigger["attributes"]["password"].startswith("$ref:")
-    assert doc["spec"]["triggers"]["non-secret-trigger"]["attributes"]["not-a-password"] == "4321"
-    values = {r.secret_key: json.loads(r.value) for r in secrets.collect()}
-    assert values["$ref:/spec/triggers/secret-trigger/password"] == "4567" and 77 in values.values()
+    taken = {r.secret_key.removeprefix("$ref:"): json.loads(r.value) for r in secrets.collect()}
+    assert taken == {k: v for k, v in SECRETS.items() if v is not None}
+    left = {r.name: r for r in redacted.collect()}
+    clean = json.loads(left["mill"].config)
+    assert not any(word in left["mill"].config for word in ("rye", "barley", "oat\"", "spelt", "millet"))
+    assert clean["metadata"]["annotations"]["grain.example/owner"] == "jo" and clean["spec"]["triggers"]["belt"]["secret"] == ""
+    assert clean["spec"]["build"]["codeEntryAttributes"]["Password"] == "$ref:/spec/build/codeentryattributes/password"
+    assert left["torn"].config is None and "malformed" in left["torn"].config_error
+    assert all(left[n].config_error is None for n in ("mill", "bare", "none"))
     back = {r.name: r.config for r in S.restore(redacted, secrets).collect()}
-    assert json.loads(back["f"]) == CONFIG and back["h"] is None
-    assert {r.name: r.has_refs for r in S.has_refs(redacted).collect()} == {"f": True, "g": False, "h": False}
-    assert not any(r.has_refs for r in S.has_refs(df).collect())
+    assert json.loads(back["mill"]) == DOCUMENT and back["none"] is None and back["bare"] == "{}"
+    assert {r.name: r.has_refs for r in S.has_refs(redacted).collect()} == {"mill": True, "bare": False, "none": False, "torn": False}
+    assert {r.name: r.has_refs for r in S.has_refs(df).collect()} == {"mill": False, "bare": False, "none": False, "torn": None}
     again, more = S.scrub(redacted, existing=secrets)
-    assert {r.secret_key: json.loads(r.value) for r in more.collect()} == values
-    assert json.loads(again.filter("name = 'f'").first().config) == doc
+    assert {r.secret_key.removeprefix("$ref:"): json.loads(r.value) for r in more.collect()} == taken
+    assert json.loads(again.filter("name = 'mill'").first().config) == clean
 
 
 def test_new_secret_beats_old(spark):
