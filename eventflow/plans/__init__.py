@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def chunked(name: str, fn: Callable[..., DataFrame], chunk_rows: int = 700) -> None:
+    """Register a query again with chunks far smaller than its table, so that keys go over many of them."""
+    query(f"{name}_chunked", SQL[name])(lambda spark, sf_dir: fn(spark, sf_dir, chunk_rows=chunk_rows))
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     for module in MODULES:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventflow.functions.library import json_field
 from eventflow.operators import delivery as D
-from eventflow.plans import query
+from eventflow.plans import chunked, query
 from eventflow.plans.tables import EVENTS, LOG, event_log, events
 
 
@@ -162,13 +162,16 @@ def _d9(spark, sf_dir):
   FROM ev WHERE value > 100)
 SELECT e.event_id, e.shard_id AS worker FROM ev e ASOF LEFT JOIN s ON e.shard_id = s.worker AND e.ts >= s.ts
 WHERE coalesce(s.signal, 'continue') = 'continue'""")
-def _d10(spark, sf_dir):
+def _d10(spark, sf_dir, **chunks):
     rows = events(spark, sf_dir).withColumn("worker", F.col("shard_id"))
     value = F.col("value")
     # slow events make their worker drain, terminate or go on
     signals = rows.filter(value > 100).select("worker", "ts", F.when(value > 180, "terminate").when(value > 150, "drain")
                                               .otherwise("continue").alias("signal"))
-    return D.discard_drained(rows.select("event_id", "worker", "ts"), signals).drop("ts")
+    return D.discard_drained(rows.select("event_id", "worker", "ts"), signals, **chunks).drop("ts")
+
+
+chunked("d10_discard_drained", _d10)
 
 
 def _lengths(batches):
@@ -190,8 +193,11 @@ def _d11(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY topic) AS k FROM c)
 SELECT 'given' AS how, topic, shard_id, CAST(i % 3 AS INTEGER) AS worker FROM n
 UNION ALL SELECT 'suggested', topic, shard_id, CAST(i % CAST(ceil(k / 4.0 * 1.2) AS BIGINT) AS INTEGER) FROM n""")
-def _d12(spark, sf_dir):
+def _d12(spark, sf_dir, **chunks):
     claims = events(spark, sf_dir).groupBy("topic", "shard_id").agg(F.min("event_id").alias("pos"))
-    return (D.assign_workers(claims, workers=3).withColumn("how", F.lit("given"))
-            .unionByName(D.assign_workers(claims, replicas=4).withColumn("how", F.lit("suggested")))
+    return (D.assign_workers(claims, workers=3, **chunks).withColumn("how", F.lit("given"))
+            .unionByName(D.assign_workers(claims, replicas=4, **chunks).withColumn("how", F.lit("suggested")))
             .select("how", "topic", "shard_id", "worker"))
+
+
+chunked("d12_assign_workers", _d12, 7)

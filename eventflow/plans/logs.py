@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventflow.functions import logtext as L
 from eventflow.operators import logs as O
-from eventflow.plans import query
+from eventflow.plans import chunked, query
 from eventflow.plans.tables import events, spread, table
 
 
@@ -111,9 +111,12 @@ r AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY event_id) AS run
 SELECT user_id, min(event_id) AS event_id, count(*) AS repeats, any_value(event_type) AS event_type,
   CASE WHEN count(*) > 1 THEN '[repeated ' || count(*) || ' times] ' ELSE '' END || any_value(event_type) AS collapsed
 FROM r GROUP BY user_id, run""")
-def _l8(spark, sf_dir):
+def _l8(spark, sf_dir, **chunks):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return O.collapse_repeats(rows, ["user_id"], "event_id", "event_type")
+    return O.collapse_repeats(rows, ["user_id"], "event_id", "event_type", **chunks)
+
+
+chunked("l8_collapse_repeats", _l8)
 
 
 @query("l9_log_report", f"""WITH {PARSED}, stopped AS (
@@ -124,8 +127,11 @@ r AS (SELECT *, sum(begins) OVER (PARTITION BY stream ORDER BY seq) AS run FROM
 SELECT stream, 'formatted' AS part, seq, formatted AS text FROM lined
 UNION ALL SELECT stream, 'brief', min(seq), CASE WHEN count(*) > 1 THEN '[repeated ' || count(*) || ' times] ' ELSE '' END || any_value(line)
 FROM r GROUP BY stream, run""")
-def _l9(spark, sf_dir):
-    return O.log_report(log_lines(spark, sf_dir))
+def _l9(spark, sf_dir, **chunks):
+    return O.log_report(log_lines(spark, sf_dir), **chunks)
+
+
+chunked("l9_log_report", _l9)
 
 
 LEVELS = ("error", "critical", "fatal", "warning", "info", "debug", "trace")

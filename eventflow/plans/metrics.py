@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventflow.operators import metrics as M
-from eventflow.plans import query
+from eventflow.plans import chunked, query
 from eventflow.plans.tables import EVENTS, events, table
 
 LABELLED = f"""{EVENTS}, lab AS (SELECT *, 'default' AS namespace, 'project-' || (user_id % 3) AS project, 'fn-' || topic AS "function",
@@ -64,14 +64,17 @@ SELECT event_id, handled - coalesce(lag(handled) OVER w, 0) AS handled_delta,
   spent - coalesce(lag(spent) OVER w, 0) AS spent_delta
 FROM (SELECT *, event_id * 3 AS handled, event_id * 5 + duration_ms AS spent FROM ev)
 WINDOW w AS (PARTITION BY topic, shard_id ORDER BY ts)""")
-def _m4(spark, sf_dir):
+def _m4(spark, sf_dir, **chunks):
     snaps = events(spark, sf_dir).select(
         "event_id", "topic", "shard_id", "ts", (F.col("event_id") * 3).alias("handled"),
         (F.col("event_id") * 5 + F.col("duration_ms")).alias("spent"))
-    return M.counter_delta(snaps, ["topic", "shard_id"], "ts", ["handled", "spent"]).select(
+    return M.counter_delta(snaps, ["topic", "shard_id"], "ts", ["handled", "spent"], **chunks).select(
         "event_id", "handled_delta", "spent_delta")
 
 
+chunked("m4_counter_delta", _m4)
+
+
 @query("m5_allocation_stats", f"""WITH {EVENTS}, a AS (SELECT *, 't' || shard_id AS trigger_id,
   CASE WHEN status_code = 500 THEN 'timeout' WHEN status_code = 404 THEN 'after_wait' ELSE 'immediate' END AS result,
   CAST(floor((event_id % 7) * 100 / 6.0) AS BIGINT) AS pct FROM ev)
