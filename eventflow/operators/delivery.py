@@ -116,13 +116,15 @@ def lag_metrics(positions: DataFrame, labels: tuple[str, ...] = ("function", "tr
                                        "stream_high_water_mark_committed_lag"], "metric", "value")
 
 
-def redelivered(log: DataFrame, commits: DataFrame, style: str = "kafka") -> DataFrame:
+def redelivered(log: DataFrame, commits: DataFrame, style: str = "kafka", most: int = 100_000) -> DataFrame:
     """Records delivered (again) after a restart: Kafka from the committed offset on, stream after it.
 
-    Shards without a commit are delivered whole.
+    Shards without a commit are delivered whole.  `commits` has a row per shard; it is counted, and
+    up to `most` rows are broadcast, so that the log is not shuffled.  Beyond, the join is Spark's choice.
     """
     at = commits.select(*SHARD, F.col("committed").alias("__committed"))
     past = (F.col("offset") >= F.col("__committed")) if style == "kafka" else (F.col("offset") > F.col("__committed"))
+    at = F.broadcast(at) if at.limit(most + 1).count() <= most else at
     return (log.join(at, list(SHARD), "left").filter(F.col("__committed").isNull() | past).drop("__committed"))
 
 

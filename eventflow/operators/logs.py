@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventflow.functions import logtext as L
 from eventflow.operators.ordered import CHUNK_ROWS, ordered
+from eventflow.session import written
 
 EVENT_LOG_BYTES = 4096
 HOT_SHARE = 10_000
@@ -116,14 +117,16 @@ def log_report(lines: DataFrame, keys: Sequence[str] = ("stream",), order: str =
 
     `part` is ``formatted`` (every line) or ``brief`` (errors, repeats collapsed); lines follow
     `order` within (stream, part).  A report is not put into one text, as a stream has no size
-    limit; write it sorted by (keys, part, order).
+    limit; write it sorted by (keys, part, order).  The parsed lines are written once to the shared
+    folder, as the report reads them several times.
     """
-    marked = suppress_after_panic(parse_logs(lines, column), keys, order, column)
+    seen = [*keys, order, *{column, "text", "formatted", "brief", "raw", "brief_raw"}]
+    marked = written(suppress_after_panic(parse_logs(lines, column), keys, order, column).select(*seen), "parsed")
     formatted = marked.select(*keys, F.lit("formatted").alias("part"), order,
                               L.unescape(F.col("formatted")).alias("text"))
     short = marked.filter((F.coalesce("brief", F.lit(False)) & (F.col("raw") | (F.col("text") != ""))) | F.col("brief_raw")).select(
         *keys, order, F.when(F.col("raw"), F.col(column)).otherwise(F.col("text")).alias("__text"))
-    brief = collapse_repeats(short, keys, order, "__text", chunk_rows, lines.count()).select(
+    brief = collapse_repeats(short, keys, order, "__text", chunk_rows).select(
         *keys, F.lit("brief").alias("part"), order, L.unescape(F.col("collapsed")).alias("text"))
     return formatted.unionByName(brief)
 

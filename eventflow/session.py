@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Every entry is a public Spark setting.  None of them changes results; they keep hot keys,
 # spills and streaming state under control on a large cluster.
@@ -34,6 +35,14 @@ def build_session(app: str = "eventflow", master: str | None = None, **overrides
     return builder.getOrCreate()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, however often it is read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written intermediates and streaming checkpoints.
 
