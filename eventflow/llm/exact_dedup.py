@@ -86,7 +86,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     named = document_names(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", block)
     named = named.select("row", "level", "name", "doc.*")
     rank = F.struct((-F.col("n_chars__")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), F.col("row").alias("row"))
-    groups = named.groupBy("level", "name").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
+    # written, so that the join with it can be split where a group is large
+    groups = stored(named.groupBy("level", "name").agg(F.min(rank).alias("best"), F.count("*").alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha__").alias("text_sha256"))
