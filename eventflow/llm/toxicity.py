@@ -64,9 +64,9 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     masked = MASKED.findall(text)
     plain = [re.sub(r"[^\w]|_", "", "".join(LEET.get(c, c) for c in m.lower())) for m in masked]
     raw = text.encode()
-    size = max(1, len(raw))
+    share = lambda marks: (len(raw) - len(raw.translate(None, marks))) / max(1, len(raw))
     return [math.log1p(len(at)), len(at) / n, math.log1p(len({words[i] for i in at})), math.log1p(weak), weak / n, math.log1p(stems), stems / n,
-            math.log1p(insults), near / n, 1 - len(raw.translate(None, UPPER)) / size, 1 - len(raw.translate(None, PUNCTUATION)) / size,
+            math.log1p(insults), near / n, share(UPPER), share(PUNCTUATION),
             len(masked) / n, math.log1p(sum(p in lexicon.strong or p in INSULT_SET for p in plain)), math.log1p(len(words))]
 
 
