@@ -2,7 +2,8 @@
 
 One permutation spreads the shingles over a ring of 2^64 places; a second one, shifted along the ring by k, gives coordinate k
 of the signature.  Bands of coordinates name buckets.  Texts that share a bucket are compared in full, but not all pairs of a
-bucket: first each with one pivot, then, where a bucket still holds several components, across these.
+bucket: first each with one pivot; then the texts of buckets that still hold several components are compared across these,
+where a prefix filter over their shingles leaves a similar pair possible.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import filled, is_empty, matching, stored
 from .components import components
 from .tokens import by_bytes
 
 WIDTH = 5  # words of a shingle
-BANDS, ROWS = 24, 4  # a pair with similarity 0.85 shares no band once in 5 * 10^7, fewer than two once in 10^6
-PER_MEMBER = 16  # pairs across components for each member of a bucket, before the bucket is split by a second band
+BANDS, ROWS = 24, 4  # a pair with similarity 0.85 shares no band once in 5 * 10^7
 BOUND = 500_000  # ids that may be broadcast
 SLICE = 1 << 15  # shingles hashed at a time, to stay in the processor's cache
 GROUP = 1 << 19  # characters hashed at a time
@@ -161,6 +162,8 @@ def _compare(width: int, percent: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of ids (a stored table) those whose full sets are similar enough; `docs` is (doc_id, text)."""
+    if is_empty(pairs):
+        return pairs
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = matching(docs, ids, ["doc_id"], BOUND)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -174,26 +177,43 @@ def _close(percent: int, n: str, m: str) -> Column:
     return (100 * F.least(n, m)) >= percent * F.greatest(n, m)
 
 
-def _across(members: DataFrame, percent: int, deeper: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket and are of two components; `members` is (key, node, n, comp, bands).
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, done = batch.column("doc_id"), 0
+            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+                split = [word_list(t) for t in group]
+                hashes = word_hashes([w for ws in split for w in ws])
+                ends = np.cumsum([len(ws) for ws in split])
+                sets = [shingle_hashes(hashes[e - len(ws):e], width) for ws, e in zip(split, ends)]
+                at = np.repeat(np.arange(len(group)), [len(s) for s in sets]) + done
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(np.concatenate(sets).view(np.int64))], ["node", "h"])
+                done += len(group)
 
-    A bucket with many such pairs for each member is split by a second band, and then a third: a pair with similarity 0.85
-    shares fewer than three bands once in 10^5, and more similar ones far more rarely.
+    return run
+
+
+def _across(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) of `nodes` (a stored table of node, n, comp) of two components that may be similar enough.
+
+    Every similar pair is among them, by the prefix filter: with shingles ordered from rare to common, two such sets share one
+    of their first n - ceil(n * percent / 100) + 1.  What a whole group has in common comes last, so a group of texts that are
+    alike but not alike enough gives few pairs.
     """
-    groups = members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(
-        F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("comps")).filter("comps > 1")
-    groups = stored(groups, "groups")
-    pairs = (F.col("all") * F.col("all") - F.col("own")) / 2
-    marked = members.join(groups.select("key", (pairs > PER_MEMBER * F.col("all")).alias("crowded")), "key")
-    left = marked if deeper <= 0 else marked.filter(~F.col("crowded"))
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    out = left.select("key", F.col("node").alias("a"), "n", "comp").join(other, "key").filter((F.col("comp") < F.col("other")) & _close(percent, "n", "m"))
-    out = out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    if deeper <= 0 or is_empty(crowded := stored(marked.filter("crowded"), "crowded")):
-        return out
-    split = crowded.select("node", "n", "comp", "bands", "key", F.explode("bands").alias("second"))
-    split = split.filter("second <> key").select(F.xxhash64("key", "second").alias("key"), "node", "n", "comp", "bands")
-    return out.unionAll(_across(stored(split, "split"), percent, deeper - 1))
+    texts = matching(docs, stored(nodes.select(F.col("node").alias("doc_id")), "ids"), ["doc_id"], BOUND)
+    kind = nodes.schema["node"].dataType.simpleString()
+    rows = stored(texts.mapInArrow(_shingle_rows(width), f"node {kind}, h bigint"), "shingles")
+    common = stored(rows.groupBy("h").agg(F.count("*").alias("f")).filter("f > 1"), "common")
+    by_node = Window.partitionBy("node")
+    placed = rows.join(common, "h").withColumns({
+        "rank": F.row_number().over(by_node.orderBy("f", "h")), "known": F.count("*").over(by_node)}).join(nodes, "node")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    placed = stored(placed.filter(F.col("rank") <= prefix - F.col("n") + F.col("known")).select("h", "node", "n", "comp"), "prefixes")
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
+    left = placed.join(stored(mixed, "mixed"), "h")
+    other = left.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+    pairs = left.join(other, "h").filter((F.col("comp") < F.col("other")) & _close(percent, "n", "m"))
+    return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS,
@@ -206,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     a row with null id is linked with nothing, has a null component and is kept.  Other columns are not read.
 
     Links are found by shared bands and confirmed on the full sets; texts of the same words are one node.  Of the pairs of a
-    bucket only those are left out whose ends are known to be in one component.
+    bucket only those are left out whose ends are known to be in one component, or that cannot be similar enough.
     """
     frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
@@ -215,6 +235,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     nodes = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
 
+    # which nodes a document's rows are; rows of several texts under one id link these
+    owners = stored(usable.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node").distinct(), "owners")
+    torn = owners.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("doc_id", "b")
+    torn = owners.join(torn, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+
     members = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last")
     shared = stored(members.join(stored(buckets.select("key", "pivot"), "buckets"), "key"), "shared")
@@ -222,20 +247,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     first = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n").distinct()
     first = stored(first.join(sizes, "b").filter(_close(percent, "n", "m")).select("a", "b"), "pairs")
     links = confirmed(first, frame, width, percent)
+    found = stored(components(links.unionAll(torn)), "components")
 
-    found = stored(components(links), "components")
     comp = F.coalesce("component", "node").alias("comp")
-    several = shared.join(found, "node", "left").select("key", "node", "n", comp)
-    several = stored(several, "labelled")
+    several = stored(shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", comp), "labelled")
     mixed = several.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
-    several = several.join(stored(mixed, "mixed"), "key").join(nodes.select("node", "bands"), "node").select("key", "node", "n", "comp", "bands")
-    rest = _across(stored(several, "several"), percent, 2).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(stored(rest, "pairs"), frame, width, percent)
-
-    copies = usable.join(nodes.select("digest", "node"), "digest").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = components(links.unionAll(more).unionAll(copies))
+    open_nodes = stored(several.join(stored(mixed, "mixed"), "key").select("node", "n", "comp").distinct(), "open")
+    if is_empty(open_nodes):
+        more = links.limit(0)
+    else:
+        rest = _across(open_nodes, frame, percent, width).join(first, ["a", "b"], "left_anti")
+        more = confirmed(stored(rest, "pairs"), frame, width, percent)
+
+    # what the second links join are components, of which there are few
+    labels = owners.join(found, "node", "left").select("doc_id", "node", comp)
+    ends = labels.select("node", "comp").distinct()
+    more = more.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = components(more).toDF("comp", "component")
+    labels = labels.join(joined, "comp", "left").select("doc_id", F.coalesce("component", "comp").alias("component")).distinct()
     component = F.coalesce("component", "doc_id")
-    return sketches.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    return sketches.join(labels, "doc_id", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 

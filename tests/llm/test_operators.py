@@ -202,8 +202,7 @@ def test_near_duplicates_are_all_found(spark):
     assert got == sorted(brute_components(rows))
 
 
-def test_near_duplicates_of_crowded_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PER_MEMBER", 0)
+def test_near_duplicates_of_other_groups(spark):
     rows = near_rows(1)
     assert sorted(tuple(r) for r in minhash.near_duplicates(docs(spark, rows)).collect()) == sorted(brute_components(rows))
 
