@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +34,15 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
-    frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
+    # the task's number comes with the rows, so that it stays when a caller merges tasks
+    frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"), F.spark_partition_id().alias("task"))
     of_id = frame.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encoder = remembered(Encoder, tokenizer)
-        task, used = TaskContext.get().partitionId(), np.zeros(64, np.int64).tolist()
+        used = [0] * 64
         for batch in batches:
+            task = batch.column("task")[0].as_py() if len(batch) else 0
             names = iter(batch.column("doc_id").to_pylist())
             for group in by_bytes(batch.column("text").to_pylist()):
                 for ids in encoder.encode(group):
