@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import filled, matching, stored
-from .minhash import GROUP, U, _powers, mix, word_hashes
+from .minhash import GROUP, U, _powers, mix
 from .tokens import by_bytes
 
 MIN_WORDS = 50
@@ -29,6 +29,7 @@ CUT = 8  # one word in so many ends a line
 CHUNK = 2  # one line in so many ends a chunk
 BOUND = 500_000  # ids that may be broadcast
 ENDS = np.frombuffer(b".!?", np.uint8)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())]))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -57,34 +58,37 @@ def stretches(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.n
 
 def chunks_of(texts: list[str]) -> Chunks:
     """The chunks of each text: hash, number of the text, first word, words, and the words of the chunks before and after."""
-    lines = [[line.split() for line in t.encode().split(b"\n")] for t in texts]
-    words = [w for doc in lines for line in doc for w in line]
-    if not words:
+    raw = [t.encode() for t in texts]
+    joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    blank = BLANK[joined]
+    edges = np.flatnonzero(np.diff(blank, prepend=True))  # words begin and end by turns
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
         empty = np.empty(0, np.int64)
-        return Chunks(empty.view(U), empty, empty, empty, empty, empty)
-    line_sizes = np.array([len(line) for doc in lines for line in doc if line])
-    doc_sizes = np.array([sum(map(len, doc)) for doc in lines])
-    hashes = word_hashes(words)
-    last = np.fromiter((w[-1] for w in words), np.uint8, len(words))
-    cut = np.isin(last, ENDS) | (hashes % U(CUT) == 0)
-    cut[line_sizes.cumsum() - 1] = True
+        return Chunks(empty.view(U), *[empty] * 5)
+    sums, down = running(joined + U(1))
+    hashes = stretches(sums, down, starts, ends)
+    offsets = np.cumsum([0, *[len(r) + 1 for r in raw[:-1]]])
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    sizes = np.bincount(doc, minlength=len(texts))
+    feeds = np.cumsum(joined == 10)
+    cut = np.isin(joined[ends - 1], ENDS) | (hashes % U(CUT) == 0) | (feeds[np.append(starts[1:], len(joined)) - 1] > feeds[ends - 1])
+    first_word = sizes.cumsum() - sizes
+
     sums, down = running(hashes)
     ends = np.flatnonzero(cut) + 1
     starts = np.append(0, ends[:-1])
-    line_hashes = stretches(sums, down, starts, ends)
-    doc_ends = doc_sizes[doc_sizes > 0].cumsum()
-    opens = np.isin(starts, np.append(0, doc_ends))
-    previous = np.where(opens, U(0), np.append(U(0), line_hashes[:-1]))
-    rolling = mix(previous * U(0x9FB21C651E98DF25) + line_hashes, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-    closes = (rolling % U(CHUNK) == 0) | np.isin(ends, doc_ends)
-    ends = ends[closes]
+    lines = stretches(sums, down, starts, ends)
+    opens = doc[starts] != np.append(-1, doc[starts[:-1]])
+    previous = np.where(opens, U(0), np.append(U(0), lines[:-1]))
+    rolling = mix(previous * U(0x9FB21C651E98DF25) + lines, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+    ends = ends[(rolling % U(CHUNK) == 0) | np.append(opens[1:], True)]
     starts = np.append(0, ends[:-1])
-    doc = np.repeat(np.arange(len(texts)), doc_sizes)[starts]
-    sizes = ends - starts
+    doc, words = doc[starts], ends - starts
     same = np.append(doc[1:] == doc[:-1], False)
-    after = np.where(same, np.append(sizes[1:], 0), 0)
-    before = np.append(0, np.where(same[:-1], sizes[:-1], 0))
-    return Chunks(stretches(sums, down, starts, ends), doc, starts - (doc_sizes.cumsum() - doc_sizes)[doc], sizes, before, after)
+    after = np.where(same, np.append(words[1:], 0), 0)
+    before = np.append(0, np.where(same[:-1], words[:-1], 0))
+    return Chunks(stretches(sums, down, starts, ends), doc, starts - first_word[doc], words, before, after)
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +169,12 @@ def repeated_words(words: list[bytes], runs: list[dict]) -> np.ndarray:
 def without(text: str, runs: list[dict], min_words: int) -> tuple[str, list[tuple[int, int]]]:
     """The text without its stretches of at least `min_words` repeated words, and these as (first word, words)."""
     raw = text.encode()
-    spans = [m.span() for m in WORD.finditer(raw)]
-    repeated = repeated_words([raw[a:b] for a, b in spans], runs)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated, [False]]))).reshape(-1, 2)
+    words = raw.split()
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], repeated_words(words, runs), [False]]))).reshape(-1, 2)
     gone = [(int(a), int(b - a)) for a, b in edges if b - a >= min_words]
     if not gone:
         return text, []
+    spans = [m.span() for m in WORD.finditer(raw)]
     kept, at = [], 0
     for first, n in gone:
         kept.append(raw[at:spans[first][0]])
