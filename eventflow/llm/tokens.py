@@ -7,11 +7,13 @@ safe boundaries also let a batch encode each distinct part once, however often i
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
-MEMORY = 400_000  # distinct parts a worker remembers; beyond that it starts anew
+MEMORY = 900_000  # distinct parts a worker remembers (under 400 MB); beyond that it starts anew
 BATCH_BYTES = 1 << 20  # text encoded at a time
 HUGE = 1 << 44  # count of a part that must not stand alone
 ODD_SPACE = "\u180e\u200b\ufeff"  # space to some Unicode versions
@@ -91,43 +93,92 @@ class Counter:
         return out
 
 
+#: Letters that are lower case, one code point and composed, then punctuation: a word tokenizer always splits between the two.
+PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([-!#$%&()*+,./:;=?@_{}~\"]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def lowered(text: str) -> str:
+    """Lower case, which is all that such a tokenizer sees, where it goes by character and no control string can be in the text."""
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
-    """Token ids with a tokenizer that drops space and merges only within words: any blank is a safe boundary."""
+    """Token ids with a tokenizer that drops space and case and merges only within words: any blank is a safe boundary.
+
+    Words are remembered by their number.  Plain ones are letters, which go straight to the tokenizer's model, and punctuation
+    behind them; all others are encoded whole.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[str, int] = {}  # of words, in `starts` and `lengths`
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _letters(self, stem: str) -> list[int]:
+        ids = self.parts.get(stem)
+        if ids is None:
+            known = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[stem] = [t.id for t in self.model.tokenize(known)]
+        return ids
+
+    def _whole(self, words: list[str]) -> None:
+        for group in by_bytes(words):
+            found = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+            self.parts.update((w, e.ids) for w, e in zip(group, found))
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        for group in by_bytes(new):
-            for word, found in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                ids = found.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.place[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.lengths.append(len(ids))
-                self.used += len(ids)
+        new = list(words.difference(self.place))
+        split = [PLAIN.fullmatch(w) for w in new]
+        self._whole(list({m[2] if m else w for w, m in zip(new, split)}.difference(self.parts)))
+        ids = [self._letters(m[1]) + self.parts[m[2]] if m else self.parts[w] for w, m in zip(new, split)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, n, total = len(self.place), len(new), int(sizes.sum())
+        self.flat = _room(self.flat, self.used + total)
+        self.starts, self.lengths = _room(self.starts, first + n), _room(self.lengths, first + n)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.lengths[first:first + n] = sizes
+        self.starts[first:first + n] = self.used + sizes.cumsum() - sizes
+        self.place.update(zip(new, range(first, first + n)))
+        self.used += total
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.place) > MEMORY:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
         self._learn(set().union(*split))
-        starts, lengths = np.array(self.starts, np.int64), np.array(self.lengths, np.int64)
         out = []
         for words in split:
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            n = lengths[at]
+            n = self.lengths[at]
             ends = n.cumsum()
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)])
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + n, n)])
         return out
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size` entries, doubled as often as needed."""
+    grown = len(array)
+    while grown < size:
+        grown *= 2
+    return array if grown == len(array) else np.concatenate([array, np.empty(grown - len(array), array.dtype)])
