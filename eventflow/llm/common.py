@@ -17,12 +17,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+FILE_ROWS = 250_000
+
+
+def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """`df` written to the cluster's shared folder and read back.
 
-    Cuts the lineage and fixes row numbers: what follows reads files that outlive any executor.
+    Cuts the lineage and fixes row numbers: what follows reads files that outlive any executor.  Where it is known that there
+    are at most `most` (short) rows, they are written by no more tasks than these need.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

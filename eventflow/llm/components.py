@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in the links (a, b): the least node that can be reached.  Loops link nothing."""
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while not _are_stars(edges):
-        edges = stored(_small_star(_large_star(edges)), "links")
+        # a star has as many edges as it replaces, or fewer, and one for each node it is made around
+        edges = stored(_small_star(_large_star(edges)), "links", 2 * edges.count())
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionAll(ends.select("component", "component").distinct())

@@ -30,9 +30,9 @@ def hashed(block: Column, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(2 * seed), block).alias("h1"), F.xxhash64(F.lit(2 * seed + 1), block).alias("h2")]
 
 
-def numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
+def numbered(distinct: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
     """Distinct keys, sorted within their partition and numbered; written, so that the numbers stay."""
-    return stored(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+    return stored(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names", most)
 
 
 def block_names(docs: DataFrame, text: str, block: int) -> tuple[DataFrame, int]:
@@ -66,11 +66,12 @@ def document_names(docs: DataFrame, text: str = "text", block: int = BLOCK) -> D
     level = 0
     while not is_empty(nodes := nodes.filter("n > 1")):
         level += 1
+        most = nodes.count()
         left = F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a")
         right = F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NONE)).alias("b")
         pairs = nodes.groupBy("row", F.ceil(F.col("n") / 2).alias("n"), F.floor(F.col("pos") / 2).alias("pos")).agg(left, right)
-        names = numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("uses")).select("a", "b"), ["a", "b"])
-        nodes = stored(pairs.join(names, ["a", "b"]).select("row", "n", "pos", "name"), "nodes")
+        names = numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("uses")).select("a", "b"), ["a", "b"], most)
+        nodes = stored(pairs.join(names, ["a", "b"]).select("row", "n", "pos", "name"), "nodes", most)
         done = done.unionAll(nodes.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
     empty = rows.filter(F.size("hashes") == 0).select("row", F.lit(NONE).alias("level"), F.lit(0).cast("long").alias("name"))
     return rows.select("row", "doc").join(done.unionAll(empty), "row")

@@ -164,7 +164,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     """Of the pairs (a, b) of ids (a stored table) those whose full sets are similar enough; `docs` is (doc_id, text)."""
     if is_empty(pairs):
         return pairs
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    most = pairs.count()
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).distinct().union(pairs.select("b").distinct()).distinct(), "ids", 2 * most)
     texts = matching(docs, ids, ["doc_id"], BOUND)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -197,7 +198,7 @@ def _across(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     """Pairs (a, b) of `nodes` (a stored table of node, n, comp) of two components that may be similar enough.
 
     Every similar pair is among them, by the prefix filter: with shingles ordered from rare to common, two such sets share one
-    of their first n - ceil(n * percent / 100) + 1.  What a whole group has in common comes last, so a group of texts that are
+    of their first n - ceil(n * percent / 100) + 1, and enough can follow the first that they share.  What a whole group has in common comes last, so a group of texts that are
     alike but not alike enough gives few pairs.
     """
     texts = matching(docs, stored(nodes.select(F.col("node").alias("doc_id")), "ids"), ["doc_id"], BOUND)
@@ -208,11 +209,16 @@ def _across(nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> Data
     placed = rows.join(common, "h").withColumns({
         "rank": F.row_number().over(by_node.orderBy("f", "h")), "known": F.count("*").over(by_node)}).join(nodes, "node")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    placed = stored(placed.filter(F.col("rank") <= prefix - F.col("n") + F.col("known")).select("h", "node", "n", "comp"), "prefixes")
+    # shingles of no other node come first, so they are counted, not kept
+    placed = placed.withColumn("pos", F.col("n") - F.col("known") + F.col("rank")).filter(F.col("pos") <= prefix)
+    placed = stored(placed.select("h", "node", "n", "comp", "pos"), "prefixes")
     mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("h")
     left = placed.join(stored(mixed, "mixed"), "h")
-    other = left.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    pairs = left.join(other, "h").filter((F.col("comp") < F.col("other")) & _close(percent, "n", "m"))
+    other = left.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("pos").alias("at"))
+    # two sets whose first common shingle is this one have at most it and what comes behind it in common
+    most = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+    enough = most * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    pairs = left.join(other, "h").filter((F.col("comp") < F.col("other")) & _close(percent, "n", "m") & enough)
     return pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
@@ -247,7 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     first = shared.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n").distinct()
     first = stored(first.join(sizes, "b").filter(_close(percent, "n", "m")).select("a", "b"), "pairs")
     links = confirmed(first, frame, width, percent)
-    found = stored(components(links.unionAll(torn)), "components")
+    found = components(links.unionAll(torn))
 
     comp = F.coalesce("component", "node").alias("comp")
     several = stored(shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", comp), "labelled")
