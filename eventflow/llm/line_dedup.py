@@ -1,9 +1,8 @@
-"""Line dedup with content-defined chunks of lines.
+"""Line dedup with content-defined chunks of passages.
 
-Texts are cut into lines, and long lines into shorter ones at ends of sentences and at words that their own hash chooses.  A
-rolling hash over the hashes of two adjacent lines chooses where chunks end, so a passage has the same chunks wherever it
-stands.  Chunks whose hash occurs in several documents lead to the earlier document; there and here the words are compared
-as bytes, the match is extended to both sides, and long enough repeats are removed from the later document.
+A window of `min_words` words is named by the least hash of the short shingles in it, so equal windows have equal names wherever
+they stand, and neighbouring windows of one name are a chunk.  Windows of chunks whose name occurs in several documents are
+hashed whole; those of an earlier document too lead there.  The words are compared as bytes and removed from the later document.
 """
 
 from __future__ import annotations
@@ -24,11 +23,7 @@ from .minhash import GROUP, U, _powers, mix
 from .tokens import by_bytes
 
 MIN_WORDS = 50
-CONTEXT = 128  # words to each side of a run that are compared too
-CUT = 8  # one word in so many ends a line
-CHUNK = 2  # one line in so many ends a chunk
 BOUND = 500_000  # ids that may be broadcast
-ENDS = np.frombuffer(b".!?", np.uint8)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())]))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -37,10 +32,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 class Chunks(NamedTuple):
     hash: np.ndarray
     doc: np.ndarray
-    pos: np.ndarray
-    words: np.ndarray
-    before: np.ndarray
-    after: np.ndarray
+    first: np.ndarray
+    windows: np.ndarray
 
 
 def running(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,113 +49,137 @@ def stretches(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.n
     return mix(total + (ends - starts).astype(U), 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
-def chunks_of(texts: list[str]) -> Chunks:
-    """The chunks of each text: hash, number of the text, first word, words, and the words of the chunks before and after."""
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, and the number of its text."""
     raw = [t.encode() for t in texts]
     joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    blank = BLANK[joined]
-    edges = np.flatnonzero(np.diff(blank, prepend=True))  # words begin and end by turns
+    edges = np.flatnonzero(np.diff(BLANK[joined], prepend=True))  # words begin and end by turns
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        empty = np.empty(0, np.int64)
-        return Chunks(empty.view(U), *[empty] * 5)
     sums, down = running(joined + U(1))
-    hashes = stretches(sums, down, starts, ends)
     offsets = np.cumsum([0, *[len(r) + 1 for r in raw[:-1]]])
-    doc = np.searchsorted(offsets, starts, side="right") - 1
-    sizes = np.bincount(doc, minlength=len(texts))
-    feeds = np.cumsum(joined == 10)
-    cut = np.isin(joined[ends - 1], ENDS) | (hashes % U(CUT) == 0) | (feeds[np.append(starts[1:], len(joined)) - 1] > feeds[ends - 1])
-    first_word = sizes.cumsum() - sizes
+    return stretches(sums, down, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+
+
+def least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` adjacent values: of the end of one block and the start of the next."""
+    n = len(values)
+    blocks = np.full((-(-n // width), width), np.iinfo(U).max, U)
+    blocks.ravel()[:n] = values
+    fore = np.minimum.accumulate(blocks, 1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(back[:n - width + 1], fore[width - 1:n])
 
+
+def chunks_of(texts: list[str], min_words: int = MIN_WORDS) -> Chunks:
+    """The chunks of each text: hash, number of the text, first word of the first window, and windows.
+
+    Every `min_words` words in a row are a window of exactly one chunk, whose hash follows from these words alone.
+    """
+    hashes, doc = words_of(texts)
+    n, span = len(hashes) - min_words + 1, (min_words + 2) // 3
+    if n <= 0:
+        empty = np.empty(0, np.int64)
+        return Chunks(empty.view(U), *[empty] * 3)
     sums, down = running(hashes)
-    ends = np.flatnonzero(cut) + 1
-    starts = np.append(0, ends[:-1])
-    lines = stretches(sums, down, starts, ends)
-    opens = doc[starts] != np.append(-1, doc[starts[:-1]])
-    previous = np.where(opens, U(0), np.append(U(0), lines[:-1]))
-    rolling = mix(previous * U(0x9FB21C651E98DF25) + lines, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-    ends = ends[(rolling % U(CHUNK) == 0) | np.append(opens[1:], True)]
-    starts = np.append(0, ends[:-1])
-    doc, words = doc[starts], ends - starts
-    same = np.append(doc[1:] == doc[:-1], False)
-    after = np.where(same, np.append(words[1:], 0), 0)
-    before = np.append(0, np.where(same[:-1], words[:-1], 0))
-    return Chunks(stretches(sums, down, starts, ends), doc, starts - first_word[doc], words, before, after)
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, done = batch.column("id"), 0
-        for group in by_bytes(batch.column("text").to_pylist(), GROUP):
-            c = chunks_of(group)
-            at = pa.array(c.doc + done)
-            yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(at), batch.column("tag").take(at),
-                                              *[pa.array(x.astype(np.int32)) for x in c[2:]]], ["h", "id", "tag", "pos", "words", "before", "after"])
-            done += len(group)
+    at = np.arange(len(hashes) - span + 1)
+    names = least(stretches(sums, down, at, at + span), min_words - span + 1)
+    inside = doc[:n] == doc[min_words - 1:]
+    opens = np.append(True, (names[1:] != names[:-1]) | (doc[1:n] != doc[:n - 1])) & inside
+    first = np.flatnonzero(opens)
+    windows = np.add.reduceat(inside.astype(np.int64), first) if len(first) else first
+    return Chunks(names[first], doc[first], first - np.searchsorted(doc, doc[first]), windows)
+
+
+def _chunk_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, done = batch.column("id"), 0
+            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+                c = chunks_of(group, min_words)
+                at = pa.array(c.doc + done)
+                yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(at), batch.column("tag").take(at),
+                                                  *[pa.array(x.astype(np.int32)) for x in c[2:]]], ["h", "id", "tag", "first", "windows"])
+                done += len(group)
+
+    return run
+
+
+def windows_of(texts: list[str], chunks: list[list[dict]], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the given chunks of each text: hash, number of the text, first word."""
+    hashes, doc = words_of(texts)
+    sums, down = running(hashes)
+    begins = np.searchsorted(doc, np.arange(len(texts) + 1))
+    number = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
+    first = np.array([c["first"] for g in chunks for c in g], np.int64)
+    windows = np.array([c["windows"] for g in chunks for c in g], np.int64)
+    number, ends = np.repeat(number, windows), windows.cumsum()
+    pos = np.arange(len(number)) + np.repeat(first - ends + windows, windows)
+    fits = pos + min_words <= np.diff(begins)[number]
+    number, pos = number[fits], pos[fits]
+    at = begins[number] + pos
+    return stretches(sums, down, at, at + min_words), number, pos
+
+
+def _window_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, chunks, done = batch.column("id"), batch.column("chunks").to_pylist(), 0
+            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+                hashes, number, pos = windows_of(group, chunks[done:done + len(group)], min_words)
+                at = pa.array(number + done)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(at), batch.column("tag").take(at), pa.array(pos.astype(np.int32))],
+                                                 ["w", "id", "tag", "pos"])
+                done += len(group)
+
+    return run
 
 
 def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs of repeated chunks that may belong to a repeat of `min_words`; `docs` is (id, tag, text).
+    """Stretches of windows that an earlier document has too; `docs` is (id, tag, text).
 
-    (id, tag, start, words, keeper, at, before, after): words from `start` of document `id` seem to stand at word `at` of the
-    earlier document `keeper`; a longer match is looked for up to `before` and `after` words further.  Past the chunks next to
-    a stretch of repeated ones there is none, since such a chunk would be repeated itself.
+    (id, tag, keeper, at, words, starts): `words` words from each of `starts` of document `id` seem to stand at word `at` of the
+    document `keeper`, the earliest that has them.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    chunks = docs.filter("id is not null").mapInArrow(_chunk_rows, f"h bigint, id {kind}, tag int, pos int, words int, before int, after int")
-    several = chunks.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).filter("keeper < last")
-    found = stored(chunks.join(stored(several.select("h", "keeper"), "several"), "h"), "found")
-    at = stored(found.filter("id = keeper").groupBy("h").agg(F.min("pos").alias("at")), "at")
-    later = found.filter("id > keeper").distinct()  # rows may be repeated
-    # neighbouring chunks form a stretch, of which those from one place of one keeper form a run
+    docs = docs.filter("id is not null")
+    chunks = stored(docs.mapInArrow(_chunk_rows(min_words), f"h bigint, id {kind}, tag int, first int, windows int"), "chunks")
+    several = chunks.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("h")
+    found = chunks.join(stored(several, "several"), "h").select("id", "tag", "first", "windows").distinct()  # rows may be repeated
+    found = stored(found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows")).alias("chunks")), "found")
+    asked = matching(docs, found.select("id", "tag"), ["id", "tag"], BOUND).join(found, ["id", "tag"])
+    windows = stored(asked.mapInArrow(_window_rows(min_words), f"w bigint, id {kind}, tag int, pos int"), "windows")
+    earliest = windows.groupBy("w").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
+    earliest = stored(earliest.select("w", F.col("first.id").alias("keeper"), F.col("first.pos").alias("at")), "earliest")
+    later = windows.join(earliest, "w").filter("id > keeper").select("id", "tag", "pos", "keeper", "at").distinct()
+    # adjacent windows from one place of one keeper form a run
     order = Window.partitionBy("id", "tag").orderBy("pos")
-    ended = F.lag(F.col("pos") + F.col("words")).over(order)
-    later = later.withColumn("stretch", F.when(ended == F.col("pos"), 0).otherwise(1))
-    later = later.withColumn("stretch", F.sum("stretch").over(order))
-    whole = Window.partitionBy("id", "tag", "stretch")
-    later = later.withColumn("low", F.min(F.col("pos") - F.col("before")).over(whole))
-    later = later.withColumn("high", F.max(F.col("pos") + F.col("words") + F.col("after")).over(whole))
-    later = stored(later.filter(F.col("high") - F.col("low") >= min_words).drop("before", "after"), "later").join(at, "h")
-    shift = F.col("pos") - F.col("at")
-    along = Window.partitionBy("id", "tag", "stretch", "keeper").orderBy("pos")
-    goes_on = (F.lag(shift).over(along) == shift) & (F.lag(F.col("pos") + F.col("words")).over(along) == F.col("pos"))
-    later = later.withColumn("run", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("run").over(along))
-    return later.groupBy("id", "tag", "stretch", "keeper", "run").agg(
-        F.min("pos").alias("start"), F.sum("words").alias("words"), F.min("at").alias("at"),
-        F.least(F.lit(CONTEXT), F.min(F.col("pos") - F.col("low"))).alias("before"),
-        F.least(F.lit(CONTEXT), F.min(F.col("high") - F.col("pos") - F.col("words"))).alias("after")).drop("stretch", "run")
+    goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("keeper").over(order) == F.col("keeper"))
+    later = later.withColumn("run", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("run").over(order))
+    runs = later.groupBy("id", "tag", "keeper", "run").agg(F.min("pos").alias("start"), F.min("at").alias("at"), (F.count(F.lit(1)) + (min_words - 1)).alias("words"))
+    return runs.groupBy("id", "tag", "keeper", "at", "words").agg(F.collect_list("start").alias("starts"))
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keeper's words for each run, with as many before and after as a longer match can have."""
+    """The keeper's words for each run."""
     held, words = None, []
     for batch in batches:
-        out, leads = [], []
-        for text, at, n, before, after in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("at", "words", "before", "after"))):
+        out = []
+        for text, at, n in zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in ("at", "words"))):
             if text != held:
                 held, words = text, text.encode().split()
-            lead = min(before, at)
-            leads.append(lead)
-            out.append(b" ".join(words[at - lead:at + n + after]))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "tag", "start", "words")], pa.array(leads, pa.int32()), pa.array(out, pa.binary())],
-                                         ["id", "tag", "start", "words", "lead", "snippet"])
+            out.append(b" ".join(words[at:at + n]))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "tag", "starts")], pa.array(out, pa.binary())], ["id", "tag", "starts", "snippet"])
 
 
 def repeated_words(words: list[bytes], runs: list[dict]) -> np.ndarray:
-    """Which words stand in the snippets of the runs too, each run extended word by word to both sides."""
+    """Which words stand in the snippets of the runs too."""
     mark = np.zeros(len(words) + 1, np.int64)
     for run in runs:
-        other, lead, start, n = run["snippet"].split(), run["lead"], run["start"], run["words"]
-        if words[start:start + n] != other[lead:lead + n]:
-            continue
-        left, right = 0, n
-        while left < lead and left < start and words[start - left - 1] == other[lead - left - 1]:
-            left += 1
-        while lead + right < len(other) and start + right < len(words) and words[start + right] == other[lead + right]:
-            right += 1
-        mark[start - left] += 1
-        mark[start + right] -= 1
+        other = run["snippet"].split()
+        for start in run["starts"]:
+            if words[start:start + len(other)] == other:
+                mark[start] += 1
+                mark[start + len(other)] -= 1
     return mark.cumsum()[:-1] > 0
 
 
@@ -197,8 +214,8 @@ def _rewrite(text: str, min_words: int):
 def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with repeated passages taken out of `text`, and `removed`, what went, as (start, words) in words of the old text.
 
-    A word is ``[^\\x20\\x09-\\x0D]+``.  A passage goes when it has at least `min_words` words and each of them stands in a chunk
-    (or next to one, in the same order) that a document with a smaller id has too; so the first document keeps it.  White space
+    A word is ``[^\\x20\\x09-\\x0D]+``.  A word goes when it is one of `min_words` words in a row that a document with a smaller id
+    has in a row too; so the first document keeps them.  It is the given texts that count: words that a removal brings together are not looked at again.  White space
     between words is not compared; that behind a passage goes with it.  All else in a text stays byte for byte.  A document that
     is a whole copy keeps its row, with empty text.  Rows under one id never take a passage from each other; rows with null id or null text
     stay as they are, with nothing removed.  A column named `removed` is replaced; others pass through.
@@ -210,9 +227,9 @@ def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
     runs = stored(repeated_runs(frame, min_words), "runs")
     keepers = stored(runs.select(F.col("keeper").alias("id")).distinct(), "keepers")
     earlier = matching(frame.select("id", "text"), keepers, ["id"], BOUND).withColumnRenamed("id", "keeper")
-    asked = runs.join(earlier, "keeper").select("id", "tag", "start", "words", "at", "before", "after", "text")
-    asked = asked.mapInArrow(_snippets, f"id {kind}, tag int, start int, words bigint, lead int, snippet binary")
-    of_doc = stored(asked.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "words", "lead", "snippet")).alias("runs__")), "of_doc")
+    asked = runs.join(earlier, "keeper").select("id", "tag", "starts", "words", "at", "text")
+    asked = asked.mapInArrow(_snippets, f"id {kind}, tag int, starts array<int>, snippet binary")
+    of_doc = stored(asked.groupBy("id", "tag").agg(F.collect_list(F.struct("starts", "snippet")).alias("runs__")), "of_doc")
 
     found = of_doc.withColumnsRenamed({"id": doc_id, "tag": "tag__"})
     keys = found.select(doc_id, "tag__")

@@ -254,6 +254,32 @@ def test_passages(spark):
     assert line_dedup.with_removed(docs(spark, [])).count() == 0
 
 
+def gone_words(texts, n):
+    """By brute force, the places of words in n words that a text with a smaller id has too."""
+    first = {}
+    for i, t in sorted(texts.items()):
+        ws = t.split()
+        for k in range(len(ws) - n + 1):
+            first.setdefault(tuple(ws[k:k + n]), i)
+    return {i: {k + j for k in range(len(ws) - n + 1) if first[tuple(ws[k:k + n])] < i for j in range(n)}
+            for i, ws in ((i, t.split()) for i, t in texts.items())}
+
+
+def removed_words(spark, texts, n=50):
+    out = line_dedup.with_removed(docs(spark, list(texts.items())), n).collect()
+    return {r.doc_id: {k for s in r.removed for k in range(s.start, s.start + s.words)} for r in out}
+
+
+def test_passages_hardly_long_enough(spark):
+    texts = {}
+    for k in range(60):  # 48 to 67 words, in two documents amid other prose
+        passage = prose(1000 + k, 48 + k % 20)
+        for half in (0, 1):
+            texts[2 * k + half] = f"{prose(3000 + 2 * k + half, 70)} {passage} {prose(5000 + 2 * k + half, 70)}"
+    wanted = gone_words(texts, 50)
+    assert sum(map(bool, wanted.values())) == 54 and removed_words(spark, texts) == wanted
+
+
 def test_chunks_resist_shifts():
     passage = prose(7, 300)
     a, b = (set(line_dedup.chunks_of([prose(s, n) + " " + passage]).hash.tolist()) for s, n in ((1, 50), (2, 83)))
