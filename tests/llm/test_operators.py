@@ -280,6 +280,18 @@ def test_passages_hardly_long_enough(spark):
     assert sum(map(bool, wanted.values())) == 54 and removed_words(spark, texts) == wanted
 
 
+def test_passages_without_line_ends(spark):
+    plain = lambda seed, n: prose(seed, n).replace(".", "")
+    texts = {}
+    for k in range(80):  # 50 to 80 words, or one line of 9 words 12 times
+        passage = plain(1000 + k, 50 + k % 31) if k < 60 else " ".join([plain(1000 + k, 9)] * 12)
+        for half in (0, 1):
+            texts[2 * k + half] = f"{plain(3000 + 2 * k + half, 70)} {passage} {plain(5000 + 2 * k + half, 70)}"
+    texts |= {200: "a " * 300, 201: "b " + "a " * 120}
+    wanted = gone_words(texts, 50)
+    assert sum(map(bool, wanted.values())) == 81 and removed_words(spark, texts) == wanted
+
+
 def test_chunks_resist_shifts():
     passage = prose(7, 300)
     a, b = (set(line_dedup.chunks_of([prose(s, n) + " " + passage]).hash.tolist()) for s, n in ((1, 50), (2, 83)))
