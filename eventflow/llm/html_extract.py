@@ -23,7 +23,8 @@ from .common import filled
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe svg math object select datalist button".split())
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in "script style noscript textarea title iframe".split()}  # hold text, not tags
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "body": {"head"}}
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -69,7 +70,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     texts: list[str] = []
-    linked, at, raw = [0, 0], 0, None
+    linked, at, raw, goes_on = [0, 0], 0, None, 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(texts)).split())
@@ -98,12 +99,15 @@ def blocks_of(page: str) -> list[Block]:
             if tag in INLINE and stack[k][0] not in INLINE:
                 return
 
-    for token in TOKEN.finditer(page):
+    while token := TOKEN.search(page, goes_on):
         take(page[at:token.start()])
-        at = token.end()
+        at = goes_on = token.end()
         closing, tag, attributes = token[1], (token[2] or "").lower(), token[3] or ""
         if not tag:
             continue
+        if tag in ENDS and not closing and not attributes.endswith("/"):
+            end = ENDS[tag].search(page, at)
+            goes_on = end.start() if end else len(page)
         if raw is not None:
             if closing and tag == raw:
                 raw = None

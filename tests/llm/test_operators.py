@@ -378,6 +378,16 @@ def test_pages(spark, field):
     assert html_extract.extract(frame.limit(0), field).count() == 0
 
 
+@pytest.mark.parametrize("before", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", "<SCRIPT>if(a<b && c>d){g('<p>')}</Script >", "<script><!-- never closed </script>",
+    "<script>a='</scripts>';b='it';if(a<b){}</script\n>", "<style>a<b{}</style>", "<title>a<b</title>",
+    "<template><script>i<n;</script></template>", '<datalist id="d"><option value="1"><option>two</datalist>'])
+def test_pages_with_common_scripts(before):
+    article = "<article><p>Some words that say a thing.</p></article>"
+    for page in (before + article + "<p>More.</p>", before + before + article + before + "<p>More.</p>"):
+        assert [b.text for b in html_extract.blocks_of(page)] == ["Some words that say a thing.", "More."]
+
+
 def test_field_on_other_generated_pages(field):
     rng = random.Random(1234)
     right = total = 0
