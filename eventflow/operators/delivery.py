@@ -172,15 +172,17 @@ def discard_drained(events: DataFrame, signals: DataFrame, chunk_rows: int = CHU
 
 
 def ordered_apply(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, independent: bool = False) -> DataFrame:
     """Run `fn` over Arrow batches whose rows follow (topic, shard_id, offset).
 
-    Ranges of the order are tasks: rows of a shard are handled in offset order, a large shard is
-    spread over several ranges.  `fn` handles each row on its own and keeps no state across rows.
+    All rows of a shard are handled by one call of `fn`, one after another, so `fn` may keep state
+    from row to row; a call may see several shards, one behind the other.  A large shard is then one
+    long task.  With `independent`, ranges of the order are tasks and a large shard is spread over
+    several, for an `fn` that handles each row on its own.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *POSITION).sortWithinPartitions(*POSITION)
+    placed = df.repartitionByRange(n, *(POSITION if independent else SHARD)).sortWithinPartitions(*POSITION)
     return placed.mapInPandas(fn, schema)
 
 

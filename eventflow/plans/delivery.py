@@ -186,7 +186,27 @@ def _d11(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumns({
         "topic": F.lit("chat"), "shard_id": (F.col("conv_id") % 8).cast("int"),
         "offset": F.col("conv_id") * 1000 + F.col("turn")})
-    return D.ordered_apply(rows, _lengths, "conv_id bigint, turn bigint, length bigint")
+    return D.ordered_apply(rows, _lengths, "conv_id bigint, turn bigint, length bigint", independent=True)
+
+
+def _totals(batches):
+    shard, total = None, 0
+    for rows in batches:
+        out = []
+        for at, text in zip(rows["shard_id"], rows["text"]):
+            shard, total = at, (total if at == shard else 0) + len(text)
+            out.append(total)
+        yield rows.assign(total=out)[["conv_id", "turn", "total"]]
+
+
+@query("d11_ordered_state", """
+SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id % 8 ORDER BY conv_id, turn) AS BIGINT) AS total FROM conversations""")
+def _d11_state(spark, sf_dir):
+    from eventflow.plans.tables import table
+    rows = table(spark, sf_dir, "conversations").withColumns({
+        "topic": F.lit("chat"), "shard_id": (F.col("conv_id") % 8).cast("int"),
+        "offset": F.col("conv_id") * 1000 + F.col("turn")})
+    return D.ordered_apply(rows, _totals, "conv_id bigint, turn bigint, total bigint")
 
 
 @query("d12_assign_workers", f"""WITH {EVENTS}, c AS (SELECT topic, shard_id, min(event_id) AS pos FROM ev GROUP BY ALL),

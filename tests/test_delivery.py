@@ -132,6 +132,23 @@ def test_ordered_apply_keeps_offset_order(spark):
     assert [(r.shard_id, r.offset) for r in rows] == sorted((r.shard_id, r.offset) for r in rows) and len(rows) == 300
 
 
+def test_ordered_apply_keeps_state_over_a_shard(spark):
+    df = spark.range(4000).select(F.lit("t").alias("topic"), (F.col("id") % 2).cast("int").alias("shard_id"),
+                                  F.col("id").alias("offset")).repartition(7)
+
+    def running(batches):
+        shard, n = None, 0
+        for rows in batches:
+            out = []
+            for at in rows["shard_id"]:
+                shard, n = at, (n if at == shard else 0) + 1
+                out.append(n)
+            yield rows.assign(n=out)
+
+    rows = D.ordered_apply(df, running, "topic string, shard_id int, offset long, n long", 8).collect()
+    assert len(rows) == 4000 and all(r.n == r.offset // 2 + 1 for r in rows)
+
+
 def test_dedupe_and_redelivery_of_uncommitted(spark):
     log = outcomes(spark, 4).unionByName(outcomes(spark, 4))
     assert D.dedupe(log).count() == 4
