@@ -147,7 +147,7 @@ def dedupe(df: DataFrame, columns: tuple[str, ...] = POSITION) -> DataFrame:
     for c in columns:
         whole = whole & F.col(c).isNotNull()
     if df.isStreaming:  # no column may be added to what the state is kept by
-        return df.dropDuplicates(list(columns))
+        return df.filter(whole).dropDuplicates(list(columns)).union(df.filter(~whole))
     return df.withColumn("__own", F.when(~whole, F.uuid())).dropDuplicates([*columns, "__own"]).drop("__own")
 
 

@@ -33,8 +33,15 @@ def pending_stream(events: DataFrame, acks: DataFrame) -> DataFrame:
 
 def dedupe_stream(stream: DataFrame, ts: str = "ts", delay: str = DELAY,
                   columns: Sequence[str] = POSITION) -> DataFrame:
-    """One row per position, for copies that come within the watermark delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(columns))
+    """One row per position, for copies that come within the watermark delay.
+
+    A row that lacks a part of its position is no copy of another and stays; the stream is read twice for that.
+    """
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    once = stream.filter(whole).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(columns))
+    return once.union(stream.filter(~whole).withWatermark(ts, delay))
 
 
 def rollup_stream(metrics: DataFrame, size: str, keys: Sequence[str] = ("metric",), ts: str = "ts",

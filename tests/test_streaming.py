@@ -100,6 +100,17 @@ def test_dedupe(spark, landing):
     assert as_set(got, "event_id") == as_set(D.dedupe(table), "event_id")
 
 
+@pytest.mark.parametrize("form", [lambda s: twins.dedupe_stream(s, delay="1 day"), D.dedupe])
+def test_dedupe_keeps_rows_without_position(spark, landing, form):
+    stream, table, folder = landing
+    bare = stream().withColumn("offset", F.lit(None).cast("bigint"))
+    out = form(bare.unionByName(stream()).unionByName(stream()))
+    path = run(spark, out, folder)
+    got = spark.read.schema(out.schema).parquet(f"{path}/batch=*")
+    assert got.filter("offset is null").count() == table.count()
+    assert got.filter("offset is not null").count() == D.dedupe(table).count()
+
+
 def test_rollup_drops_open_windows_only(spark, landing):
     stream, table, folder = landing
     keyed = stream().withColumn("metric", F.col("topic"))
