@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import canonical_rows, chat_digest, format_chat
+from .collocations import collocations
 from .common import read
 from .decontamination import judged
 from .exact_dedup import exact_duplicates
+from .hard_negatives import hard_negatives
 from .html_extract import extract
+from .language_id import languages
 from .line_dedup import with_removed
 from .minhash import near_duplicates
 from .packing import pack, packing_digest
@@ -159,3 +162,46 @@ select doc_id, first_value(doc_id) over (partition by s order by n desc, doc_id)
 from texts""")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", """
+with own as (
+  select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end lab, list_transform(embedding, lambda x: floor(256 * x::double)) q
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.id anchor, b.id other, a.lab = b.lab same, list_dot_product(a.q, b.q)::bigint s from own a join own b on a.id <> b.id where a.id % 50 = 0),
+near as (select *, row_number() over (partition by anchor order by s desc, other) r from scored where same),
+pairs as (select n.anchor, n.other p, n.s ps, x.other g, x.s gs, row_number() over (partition by n.anchor, n.other order by x.s desc, x.other) k
+  from near n join scored x on x.anchor = n.anchor and not x.same and 50 * n.s <= 100 * x.s and 100 * x.s <= 95 * n.s where n.r <= 5)
+select anchor anchor_id, p positive_id, k::int as rank, g negative_id, ps positive_score, gs negative_score from pairs where k <= 3""")
+def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_language_id")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", r"""
+with pieces as materialized (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') w from (
+    select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents)),
+counts as materialized (select lang, g, k, count(*) f from (
+    select lang, k, array_to_string(w[i:i + k - 1], ' ') g from (
+      select lang, w, k, unnest(range(1, len(w) - k + 2)) i from pieces, range(1, 5) t(k) where len(w) >= k)) group by all),
+cand as materialized (select lang, g, k size, f, string_split(g, ' ') w from counts where k > 1 and f >= 30),
+parts as (select lang, g, f, k, array_to_string(w[1:k], ' ') b, array_to_string(w[k + 1:], ' ') e from (select *, unnest(range(1, size)) k from cand)),
+cuts as (select p.*, l.f l, r.f r, (2000000::hugeint * p.f // (l.f + r.f))::bigint score
+  from parts p join counts l on l.lang = p.lang and l.g = p.b join counts r on r.lang = p.lang and r.g = p.e),
+best as (select * from (select *, row_number() over (partition by lang, g order by score, k) o from cuts) where o = 1),
+held as (select lang, g, max(f) m from (
+  select lang, array_to_string(w[i:i + k - 1], ' ') g, f from (
+    select lang, w, f, k, unnest(range(1, size - k + 2)) i from cand, range(2, 4) t(k) where size > k)) group by all),
+sums as (select lang, sum(f)::bigint n from counts where k = 1 group by 1),
+left_over as (select b.* from best b left join held h on h.lang = b.lang and h.g = b.g where h.m is null or 100 * h.m < 80 * b.f),
+placed as (select *, row_number() over (partition by lang order by score desc, f desc, g) as place from left_over)
+select p.lang, place as rank, g phrase, f a, l, r, n, score from placed p join sums using (lang) where place <= 2000""")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
