@@ -23,8 +23,8 @@ from .common import filled, is_empty, stored
 TOP, LEAST, CONTAINED = 2000, 30, 80
 VOCABULARY = 8_000_000  # frequent words that are broadcast (8 bytes each) to leave the others out early; with more, all are counted
 FRONTIER = 1_000_000  # beginnings that one pass looks for
-MEMORY = 1_000_000  # words that a worker remembers
-CHUNK = 1 << 20  # words that are counted at a time
+MEMORY = 150_000  # words of a language that a worker remembers, and distinct words that it counts at a time
+CHUNK = 1 << 19  # words that are counted at a time
 BUCKET = 1_000  # of scores, which go up to 1,000,000
 WIDER = 4  # how many times more phrases a round looks at than the one before
 
@@ -39,10 +39,11 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class Names(dict):
-    """64-bit names of one language's words: 0 for the end of a piece, 1 for nothing."""
+    """64-bit names of one language's words: 0 for the end of a piece and for words that are not `known`, 1 for nothing."""
 
-    def __init__(self, lang: str, salt: int) -> None:
+    def __init__(self, lang: str, salt: int, known: np.ndarray | None = None) -> None:
         super().__init__()
+        self.known = known
         self.start = hashlib.blake2b(lang.encode() + b"\0", digest_size=8, salt=salt.to_bytes(8, "little"))
         self._forget()
 
@@ -55,7 +56,11 @@ class Names(dict):
             self._forget()
         name = self.start.copy()
         name.update(word)
-        self[word] = value = int.from_bytes(name.digest(), "little", signed=True) | 2
+        value = int.from_bytes(name.digest(), "little", signed=True) | 2
+        if self.known is not None:
+            at = self.known.searchsorted(value)
+            value = value if at < len(self.known) and self.known[at] == value else 0
+        self[word] = value
         return value
 
 
@@ -70,17 +75,24 @@ def word_counts(texts: DataFrame, salt: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, Names] = {}
+        found: dict[str, Counter] = {}
+
+        def counted(lang: str) -> Iterator[pa.RecordBatch]:
+            of = names[lang] = names.get(lang) or Names(lang, salt)
+            rows = [(w, of[w], n) for w, n in found.pop(lang).items() if w and w != b"\n"]
+            for at in range(0, len(rows), 100_000):
+                w, name, n = zip(*rows[at:at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w, pa.binary()).cast(pa.string()), pa.array(name, pa.int64()),
+                                                  pa.array(n, pa.int64())], ["lang", "word", "name", "n"])
+
         for batch in batches:
-            found: dict[str, Counter] = {}
             for lang, text in _texts(batch):
-                found.setdefault(lang, Counter()).update(tokens(text))
-            for lang, words in found.items():
-                of = names.setdefault(lang, Names(lang, salt))
-                rows = [(w, of[w], n) for w, n in words.items() if w and w != b"\n"]
-                for at in range(0, len(rows), 100_000):
-                    w, name, n = zip(*rows[at:at + 100_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w, pa.binary()).cast(pa.string()), pa.array(name, pa.int64()),
-                                                      pa.array(n, pa.int64())], ["lang", "word", "name", "n"])
+                words = found.setdefault(lang, Counter())
+                words.update(tokens(text))
+                if len(words) > MEMORY:
+                    yield from counted(lang)
+        for lang in list(found):
+            yield from counted(lang)
 
     return texts.mapInArrow(count, "lang string, word string, name bigint, n bigint").groupBy("lang", "word", "name").agg(F.sum("n").alias("n"))
 
@@ -106,10 +118,10 @@ def encoded(texts: DataFrame, salt: int, known: np.ndarray | None) -> DataFrame:
             for lang, text in _texts(batch):
                 words = tokens(text)
                 words.append(b"\n")
-                codes = np.fromiter(map(names.setdefault(lang, Names(lang, salt)).__getitem__, words), np.int64, len(words))
+                if lang not in names:
+                    names[lang] = Names(lang, salt, known)
+                codes = np.fromiter(map(names[lang].__getitem__, words), np.int64, len(words))
                 codes = codes[codes != 1]
-                if known is not None:
-                    codes = np.where(known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes, codes, 0) if len(known) else codes * 0
                 codes = codes[(codes != 0) | np.append(True, codes[:-1] != 0)]  # one 0 in a row is enough
                 if len(codes) > 1:
                     rows.append(codes.tobytes())
