@@ -7,19 +7,22 @@ A batch opens at its first event.  It closes when it holds `size` events, and an
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventflow.functions.durations import duration_text_us
 from eventflow.operators.ordered import CHUNK, CHUNK_ROWS, EDGE, Ordered, ordered
+from eventflow.operators.prefix import arrow_schema, states_before
+from eventflow.session import written
 
 DEFAULT_SIZE = 10
 DEFAULT_TIMEOUT = "1s"
 WALK_ROWS = 1_000_000
+LONG_AGO = -(2**63)
 
 _OPEN = ("__open_us", "__open_n", "__open_no")
 
@@ -31,7 +34,8 @@ def assign_batches(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[st
     Events of a key are in (`ts`, `tie`) order; `tie` makes the order unique.  Without a timeout
     this is a row number.  With one, each batch depends on the one before, so each task walks its
     rows; a key that is spread over several chunks is walked chunk by chunk at the same time, after
-    a first pass that tells how each chunk ends for each way it can begin.
+    a first pass that tells how each chunk ends for each way it can begin (`Passage`).  Passages are
+    combined as a tree, so no task holds more than a few of them, each with at most `size` entries.
     """
     if size < 1:
         raise ValueError("batch size must be 1 or higher")
@@ -90,19 +94,41 @@ def _walk(scan: Ordered, ts: str, size: int, timeout_us: int) -> DataFrame:
     return scan.rows.drop(CHUNK, EDGE).mapInArrow(walk, schema)
 
 
-def _openings(scan: Ordered, size: int, timeout_us: int) -> DataFrame:
-    """The batch that is open when each chunk of a crossing key begins."""
-    keys = list(scan.keys)
-    key_fields = [scan.crossing.schema[k] for k in keys]
-    longs = T.ArrayType(T.LongType())
-    ends_schema = T.StructType([
-        T.StructField(CHUNK, T.IntegerType()), *key_fields, T.StructField("n", T.LongType()),
-        T.StructField("heads", longs), T.StructField("end_us", longs), T.StructField("end_n", longs),
-        T.StructField("begun", longs)])
-
-    def ends(group: pd.DataFrame) -> pd.DataFrame:
-        # a chunk of one key, at most about `chunk_rows` rows
-        times = np.sort(group["__us"].to_numpy())
+@dataclass(frozen=True)
+class Passage:
+    """A chunk (or several) as a function from the batch that is open before it to the one that is open after it.
+
+    What happens depends on how many of the first rows the open batch still takes.  Numbers of rows with the same outcome are one
+    entry: taken at least `at` rows, the last of which came at `head`, the batch open at the end was opened at `us`, holds `held`
+    and is the `begun`-th that began here.  A batch that takes all `n` rows, the last of which came at `last`, goes on.
+    """
+
+    n: int
+    last: int
+    at: np.ndarray
+    head: np.ndarray
+    us: np.ndarray
+    held: np.ndarray
+    begun: np.ndarray
+
+    LISTS = ("at", "head", "us", "held", "begun")
+
+    @classmethod
+    def of_row(cls, row: Mapping) -> Passage:
+        return cls(row["n"], row["last"], *[np.asarray(row[c], np.int64) for c in cls.LISTS])
+
+    def as_row(self) -> dict:
+        return {"n": self.n, "last": self.last, **{c: getattr(self, c) for c in self.LISTS}}
+
+    @classmethod
+    def merged(cls, n: int, last: int, at, head, us, held, begun) -> Passage:
+        """Neighbours with the same outcome become one."""
+        new = np.append(True, (us[1:] != us[:-1]) | (held[1:] != held[:-1]) | (begun[1:] != begun[:-1]))
+        return cls(int(n), int(last), at[new], head[new], us[new], held[new], begun[new])
+
+    @classmethod
+    def of_times(cls, times: np.ndarray, size: int, timeout_us: int) -> Passage:
+        """The passage of rows at sorted times."""
         n = len(times)
         # from the back: where the batches that begin at a row end up, and how many they are
         last, begun = array("q", bytes(8 * n)), array("q", bytes(8 * n))
@@ -115,33 +141,55 @@ def _openings(scan: Ordered, size: int, timeout_us: int) -> DataFrame:
                     last[i], begun[i] = i, 1
                 else:
                     last[i], begun[i] = last[j], begun[j] + 1
-        heads = range(min(size, n))
-        row = {c: group[c].iloc[0] for c in (CHUNK, *keys)}
-        row |= {"n": n, "heads": [int(times[p]) for p in heads], "end_us": [int(times[last[p]]) for p in heads],
-                "end_n": [n - last[p] for p in heads], "begun": [begun[p] for p in heads]}
-        return pd.DataFrame({k: pd.Series([v], dtype="object") for k, v in row.items()})
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        # one row per chunk of a key
-        group = group.sort_values(CHUNK)
-        opened, held, number = None, size, -1
-        states = []
-        for r in group.itertuples(index=False):
-            states.append((opened, held if opened is not None else None, number if opened is not None else None))
-            heads, n = r.heads, int(r.n)
-            p = 0
-            while p < min(n, size - held) and opened is not None and heads[p] - opened < timeout_us:
-                p += 1
-            if p >= n:
-                held += n
-            else:
-                opened, held, number = int(r.end_us[p]), int(r.end_n[p]), number + int(r.begun[p])
-        out = group[[CHUNK, *keys]].copy()
-        for i, c in enumerate(_OPEN):
-            out[c] = pd.array([s[i] for s in states], dtype="Int64")
-        return out
-
-    at_ends = (scan.crossing.select(CHUNK, *keys, "__us").groupBy(CHUNK, *keys).applyInPandas(ends, ends_schema))
-    link_schema = T.StructType([T.StructField(CHUNK, T.IntegerType()), *key_fields,
-                                *[T.StructField(c, T.LongType()) for c in _OPEN]])
-    return at_ends.groupBy(*keys).applyInPandas(link, link_schema)
+        taken = np.arange(min(size, n))
+        ends = np.frombuffer(last, np.int64)[taken]
+        head = np.append(LONG_AGO, times[taken[:-1]])
+        return cls.merged(n, times[-1], taken, head, times[ends], n - ends, np.frombuffer(begun, np.int64)[taken])
+
+    def after(self, us: np.ndarray, held: np.ndarray, begun: np.ndarray, size: int, timeout_us: int) -> tuple[np.ndarray, ...]:
+        """Batches open before it to batches open after it."""
+        room, due = size - held, us + timeout_us
+        whole = (self.n <= room) & (self.last < due)
+        k = np.minimum(np.searchsorted(self.at, room, "right"), np.searchsorted(self.head, due, "left")) - 1
+        return (np.where(whole, us, self.us[k]), np.where(whole, held + self.n, self.held[k]), np.where(whole, begun, begun + self.begun[k]))
+
+    def then(self, other: Passage, size: int, timeout_us: int) -> Passage:
+        """Both, one after the other."""
+        outcome = other.after(self.us, self.held, self.begun, size, timeout_us)
+        # an open batch that takes all rows of this one goes on in the other
+        more = self.n + other.at < size
+        head = np.append(self.last, other.head[1:])
+        parts = [(self.at, self.n + other.at), (self.head, head), (outcome[0], other.us), (outcome[1], other.held), (outcome[2], other.begun)]
+        return Passage.merged(self.n + other.n, other.last, *[np.append(a, b[more]) for a, b in parts])
+
+
+def _openings(scan: Ordered, size: int, timeout_us: int) -> DataFrame:
+    """The batch that is open when each chunk of a crossing key begins."""
+    keys = list(scan.keys)
+    fields = [T.StructField("n", T.LongType()), T.StructField("last", T.LongType()),
+              *[T.StructField(c, T.ArrayType(T.LongType())) for c in Passage.LISTS]]
+    nodes_type = T.StructType([T.StructField(CHUNK, T.IntegerType()), *[scan.crossing.schema[k] for k in keys], *fields])
+    nodes_schema = arrow_schema(scan.rows.sparkSession, nodes_type)
+
+    def passage(group: pa.Table) -> pa.Table:
+        # a chunk of one key, at most about `chunk_rows` rows
+        times = np.sort(group.column("__us").to_numpy())
+        place = group.slice(0, 1).select([CHUNK, *keys]).to_pylist()[0]
+        return pa.Table.from_pylist([{**place, **Passage.of_times(times, size, timeout_us).as_row()}], nodes_schema)
+
+    def combine(rows: list[dict]) -> dict:
+        whole, *rest = map(Passage.of_row, rows)
+        for other in rest:
+            whole = whole.then(other, size, timeout_us)
+        return whole.as_row()
+
+    def advance(state: dict | None, row: dict) -> dict:
+        passed = Passage.of_row(row)
+        if state is None:  # the first row opens a batch
+            return dict(zip(_OPEN, (int(passed.us[0]), int(passed.held[0]), int(passed.begun[0]) - 1)))
+        out = passed.after(*[np.array([state[c]], np.int64) for c in _OPEN], size, timeout_us)
+        return dict(zip(_OPEN, (int(x[0]) for x in out)))
+
+    chunks = scan.crossing.select(CHUNK, *keys, "__us").groupBy(CHUNK, *keys).applyInArrow(passage, nodes_type)
+    state = ", ".join(f"{c} bigint" for c in _OPEN)
+    return states_before(written(chunks, "passages"), keys, scan.chunks, state, combine, advance)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from eventflow.operators.ordered import CHUNK_ROWS, ordered
+from eventflow.operators.prefix import Walk, scan_rows
 
 SHARD = ("topic", "shard_id")
 POSITION = ("topic", "shard_id", "offset")
@@ -186,6 +187,15 @@ def ordered_apply(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str
     return placed.mapInPandas(fn, schema)
 
 
+def ordered_scan(df: DataFrame, walk: Walk, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """`df` with a running state of each (topic, shard_id) in offset order, as columns.
+
+    Where `ordered_apply` handles a shard in one task, this handles a busy shard in many: `walk` also says how the states of two
+    runs of events combine (see `prefix.Walk`).  Offsets must be unique within a shard.
+    """
+    return scan_rows(df, SHARD, ["offset"], walk, chunk_rows)
+
+
 def assign_workers(claims: DataFrame, workers: int | None = None, replicas: int | None = None,
                    chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add `worker`: the claim's position within its topic, modulo the number of workers.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from eventflow.functions.library import json_field
 from eventflow.operators import delivery as D
+from eventflow.operators.prefix import Walk
 from eventflow.plans import chunked, query
 from eventflow.plans.tables import EVENTS, LOG, event_log, events
 
@@ -209,6 +211,34 @@ def _d11_state(spark, sf_dir):
     return D.ordered_apply(rows, _totals, "conv_id bigint, turn bigint, total bigint")
 
 
+def _since_error(state, rows):
+    """Running total of the users, and how many events came since the last error (0 at an error)."""
+    total, quiet, seen = state
+    totals = np.cumsum(rows.column("user_id").to_numpy()) + total
+    at = np.arange(len(rows))
+    last = np.maximum.accumulate(np.where(rows.column("process_error").to_numpy(zero_copy_only=False), at, -1))
+    quiets = np.where(last >= 0, at - last, quiet + at + 1)
+    return (int(totals[-1]), int(quiets[-1]), bool(seen or last[-1] >= 0)), [totals, quiets]
+
+
+def _since_error_of_both(a, b):
+    return a[0] + b[0], b[1] if b[2] else a[1] + b[1], a[2] or b[2]
+
+
+SINCE_ERROR = Walk((0, 0, False), _since_error, _since_error_of_both, "total bigint, quiet bigint, seen boolean", "total bigint, quiet bigint")
+
+
+@query("d11_ordered_scan", f"""WITH {EVENTS}, s AS (SELECT event_id, CASE WHEN event_id % 10 < 8 THEN 0 ELSE shard_id END AS shard, user_id, process_error FROM ev),
+n AS (SELECT *, row_number() OVER w AS rn, CAST(sum(user_id) OVER w AS BIGINT) AS total FROM s WINDOW w AS (PARTITION BY shard ORDER BY event_id))
+SELECT event_id, total, rn - coalesce(max(CASE WHEN process_error THEN rn END) OVER (PARTITION BY shard ORDER BY event_id), 0) AS quiet FROM n""")
+def _d11_scan(spark, sf_dir):
+    """One shard holds most events and goes over many chunks."""
+    rows = events(spark, sf_dir)
+    busy = rows.select("event_id", F.lit("all").alias("topic"), F.when(F.col("event_id") % 10 < 8, 0).otherwise(F.col("shard_id")).alias("shard_id"),
+                       F.col("event_id").alias("offset"), "user_id", "process_error")
+    return D.ordered_scan(busy, SINCE_ERROR, chunk_rows=700).select("event_id", "total", "quiet")
+
+
 @query("d12_assign_workers", f"""WITH {EVENTS}, c AS (SELECT topic, shard_id, min(event_id) AS pos FROM ev GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY topic) AS k FROM c)
 SELECT 'given' AS how, topic, shard_id, CAST(i % 3 AS INTEGER) AS worker FROM n

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,35 @@ def test_long_chunks_are_walked_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, i long, ts timestamp")
     got = B.assign_batches(df, ["k"], "ts", ["i"], 4, "25ms", 60).collect()
     assert {(r.k, r.i): (r.batch_no, r.pos) for r in got} == direct(rows, 4, 25)
+
+
+def test_passages_compose():
+    """Two runs of rows, one after the other, open batches as one run does; equal outcomes are one entry."""
+    rng = random.Random(4)
+    for _ in range(200):
+        size, timeout = rng.choice([1, 2, 3, 7, 50]), rng.choice([1, 5, 40, 1000])
+        times = np.cumsum(rng.choices([0, 1, 3, 30], k=rng.randint(2, 40)))
+        cut = rng.randint(1, len(times) - 1)
+        both = B.Passage.of_times(times[:cut], size, timeout).then(B.Passage.of_times(times[cut:], size, timeout), size, timeout)
+        whole = B.Passage.of_times(times, size, timeout)
+        assert len(both.at) <= size
+        for _ in range(20):
+            opened, held = times[0] - rng.randint(0, 50), rng.randint(1, size)
+            state = [np.array([x], np.int64) for x in (opened, held, 5)]
+            assert [x.tolist() for x in both.after(*state, size, timeout)] == [x.tolist() for x in whole.after(*state, size, timeout)]
+            opened, number = int(opened), 5
+            for now in times.tolist():
+                if held >= size or now - opened >= timeout:
+                    opened, held, number = now, 0, number + 1
+                held += 1
+            assert [int(x[0]) for x in whole.after(*state, size, timeout)] == [opened, held, number]
+
+
+@pytest.mark.parametrize("size,spread_ms", [(10_000, 40), (10_000, 1)])
+def test_large_batches_over_many_chunks(spark, size, spread_ms):
+    """Many chunks of one key and batches larger than a chunk: summaries are combined over several levels."""
+    rows = make_rows(24_000, 5, spread_ms)
+    df = spark.createDataFrame([("hot", i, at) for _, i, at in rows], "k string, i long, ts timestamp").repartition(6)
+    got = B.assign_batches(df, ["k"], "ts", ["i"], size, "90s", 24).collect()
+    want = direct([("hot", i, at) for _, i, at in rows], size, 90_000)
+    assert {(r.k, r.i): (r.batch_no, r.pos) for r in got} == want
