@@ -9,9 +9,10 @@ from eventflow.operators import handlers as H
 from eventflow.operators.envelope import to_envelope
 from eventflow.plans import query
 from eventflow.plans.sources import event_stream, fresh_dir
-from eventflow.plans.tables import EVENTS
-from eventflow.sources import sinks
-from eventflow.streaming import batches, process, twins
+from eventflow.plans.tables import EVENTS, LOG, event_log
+from eventflow.session import written
+from eventflow.sources import shard_log, sinks
+from eventflow.streaming import batches, lifecycle, process, twins
 
 
 def _run(spark, stream, mode="append"):
@@ -143,3 +144,75 @@ def _process(spark, sf_dir):
     failed = process.outcomes_of(spark, out).groupBy("topic", "shard_id").agg(
         F.count_if(F.col("status_code") == 500).alias("answered_500"))
     return process.committed(spark, out).join(failed, ["topic", "shard_id"]).join(counts, "topic")
+
+
+@query("s2_shard_log_stream", f"""WITH {LOG}, half AS (SELECT max(event_id) // 2 AS mid FROM log),
+c AS (SELECT topic, shard_id, max("offset" + 1) FILTER (NOT process_error) AS committed FROM log, half WHERE event_id <= mid GROUP BY ALL)
+SELECT l.event_id, l.topic, l.shard_id, l."offset" FROM log l LEFT JOIN c USING (topic, shard_id) WHERE l."offset" >= coalesce(committed, 0)""")
+def _s2_log(spark, sf_dir):
+    """The event log from the commits of its first half, in two runs: what comes between them is neither lost nor repeated."""
+    out = fresh_dir(spark)
+    rows = written(event_log(spark, sf_dir).select("event_id", "topic", "shard_id", "offset", "process_error"), "log")
+    middle = F.floor(rows.agg(F.max("event_id")).scalar() / 2)
+    first = rows.filter(F.col("event_id") <= middle)
+    shard_log.commit_positions(D.commit_frontier(D.ack_decision(first)), f"{out}/commits")
+    stream = shard_log.open_log(spark, f"{out}/log", rows.schema, "earliest", f"{out}/commits", f"{out}/progress", range_rows=1000)
+    for part in (first, rows.filter(F.col("event_id") > middle)):
+        shard_log.write_log(part, f"{out}/log")
+        sinks.run_once(sinks.write_batches(stream, f"{out}/rows", f"{out}/state"))
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows/batch=*").select("event_id", "topic", "shard_id", "offset")
+
+
+@query("d8_changes_stream", f"""WITH {EVENTS}
+SELECT topic, shard_id, count(*) AS pending FROM ev WHERE process_error OR value < 10 GROUP BY ALL""")
+def _d8_changes(spark, sf_dir):
+    """As d8_pending_stream, with a state that is deleted when event and ack have met."""
+    rows = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id"))
+    acks = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(~F.col("process_error") & (F.col("value") >= 10))
+    out = lifecycle.event_changes(rows, acks)
+    changes = spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")
+    return lifecycle.pending_now(changes).groupBy("topic", "shard_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
+@query("m9_stuck_changes_stream", f"""WITH {EVENTS}, e AS (SELECT event_id, topic, epoch_us(ts) AS us, epoch_us(ts) + CAST(floor(value * 1000000) AS BIGINT) AS end_us FROM ev),
+w AS (SELECT greatest((SELECT max(us) FROM e), (SELECT max(end_us) FROM e WHERE topic <> 'error')) // 1000 * 1000 - 600000000 AS wm)
+SELECT event_id FROM e, w WHERE CASE WHEN topic = 'error' THEN us + 60000000 <= wm ELSE end_us - us >= 60000000 END""")
+def _m9_changes(spark, sf_dir):
+    """Events not finished in time, found by a timer each; an event that was is forgotten."""
+    rows = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id"))
+    took = F.floor(F.col("value") * 1_000_000).cast("bigint")
+    ends = event_stream(spark, sf_dir).withColumn("offset", F.col("event_id")).filter(F.col("topic") != "error").withColumn(
+        "ts", F.timestamp_micros(F.unix_micros("ts") + took))
+    out = lifecycle.event_changes(rows, ends, "1m")
+    return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*").filter("change = 'stuck'").select(F.col("offset").alias("event_id"))
+
+
+@query("h5_correlate_stream", f"""WITH {EVENTS}, e AS (
+  SELECT event_id // 10 AS b, event_id, event_id % 11 AS n, epoch_us(ts) AS us, process_error FROM ev),
+lost AS (SELECT b, min(us + 30000000) AS lost_us FROM e WHERE process_error GROUP BY 1),
+wm AS (SELECT (max(us) + 120000000) // 1000 * 1000 - 600000000 AS wm FROM e),
+waits AS (SELECT e.*, lost_us, CASE WHEN n IN (0, 1) THEN NULL WHEN n = 3 THEN us + 120000000 ELSE us + n * 5000000 END AS said FROM e LEFT JOIN lost USING (b)),
+ends AS (SELECT *, CASE WHEN said < us + 60000000 THEN said END AS a, CASE WHEN lost_us < us + 60000000 THEN greatest(lost_us, us) END AS l FROM waits)
+SELECT CAST(b AS VARCHAR) AS batch_id, CAST(event_id AS VARCHAR) AS event_id,
+  CASE WHEN a IS NOT NULL AND a <= coalesce(lost_us, a) THEN CASE WHEN n = 2 THEN 'failure' ELSE 'success' END WHEN l IS NOT NULL THEN 'failure' ELSE 'timeout' END AS outcome,
+  CASE WHEN a IS NOT NULL AND a <= coalesce(lost_us, a) THEN 200 + CAST(n AS INTEGER) WHEN l IS NOT NULL THEN NULL ELSE 408 END AS status_code
+FROM ends, wm WHERE a IS NOT NULL OR l IS NOT NULL OR us + 60000000 <= wm
+UNION ALL SELECT CAST(b AS VARCHAR), 'x' || event_id, 'orphan', 200 FROM e, wm WHERE n = 0 AND us + 600000000 <= wm""")
+def _h5_stream(spark, sf_dir):
+    """Answers in time, too late, for unknown events, missing, and whole batches that fail."""
+    def rows():
+        return event_stream(spark, sf_dir).withColumn("batch_id", F.floor(F.col("event_id") / 10).cast("bigint").cast("string"))
+
+    def after(seconds):
+        return F.timestamp_micros(F.unix_micros("ts") + (seconds * 1_000_000).cast("bigint"))
+
+    n, text = F.col("event_id") % 11, F.col("event_id").cast("string")
+    known = rows().select("batch_id", text.alias("event_id"), "ts")
+    said = rows().filter(n != 1).select("batch_id", F.when(n == 0, F.concat(F.lit("x"), text)).otherwise(text).alias("event_id"),
+                                        after(F.when(n == 3, 120).otherwise(n * 5)).alias("ts"), (200 + n).cast("int").alias("status_code"),
+                                        F.when(n == 2, "failed").alias("error"), F.lit(0).alias("answer_no"))
+    again = said.withColumns({"answer_no": F.lit(1), "status_code": F.lit(599)})
+    lost = rows().filter("process_error").select("batch_id", F.lit(None).cast("string").alias("event_id"), after(F.lit(30)).alias("ts"),
+                                                 F.lit(500).alias("status_code"), F.lit("bad batch").alias("error"), F.lit(0).alias("answer_no"))
+    out = lifecycle.correlate_stream(known, said.unionByName(again).unionByName(lost), "1m")
+    return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")
