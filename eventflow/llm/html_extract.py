@@ -9,6 +9,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled
+from .common import filled, text_groups
 
 # HTML's inline, void, raw-text and self-closing-by-sibling elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
@@ -30,70 +31,130 @@ SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 # Parts of class names and ids that tell what an element is for.
 HINTS = {
-    "menu": ("nav", "menu", "breadcrumb", "toolbar", "tabs", "pagination", "pager"),
-    "edge": ("header", "footer", "masthead", "banner", "copyright", "legal", "colophon", "topbar"),
-    "side": ("sidebar", "aside", "widget", "related", "recommend", "popular", "trending", "more-", "toc", "tags"),
-    "advert": ("ad", "ads", "advert", "sponsor", "promo", "outbrain", "taboola"),
-    "notice": ("cookie", "consent", "gdpr", "notice", "popup", "modal", "overlay", "alert", "newsletter", "subscribe", "signup"),
-    "reader": ("comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "review"),
-    "share": ("share", "social", "follow"),
-    "main": ("article", "content", "post", "entry", "story", "main", "body", "text"),
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toolbar tabs pagination pager".split(),
+    "edge": "header footer masthead banner copyright legal colophon topbar".split(),
+    "side": "sidebar aside widget widgets related recommended recommendations popular trending more toc tags".split(),
+    "advert": "ad ads advert adverts advertisement sponsor sponsored promo promotion outbrain taboola".split(),
+    "notice": "cookie cookies consent gdpr notice popup modal overlay alert newsletter subscribe signup".split(),
+    "reader": "comment comments disqus reply replies respond responses discussion review reviews".split(),
+    "share": "share sharing social follow".split(),
+    "main": "article content post entry story main body text".split(),
 }
-SHORT_HINTS = {"ad", "ads", "nav"}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
-PIECES = re.compile(r"[^a-z]+")
+KINDS = {w: k for k, words in HINTS.items() for w in words}
+# a quote counts only after "=", and nothing is tried twice, so a page is read in linear time
+TOKEN = re.compile(r"""<!--(?>.*?(?:-->|$))|<!\[CDATA\[(?>.*?(?:\]\]>|$))|<[!?][^>]*+(?:>|$)|"""
+                   r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|$)""", re.DOTALL)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+PIECES = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 KEEP, DROP = 1, 0
 PAGES = 400  # generated labelled pages that the field is trained on
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # ancestors' tags, outermost first
-    hints: frozenset  # what ancestors' classes, ids and roles hint at
+    leaf: str  # the innermost tag that is not inline
+    inside: frozenset  # tags of ancestors, those that hold the main part left out if they tell of something else
+    hints: frozenset  # what ancestors' classes, ids and roles hint at, likewise
     linked: float  # share of its characters within links
 
 
+class Element:
+    """An element that is not inline."""
+
+    __slots__ = ("tag", "above", "hints", "chars", "main", "inside", "told")
+
+    def __init__(self, tag: str, above: int, hints: frozenset) -> None:
+        self.tag, self.above, self.hints = tag, above, hints
+        self.chars, self.main = 0, tag in MAIN_TAGS
+
+
 def hints_of(attributes: str) -> set[str]:
+    """What the whole words of an element's class, id and role stand for."""
     found = set()
     for _, value in ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        pieces = set(PIECES.split(value))
-        for kind, words in HINTS.items():
-            if any((w in pieces) if w in SHORT_HINTS else (w in value) for w in words):
-                found.add(kind)
+        found.update(KINDS[w] for w in map(str.lower, PIECES.split(value.strip("\"'"))) if w in KINDS)
+        found.update(KINDS[w] for w in PIECES.split(value.strip("\"'").lower()) if w in KINDS)
     return found
 
 
+OUTSIDE = frozenset(("nav", "header", "footer", "aside", "form", "dialog", "menu", "address"))
+MAIN_TAGS = frozenset(("article", "main"))
+ROOTS = frozenset(("html", "body"))
+WIDE, ALL = 0.5, 0.9  # shares of a page's text
+MANY = 8  # elements that are not inline; a form to fill in has fewer
+
+
+def settle(elements: list[Element]) -> None:
+    """What each element tells about the blocks below it.
+
+    An element that holds an article or the main part, or a heading and most of the page's text, is a wrapper: its name and its classes
+    (states of the page, names of themes, a form around all) do not tell that what it holds is something else.  Nor do those of the
+    page itself, of an article that has most of the text or is the only one, or of a form around the whole page.
+    """
+    below = [0] * len(elements)
+    alone = Counter(e.tag for e in elements)
+    for k in range(len(elements) - 1, -1, -1):  # children come after their parents
+        e = elements[k]
+        if e.above >= 0:
+            elements[e.above].chars += e.chars
+            below[e.above] += below[k] + 1
+            if e.main or (e.tag == "h1"):
+                elements[e.above].main = elements[e.above].main or e.main or None  # None: a heading only
+    total = max(1, sum(e.chars for e in elements if e.above < 0))
+    nothing = frozenset()
+    for e, inner in zip(elements, below):
+        outer = elements[e.above] if e.above >= 0 else None
+        wide = e.chars >= WIDE * total
+        wrapper = (e.tag in ROOTS or (e.main is True and (e.tag not in MAIN_TAGS or wide or alone[e.tag] == 1)) or (e.main is None and wide)
+                   or (e.tag == "form" and e.chars >= ALL * total and inner >= MANY))
+        own = nothing if wrapper and e.tag in OUTSIDE else frozenset((e.tag,))
+        hints = e.hints & MAIN_HINT if wrapper else e.hints
+        if outer is not None and outer.told >= hints and outer.inside >= own:
+            e.inside, e.told = outer.inside, outer.told  # shared, so that deep nesting costs nothing
+        else:
+            e.inside, e.told = (own | outer.inside, hints | outer.told) if outer is not None else (own, hints)
+
+
+MAIN_HINT = frozenset(("main",))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order; unclosed and misplaced tags do no harm."""
-    out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    found: list[tuple[str, int, float]] = []
+    elements: list[Element] = [Element("", -1, frozenset())]
+    stack: list[tuple[str, int]] = []  # open tags, with the innermost element that is not inline
     texts: list[str] = []
+    opened = Counter()
     linked, at, raw, goes_on = [0, 0], 0, None, 0
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(texts)).split())
+        text = " ".join(entities.unescape("".join(texts)).split()) if texts else ""
         texts.clear()
         if text:
-            tags = tuple(t for t, _ in stack)
-            out.append(Block(text, tags, frozenset().union(*(h for _, h in stack)), linked[0] / max(1, linked[1])))
+            inner = stack[-1][1] if stack else 0
+            elements[inner].chars += len(text)
+            found.append((text, inner, linked[0] / max(1, linked[1])))
         linked[:] = [0, 0]
 
     def take(text: str) -> None:
         if text and raw is None:
             texts.append(text)
             linked[1] += len(text)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked[0] += len(text)
 
     def pop(tag: str) -> None:
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
                 if tag not in INLINE:
                     flush()
+                    for other, _ in stack[k:]:
+                        opened[other] -= 1
                     del stack[k:]
                 else:
+                    opened[tag] -= 1
                     del stack[k]
                 return
             if tag in INLINE and stack[k][0] not in INLINE:
@@ -128,10 +189,16 @@ def blocks_of(page: str) -> list[Block]:
             if not attributes.endswith("/"):
                 raw = tag
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, frozenset(hints_of(attributes)) if "=" in attributes else frozenset()))
+            inner = stack[-1][1] if stack else 0
+            if tag not in INLINE:
+                elements.append(Element(tag, inner, frozenset(hints_of(attributes)) if "=" in attributes else frozenset()))
+                inner = len(elements) - 1
+            stack.append((tag, inner))
+            opened[tag] += 1
     take(page[at:])
     flush()
-    return out
+    settle(elements)
+    return [Block(text, elements[e].tag, elements[e].inside, elements[e].told, share) for text, e, share in found]
 
 
 STRUCTURE = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "p", "h1", "h2", "h3", "table", "td",
@@ -139,18 +206,16 @@ STRUCTURE = ("article", "main", "section", "nav", "header", "footer", "aside", "
 NAMES = ([f"in {t}" for t in STRUCTURE] + [f"leaf {t}" for t in STRUCTURE] + [f"hint {h}" for h in HINTS]
          + ["bias", "links", "all links", "short", "middle", "long", "stop", "copyright", "shouting", "first", "last", "boiler in main"])
 INDEX = {n: i for i, n in enumerate(NAMES)}
-OUTSIDE = frozenset(("nav", "header", "footer", "aside", "form", "dialog", "menu", "address"))
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     """One row of features for each block."""
     x = np.zeros((len(blocks), len(NAMES)))
     for row, (b, k) in zip(x, zip(blocks, range(len(blocks)))):
-        for tag in set(b.path):
+        for tag in b.inside:
             if (i := INDEX.get(f"in {tag}")) is not None:
                 row[i] = 1
-        leaf = next((t for t in reversed(b.path) if t not in INLINE), "")
-        if (i := INDEX.get(f"leaf {leaf}")) is not None:
+        if (i := INDEX.get(f"leaf {b.leaf}")) is not None:
             row[i] = 1
         for hint in b.hints:
             row[INDEX[f"hint {hint}"]] = 1
@@ -166,7 +231,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
         row[INDEX["shouting"]] = b.text.isupper()
         row[INDEX["first"]] = k == 0
         row[INDEX["last"]] = k == len(blocks) - 1
-        row[INDEX["boiler in main"]] = bool({"article", "main"}.intersection(b.path)) and bool(OUTSIDE.intersection(b.path) or b.hints - {"main"})
+        row[INDEX["boiler in main"]] = bool(MAIN_TAGS & b.inside) and bool(OUTSIDE & b.inside or b.hints - MAIN_HINT)
     return x
 
 
@@ -230,6 +295,10 @@ def train(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate: f
     return Field(state, step)
 
 
+#: Classes of bodies, wrappers and articles that speak of other parts of the page.
+MISLEADING = ("has-sidebar", "single comments-open", "header-fixed", "post tags-x", "with-ads", "layout widget-area", "no-menu page", "cookie-ok", "hentry category-social")
+
+
 def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
     """A generated page and the texts of its main blocks: an article in one of several layouts, among what is not one."""
     serial = iter(range(10_000))
@@ -299,12 +368,19 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
         body = f"<div {named('content', 'post', 'entry-content', 'article-body', 'story')}>{inner}</div>"
     else:
         body = f"<div>{inner}</div>" if rng.random() < 0.5 else inner
+    if rng.random() < 0.3:
+        body = body.replace("<article>", f'<article class="{rng.choice(MISLEADING)}">', 1)
+    for _ in range(rng.choice((0, 0, 1, 2)) if "<article" in body or "<main" in body else 0):
+        body = f'<{(t := rng.choice(("div", "section", "main", "div")))} class="{rng.choice(MISLEADING)}">{body}</{t}>'
     parts = [head()] if rng.random() < 0.9 else []
     parts += [p() for p in (menu, notice, advert, form) if rng.random() < 0.35]
     rest = [p() for p in (side, readers, advert, share, notice, form) if rng.random() < 0.35]
     rng.shuffle(parts)
     page = "".join(parts) + body + "".join(rest) + (foot() if rng.random() < 0.9 else "")
     start = f"<!DOCTYPE html><html><head><title>{phrase(1, 8)}</title></head><body>"
+    start = start.replace("<body>", f'<body class="{rng.choice(MISLEADING)}">') if rng.random() < 0.4 else start
+    if rng.random() < 0.1:
+        page = f"<form action=x>{page}</form>"
     return (start if rng.random() < 0.9 else "") + page + ("</body></html>" if rng.random() < 0.8 else ""), kept
 
 
@@ -333,11 +409,12 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html") ->
     without any, or a null page, has empty text.  `field` is trained on `PAGES` generated pages if not given (see `train` for
     one's own labelled pages).  Rows are kept as they are; a column named `text` is replaced and others pass through.
     """
-    sent = pages.sparkSession.sparkContext.broadcast(field or generated_field())
+    sent = pages.sparkSession.sparkContext.broadcast(tuple(field or generated_field()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = Field(*sent.value)
         for batch in batches:
-            texts = [main_text(h, sent.value) for h in batch.column("html__").to_pylist()]
+            texts = [main_text(h, weights) for group in text_groups(batch.column("html__")) for h in group]
             yield batch.drop_columns(["html__"]).append_column("text", pa.array(texts, pa.string()))
 
     names = [f"`{c}`" for c in pages.columns if c not in ("text", html)]
