@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +56,46 @@ def matching(df: DataFrame, keys: DataFrame, on: list[str], bound: int, how: str
     """
     few = keys.limit(bound + 1).count() <= bound
     return df.join(F.broadcast(keys) if few else keys.hint("merge"), on, how)
+
+
+def kept() -> dict:
+    """What a worker process keeps from task to task.
+
+    Functions that are sent with a task bring module variables of their own, which end with it; so this lies in a module.
+    """
+    return sys.modules.setdefault("eventflow_kept", ModuleType("eventflow_kept")).__dict__.setdefault("objects", {})
+
+
+def remembered(kind: type, *key):
+    """One object per worker process and key."""
+    name, held = (kind.__module__, kind.__qualname__, *key), kept()
+    if name not in held:
+        held[name] = kind(*key)
+    return held[name]
+
+
+def forget() -> None:
+    """Give up what earlier operators keep in this worker."""
+    kept().clear()
+
+
+def built(make: Callable, sent):
+    """What `make` makes of a broadcast's plain value, made once in a worker; of each `make` only the newest is kept."""
+    name, value, held = (make.__module__, make.__qualname__), sent.value, kept()
+    if name not in held or held[name][0] is not value:
+        held[name] = (value, make(value))
+    return held[name][1]
+
+
+def text_groups(column: pa.Array, limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of an Arrow column in lists of about `limit` bytes of UTF-8, nulls as empty texts; a longer text is alone.
+
+    Only the texts of one list are Python strings at a time.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(column):
+        before = int(ends[begin - 1]) if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield [t or "" for t in column.slice(begin, stop - begin).to_pylist()]
+        begin = stop

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import built, stored
+
 URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-MAX_RULES = 1_000_000
-RESULT = "host string, path string, rule string, verdict string"
+BLOCK_RULES = 1_000_000  # rules that a worker holds at once
+RESULT = "host string, path string, labels int, reach int, blocks boolean, rule string"
 
 
 class Rule(NamedTuple):
@@ -83,28 +85,45 @@ class HostTrie:
         return best
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+def _trie(rules: list[tuple]) -> HostTrie:
+    return HostTrie(Rule(*r) for r in rules)
+
+
+def filter_urls(pages: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """`pages` with host, path, rule (host and path of the deciding rule, else null) and verdict.
 
     A null url or one without ``://`` has empty host and path and gets the default, as has a url that no rule fits.  Rows are
-    kept as they are, repeated ones too; columns of `pages` named like the four new ones are replaced.  The rules are a list
-    in the driver's hands, at most `MAX_RULES`; their trie is broadcast.
+    kept as they are, repeated ones too; columns of `pages` named like the four new ones are replaced.  The rules go to the
+    tasks in blocks of `block_rules`, one pass (and one written table between passes) for each; the best rule of all decides.
     """
     listed = [Rule(*r) for r in rules]
-    if len(listed) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    trie = pages.sparkSession.sparkContext.broadcast(HostTrie(listed))
-
+    blocks = [listed[i:i + block_rules] for i in range(0, len(listed), block_rules)] or [[]]
+    names = ["host", "path", "rule", "verdict"]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in names]
+    out = pages.select(*kept, F.col(url).alias("url__"), F.lit(None).cast(f"struct<{RESULT}>").alias("judged__"))
+    for k, block in enumerate(blocks):
+        if k:
+            out = stored(out, "judged")
+        now = _judge(pages.sparkSession.sparkContext.broadcast([tuple(r) for r in block]))(F.col("url__"))
+        out = out.withColumn("now__", now) if k else out.withColumn("judged__", now)
+        if k:  # more host labels, then the longer path, then a block
+            best = F.greatest(*[F.struct(*[F.col(c)[f].alias(f) for f in ("labels", "reach", "blocks", "rule")]) for c in ("judged__", "now__")])
+            out = out.withColumn("judged__", F.struct(F.col("judged__.host"), F.col("judged__.path"), *[best[f].alias(f) for f in ("labels", "reach", "blocks", "rule")]))
+            out = out.drop("now__")
+    verdict = F.when(F.col("judged__.blocks"), "block").when(F.col("judged__.rule").isNotNull(), "allow").otherwise(default)
+    return out.select(*kept, *[F.col(f"judged__.{n}").alias(n) for n in names[:3]], verdict.alias("verdict"))
+
+
+def _judge(sent):
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        trie = built(_trie, sent)
         for urls in batches:
             rows = []
             for text in urls:
                 host, path = split_url(text)
-                rule = trie.value.longest(host, path)
-                rows.append((host, path, rule and rule.host + rule.path, rule.verdict if rule else default))
-            yield pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
+                rule = trie.longest(host, path)
+                rows.append((host, path, *((rule.host.count(".") + 1, len(rule.path), rule.verdict == "block", rule.host + rule.path) if rule else (-1, -1, False, None))))
+            yield pd.DataFrame(rows, columns=["host", "path", "labels", "reach", "blocks", "rule"]).astype({"rule": object})
 
-    names = ["host", "path", "rule", "verdict"]
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in names]
-    return pages.select(*kept, judge(F.col(url)).alias("judged__")).select(*kept, *[F.col(f"judged__.{n}").alias(n) for n in names])
+    return judge
