@@ -11,6 +11,7 @@ import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, stored
-from .tokens import by_bytes, remembered
+from .common import is_empty, remembered, stored, text_groups
 
 ORDER = 5
 LONGEST = 40  # letters; a longer run is scored in pieces of this length
-MODEL_GRAMS = 2_000_000  # n-grams of a model, at most (some 100 MB with ten languages)
+MODEL_GRAMS = 1_000_000  # n-grams of a model, at most (some 100 MB with ten languages)
 CALIBRATION = 20_000  # documents that the calibration is fitted on, at most
-WORDS = 200_000  # distinct words whose scores a worker remembers; beyond that it starts anew
+WORDS = 400_000  # distinct words whose scores a worker remembers; beyond that it starts anew
 BLANK, MULTIPLY = 32, np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 MARGIN = ("margin", "evidence")  # what the calibration sees
@@ -58,7 +58,8 @@ def word_counts(docs: DataFrame, part: Column) -> DataFrame:
         letters = remembered(Letters)
         for batch in batches:
             found: dict[tuple, Counter] = {}
-            for lang, part, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "text"))):
+            texts = chain.from_iterable(text_groups(batch.column("text")))
+            for lang, part, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "part")), texts):
                 found.setdefault((lang, part), Counter()).update(letters.words(text))
             rows = [(lang, part, w, n) for (lang, part), words in found.items() for w, n in words.items()]
             for at in range(0, len(rows), 100_000):
@@ -144,30 +145,63 @@ def hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def named(grams: DataFrame) -> DataFrame:
+    """(size, lang, name, before, rest, logp, back): grams by their hash, with those of all characters but the last and but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, texts = batch.column("size").to_numpy(), np.array(batch.column("gram").to_pylist(), object)
+            out = np.zeros((3, len(batch)), np.uint64)
+            for k in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == k)
+                codes = np.frombuffer("".join(texts[at]).encode("utf-32-le"), np.uint32).reshape(-1, k)
+                for i, part in enumerate((codes, codes[:, :-1], codes[:, 1:])):
+                    if part.shape[1]:
+                        out[i, at] = _last(np.ascontiguousarray(part))
+            yield pa.RecordBatch.from_arrays([batch.column("size"), batch.column("lang"), *[pa.array(x.view(np.int64)) for x in out],
+                                              batch.column("logp").cast(pa.float32()), batch.column("back").cast(pa.float32())],
+                                             ["size", "lang", "name", "before", "rest", "logp", "back"])
+
+    return grams.select("size", "lang", "gram", "logp", "back").mapInArrow(
+        run, "size int, lang string, name bigint, before bigint, rest bigint, logp float, back float")
+
+
 def tables(grams: DataFrame, order: int = ORDER) -> dict:
     """The model as plain values: languages, log probability of an unseen character, and per size sorted hashes with a row of
-    log probabilities and back-off weights per language (nan where a language has none)."""
-    rows = grams.select("size", "lang", "gram", "logp", "back").toArrow()
-    langs = sorted(set(rows.column("lang").to_pylist()))
-    number = {name: i for i, name in enumerate(langs)}
-    size, lang = rows.column("size").to_numpy(), np.array([number[x] for x in rows.column("lang").to_pylist()], np.int64)
-    texts = np.array(rows.column("gram").to_pylist(), object)
-    logp, back = (rows.column(c).to_numpy().astype(np.float32) for c in ("logp", "back"))
+    log probabilities and back-off weights per language.
+
+    A gram that some language has gets its probability in all of them, those without it by backing off; so the longest gram that
+    is known decides a place.
+    """
+    rows = named(grams).toArrow()  # at most `MODEL_GRAMS` rows of numbers
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    lang = np.array([langs.index(x) for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
+    size = rows.column("size").to_numpy()
     model = {"langs": langs, "order": order, "sizes": [], "unseen": np.zeros(len(langs), np.float32)}
     for k in range(1, order + 1):
         at = np.flatnonzero(size == k)
-        codes = np.frombuffer("".join(texts[at]).encode("utf-32-le"), np.uint32).reshape(-1, k)
-        ends = hashes(codes.reshape(-1), k)[k - 1].reshape(-1, k)[:, -1] if len(at) else np.empty(0, np.uint64)
-        keys, where = np.unique(ends, return_inverse=True)
-        p, b = (np.full((len(keys), len(langs)), np.nan, np.float32) for _ in range(2))
-        p[where, lang[at]], b[where, lang[at]] = logp[at], back[at]
-        model["sizes"].append((keys, p, b))
+        name, before, rest, logp, back = (rows.column(c).to_numpy()[at] for c in ("name", "before", "rest", "logp", "back"))
+        keys, first, where = np.unique(name.view(np.uint64), return_index=True, return_inverse=True)
+        p, b = np.full((len(keys), len(langs)), np.nan, np.float32), np.zeros((len(keys), len(langs)), np.float32)
+        p[where, lang[at]], b[where, lang[at]] = logp, np.nan_to_num(back, nan=0.0)
         if k == 1:  # as with the interpolation above: a share of the weight of all characters
             letters = np.bincount(lang[at], minlength=len(langs))
             model["unseen"] = -np.log(letters + 1.0).astype(np.float32) - 2.0
+            missing = np.broadcast_to(model["unseen"], p.shape)
+        else:
+            shorter, its_p, its_b = model["sizes"][-1]
+            missing = its_b[_find(shorter, before[first].view(np.uint64))] + its_p[_find(shorter, rest[first].view(np.uint64))]
+        model["sizes"].append((keys, np.where(np.isnan(p), missing, p), b))
     return model
 
 
+def _last(grams: np.ndarray) -> np.ndarray:
+    """The hash of each gram, from its characters as a row."""
+    n, k = grams.shape
+    return hashes(grams.reshape(-1), k)[k - 1].reshape(n, k)[:, -1] if n else np.empty(0, np.uint64)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted key, or -1."""
     if not len(keys):
@@ -187,17 +221,19 @@ def score_words(model: dict, words: list[str]) -> np.ndarray:
         places[begin + k] = False
     places = np.flatnonzero(places)
     ends = hashes(codes, order)
-    total = np.broadcast_to(model["unseen"], (len(places), len(model["langs"])))
-    for k in range(1, order + 1):
+    total = np.zeros((len(places), len(model["langs"])), np.float32)
+    open_at = np.arange(len(places))  # places that no gram has decided yet
+    for k in range(order, 0, -1):
         keys, p, _ = model["sizes"][k - 1]
-        at = _find(keys, ends[k - 1][places])
-        if k > 1:
+        at = _find(keys, ends[k - 1][places[open_at]])
+        known = at >= 0
+        total[open_at[known]] += p[at[known]]
+        open_at = open_at[~known]
+        if k > 1 and len(open_at):  # back off: the weight after the context that did not go on
             keys, _, back = model["sizes"][k - 2]
-            context = _find(keys, ends[k - 2][places - 1])
-            weight = np.where((context >= 0)[:, None], back[context] if len(back) else 0, np.nan)
-            total = total + np.nan_to_num(weight, nan=0.0)
-        found = np.where((at >= 0)[:, None], p[at] if len(p) else 0, np.nan)
-        total = np.where(np.isnan(found), total, found)
+            at = _find(keys, ends[k - 2][places[open_at] - 1])
+            total[open_at[at >= 0]] += back[at[at >= 0]]
+    total[open_at] += model["unseen"]
     return np.add.reduceat(total, np.concatenate([[0], (lengths - order + 1).cumsum()[:-1]]), axis=0)
 
 
@@ -210,7 +246,7 @@ class Scorer:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.known = np.empty((0, len(self.model["langs"])))
+        self.known = np.empty((1 << 12, len(self.model["langs"])), np.float32)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text and language the mean log probability of a character, and the number of characters (0 without a letter)."""
@@ -219,13 +255,16 @@ class Scorer:
         split = [self.letters.words(t) for t in texts]
         new = list(set().union(*split).difference(self.place))
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.known = np.concatenate([self.known, score_words(self.model, new)])
+            first, last = len(self.place), len(self.place) + len(new)
+            while len(self.known) < last:
+                self.known = np.concatenate([self.known, np.empty_like(self.known)])
+            self.known[first:last] = score_words(self.model, new)
+            self.place.update(zip(new, range(first, last)))
         sizes = np.array([sum(map(len, words)) + len(words) for words in split])
         sums = np.zeros((len(texts), self.known.shape[1]))
         for i, words in enumerate(split):
             if words:
-                sums[i] = self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                sums[i] = self.known[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
         return sums / np.maximum(sizes, 1)[:, None], sizes
 
 
@@ -238,7 +277,7 @@ def with_scores(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         scorer, langs = Scorer(sent.value), np.array(sent.value["langs"], object)
         for batch in batches:
             best, margin, evidence = [], [], []
-            for group in by_bytes(t or "" for t in batch.column(text).to_pylist()):
+            for group in text_groups(batch.column(text)):
                 scores, sizes = scorer.score(group)
                 first = scores.argmax(axis=1)
                 top = scores[np.arange(len(group)), first]
@@ -252,7 +291,7 @@ def with_scores(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             yield batch
 
     docs = docs.drop("best", *MARGIN)
-    return docs.mapInArrow(run, docs.withColumns({"best": F.lit("x"), "margin": F.lit(0.0), "evidence": F.lit(0.0)}).schema)
+    return docs.mapInArrow(run, docs.withColumns({"best": F.lit(None).cast("string"), "margin": F.lit(0.0), "evidence": F.lit(0.0)}).schema)
 
 
 def calibrated(scored: DataFrame) -> LogisticRegressionModel | None:
