@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -17,10 +18,11 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, stored
+from .common import filled, forget, small_batches, stored, text_groups
 
 SAMPLE = 20_000  # labelled texts that a model is fitted on, at most
-PARTS = (5, 8, 10)  # of ten parts of the sample: up to here for the lexicon, the trees, the calibration
+PARTS = (7, 10)  # of ten parts of the sample: up to here for the trees, the calibration
+FOLDS = 5  # of the lexicon
 MAX_LEXICON = 5_000
 STEM = 5
 NEAR = 4  # words
@@ -75,11 +77,14 @@ INSULT_SET, YOU_SET = frozenset(INSULTS), frozenset(YOU)
 
 def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """`docs` with a vector column `features`."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        lexicon = Lexicon(*sent.value)
         for batch in batches:
-            rows = [features(t or "", sent.value) for t in batch.column(text).to_pylist()]
+            rows = [features(t, lexicon) for group in text_groups(batch.column(text)) for t in group]
             yield batch.append_column("features__", pa.array(rows, pa.list_(pa.float64())))
 
     names = [f"`{c}`" for c in docs.columns if c not in ("features", "features__")]
@@ -88,18 +93,31 @@ def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Data
     return out.select(*names, array_to_vector("features__").alias("features"))
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings of words that stand almost only in toxic texts of the sample (text, toxic)."""
+def learn_lexicons(sample: DataFrame, folds: int = FOLDS) -> list[Lexicon]:
+    """Words and beginnings of words that stand almost only in toxic texts of the sample (text, toxic, part).
+
+    One lexicon of all parts, then one for each fold, of the parts outside it.
+    """
     words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))
     # distinct within a text, so counts are numbers of texts
     kinds = F.array_union(F.transform(words, lambda w: F.concat(F.lit("w"), w)),
                           F.transform(F.filter(words, lambda w: F.char_length(w) >= STEM), lambda w: F.concat(F.lit("s"), F.left(w, F.lit(STEM)))))
-    counts = sample.select("toxic", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
-    rare = counts.filter("bad >= 4 and bad * 10 >= all * 7").orderBy(F.desc("bad"), "kind").limit(MAX_LEXICON).collect()
-    strong = {r.kind[1:] for r in rare if r.kind[0] == "w" and r.bad >= 10 and r.bad * 100 >= r.all * 97}
-    weak = {r.kind[1:] for r in rare if r.kind[0] == "w"} - strong
-    stems = {r.kind[1:] for r in rare if r.kind[0] == "s" and r.bad >= 20 and r.bad * 10 >= r.all * 9}
-    return Lexicon(frozenset(strong | INSULT_SET), frozenset(weak), frozenset(stems))
+    rows = sample.select("toxic", (F.col("part") % folds).alias("fold"), F.explode(kinds).alias("kind"))
+    inside = [F.col("fold") == f for f in range(folds)]
+    counts = rows.groupBy("kind").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"),
+                                      F.array(*[F.sum(F.when(f, F.col("toxic")).otherwise(0)) for f in inside]).alias("bad_in"),
+                                      F.array(*[F.sum(F.when(f, 1).otherwise(0)) for f in inside]).alias("all_in"))
+    rare = counts.filter("bad >= 4 and bad * 10 >= all * 5").orderBy(F.desc("bad"), "kind").limit(2 * MAX_LEXICON).collect()
+
+    def lexicon(seen: list[tuple[str, int, int]]) -> Lexicon:
+        known = [(kind, bad, n) for kind, bad, n in seen if bad >= 4 and bad * 10 >= n * 7][:MAX_LEXICON]
+        strong = {k[1:] for k, bad, n in known if k[0] == "w" and bad >= 10 and bad * 100 >= n * 97}
+        weak = {k[1:] for k, _, _ in known if k[0] == "w"} - strong
+        stems = {k[1:] for k, bad, n in known if k[0] == "s" and bad >= 20 and bad * 10 >= n * 9}
+        return Lexicon(frozenset(strong | INSULT_SET), frozenset(weak), frozenset(stems))
+
+    return [lexicon([(r.kind, r.bad, r["all"]) for r in rare]),
+            *[lexicon([(r.kind, r.bad - r.bad_in[f], r["all"] - r.all_in[f]) for r in rare]) for f in range(folds)]]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
@@ -116,7 +134,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Lexicon, trees and calibration, each from its own part of the sample.
+    """Lexicon, trees and calibration.
+
+    The lexicon is that of the whole sample; trees and calibration, each from its own part of the sample, see the features of a text
+    by the lexicon of the other folds, so that no text tells about itself.
 
     Without texts of both labels in the parts for trees and calibration there is no model, and each score is the share of
     toxic texts (0 without any label).
@@ -125,13 +146,14 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     seen = sample.groupBy("part").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all")).collect()
     base = sum(r.bad for r in seen) / max(1, sum(r["all"] for r in seen))
     of = lambda a, b: (sum(r.bad for r in seen if a <= r.part < b), sum(r["all"] - r.bad for r in seen if a <= r.part < b))
-    lexicon = learn_lexicon(sample.filter(F.col("part") < PARTS[0]))
-    if not all(min(of(*span)) for span in ((PARTS[0], PARTS[1]), (PARTS[1], PARTS[2]))):
+    lexicon, *others = learn_lexicons(sample)
+    if not all(min(of(*span)) for span in ((0, PARTS[0]), PARTS)):
         return Model(lexicon, None, None, base)
-    rest = with_features(sample.filter(F.col("part") >= PARTS[0]), lexicon).select("part", F.col("toxic").cast("double").alias("label"), "features")
+    folds = [with_features(sample.filter(F.col("part") % FOLDS == f), o) for f, o in enumerate(others)]
+    rest = reduce(DataFrame.unionByName, folds).select("part", F.col("toxic").cast("double").alias("label"), "features")
     rest = stored(rest, "features").coalesce(4)
-    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=1).setProbabilityCol("both").fit(rest.filter(F.col("part") < PARTS[1]))
-    raw = trees.transform(rest.filter(F.col("part") >= PARTS[1])).select("label", vector_to_array("both")[1].alias("raw"))
+    trees = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, maxBins=32, seed=1).setProbabilityCol("both").fit(rest.filter(F.col("part") < PARTS[0]))
+    raw = trees.transform(rest.filter(F.col("part") >= PARTS[0])).select("label", vector_to_array("both")[1].alias("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(raw)
     return Model(lexicon, trees, calibration, base)
 

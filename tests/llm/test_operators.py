@@ -408,3 +408,74 @@ def test_decoding_is_the_best_path(field):
         best = max((sum(scores[k, p[k]] for k in range(n)) + sum(field.step[a, b] for a, b in zip(p, p[1:])), p)
                    for p in np.ndindex(*(2,) * n))[1]
         assert field.decode(x) == list(best)
+
+
+# pages written by hand, apart from the generator: wrappers whose classes speak of other parts
+
+ARTICLE = "<h1>Title of it</h1><p>A first paragraph that says something long enough to count as text.</p><p>Short one.</p>"
+AROUND = ("<nav><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul></nav>{}<div class='sidebar'><h3>Related</h3><p>Another story you may like to read "
+          "today.</p></div><section class=comments><h2>Comments</h2><div class=comment><p>I think so too, very nice indeed and more words to say here."
+          "</p></div></section><footer>&copy; 2024 x.example</footer>")
+
+
+@pytest.mark.parametrize("page", [
+    *[f"<html><body class='{c}'>{AROUND.format(f'<article>{ARTICLE}</article>')}</body></html>" for c in ("has-sidebar", "single comments-open", "header-fixed", "menu-open modal-ready")],
+    *[f"<html><body>{AROUND.format(f'<article class={c!r}>{ARTICLE}</article>')}</body></html>" for c in ("post tags-x", "hentry sidebar-left", "story")],
+    *[f"<html><body>{AROUND.format(f'<div class={c!r}><article>{ARTICLE}</article></div>')}</body></html>" for c in ("vintage-modality", "with-ads", "siteHeader layout")],
+    f"<html><body><form id=page-form>{AROUND.format(f'<article>{ARTICLE}</article>')}</form></body></html>",
+    f"<body><form><header class=header><main>{ARTICLE}</main></header></form></body>",
+    f"<body class=no-footer>{AROUND.format(f'<div id=content>{ARTICLE}</div>')}</body>",
+    f"<article>{ARTICLE.replace('<p>A', '<p class=it' + chr(39) + 's>A')}</article>",
+    f"<article>{ARTICLE.replace('<p>S', '<p title = x y=' + chr(34) + '>' + chr(34) + '>S')}</article>"])
+def test_wrappers_do_not_hide_the_article(field, page):
+    assert html_extract.main_text(page, field) == "Title of it A first paragraph that says something long enough to count as text. Short one."
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div class=x>t", "<p>x</zz>", '<a ="', "<a ='\"", "<!--", "<i><b>x", "<![CDATA[", "</div>", "<p class=a b='"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+    page = part * (1_000_000 // len(part)) + '"'
+    began = time.process_time()
+    html_extract.blocks_of(page)
+    assert time.process_time() - began < 5
+
+
+# rules beyond one block, columns of one's own
+
+def test_rules_in_blocks(spark):
+    rng = random.Random(9)
+    rules = [url_filter.Rule(".".join(rng.choice("ab") for _ in range(rng.randint(1, 3))), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 3))), rng.choice(("allow", "block")))
+             for _ in range(40)]
+    urls = [(i, "http://" + ".".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) + "/" + "".join(rng.choice("ab/") for _ in range(4))) for i in range(200)] + [(999, None)]
+    frame = spark.createDataFrame(urls, "page_id int, url string")
+    rows = [sorted(map(tuple, url_filter.filter_urls(frame, rules, block_rules=n).collect()), key=repr) for n in (1000, 7)]
+    assert rows[0] == rows[1] and any(r[5] == "block" for r in rows[0])
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    passage = prose(3, 80)
+    rows = [(1, passage + " one", 7, "r", "m"), (2, "two " + passage, 8, "s", "n"), (3, prose(4, 30), 9, None, "o")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, removed string, matches string").withColumns({
+        "n_hit": F.lit(-1), "contaminated": F.lit("c"), "items_sha256": F.lit(0.5), "n_items": F.lit("i")})
+    items = spark.createDataFrame([("q", prose(4, 30))], "item_id string, text string")
+    clean = decontamination.decontaminate(frame, items)
+    assert clean.columns == frame.columns and sorted(map(tuple, clean.collect())) == sorted(tuple(r) for r in frame.collect() if r.doc_id != 3)
+    left = line_dedup.drop_repeated(frame)
+    assert left.columns == frame.columns and {r.doc_id: r.removed for r in left.collect()} == {1: "r", 2: "s", 3: None}
+    assert {r.doc_id: r.text for r in left.collect()}[2] == "two "
+
+
+def test_queries_run_from_any_folder(tmp_path):
+    """Without the repository on the workers' path."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nimport __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+            "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "for name in ('op1_url_filter', 'op4_html_extract', 'op6_decontamination', 'op7_token_counts', 'op8_toxicity', 'op11_hard_negatives'):\n"
+            "    print(name, e.queries()[name](spark, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert done.returncode == 0 and done.stdout.count("op") == 6, done.stderr[-2000:]
