@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filled, is_empty, stored
+from .common import filled, is_empty, small_batches, stored
 
 TOP, LEAST, CONTAINED = 2000, 30, 80
 VOCABULARY = 8_000_000  # frequent words that are broadcast (8 bytes each) to leave the others out early; with more, all are counted
@@ -315,6 +315,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: i
     A null text is empty, a null language `und`; repeated rows count each, ids do not matter, other columns are not read, an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), filled(text).alias("text"))
     words, salt = named_words(texts)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))

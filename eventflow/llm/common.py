@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -76,7 +77,15 @@ def remembered(kind: type, *key):
 
 def forget() -> None:
     """Give up what earlier operators keep in this worker."""
-    kept().clear()
+    if kept():
+        kept().clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches of at most about `most` of texts go to the workers, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def built(make: Callable, sent):

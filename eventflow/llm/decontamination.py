@@ -6,18 +6,19 @@ items in that order.  This gives all verbatim matches of at least one window, ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import built, small_batches, stored, text_groups
 
 WINDOW = 13
 BLOCK_BYTES = 64 << 20  # benchmark text that is sent to the tasks at once
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 2_000_000
+JUDGED = ("n_words", "matches", "n_hit", "n_items", "items_sha256", "contaminated")
 #: A-Z to a-z, bytes of words as they are, all else to blanks
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MATCH = "struct<item_id:string,start:bigint,item_start:bigint,length:bigint>"
@@ -100,7 +101,7 @@ def longest_matches(places: np.ndarray, inside: np.ndarray, size: int) -> list[t
     return list(zip(places[first].tolist(), inside[first].tolist(), (runs + size - 1).tolist()))
 
 
-def match_shard(texts: list[str], items: Items) -> list[tuple[int, int, list[tuple[str, int, int, int]]]]:
+def match_shard(texts: Iterable[str], items: Items) -> list[tuple[int, int, list[tuple[str, int, int, int]]]]:
     """(words, words hit, longest matches) of each document."""
     least, counts, pieces, where, owner = items.least, [], [], [], []
     for d, text in enumerate(texts):
@@ -124,7 +125,7 @@ def match_shard(texts: list[str], items: Items) -> list[tuple[int, int, list[tup
         np.add.at(hit, places + size, -1)
         for p, j, length in longest_matches(places, inside, size):
             matches.setdefault(int(owner[p]), []).append((items.ids[k], int(where[p]), j, length))
-    covered = np.bincount(owner[hit.cumsum()[:-1] > 0], minlength=len(texts))
+    covered = np.bincount(owner[hit.cumsum()[:-1] > 0], minlength=len(counts))
     return [(n, int(covered[d]), sorted(matches.get(d, []))) for d, n in enumerate(counts)]
 
 
@@ -146,17 +147,22 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     counts as empty text.  Rows are kept as they are.  The benchmark is a query set: it goes to the tasks in blocks of
     `block_bytes`, one pass over the documents (and one written table between passes) for each.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_words", "matches")]
     out = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("n_words", F.lit(0).cast("long")).withColumn("matches", F.array().cast(f"array<{MATCH}>"))
     for k, rows in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
         if k:
             out = stored(out, "matches")
-        items = docs.sparkSession.sparkContext.broadcast(Items(rows, window))
+        items = docs.sparkSession.sparkContext.broadcast((rows, window))
         out = out.mapInArrow(_pass(items, text), out.schema)
     return out
 
 
-def _pass(items, text: str):
+def _items(plain: tuple) -> Items:
+    return Items(*plain)
+
+
+def _pass(sent, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -170,8 +176,9 @@ def _pass(items, text: str):
     def finish(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        table = [t or "" for batch in held for t in batch.column(text).to_pylist()]
-        found = match_shard(table, items.value) if items.value.ids else [(len(words(t)), 0, []) for t in table]
+        items = built(_items, sent)
+        texts = (t for batch in held for group in text_groups(batch.column(text)) for t in group)
+        found = match_shard(texts, items) if items.ids else [(len(words(t)), 0, []) for t in texts]
         done = 0
         for batch in held:
             mine = found[done:done + len(batch)]
@@ -206,6 +213,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, **names) -> DataFrame:
-    """`docs` without the contaminated ones."""
-    return judged(docs, benchmark, window, share, **names).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without the contaminated ones; columns that are named like those of `judged` stay as they are."""
+    own = docs.withColumnsRenamed({c: f"own__{c}" for c in JUDGED})
+    clean = judged(own, benchmark, window, share, **names).filter(~F.col("contaminated"))
+    return clean.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own.columns, docs.columns)])
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, text_groups
+from .common import filled, small_batches, text_groups
 
 # HTML's inline, void, raw-text and self-closing-by-sibling elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong "
@@ -409,6 +409,7 @@ def extract(pages: DataFrame, field: Field | None = None, html: str = "html") ->
     without any, or a null page, has empty text.  `field` is trained on `PAGES` generated pages if not given (see `train` for
     one's own labelled pages).  Rows are kept as they are; a column named `text` is replaced and others pass through.
     """
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(tuple(field or generated_field()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

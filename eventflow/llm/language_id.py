@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_empty, remembered, stored, text_groups
+from .common import is_empty, remembered, small_batches, stored, text_groups
 
 ORDER = 5
 LONGEST = 40  # letters; a longer run is scored in pieces of this length
@@ -316,6 +316,7 @@ class Identifier:
 
     def __init__(self, docs: DataFrame, most: int = MODEL_GRAMS, calibration: int = CALIBRATION, order: int = ORDER,
                  doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> None:
+        small_batches(docs.sparkSession)
         draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.col(text)), F.lit(1_000_000))
         rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
             F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), draw.alias("draw"))

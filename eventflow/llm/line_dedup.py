@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import filled, matching, stored
+from .common import filled, forget, matching, small_batches, stored, text_groups
 from .minhash import GROUP, U, _powers, mix
-from .tokens import by_bytes
 
 MIN_WORDS = 50
 BOUND = 500_000  # ids that may be broadcast
@@ -92,9 +91,10 @@ def chunks_of(texts: list[str], min_words: int = MIN_WORDS) -> Chunks:
 
 def _chunk_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, done = batch.column("id"), 0
-            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+            for group in text_groups(batch.column("text"), GROUP):
                 c = chunks_of(group, min_words)
                 at = pa.array(c.doc + done)
                 yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(at), batch.column("tag").take(at),
@@ -124,7 +124,7 @@ def _window_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, chunks, done = batch.column("id"), batch.column("chunks").to_pylist(), 0
-            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+            for group in text_groups(batch.column("text"), GROUP):
                 hashes, number, pos = windows_of(group, chunks[done:done + len(group)], min_words)
                 at = pa.array(number + done)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(at), batch.column("tag").take(at), pa.array(pos.astype(np.int32))],
@@ -220,6 +220,7 @@ def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
     is a whole copy keeps its row, with empty text.  Rows under one id never take a passage from each other; rows with null id or null text
     stay as they are, with nothing removed.  A column named `removed` is replaced; others pass through.
     """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != "removed"]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     frame = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), filled(text).alias("text"))
@@ -241,5 +242,6 @@ def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with repeated passages taken out of the texts; each row stays."""
-    return with_removed(docs, min_words, doc_id, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` with repeated passages taken out of the texts; each row stays, and so does a column named `removed`."""
+    own = docs.withColumnsRenamed({"removed": "own__removed"})
+    return with_removed(own, min_words, doc_id, text).select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own.columns, docs.columns)])

@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import filled, is_empty, matching, stored
+from .common import filled, forget, is_empty, matching, small_batches, stored, text_groups
 from .components import components
-from .tokens import by_bytes
 
 WIDTH = 5  # words of a shingle
 BANDS, ROWS = 24, 4  # a pair with similarity 0.85 shares no band once in 5 * 10^7
@@ -111,9 +110,10 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             counts, keys, digests = [], [], []
-            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+            for group in text_groups(batch.column("text"), GROUP):
                 split = [word_list(t) for t in group]
                 hashes = word_hashes([w for ws in split for w in ws])
                 ends = np.cumsum([len(ws) for ws in split])
@@ -182,7 +182,7 @@ def _shingle_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, done = batch.column("doc_id"), 0
-            for group in by_bytes(batch.column("text").to_pylist(), GROUP):
+            for group in text_groups(batch.column("text"), GROUP):
                 split = [word_list(t) for t in group]
                 hashes = word_hashes([w for ws in split for w in ws])
                 ends = np.cumsum([len(ws) for ws in split])
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     """
     frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     sketches = stored(frame.mapInArrow(_sketch(width, bands, rows), f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>"), "sketches")
     usable = sketches.filter("doc_id is not null and n_shingles > 0")
     nodes = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))

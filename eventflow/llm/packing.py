@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled
-from .tokens import Encoder, by_bytes, remembered
+from .common import filled, remembered, small_batches, text_groups
+from .tokens import Encoder
 
 BUCKET_AT, TASK_AT = 58, 34  # bits of a sequence id: bucket, task, number within the bucket of the task
 SLICE_TOKENS = 1 << 20
@@ -36,6 +36,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
         raise ValueError("the longest sequence must be a power of two")
     # the task's number comes with the rows, so that it stays when a caller merges tasks
     frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"), F.spark_partition_id().alias("task"))
+    small_batches(docs.sparkSession)
     of_id = frame.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -44,7 +45,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
         for batch in batches:
             task = batch.column("task")[0].as_py() if len(batch) else 0
             names = iter(batch.column("doc_id").to_pylist())
-            for group in by_bytes(batch.column("text").to_pylist()):
+            for group in text_groups(batch.column("text")):
                 for ids in encoder.encode(group):
                     ids, name, start = np.append(ids, np.uint32(end_id)).astype("<u4"), next(names), 0
                     for length in binary_lengths(len(ids), longest):

@@ -9,8 +9,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled
-from .tokens import Counter, by_bytes, remembered
+from .common import filled, remembered, small_batches, text_groups
+from .tokens import Counter
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,12 +23,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, doc_id: str
     repeated ids and other columns do not matter.
     """
     frame = docs.select(F.col(doc_id).alias("doc_id"), filled(text).alias("text"))
+    small_batches(docs.sparkSession)
     of_id = frame.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = remembered(Counter, tokenizer)
         for batch in batches:
-            n = [x for group in by_bytes(batch.column("text").to_pylist()) for x in counter.count(group)]
+            n = [x for group in text_groups(batch.column("text")) for x in counter.count(group)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.compute.cast(pa.compute.binary_length(batch.column("text")), pa.int64()),
                                               pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -13,21 +13,12 @@ from itertools import chain
 
 import numpy as np
 
-MEMORY = 900_000  # distinct parts a worker remembers (under 400 MB); beyond that it starts anew
+MEMORY = 700_000  # distinct words a worker remembers (under 200 MB); beyond that it starts anew
+PARTS = 100_000  # parts of words that it remembers
 BATCH_BYTES = 1 << 20  # text encoded at a time
 HUGE = 1 << 44  # count of a part that must not stand alone
 ODD_SPACE = "\u180e\u200b\ufeff"  # space to some Unicode versions
 
-_loaded: dict[tuple, object] = {}
-
-
-def remembered(kind, *key):
-    """One object per worker process and key."""
-    if (kind, *key) not in _loaded:
-        _loaded[(kind, *key)] = kind(*key)
-    return _loaded[(kind, *key)]
-
-
 def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
@@ -146,8 +137,11 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
             self.parts.update((w, e.ids) for w, e in zip(group, found))
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> dict[str, int]:
+        """The places of the words."""
         new = list(words.difference(self.place))
+        if len(self.parts) > PARTS:
+            self.parts.clear()
         split = [PLAIN.fullmatch(w) for w in new]
         self._whole(list({m[2] if m else w for w, m in zip(new, split)}.difference(self.parts)))
         ids = [self._letters(m[1]) + self.parts[m[2]] if m else self.parts[w] for w, m in zip(new, split)]
@@ -160,16 +154,17 @@ class Encoder:
         self.starts[first:first + n] = self.used + sizes.cumsum() - sizes
         self.place.update(zip(new, range(first, first + n)))
         self.used += total
+        return dict(zip(words, map(self.place.__getitem__, words)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.place) > MEMORY:
             self._forget()
         split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(set().union(*split))
+        place = self._learn(set().union(*split))  # of the words of these texts: small enough for the processor's caches
         out = []
         for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             n = self.lengths[at]
             ends = n.cumsum()
             out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + n, n)])
