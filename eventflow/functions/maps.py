@@ -45,8 +45,20 @@ def typed_value(mapping: Column | str, key: str, kind: str = "string") -> Column
 def any_case(mapping: Column | str, key: str) -> Column:
     """The entry whose key equals `key` in any case, of several the last; an empty string if there is none."""
     mapping = F.col(mapping) if isinstance(mapping, str) else mapping
-    fitting = F.filter(F.map_entries(mapping), lambda e: F.lower(e["key"]) == key.lower())
-    return F.coalesce(F.element_at(F.when(F.size(fitting) > 0, fitting), -1)["value"], F.lit(""))
+    return entry_any_case(F.map_entries(mapping), key)
+
+
+def entry_any_case(entries: Column, key: str) -> Column:
+    """The same from an array of entries, for several lookups in a part of a map."""
+    fitting = F.filter(entries, lambda e: F.lower(e["key"]) == key.lower())
+    return F.coalesce(F.try_element_at(fitting, F.lit(-1))["value"], F.lit(""))
+
+
+def entries_any_case(mapping: Column | str, *prefixes: str) -> Column:
+    """The entries whose key begins with one of the prefixes in any case, in order: the one scan before several lookups."""
+    mapping = F.col(mapping) if isinstance(mapping, str) else mapping
+    pattern = "^(?:" + "|".join(p.lower() for p in prefixes) + ")"
+    return F.coalesce(F.filter(F.map_entries(mapping), lambda e: F.lower(e["key"]).rlike(pattern)), F.array().cast("array<struct<key:string,value:string>>"))
 
 
 def header(key: str, kind: str = "string") -> Column:

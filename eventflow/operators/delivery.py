@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventflow.operators.ordered import CHUNK_ROWS, ordered
+from eventflow.operators.ordered import CHUNK_ROWS, count_not_after, ordered
 from eventflow.operators.prefix import Walk, scan_rows
 
 SHARD = ("topic", "shard_id")
@@ -152,15 +152,21 @@ def dedupe(df: DataFrame, columns: tuple[str, ...] = POSITION) -> DataFrame:
     return df.withColumn("__own", F.when(~whole, F.uuid())).dropDuplicates([*columns, "__own"]).drop("__own")
 
 
-def discard_drained(events: DataFrame, signals: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+FEW_SIGNALS = 100_000
+
+
+def discard_drained(events: DataFrame, signals: DataFrame, chunk_rows: int = CHUNK_ROWS, few: int = FEW_SIGNALS) -> DataFrame:
     """Drop events that arrive while their worker is drained or terminating.
 
     The latest signal at or before the event decides: ``drain`` and ``terminate`` drop it,
     ``continue`` or no signal keeps it.  On equal times the signal comes first; of several signals
-    at one time the most severe counts.  An as-of join as a union in time order, cut into chunks
-    so that a busy worker is no single task.
+    at one time the most severe counts.  The signals are counted: up to `few` are an index, a sorted array
+    per worker that is broadcast and searched by halves, and the events stay where they are.  More are an as-of join as a
+    union in time order, cut into chunks so that a busy worker is no single task.
     """
     marks = signals.groupBy("worker", "ts").agg(F.max("signal").alias("__signal"))
+    if marks.limit(few + 1).count() <= few:
+        return _discard_indexed(events, marks)
     marks = marks.withColumns({"__side": F.lit(0), "__tie": F.lit(0).cast("bigint")})
     plain = [name for name, kind in events.dtypes if not kind.startswith(("map", "variant", "struct", "array"))]
     both = (events.withColumns({"__signal": F.lit(None).cast("string"), "__side": F.lit(1),
@@ -172,6 +178,17 @@ def discard_drained(events: DataFrame, signals: DataFrame, chunk_rows: int = CHU
     return scan.filter((F.col("__side") == 1) & ~dropped).drop("__signal", "__side", "__tie", "__state")
 
 
+def _discard_indexed(events: DataFrame, marks: DataFrame) -> DataFrame:
+    mark = F.struct(F.col("ts").alias("t"), F.col("__signal").alias("s"))
+    index = marks.filter("ts is not null").groupBy(F.col("worker").alias("__worker")).agg(F.sort_array(F.collect_list(mark)).alias("__marks"))
+    index = index.select("__worker", F.transform("__marks", lambda m: m["t"]).alias("__times"), F.transform("__marks", lambda m: m["s"]).alias("__signals"))
+    most = index.agg(F.max(F.size("__times"))).first()[0] or 0
+    rows = events.join(F.broadcast(index), F.col("worker").eqNullSafe(F.col("__worker")), "left")
+    passed = F.when(F.col("ts").isNotNull(), count_not_after(F.col("__times"), F.size("__times"), F.col("ts"), most))
+    signal = F.get("__signals", passed - 1)
+    return rows.filter(~F.coalesce(signal.isin("drain", "terminate"), F.lit(False))).drop("__worker", "__times", "__signals")
+
+
 def ordered_apply(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str,
                   partitions: int | None = None, independent: bool = False) -> DataFrame:
     """Run `fn` over Arrow batches whose rows follow (topic, shard_id, offset).

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from eventflow.functions.maps import any_case, empty_map, last_wins_map
+from eventflow.functions.maps import any_case, empty_map, entries_any_case, entry_any_case, last_wins_map
 from eventflow.schema import ENVELOPE, STRING_MAP
 
 
@@ -159,8 +159,10 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
     """
     content_type = F.coalesce("content_type", F.lit(""))
     structured = content_type.startswith("application/cloudevents")
-    binary = ~structured & (any_case("headers", "CE-CloudEventsVersion") != "")
-    df = df.withColumn("__doc", F.when(structured, F.try_parse_json(F.col("body").cast("string"))))
+    # columns of their own, so that documents are parsed and headers looked through once
+    df = df.withColumns({"__doc": F.when(structured, F.try_parse_json(F.col("body").cast("string"))),
+                         "__ce": entries_any_case("headers", "CE-")})
+    binary = ~structured & (entry_any_case(F.col("__ce"), "CE-CloudEventsVersion") != "")
 
     def doc(path: str, kind: str = "string") -> Column:
         return F.try_variant_get("__doc", path, kind)
@@ -180,7 +182,7 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
         return chosen.otherwise(F.col(name)).alias(name)
 
     def ce(name: str) -> Column:
-        return any_case("headers", f"CE-{name}")
+        return entry_any_case(F.col("__ce"), f"CE-{name}")
 
     changed = {
         "id": pick("id", doc("$.eventID"), ce("EventID")),
@@ -197,7 +199,7 @@ def unwrap_cloudevents(df: DataFrame) -> DataFrame:
         "body_object": pick("body_object", F.when(is_object, data), None),
     }
     error = F.when(bad, F.lit("Failed to wrap structured cloud event"))
-    kept = [changed.get(c, F.col(c)) for c in df.columns if c != "__doc"]
+    kept = [changed.get(c, F.col(c)) for c in df.columns if c not in ("__doc", "__ce")]
     return df.select(*kept, error.alias("decode_error"))
 
 
@@ -253,10 +255,7 @@ def _is_results(document: Column) -> Column:
         good = F.schema_of_variant(item).startswith("OBJECT")
         for name, kinds in _TYPES.items():
             kind = F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant"))
-            here = kind.startswith("VOID")
-            for k in kinds:
-                here = here | kind.startswith(k)
-            good = good & F.coalesce(here, F.lit(True))
+            good = good & F.coalesce(kind.rlike(f"^(?:VOID|{'|'.join(kinds)})"), F.lit(True))
         return F.coalesce(good, F.lit(False))
 
     listed = F.try_variant_get(document, "$", "array<variant>")
@@ -269,10 +268,10 @@ def decode_results(df: DataFrame, column: str = "data") -> DataFrame:
     Adds the result's attributes, `decoded_body`, and `result_error` for text that is not JSON, is neither an object nor a
     list of objects, or has an attribute of another type, and for an unknown body encoding.
     """
-    document = F.try_parse_json(column)
-    document = F.when(_is_results(document), document)
-    results = F.when(document.isNotNull(), F.from_json(column, _RESULT))
-    rows = df.select("*", document.isNull().alias("__bad"), F.explode_outer(results).alias("__r"))
+    # each step is a column that the next one uses more than once, so none is repeated
+    parsed = df.withColumn("__doc", F.try_parse_json(column)).withColumn("__good", F.coalesce(_is_results(F.col("__doc")), F.lit(False))).drop("__doc")
+    results = F.when(F.col("__good"), F.from_json(column, _RESULT))
+    rows = parsed.select("*", (~F.col("__good")).alias("__bad"), F.explode_outer(results).alias("__r"))
     encoding = F.col("__r.body_encoding")
     body = F.col("__r.body")
     decoded = (F.when(encoding == "text", body.cast("binary"))

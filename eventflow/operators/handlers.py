@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from eventflow.functions.durations import duration_text_us
-from eventflow.functions.maps import any_case
+from eventflow.functions.maps import entries_any_case, entry_any_case
 from eventflow.schema import ENVELOPE, RESPONSE
 
 NO_ACK_HEADER = "X-Stream-No-Ack"
@@ -406,8 +406,10 @@ def admit(df: DataFrame, cors: Cors | None = None, max_body: int = MAX_BODY_BYTE
     A preflight (the preflight method with a requested method) is answered by 200 or 400.  Another
     request is refused without a status for its origin, and with 413 for its body.
     """
+    df = df.withColumn("__asked", entries_any_case("headers", "Origin", "Access-Control-Request-"))
+
     def head(name: str):
-        return any_case("headers", name)
+        return entry_any_case(F.col("__asked"), name)
 
     def one_of(value, allowed: Sequence[str]):
         return F.lower(value).isin([a.lower() for a in allowed])
@@ -425,4 +427,4 @@ def admit(df: DataFrame, cors: Cors | None = None, max_body: int = MAX_BODY_BYTE
     df = df.withColumns({"reason": reason, "__preflight": preflight})
     status = (F.when(F.col("reason") == "body", 413).when(F.col("__preflight") & F.col("reason").isNull(), 200)
               .when(F.col("__preflight"), 400))
-    return df.withColumns({"admitted": F.col("reason").isNull(), "status": status}).drop("__preflight")
+    return df.withColumns({"admitted": F.col("reason").isNull(), "status": status}).drop("__preflight", "__asked")

@@ -169,7 +169,7 @@ def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows
     if not cuts:
         return plain
     bounds = F.from_json(F.lit(json.dumps([dict(zip(names, cut)) for cut in cuts])), kind)
-    cell = _count_not_after(bounds, F.lit(len(cuts)), here, len(cuts))
+    cell = count_not_after(bounds, F.lit(len(cuts)), here, len(cuts))
     if chunks > COARSE:
         return _fine(df, keys, order, here, key_hash, bounds, cell, len(cuts) + 1, chunks, total, kind)
     near = lambda at: F.coalesce(F.get(bounds, at)["p0"] == key_hash, F.lit(False))
@@ -204,7 +204,7 @@ def _fine(df: DataFrame, keys: Sequence[str], order: Sequence[str], here: Column
         "__cell", "__start", F.coalesce("__from", F.array().cast(kind)).alias("__from"))
     # a few longs a chunk
     joined = df.withColumn("__cell", cell).join(F.broadcast(table) if chunks <= SMALL_CUTS else table, "__cell", "left")
-    passed = _count_not_after(F.col("__from"), F.size("__from"), here, max(sizes.values(), default=0) + 1)
+    passed = count_not_after(F.col("__from"), F.size("__from"), here, max(sizes.values(), default=0) + 1)
     rows = joined.withColumn("__passed", passed)
     # in the first cell no point is passed before its first chunk, in others the cell's own is
     inside = F.greatest(F.col("__passed") - F.when(F.col("__cell") == 0, 0).otherwise(1), F.lit(0))
@@ -215,7 +215,7 @@ def _fine(df: DataFrame, keys: Sequence[str], order: Sequence[str], here: Column
     return Ordered(rows, rows.filter(EDGE), tuple(keys), tuple(order), at)
 
 
-def _count_not_after(bounds: Column, n: Column, here: Column, most: int) -> Column:
+def count_not_after(bounds: Column, n: Column, here: Column, most: int) -> Column:
     """How many of the sorted `bounds` (`n` of them, at most `most`) are not after `here`, by bisection."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
 

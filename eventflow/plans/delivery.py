@@ -173,7 +173,7 @@ def _d10(spark, sf_dir, **chunks):
     return D.discard_drained(rows.select("event_id", "worker", "ts"), signals, **chunks).drop("ts")
 
 
-chunked("d10_discard_drained", _d10)
+chunked("d10_discard_drained", lambda spark, sf_dir, **chunks: _d10(spark, sf_dir, few=0, **chunks))
 
 
 def _lengths(batches):

@@ -130,6 +130,18 @@ ROUTES = (("all", "+/#"), ("clicks", "click/+/user"), ("shard3", "+/3/#"), ("vie
 ROUTES_AMQP = (("all", "#"), ("clicks", "click.*.user"), ("three", "*.3.#"), ("users", "#.user"))
 
 
+#: as many consumers of single users as there are subscriptions, and some by type and shard
+MANY_ROUTES = [(f"c{i % 100}", f"+/+/{i}") for i in range(10_000)] + [("clicks", "click/#"), ("three", "+/3/#"), ("three", "click/3/7")]
+
+
+@query("s6_route_by_trie", f"""WITH {EVENTS}
+SELECT event_id, 'c' || user_id % 100 AS consumer FROM ev WHERE user_id < 10000
+UNION ALL SELECT event_id, 'clicks' FROM ev WHERE topic = 'click' UNION ALL SELECT event_id, 'three' FROM ev WHERE shard_id = 3""")
+def _s6_trie(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", F.concat_ws("/", "topic", F.col("shard_id").cast("string"), F.col("user_id").cast("string")).alias("topic"))
+    return streams.route_by_trie(rows, MANY_ROUTES, "mqtt").select("event_id", "consumer")
+
+
 @query("s6_route_by_topic", f"""WITH {EVENTS}
 SELECT event_id, 'mqtt' AS syntax, 'all' AS consumer FROM ev
 UNION ALL SELECT event_id, 'mqtt', 'clicks' FROM ev WHERE topic = 'click'

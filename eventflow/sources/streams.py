@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from eventflow.functions.durations import duration_text_us
+from eventflow.session import written
 
 # fixed values: Kafka trigger defaults
 FETCH_DEFAULT_BYTES = 1024 * 1024
@@ -201,13 +203,17 @@ def topic_pattern(pattern: str, syntax: str) -> str:
         guard = r"(?!\$)" if levels[0] in ("+", "#") else ""
         if not tail:
             return f"^{guard}{body}$"
-        return f"^{guard}{body}(?:/.*)?$" if body else f"^{guard}.*$"
+        return f"^{guard}{body}(?:/.*)?$" if len(levels) > 1 else f"^{guard}.*$"
     if syntax == "amqp":
         out = ""
-        for i, word in enumerate(pattern.split(".")):
+        words = pattern.split(".")
+        words = [w for i, w in enumerate(words) if w != "#" or words[i - 1:i] != ["#"]]  # one "#" is as good as several
+        if words == ["#"]:
+            return "^.*$"
+        for i, word in enumerate(words):
             if word == "#":
                 # any number of words, each with the dot that parts it from its neighbours
-                out += r"(?:(?:^|\.)[^.]*)*" if i else r"(?:[^.]*(?:\.|$))*?"
+                out += r"(?:\.[^.]*)*" if i else r"(?:[^.]*\.)*?"
                 continue
             piece = r"[^.]*" if word == "*" else _quote(word)
             after_hash = out.endswith("*?")
@@ -240,6 +246,95 @@ def route_by_topic(df: DataFrame, subscriptions: Sequence[tuple[str, str]], synt
     return df.withColumn("consumer", F.explode(F.array_compact(F.array(*hits))))
 
 
+class TopicTrie:
+    """Subscription patterns by topic level; `one` is a wildcard for a level, `many` for any number of levels."""
+
+    def __init__(self) -> None:
+        self.below: dict[str, TopicTrie] = {}
+        self.one: TopicTrie | None = None
+        self.many: TopicTrie | None = None
+        self.loops = False
+        self.consumers: set[str] = set()
+
+    @classmethod
+    def of(cls, subscriptions: Sequence[tuple[str, str]], syntax: str) -> TopicTrie:
+        root = cls()
+        for consumer, pattern in subscriptions:
+            topic_pattern(pattern, syntax)  # refuses what is no pattern
+            node = root
+            for level in [pattern] if syntax == "exact" else pattern.split(SEPARATORS[syntax]):
+                if syntax != "exact" and level == "#":
+                    node.many = node.many or cls()
+                    node = node.many
+                    node.loops = True
+                elif syntax != "exact" and level == WILDCARDS[syntax]:
+                    node.one = node.one or cls()
+                    node = node.one
+                else:
+                    node = node.below.setdefault(level, cls())
+            node.consumers.add(consumer)
+        return root
+
+    def match(self, topic: str, syntax: str) -> set[str]:
+        """The consumers with a pattern that fits: all paths of the trie that the topic's levels allow, taken side by side."""
+        levels = [topic] if syntax == "exact" else topic.split(SEPARATORS[syntax])
+        hidden = syntax == "mqtt" and topic.startswith("$")  # not reached by a leading wildcard
+        here = {self} if hidden else self._closed({self})
+        for i, level in enumerate(levels):
+            after = set()
+            for node in here:
+                if level in node.below:
+                    after.add(node.below[level])
+                if node.one is not None and not (hidden and i == 0):
+                    after.add(node.one)
+                if node.loops:
+                    after.add(node)
+            here = self._closed(after)
+        return set().union(*(node.consumers for node in here))
+
+    @staticmethod
+    def _closed(nodes: set[TopicTrie]) -> set[TopicTrie]:
+        """With the nodes that no further level leads to."""
+        todo = list(nodes)
+        while todo:
+            if (more := todo.pop().many) is not None and more not in nodes:
+                nodes.add(more)
+                todo.append(more)
+        return nodes
+
+
+# fixed values of the protocols
+SEPARATORS, WILDCARDS = {"mqtt": "/", "amqp": "."}, {"mqtt": "+", "amqp": "*"}
+FEW_TOPICS = 100_000
+
+
+def route_by_trie(df: DataFrame, subscriptions: Sequence[tuple[str, str]], syntax: str = "exact", column: str = "topic",
+                  few: int = FEW_TOPICS) -> DataFrame:
+    """The same rows as `route_by_topic`, for any number of subscriptions.
+
+    The patterns are a trie over topic levels that is walked once for each distinct topic; events meet their consumers by an equal
+    topic.  The topics are counted: up to `few` are broadcast, more are joined as Spark sees fit.
+    """
+    listed = [(str(c), p) for c, p in subscriptions]
+    TopicTrie.of(listed, syntax)
+    sent = df.sparkSession.sparkContext.broadcast((listed, syntax))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, kind = sent.value
+        trie = None
+        for batch in batches:
+            trie = trie or TopicTrie.of(patterns, kind)
+            topics = batch.column("__topic")
+            found = [sorted(trie.match(t, kind)) for t in topics.to_pylist()]
+            yield pa.RecordBatch.from_arrays([topics, pa.array(found, pa.list_(pa.string()))], ["__topic", "__consumers"])
+
+    topics = df.select(F.col(column).alias("__topic")).filter("__topic is not null").distinct()
+    routes = written(topics.mapInArrow(walk, "__topic string, __consumers array<string>").filter(F.size("__consumers") > 0), "routes")
+    routes = F.broadcast(routes) if routes.limit(few + 1).count() <= few else routes
+    joined = df.join(routes, F.col(column) == F.col("__topic"))
+    return joined.withColumn("consumer", F.explode("__consumers")).drop("__topic", "__consumers")
+
+
 def union_sources(*frames: DataFrame) -> DataFrame:
     """Events of several sources as one frame; each row keeps its trigger kind and name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -162,3 +162,20 @@ def test_rows_without_position_are_no_copies(spark):
     rows = spark.createDataFrame([("t", 0, 1), ("t", 0, 1), (None, None, None), (None, None, None), ("t", None, 1), ("t", None, 1)],
                                  "topic string, shard_id int, offset long")
     assert D.dedupe(rows).count() == 5
+
+
+def test_signal_index_is_the_union_form(spark):
+    """Few signals are an index and the events are not moved; both forms drop the same events, ties, nulls and unknown workers too."""
+    import random
+    from datetime import datetime, timedelta
+    rng = random.Random(8)
+    at = lambda: datetime(2024, 1, 1) + timedelta(seconds=rng.randint(0, 200))
+    events = spark.createDataFrame([(i, rng.choice([0, 0, 0, 1, 2, None]), at() if i % 20 else None) for i in range(600)], "i int, worker int, ts timestamp")
+    signals = spark.createDataFrame([(rng.choice([0, 0, 1, None]), at(), rng.choice(["drain", "continue", "terminate"])) for _ in range(80)], "worker int, ts timestamp, signal string")
+    few, many = D.discard_drained(events, signals), D.discard_drained(events, signals, 40, few=0)
+    assert sorted(r.i for r in few.collect()) == sorted(r.i for r in many.collect())
+    assert few.columns == events.columns
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("BroadcastExchange")] if "BroadcastExchange" in plan else plan
+    assert "hashpartitioning" not in above and "rangepartitioning" not in above
+    assert D.discard_drained(events, signals.limit(0)).count() == 600

@@ -194,3 +194,34 @@ def test_interval_blocks(spark, monkeypatch):
                                "i int, a timestamp, b timestamp")
     rows = schedule.ticks_between(df, "1s", "a", "b").groupBy("i").agg(F.countDistinct("tick").alias("n"), F.count("*").alias("m")).collect()
     assert {r.i: (r.n, r.m) for r in rows} == {1: (33, 33), 3: (20, 20)}
+
+
+@pytest.mark.parametrize("syntax,sep,one", [("mqtt", "/", "+"), ("amqp", ".", "*"), ("exact", "/", "+")])
+def test_trie_is_the_regular_expressions(spark, syntax, sep, one):
+    """Random patterns and topics; empty levels, hidden topics and nulls among them."""
+    import random
+    import re
+    rng = random.Random(len(syntax))
+    topics = [sep.join(rng.choice(["a", "b", "", "$s", "c d"]) for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["", "$a", f"$a{sep}b"]
+    patterns = []
+    for i in range(150):
+        levels = [rng.choice(["a", "b", "", one, one, "$s", "#" if syntax == "amqp" else "a"]) for _ in range(rng.randint(1, 4))]
+        if syntax == "mqtt" and rng.random() < 0.4:
+            levels[-1] = "#"
+        patterns.append((f"c{i % 40}", sep.join(levels)))
+    trie = streams.TopicTrie.of(patterns, syntax)
+    for topic in topics:
+        want = {c for c, p in patterns if re.fullmatch(streams.topic_pattern(p, syntax).removeprefix("^").removesuffix("$"), topic)}
+        assert trie.match(topic, syntax) == want, topic
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(topics)] + [(-1, None)], "i int, topic string")
+    plain = sorted((r.i, r.consumer) for r in streams.route_by_topic(df, patterns, syntax).collect())
+    assert plain == sorted((r.i, r.consumer) for r in streams.route_by_trie(df, patterns, syntax).collect())
+    assert plain == sorted((r.i, r.consumer) for r in streams.route_by_trie(df, patterns, syntax, few=3).collect())
+    with pytest.raises(ValueError):
+        streams.TopicTrie.of([("c", "a/#/b")], "mqtt")
+
+
+def test_plan_does_not_grow_with_subscriptions(spark):
+    df = spark.createDataFrame([(i, f"a/{i}") for i in range(50)], "i int, topic string")
+    plans = [streams.route_by_trie(df, [(f"c{k}", f"+/{k}") for k in range(n)], "mqtt")._jdf.queryExecution().executedPlan().toString() for n in (3, 10_000)]
+    assert abs(len(plans[0]) - len(plans[1])) < 50 and all("rlike" not in p.lower() for p in plans)
