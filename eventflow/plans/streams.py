@@ -12,7 +12,7 @@ from eventflow.plans.sources import event_stream, fresh_dir
 from eventflow.plans.tables import EVENTS, LOG, event_log
 from eventflow.session import written
 from eventflow.sources import shard_log, sinks
-from eventflow.streaming import batches, lifecycle, process, twins
+from eventflow.streaming import batches, lifecycle, process, tables, twins
 
 
 def _run(spark, stream, mode="append"):
@@ -216,3 +216,13 @@ def _h5_stream(spark, sf_dir):
                                                  F.lit(500).alias("status_code"), F.lit("bad batch").alias("error"), F.lit(0).alias("answer_no"))
     out = lifecycle.correlate_stream(known, said.unionByName(again).unionByName(lost), "1m")
     return spark.read.schema(out.schema).parquet(f"{_run(spark, out)}/batch=*")
+
+
+@query("d3_latest_table", f"""WITH {EVENTS}
+SELECT topic, shard_id, greatest(coalesce(max(event_id + 1 - 10) FILTER (NOT process_error), 0), 0) AS committed FROM ev GROUP BY ALL""")
+def _d3_table(spark, sf_dir):
+    """As d3_frontier_stream, kept as snapshot and deltas; merged after each batch here."""
+    rows = D.ack_decision(event_stream(spark, sf_dir)).withColumn("offset", F.col("event_id"))
+    out, path = twins.frontier_stream(rows, 10), fresh_dir(spark)
+    sinks.run_once(tables.write_latest(out, f"{path}/rows", f"{path}/state", ("topic", "shard_id"), merge_after=1))
+    return tables.latest(spark, f"{path}/rows", ("topic", "shard_id"), out.schema)

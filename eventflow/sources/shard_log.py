@@ -33,7 +33,8 @@ FILE = re.compile(r"topic=([^/]*)/shard_id=(\d+)/[^/_.][^/]*\.parquet$")
 POSITIONS = r"/\d{20}\.json$"
 
 
-def _place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def file_place(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """A path as a file system and a path in it."""
     if "://" in path or path.startswith("file:"):
         return pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
     return pyarrow.fs.LocalFileSystem(), path
@@ -44,14 +45,14 @@ def key_of(topic: str, shard: int) -> str:
 
 
 def _found(path: str, pattern: str) -> list[str]:
-    files, root = _place(path)
+    files, root = file_place(path)
     infos = files.get_file_info(pyarrow.fs.FileSelector(root, recursive=True, allow_not_found=True))
     return sorted(i.path for i in infos if i.type == pyarrow.fs.FileType.File and re.search(pattern, i.path))
 
 
 def _positions(path: str) -> list[str]:
     """The files of positions in a folder (not below it), oldest first."""
-    depth = _place(path)[1].rstrip("/").count("/") + 1
+    depth = file_place(path)[1].rstrip("/").count("/") + 1
     return [n for n in _found(path, POSITIONS) if n.count("/") == depth]
 
 
@@ -63,7 +64,7 @@ def write_log(df: DataFrame, path: str) -> None:
 
 def write_positions(positions: Mapping[str, int], path: str) -> None:
     """Add a file with the position of each shard; readers see it whole or not at all."""
-    files, root = _place(path)
+    files, root = file_place(path)
     files.create_dir(root, recursive=True)
     last = max((int(n.rsplit("/", 1)[-1].split(".")[0]) for n in _positions(path)), default=-1)
     part = f"{root}/.{uuid4().hex}"
@@ -79,7 +80,7 @@ def read_positions(path: str) -> dict[str, int]:
     names = _positions(path)
     if not names:
         return {}
-    with _place(path)[0].open_input_stream(names[-1]) as f:
+    with file_place(path)[0].open_input_stream(names[-1]) as f:
         return json.loads(f.read())
 
 
@@ -125,7 +126,7 @@ class ShardLogReader(DataSourceStreamReader):
 
     def _files(self) -> dict[str, list[str]]:
         """Files by shard, of the shards that are read; new ones have their footer looked at once."""
-        files, _ = _place(self.path)
+        files, _ = file_place(self.path)
         found: dict[str, list[str]] = {}
         for name in _found(self.path, FILE.pattern):
             topic, shard = FILE.search(name).groups()
@@ -184,7 +185,7 @@ class ShardLogReader(DataSourceStreamReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(self.schema)
-        files, _ = _place(self.path)
+        files, _ = file_place(self.path)
         for name in partition.files:
             with files.open_input_file(name) as f:
                 parquet = pq.ParquetFile(f)
