@@ -38,7 +38,16 @@ def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -1,8 +1,9 @@
-"""Line dedup with content-defined chunks of passages.
+"""Line dedup with content-defined chunks of lines.
 
-A window of `min_words` words is named by the least hash of the short shingles in it, so equal windows have equal names wherever
-they stand, and neighbouring windows of one name are a chunk.  Windows of chunks whose name occurs in several documents are
-hashed whole; those of an earlier document too lead there.  The words are compared as bytes and removed from the later document.
+A line ends where a word hash is the least of some few adjacent ones, so lines are short and the same words are cut alike wherever
+they stand.  A rolling hash runs over the hashes of adjacent lines, and each window of `min_words` words is named by the least rolling
+hash inside it: where the name changes, a chunk of lines ends.  Chunks are hashed whole; those of an earlier document too lead there.
+Only chunks that share a name but differ are compared by windows.  The words are compared as bytes and removed from the later document.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import filled, forget, matching, small_batches, stored, text_groups
+from .common import discard, filled, forget, matching, small_batches, stored, text_groups
 from .minhash import GROUP, U, _powers, mix
 
 MIN_WORDS = 50
+LINE, LINES = 4, 6  # words of a line at most, lines under a rolling hash; less where `min_words` is small
 BOUND = 500_000  # ids that may be broadcast
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())]))
@@ -33,6 +35,8 @@ class Chunks(NamedTuple):
     doc: np.ndarray
     first: np.ndarray
     windows: np.ndarray
+    whole: np.ndarray
+    again: np.ndarray
 
 
 def running(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +73,57 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], fore[width - 1:n])
 
 
+def least_between(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low:high] for each of the (not empty) ranges: of two powers of two that cover it."""
+    level, out = np.frexp(high - low)[1] - 1, np.empty(len(low), U)
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(values[low[here]], values[high[here] - (1 << k)])
+        values = np.minimum(values[:-(1 << k)], values[1 << k:])
+    return out
+
+
+def line_begins(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Which words begin a line: those whose hash is the least of some `width` adjacent ones, so that no line is longer."""
+    begins, smallest = np.zeros(len(hashes), bool), least(hashes, width)
+    for k in range(width):
+        begins[k:k + len(smallest)] |= hashes[k:k + len(smallest)] == smallest
+    return begins
+
+
+def twice(hashes: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Running sums for two independent hashes of a stretch: 128 bits together."""
+    return running(hashes), running(mix(hashes, 0xC2B2AE3D27D4EB4F, 0x9E3779B185EBCA87))
+
+
 def chunks_of(texts: list[str], min_words: int = MIN_WORDS) -> Chunks:
-    """The chunks of each text: hash, number of the text, first word of the first window, and windows.
+    """The chunks of each text: hash, number of the text, first word of the first window, windows, and two hashes of all its words.
 
-    Every `min_words` words in a row are a window of exactly one chunk, whose hash follows from these words alone.
+    Every `min_words` words in a row are a window of exactly one chunk, whose hash follows from these words alone: whether a word
+    begins a line depends on the words less than a line away, so lines that near to the window's ends are left out.
     """
     hashes, doc = words_of(texts)
-    n, span = len(hashes) - min_words + 1, (min_words + 2) // 3
+    n = len(hashes) - min_words + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return Chunks(empty.view(U), *[empty] * 3)
-    sums, down = running(hashes)
-    at = np.arange(len(hashes) - span + 1)
-    names = least(stretches(sums, down, at, at + span), min_words - span + 1)
+        return Chunks(empty.view(U), *[empty] * 3, empty.view(U), empty.view(U))
+    width, group = max(1, min(LINE, min_words // 12)), max(1, min(LINES, min_words // 8))
+    begins = np.append(line_begins(hashes, width), True)
+    edges = np.flatnonzero(begins)
+    (sums, down), more = twice(hashes)
+    over_lines, down_lines = running(stretches(sums, down, edges[:-1], edges[1:]))
+    at = np.arange(len(edges) - group)
+    rolling = stretches(over_lines, down_lines, at, at + group)
+    before = np.append(0, begins.cumsum())
+    reach = min_words - width + (width == 1)
+    names = least_between(rolling, before[width - 1:width - 1 + n], before[reach + 1:reach + 1 + n] - group)
     inside = doc[:n] == doc[min_words - 1:]
     opens = np.append(True, (names[1:] != names[:-1]) | (doc[1:n] != doc[:n - 1])) & inside
     first = np.flatnonzero(opens)
     windows = np.add.reduceat(inside.astype(np.int64), first) if len(first) else first
-    return Chunks(names[first], doc[first], first - np.searchsorted(doc, doc[first]), windows)
+    ends = first + windows + min_words - 1
+    return Chunks(names[first], doc[first], first - np.searchsorted(doc, doc[first]), windows,
+                  stretches(sums, down, first, ends), stretches(*more, first, ends))
 
 
 def _chunk_rows(min_words: int):
@@ -97,17 +134,17 @@ def _chunk_rows(min_words: int):
             for group in text_groups(batch.column("text"), GROUP):
                 c = chunks_of(group, min_words)
                 at = pa.array(c.doc + done)
-                yield pa.RecordBatch.from_arrays([pa.array(c.hash.view(np.int64)), ids.take(at), batch.column("tag").take(at),
-                                                  *[pa.array(x.astype(np.int32)) for x in c[2:]]], ["h", "id", "tag", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (c.hash, c.whole, c.again)], ids.take(at), batch.column("tag").take(at),
+                                                  *[pa.array(x.astype(np.int32)) for x in (c.first, c.windows)]], ["h", "c", "d", "id", "tag", "first", "windows"])
                 done += len(group)
 
     return run
 
 
-def windows_of(texts: list[str], chunks: list[list[dict]], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of the given chunks of each text: hash, number of the text, first word."""
+def windows_of(texts: list[str], chunks: list[list[dict]], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of the given chunks of each text: two hashes, number of the text, first word."""
     hashes, doc = words_of(texts)
-    sums, down = running(hashes)
+    sums, more = twice(hashes)
     begins = np.searchsorted(doc, np.arange(len(texts) + 1))
     number = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
     first = np.array([c["first"] for g in chunks for c in g], np.int64)
@@ -117,7 +154,7 @@ def windows_of(texts: list[str], chunks: list[list[dict]], min_words: int) -> tu
     fits = pos + min_words <= np.diff(begins)[number]
     number, pos = number[fits], pos[fits]
     at = begins[number] + pos
-    return stretches(sums, down, at, at + min_words), number, pos
+    return stretches(*sums, at, at + min_words), stretches(*more, at, at + min_words), number, pos
 
 
 def _window_rows(min_words: int):
@@ -125,10 +162,10 @@ def _window_rows(min_words: int):
         for batch in batches:
             ids, chunks, done = batch.column("id"), batch.column("chunks").to_pylist(), 0
             for group in text_groups(batch.column("text"), GROUP):
-                hashes, number, pos = windows_of(group, chunks[done:done + len(group)], min_words)
+                hashes, again, number, pos = windows_of(group, chunks[done:done + len(group)], min_words)
                 at = pa.array(number + done)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), ids.take(at), batch.column("tag").take(at), pa.array(pos.astype(np.int32))],
-                                                 ["w", "id", "tag", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(again.view(np.int64)), ids.take(at), batch.column("tag").take(at), pa.array(pos.astype(np.int32))],
+                                                 ["w", "v", "id", "tag", "pos"])
                 done += len(group)
 
     return run
@@ -142,21 +179,32 @@ def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """
     kind = docs.schema["id"].dataType.simpleString()
     docs = docs.filter("id is not null")
-    chunks = stored(docs.mapInArrow(_chunk_rows(min_words), f"h bigint, id {kind}, tag int, first int, windows int"), "chunks")
-    several = chunks.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("h")
-    found = chunks.join(stored(several, "several"), "h").select("id", "tag", "first", "windows").distinct()  # rows may be repeated
-    found = stored(found.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "windows")).alias("chunks")), "found")
-    asked = matching(docs, found.select("id", "tag"), ["id", "tag"], BOUND).join(found, ["id", "tag"])
-    windows = stored(asked.mapInArrow(_window_rows(min_words), f"w bigint, id {kind}, tag int, pos int"), "windows")
-    earliest = windows.groupBy("w").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
-    earliest = stored(earliest.select("w", F.col("first.id").alias("keeper"), F.col("first.pos").alias("at")), "earliest")
-    later = windows.join(earliest, "w").filter("id > keeper").select("id", "tag", "pos", "keeper", "at").distinct()
-    # adjacent windows from one place of one keeper form a run
-    order = Window.partitionBy("id", "tag").orderBy("pos")
-    goes_on = (F.lag("pos").over(order) == F.col("pos") - 1) & (F.lag("at").over(order) == F.col("at") - 1) & (F.lag("keeper").over(order) == F.col("keeper"))
+    chunks = stored(docs.mapInArrow(_chunk_rows(min_words), f"h bigint, c bigint, d bigint, id {kind}, tag int, first int, windows int"), "chunks")
+    several = stored(chunks.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("last")).filter("least < last").select("h"), "several")
+    found = stored(chunks.join(several, "h"), "found")
+    discard(chunks, several)
+    # equal chunks: the earliest document keeps them; a name with different chunks is looked at by windows there
+    contents = stored(found.groupBy("h", "c", "d").agg(F.min(F.struct("id", "first")).alias("of")).select("h", "c", "d", F.col("of.id").alias("keeper"), F.col("of.first").alias("at")), "contents")
+    mixed = stored(contents.groupBy("h").agg(F.min("keeper").alias("least"), F.max("keeper").alias("last")).filter("least < last").select("h", F.lit(True).alias("mixed")), "mixed")
+    placed = found.join(contents.join(mixed, "h", "left"), ["h", "c", "d"]).filter("id > keeper or mixed")
+    placed = stored(placed.select("id", "tag", "first", "windows", "keeper", "at").distinct(), "placed")  # rows may be repeated
+    discard(found, contents, mixed)
+    asked = stored(placed.filter("id = keeper").groupBy("id", "tag").agg(F.collect_set(F.struct("first", "windows")).alias("chunks")), "asked")
+    texts = matching(docs, asked.select("id", "tag"), ["id", "tag"], BOUND).join(asked, ["id", "tag"])
+    windows = stored(texts.mapInArrow(_window_rows(min_words), f"w bigint, v bigint, id {kind}, tag int, pos int"), "windows")
+    earliest = windows.groupBy("w", "v").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last")).filter("first.id < last")
+    earliest = stored(earliest.select("w", "v", F.col("first.id").alias("keeper"), F.col("first.pos").alias("at")), "earliest")
+    later = windows.join(earliest, ["w", "v"]).filter("id > keeper").select("id", "tag", "pos", F.lit(1).alias("windows"), "keeper", "at").distinct()
+    later = later.unionByName(placed.filter("id > keeper").withColumnRenamed("first", "pos"))
+    # adjacent windows and chunks from one place of one keeper form a run
+    order = Window.partitionBy("id", "tag").orderBy("pos", "windows", "keeper", "at")
+    goes_on = (F.lag(F.col("pos") + F.col("windows")).over(order) == F.col("pos")) & (F.lag(F.col("at") + F.col("windows")).over(order) == F.col("at"))
+    goes_on &= F.lag("keeper").over(order) == F.col("keeper")
     later = later.withColumn("run", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("run").over(order))
-    runs = later.groupBy("id", "tag", "keeper", "run").agg(F.min("pos").alias("start"), F.min("at").alias("at"), (F.count(F.lit(1)) + (min_words - 1)).alias("words"))
-    return runs.groupBy("id", "tag", "keeper", "at", "words").agg(F.collect_list("start").alias("starts"))
+    runs = later.groupBy("id", "tag", "keeper", "run").agg(F.min("pos").alias("start"), F.min("at").alias("at"), (F.sum("windows") + (min_words - 1)).alias("words"))
+    runs = stored(runs.groupBy("id", "tag", "keeper", "at", "words").agg(F.collect_list("start").alias("starts")), "runs")
+    discard(placed, asked, windows, earliest)
+    return runs
 
 
 def _snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +273,7 @@ def with_removed(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     frame = docs.select(F.col(doc_id).alias("id"), F.hash(text).alias("tag"), filled(text).alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
-    runs = stored(repeated_runs(frame, min_words), "runs")
+    runs = repeated_runs(frame, min_words)
     keepers = stored(runs.select(F.col("keeper").alias("id")).distinct(), "keepers")
     earlier = matching(frame.select("id", "text"), keepers, ["id"], BOUND).withColumnRenamed("id", "keeper")
     asked = runs.join(earlier, "keeper").select("id", "tag", "starts", "words", "at", "text")

@@ -292,6 +292,32 @@ def test_passages_without_line_ends(spark):
     assert sum(map(bool, wanted.values())) == 81 and removed_words(spark, texts) == wanted
 
 
+def test_lines_are_short_and_cut_alike():
+    words = line_dedup.words_of([prose(3, 4000) + " a" * 50])[0]
+    begins = np.flatnonzero(line_dedup.line_begins(words, line_dedup.LINE))
+    assert np.diff(begins).max() <= line_dedup.LINE and np.diff(begins).mean() > 1.5
+    part = np.flatnonzero(line_dedup.line_begins(words[1000:2000], line_dedup.LINE)) + 1000
+    inner = lambda x: set(x[(x >= 1003) & (x < 1997)].tolist())
+    assert inner(begins) == inner(part)
+
+
+def test_different_chunks_of_one_name(spark):
+    """Near copies of one text, each with other words changed, and passages cut short at either end."""
+    rng, base = random.Random(4), prose(77, 400).split()
+    texts = {}
+    for k in range(40):
+        ws = list(base)
+        for at in rng.sample(range(len(ws)), rng.randint(0, 6)):
+            ws[at] = f"new{k}x{at}"
+        low, high = sorted(rng.sample(range(len(ws)), 2))
+        texts[k] = " ".join(ws if k % 3 else ws[low:high])
+    texts[40] = texts[5]
+    wanted = gone_words(texts, 50)
+    assert sum(map(bool, wanted.values())) > 20 and removed_words(spark, texts) == wanted
+    small = {k: " ".join(t.split()[:60]) for k, t in texts.items()}
+    assert removed_words(spark, small, 12) == gone_words(small, 12)
+
+
 def test_chunks_resist_shifts():
     passage = prose(7, 300)
     a, b = (set(line_dedup.chunks_of([prose(s, n) + " " + passage]).hash.tolist()) for s, n in ((1, 50), (2, 83)))
@@ -315,6 +341,22 @@ def brute_hits(text, items, window=13):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
+def test_windows_of_many_items():
+    """The benchmark is ranked once, however many shards are searched."""
+    rng = random.Random(11)
+    items = [(i, " ".join(f"v{rng.randint(0, 5000)}" for _ in range(rng.choice([3, 13, 20])))) for i in range(100_000)]
+    held = decontamination.Items(items, 13)
+    ranks = dict(held.tables)
+    for shard in range(3):
+        asked = [rng.randrange(len(items)) for _ in range(40)]
+        texts = [f"x y {items[k][1]} z {' '.join(items[k][1].split()[:12])}" for k in asked]
+        for k, (n_words, n_hit, matches) in zip(asked, decontamination.match_shard(texts, held)):
+            size = len(items[k][1].split())
+            assert (str(k), 2, 0, size) in matches and size <= n_hit < n_words - 2
+            assert all(items[int(i)][1].split()[b:b + n] == texts[asked.index(k)].split()[a:a + n] for i, a, b, n in matches)
+    assert all(held.tables[k] is v for k, v in ranks.items())
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 300])
 def test_decontamination(spark, block_bytes):
     items = [(1, prose(1, 40)), (2, prose(2, 13)), (3, prose(3, 5)), (4, "One-two"), (5, None), (6, "..."), (7, prose(1, 40)[10:]), (7, prose(4, 20))]
