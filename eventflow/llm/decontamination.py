@@ -29,7 +29,11 @@ def words(text: str) -> list[bytes]:
 
 
 class Items:
-    """Benchmark items as numbered words; 0 is any word that no item has."""
+    """Benchmark items as numbered words, 0 being any word that no item has, and the ranks of their stretches.
+
+    Stretches of 1, 2, 4, ... words that lie in an item are ranked in the order of their words, each by the ranks of its halves;
+    so is every window.  The tables are made once in a worker, and a shard looks its own stretches up in them.
+    """
 
     def __init__(self, rows: list[tuple], window: int) -> None:
         self.numbers: dict[bytes, int] = {}
@@ -40,54 +44,88 @@ class Items:
                 self.ids.append(item_id)
                 self.texts.append(np.array(ids, np.int64))
                 self.sizes.append(min(window, len(ids)))
+        if not self.ids:
+            return
+        lengths = np.array([len(t) for t in self.texts])
+        stream = np.concatenate([np.append(t, 0) for t in self.texts])
+        at = {1: stream}
+        self.tables: dict[int, np.ndarray] = {}
+        for step in powers(max(self.sizes))[1:]:
+            pairs = followed(at[step // 2], step // 2, self.base(step // 2))
+            table, at[step] = np.unique(pairs, return_inverse=True)  # the last place has 0, so 0 is the least
+            self.tables[step] = table[1:]
+        # the windows of each size: key, item, place in the item
+        self.windows = {}
+        starts, sizes = np.cumsum(lengths + 1) - lengths - 1, np.array(self.sizes)
+        for size in sorted(set(self.sizes)):
+            mine = np.flatnonzero(sizes == size)
+            n = lengths[mine] - size + 1
+            item = np.repeat(mine, n)
+            inside = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+            self.windows[size] = (self.keys(at, size)[starts[item] + inside], item, inside)
+
+    def base(self, step: int) -> int:
+        """One more than the greatest rank of stretches of `step` words."""
+        return 1 + (len(self.numbers) if step == 1 else len(self.tables[step]))
+
+    def keys(self, at: dict[int, np.ndarray], size: int) -> np.ndarray:
+        """A number for the first `size` words of each suffix, in their order, 0 if no item may have them: two overlapping stretches."""
+        half = powers(size)[-1]
+        return at[half] if half == size else followed(at[half], size - half, self.base(half))
+
+    def ranks(self, stream: np.ndarray) -> dict[int, np.ndarray]:
+        """The ranks of a shard's stretches."""
+        at = {1: stream}
+        for step, table in self.tables.items():
+            at[step] = ranked(followed(at[step // 2], step // 2, self.base(step // 2)), table)
+        return at
 
     @property
     def least(self) -> int:
         return min(self.sizes)
 
 
-def prefix_ranks(stream: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... words, up to at least `depth`; what runs off the end counts as 0."""
-    ranks, step, at = stream, 1, {1: stream}
-    while step < depth:
-        after = np.zeros_like(ranks)
-        after[:-step] = ranks[step:]
-        ranks = np.unique(ranks * (ranks.max(initial=0) + 1) + after, return_inverse=True)[1].reshape(-1) + 1
-        step *= 2
-        at[step] = ranks
-    return at
-
-
-def prefix_key(at: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """A number for the first `length` words of each suffix, in their order: two overlapping powers of two."""
-    half = 1 << (length.bit_length() - 1)
-    ranks = at[half]
-    if half == length:
-        return ranks
+def powers(most: int) -> list[int]:
+    """1, 2, 4, ... up to `most`."""
+    return [1 << k for k in range(most.bit_length())]
+
+
+def followed(ranks: np.ndarray, step: int, base: int) -> np.ndarray:
+    """For each place its rank and that `step` places on as one number, 0 where either is 0."""
     after = np.zeros_like(ranks)
-    after[:len(ranks) - (length - half)] = ranks[length - half:]
-    return ranks * (ranks.max(initial=0) + 1) + after
+    after[:-step] = ranks[step:]
+    return np.where((ranks > 0) & (after > 0), ranks * base + after, 0)
+
+
+def ranked(pairs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The rank of each pair in a sorted table, from 1; 0 where the table has it not."""
+    if not len(table):
+        return np.zeros_like(pairs)
+    order, at = np.argsort(pairs), np.empty_like(pairs)
+    at[order] = np.searchsorted(table, pairs[order])  # in order, as jumps in a large table are slow
+    known = (pairs > 0) & (table[np.minimum(at, len(table) - 1)] == pairs)
+    return np.where(known, at + 1, 0)
 
 
 def search(stream: np.ndarray, items: Items) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(item, places in the stream, places in the item, window) of all windows that occur, for each item in turn.
+    """(item, places in the stream, places in the item, window) of all windows that occur, for each item that has one.
 
-    `stream` holds word numbers with 0 between what is not consecutive.
+    `stream` holds word numbers with 0 between what is not consecutive.  Its suffixes that may begin with a window are sorted by as
+    many words, and all windows of the items are searched by halves there at once.
     """
-    joint = np.concatenate([stream, *[np.concatenate([[0], t]) for t in items.texts], [0]])
-    at = prefix_ranks(joint, max(len(t) for t in items.texts))
-    suffixes = np.flatnonzero(stream)
-    suffixes = suffixes[np.argsort(at[max(at)][suffixes], kind="stable")]  # the suffix array
-    starts = len(stream) + 1 + np.cumsum([0, *[len(t) + 1 for t in items.texts[:-1]]])
-    keys = {size: prefix_key(at, size) for size in set(items.sizes)}
-    ordered = {size: key[suffixes] for size, key in keys.items()}
-    for k, (start, text, size) in enumerate(zip(starts, items.texts, items.sizes)):
-        wanted = keys[size][start:start + len(text) - size + 1]
-        low, high = (np.searchsorted(ordered[size], wanted, side) for side in ("left", "right"))
-        n = high - low
-        if n.any():
-            inside = np.repeat(np.arange(len(wanted)), n)
-            yield k, suffixes[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low, n)], inside, size
+    at = items.ranks(stream)
+    for size, (wanted, item, inside) in items.windows.items():
+        keys = items.keys(at, size)
+        suffixes = np.flatnonzero(keys)
+        suffixes = suffixes[np.argsort(keys[suffixes], kind="stable")]  # the suffix array
+        ordered = keys[suffixes]
+        low, high = (np.searchsorted(ordered, wanted, side) for side in ("left", "right"))
+        found = np.flatnonzero(high > low)
+        edges = np.flatnonzero(np.diff(item[found], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            of = found[a:b]
+            n = high[of] - low[of]
+            yield int(item[of[0]]), suffixes[np.arange(n.sum()) - np.repeat(n.cumsum() - n, n) + np.repeat(low[of], n)], np.repeat(inside[of], n), size
 
 
 def longest_matches(places: np.ndarray, inside: np.ndarray, size: int) -> list[tuple[int, int, int]]:
