@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from eventflow.operators import envelope as E
 from eventflow.plans import query
@@ -76,6 +77,17 @@ def _s3(spark, sf_dir):
         F.col("__size").alias("size"), "lang")
 
 
+@query("s3_poll_shards", """WITH i AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS name, n_chars AS size, 1700000000 + n_chars AS secs FROM documents)
+SELECT name, secs, 1 AS pollers FROM i WHERE suffix(name, '.en') AND size > 100 AND (size >= 2000 OR doc_id % 2 = 1)""")
+def _s3_shards(spark, sf_dir):
+    items = item_rows(spark, sf_dir)
+    stamps = _stamps(items)
+    since = polling.poll_floor(items, stamps)
+    parts = [polling.poll_items(items, stamps, suffixes=(".en",), predicates=("__size > 100",), shard=k, shards=5, since=since).withColumn("poller", F.lit(k)) for k in range(5)]
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("__name").alias("name"), F.col("__mtime_secs").alias("secs")).agg(
+        F.countDistinct("poller").cast("int").alias("pollers"))
+
+
 @query("s3_stamp_items", """WITH i AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS name,
   1700000000 + n_chars AS secs, doc_id * 1000 % 1000000000 AS nsecs, n_chars AS size FROM documents)
 SELECT name, CASE WHEN doc_id % 5 <> 0 THEN 1800000000 + doc_id ELSE secs - doc_id % 2 END AS secs,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -16,16 +18,57 @@ from eventflow.session import written
 FETCH_DEFAULT_BYTES = 1024 * 1024
 FETCH_MIN_BYTES = 1
 
+# fixed values: settings that annotations may give, and the names of those that are not called as the setting is
+ANNOTATED_TEXTS = ("sessionTimeout", "heartbeatInterval", "maxWaitTime", "retryBackoff", "accessKey", "accessCertificate", "caCert",
+                   "tls.minVersion", "sasl.user", "sasl.password", "sasl.mechanism", "sasl.oauth.clientId", "sasl.oauth.clientSecret",
+                   "sasl.oauth.tokenURL")
+ANNOTATED_NUMBERS = ("fetchMin", "fetchDefault", "fetchMax")
+ANNOTATED_SWITCHES = ("tls.enable", "tls.insecureSkipVerify", "sasl.enable")
+ANNOTATED_LISTS = ("sasl.oauth.scopes",)
+OTHER_NAMES = {"accessCertificate": "access-cert", "tls.minVersion": "tls-minimum-version", "tls.enable": "tls-enabled",
+               "sasl.enable": "sasl-enabled"}
+SWITCHES = {**dict.fromkeys(("1", "t", "T", "TRUE", "true", "True"), True), **dict.fromkeys(("0", "f", "F", "FALSE", "false", "False"), False)}
+
 # a micro-batch is bounded, and with it what one key can bring to a stateful operator at once
 MAX_OFFSETS_PER_TRIGGER = 5_000_000
 MAX_FILES_PER_TRIGGER = 1_000
 
 
+def annotated(trigger: Mapping, annotations: Mapping[str, str], prefix: str = "") -> dict:
+    """The trigger with the settings that annotations of its function give: ``<prefix>kafka-<setting>``, words joined by dashes.
+
+    What the attributes name themselves wins.  A number or switch that does not read as one is an error.
+    """
+    attributes = json.loads(json.dumps(dict(trigger.get("attributes") or {})))
+
+    def number(text: str) -> int:
+        return int(text)
+
+    def switch(text: str) -> bool:
+        if text not in SWITCHES:
+            raise ValueError(f"not a switch: '{text}'")
+        return SWITCHES[text]
+
+    for settings, read in ((ANNOTATED_TEXTS, str), (ANNOTATED_NUMBERS, number), (ANNOTATED_SWITCHES, switch),
+                           (ANNOTATED_LISTS, lambda text: text.split(","))):
+        for setting in settings:
+            name = OTHER_NAMES.get(setting) or re.sub("(?<=[a-z])(?=[A-Z])", "-", setting).replace(".", "-").lower()
+            value = annotations.get(f"{prefix}kafka-{name}")
+            if not value:
+                continue
+            *parents, last = setting.split(".")
+            place = attributes
+            for parent in parents:
+                place = place.setdefault(parent, {})
+            place.setdefault(last, read(value))
+    return {**trigger, "attributes": attributes}
+
+
 def kafka_options(trigger: Mapping) -> dict[str, str]:
     """Options of Spark's Kafka source for a trigger configuration.
 
     Topics and a consumer group are required; brokers come from the attributes, else from the
-    trigger's url.  The initial offset defaults to latest.
+    trigger's url.  The initial offset defaults to latest.  With `partitions`, only these of each topic are read.
     """
     attributes = dict(trigger.get("attributes") or {})
     topics = attributes.get("topics") or []
@@ -38,7 +81,8 @@ def kafka_options(trigger: Mapping) -> dict[str, str]:
         raise ValueError("brokers must be passed either in url or in the attributes")
     options = {
         "kafka.bootstrap.servers": ",".join(brokers),
-        "subscribe": ",".join(topics),
+        **({"assign": json.dumps({t: [int(p) for p in attributes["partitions"]] for t in topics})} if attributes.get("partitions")
+           else {"subscribe": ",".join(topics)}),
         "kafka.group.id": attributes["consumerGroup"],
         "startingOffsets": initial_offset(attributes.get("initialOffset")),
         "includeHeaders": "true",
@@ -131,22 +175,32 @@ def eventhub_options(trigger: Mapping) -> dict[str, str]:
     return kafka_options({"attributes": {
         "topics": [attributes["eventHubName"]], "consumerGroup": attributes.get("consumerGroup") or "$Default",
         "brokers": [f"{namespace}.servicebus.windows.net:9093"], "initialOffset": attributes.get("initialOffset"),
-        "tls": {"enable": True},
+        "partitions": attributes.get("partitions"), "tls": {"enable": True},
         "sasl": {"enable": True, "mechanism": "PLAIN", "user": "$ConnectionString", "password": connection}}})
 
 
-def open_stream(spark: SparkSession, trigger: Mapping, schema: StructType | str | None = None) -> DataFrame:
-    """A streaming frame for a trigger configuration, with bounded micro-batches.
+def starting_offsets(starts: DataFrame) -> str:
+    """The `startingOffsets` of Spark's Kafka source for the rows of `resolve_start`: one row per partition of the topics read."""
+    offsets: dict[str, dict[str, int]] = {}
+    for topic, shard, at in starts.select("topic", "shard_id", "start_at").collect():
+        offsets.setdefault(topic, {})[str(shard)] = at
+    return json.dumps(offsets, sort_keys=True)
+
+
+def open_stream(spark: SparkSession, trigger: Mapping, schema: StructType | str | None = None,
+                starts: DataFrame | None = None) -> DataFrame:
+    """A streaming frame for a trigger configuration, with bounded micro-batches; brokers start at `starts` (`resolve_start`).
 
     Kinds: ``kafka-cluster`` and ``eventhub`` (Spark's Kafka source), ``kinesis`` (a Kinesis source
     on the class path), and ``landing``: files of one `format` that arrive in `path`, read with
     `schema`.
     """
     kind = trigger.get("kind")
-    if kind in ("kafka-cluster", "kafka"):
-        return spark.readStream.format("kafka").options(**kafka_options(trigger)).load()
-    if kind == "eventhub":
-        return spark.readStream.format("kafka").options(**eventhub_options(trigger)).load()
+    if kind in ("kafka-cluster", "kafka", "eventhub"):
+        options = eventhub_options(trigger) if kind == "eventhub" else kafka_options(trigger)
+        if starts is not None:
+            options["startingOffsets"] = starting_offsets(starts)
+        return spark.readStream.format("kafka").options(**options).load()
     if kind == "kinesis":
         return spark.readStream.format("aws-kinesis").options(**kinesis_options(trigger)).load()
     if kind == "landing":

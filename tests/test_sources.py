@@ -116,6 +116,59 @@ def test_kafka_options():
         streams.initial_offset("middle")
 
 
+def test_settings_by_annotation(spark):
+    trigger = {"kind": "kafka-cluster", "url": "b:9092", "attributes": {"topics": ["a"], "consumerGroup": "g", "fetchMin": 7, "sasl": {"user": "own"}}}
+    notes = {"x/kafka-session-timeout": "20s", "x/kafka-fetch-min": "9", "x/kafka-fetch-max": "11", "x/kafka-sasl-enabled": "T", "x/kafka-sasl-user": "u",
+             "x/kafka-sasl-mechanism": "oauthbearer", "x/kafka-sasl-oauth-token-url": "t", "x/kafka-sasl-oauth-client-id": "c", "x/kafka-sasl-oauth-scopes": "r,w",
+             "x/kafka-tls-enabled": "true", "x/kafka-tls-minimum-version": "1.3", "kafka-max-wait-time": "9s"}
+    full = streams.annotated(trigger, notes, "x/")
+    assert full["attributes"]["sasl"]["user"] == "own" and "enable" not in trigger["attributes"]["sasl"]
+    got = streams.kafka_options(full)
+    assert got["kafka.session.timeout.ms"] == "20000" and got["kafka.fetch.min.bytes"] == "7" and got["kafka.fetch.max.bytes"] == "11"
+    assert got["kafka.fetch.max.wait.ms"] == "250" and got["kafka.ssl.enabled.protocols"] == "TLSv1.3" and got["kafka.security.protocol"] == "SASL_SSL"
+    assert 'clientId="c"' in got["kafka.sasl.jaas.config"] and 'scope="r w"' in got["kafka.sasl.jaas.config"] and got["kafka.sasl.oauthbearer.token.endpoint.url"] == "t"
+    for name, value in (("kafka-fetch-min", "many"), ("kafka-tls-enabled", "yes")):
+        with pytest.raises(ValueError):
+            streams.annotated({"attributes": {}}, {name: value})
+
+
+def test_partitions_and_start_positions(spark):
+    hub = streams.eventhub_options({"attributes": {"namespace": "n", "eventHubName": "h", "partitions": [0, 2]}})
+    assert hub["assign"] == '{"h": [0, 2]}' and "subscribe" not in hub
+    claims = spark.createDataFrame([("a", 0, 3, 90), ("a", 1, 0, 50), ("b", 0, 1, 9)], "topic string, shard_id int, earliest long, latest long")
+    commits = spark.createDataFrame([("a", 1, 44)], "topic string, shard_id int, committed long")
+    assert streams.starting_offsets(streams.resolve_start(claims, commits, "earliest")) == '{"a": {"0": 3, "1": 44}, "b": {"0": 1}}'
+
+
+def test_pollers_share_the_items(spark):
+    items = spark.range(2000).select(F.concat(F.lit("d/"), "id").alias("__name"), (F.col("id") + 1).alias("__mtime_secs"), F.lit(0).alias("__mtime_nsecs"),
+                                     F.lit("f").alias("__obj_type"), F.col("id").alias("__size"))
+    whole = {r["__name"] for r in polling.poll_items(items).collect()}
+
+    def shares(n):
+        return [{r["__name"] for r in polling.poll_items(items, shard=k, shards=n).collect()} for k in range(n)]
+
+    four, five = shares(4), shares(5)
+    for parts in (four, five):
+        assert set().union(*parts) == whole and sum(map(len, parts)) == len(whole) and min(map(len, parts)) > 300
+    assert all(after <= before for before, after in zip(four, five))  # only the new poller takes items
+    with pytest.raises(ValueError):
+        polling.poll_items(items, shard=4, shards=4)
+
+
+def test_polls_skip_what_is_done(spark, folder):
+    rows = spark.range(100).select(F.col("id").cast("string").alias("__name"), (F.col("id") + 1000).alias("__mtime_secs"), F.lit(0).alias("__mtime_nsecs"),
+                                   F.lit("f").alias("__obj_type"), F.col("id").alias("__size"))
+    rows.write.parquet(f"{folder}/items")
+    items = spark.read.parquet(f"{folder}/items")
+    stamps = items.filter("__size < 40").select("__name", F.col("__mtime_secs").alias("secs"), F.lit(1).alias("nsecs"))
+    assert polling.poll_floor(items, stamps) == 1040 and polling.poll_floor(items, stamps, slack=5) == 1035
+    assert polling.poll_floor(items.limit(0), stamps) is None
+    out = polling.poll_items(items, stamps, since=1040)
+    assert out.count() == 60 == polling.poll_items(items, stamps).count()
+    assert "GreaterThanOrEqual(__mtime_secs,1040)" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_other_stream_options():
     got = streams.kinesis_options({"attributes": {"streamName": "s", "iteratorType": "TRIM_HORIZON", "shards": ["0", "1"]}})
     assert got["startingPosition"] == "TRIM_HORIZON" and got["pollingPeriodMs"] == "500" and got["shards"] == "0,1"
