@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,6 +11,10 @@ from eventflow.functions.labels import selector
 from eventflow.functions.maps import empty_map
 
 STREAM_KIND = "shard-stream"
+KAFKA_KINDS = ("kafka-cluster", "kafka")
+
+# fixed values: attributes of stream triggers
+STREAM_ATTRIBUTES = {"consumer_group": "consumerGroup", "container": "containerName", "path": "streamPath"}
 
 # fixed values: limits and defaults of trigger settings
 MAX_WORKERS = 100_000
@@ -30,13 +34,11 @@ def triggers_by_kind(functions: DataFrame, kinds: Iterable[str]) -> DataFrame:
     return rows.filter(F.col("config.kind").isin(list(kinds)))
 
 
-def streams_of(functions: DataFrame) -> DataFrame:
-    """The streams that functions read, with key ``function@trigger``."""
-    attributes = F.col("config.attributes")
-    return triggers_by_kind(functions, [STREAM_KIND]).select(
+def streams_of(functions: DataFrame, kinds: Iterable[str] = (STREAM_KIND,), attributes: Mapping[str, str] = STREAM_ATTRIBUTES) -> DataFrame:
+    """The streams that functions read by triggers of `kinds`, with key ``function@trigger``; `attributes` maps columns to trigger attributes."""
+    return triggers_by_kind(functions, kinds).select(
         F.concat("function", F.lit("@"), "trigger").alias("stream"),
-        *[F.try_element_at(attributes, F.lit(a)).alias(n) for a, n in (
-            ("consumerGroup", "consumer_group"), ("containerName", "container"), ("streamPath", "path"))])
+        *[F.try_element_at(F.col("config.attributes"), F.lit(a)).alias(n) for n, a in attributes.items()])
 
 
 def match_labels(df: DataFrame, text: str, column: str = "labels") -> DataFrame:
@@ -91,12 +93,17 @@ def export_view(functions: DataFrame, prev_state: Column | str = "state", scrub:
     return functions.withColumns(changed)
 
 
-def violations(functions: DataFrame, annotation_prefix: str = "") -> DataFrame:
-    """One row per broken rule: name, trigger (null for rules of the function), rule."""
+def violations(functions: DataFrame, annotation_prefix: str = "", stream_kinds: Sequence[str] = (STREAM_KIND,),
+               kafka_kinds: Sequence[str] = KAFKA_KINDS) -> DataFrame:
+    """One row per broken rule: name, trigger (null for rules of the function), rule.
+
+    Triggers of `stream_kinds` do not scale; they and those of `kafka_kinds` need static allocation for explicit acks, which
+    an annotation named by the (first) kind may give.
+    """
     low, high = F.col("min_replicas"), F.col("max_replicas")
     kinds = F.transform(F.map_values("triggers"), lambda t: t["kind"])
     http = F.size(F.filter(kinds, lambda k: k == "http"))
-    streams = F.exists(kinds, lambda k: k == STREAM_KIND)
+    streams = F.exists(kinds, lambda k: k.isin(*stream_kinds))
 
     def metric(rule: str, broken) -> Column:
         return F.when(F.exists(F.col("auto_scale_metrics"), broken), F.lit(rule))
@@ -124,7 +131,7 @@ def violations(functions: DataFrame, annotation_prefix: str = "") -> DataFrame:
     own = functions.select("name", F.lit(None).cast("string").alias("trigger"),
                            F.explode(F.array_compact(F.array(*of_function))).alias("rule"))
     t = F.col("t")
-    prefix = F.when(t["kind"].isin("kafka-cluster", "kafka"), "kafka").when(t["kind"] == STREAM_KIND, STREAM_KIND)
+    prefix = F.when(t["kind"].isin(*kafka_kinds), "kafka").when(t["kind"].isin(*stream_kinds), stream_kinds[0])
     annotated = F.try_element_at("annotations", F.concat(F.lit(annotation_prefix), prefix, F.lit("-worker-allocation-mode")))
     mode = F.coalesce(F.try_element_at(t["attributes"], F.lit("workerAllocationMode")), annotated, F.lit(""))
     explicit = t["explicit_ack_mode"].isin("enable", "explicitOnly")

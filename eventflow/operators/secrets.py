@@ -45,13 +45,77 @@ SENSITIVE_PATHS = (
 )
 
 
-def _walk(node: Any, path: str, leaf: Callable[[str, Any], Any]) -> Any:
-    """A copy of a JSON tree with each leaf replaced by ``leaf(path, value)``."""
+class Paths:
+    """Patterns of paths as a trie over their literal first steps, carried down a walk.
+
+    A pattern ``^/a/b/c.+`` hangs below the steps a and b, with the literal start ``c`` of its next step; one that is not of this
+    form may match anywhere.  Below a step that no pattern goes on with, nothing has to be looked at, and a leaf is searched only
+    for the patterns that may still match.
+    """
+
+    def __init__(self, patterns: Sequence[str]) -> None:
+        self.patterns = tuple(patterns)
+        self.root: dict = {}
+        self.searches: dict[frozenset, Callable[[str], bool]] = {}
+        anywhere = set()
+        for number, pattern in enumerate(self.patterns):
+            if not pattern.startswith("^/") or set("|()") & set(pattern):
+                anywhere.add(number)
+                continue
+            steps, node = pattern[2:].split("/"), self.root
+            while len(steps) > 1 and re.fullmatch("[A-Za-z0-9_-]+", steps[0]):
+                node = node.setdefault("next", {}).setdefault(steps.pop(0).lower(), {})
+            start = re.match("[A-Za-z0-9_-]*", steps[0])[0]
+            if steps[0][len(start):len(start) + 1] in ("*", "?", "{"):  # the last letter may be missing
+                start = start[:-1]
+            node.setdefault("here", []).append((start.lower(), number))
+        self.begin = ([self.root], frozenset(anywhere), "")
+
+    def down(self, state: tuple, key: str) -> tuple[list[dict], frozenset, str]:
+        """The nodes, the patterns that may match, and the step not yet taken, below a key; a key may hold slashes."""
+        nodes, live, step = state
+        for piece in key.split("/"):
+            if step:
+                nodes = [child for node in nodes for name, child in self.children(node, step)]
+            live = live.union(*[[n for start, n in node.get("here", ()) if not piece.isascii() or piece.lower().startswith(start)] for node in nodes])
+            step = piece
+            if not step:  # an empty step is no literal one
+                nodes = []
+        return nodes, live, step
+
+    @staticmethod
+    def children(node: dict, step: str) -> list[tuple[str, dict]]:
+        following = node.get("next", {})
+        if step.isascii():
+            child = following.get(step.lower())
+            return [(step, child)] if child else []
+        return [(name, child) for name, child in following.items() if re.fullmatch(name, step, re.IGNORECASE)]
+
+    def dead(self, state: tuple) -> bool:
+        nodes, live, step = state
+        return not live and not any(child for node in nodes for child in self.children(node, step))
+
+    def matches(self, state: tuple, path: str) -> bool:
+        live = state[1]
+        if live not in self.searches:
+            compiled = [re.compile(self.patterns[n], re.IGNORECASE) for n in sorted(live)]
+            self.searches[live] = lambda text: any(c.search(text) for c in compiled)
+        return self.searches[live](path)
+
+
+def _walk(node: Any, path: str, leaf: Callable[[str, Any], Any], paths: Paths | None = None, state: tuple | None = None) -> Any:
+    """A copy of a JSON tree with each leaf replaced by ``leaf(path, value)``; with `paths`, only leaves that one of these matches."""
+    if paths is not None:
+        state = state or paths.begin
+        if path and paths.dead(state):
+            return node
     if isinstance(node, dict):
-        return {k: _walk(v, f"{path}/{k}", leaf) for k, v in node.items()}
+        return {k: _walk(v, f"{path}/{k}", leaf, paths, paths and paths.down(state, k)) for k, v in node.items()}
     if isinstance(node, list):
-        return [_walk(v, f"{path}[{i}]", leaf) for i, v in enumerate(node)]
-    return leaf(path, node)
+        # an index goes on with the step it stands behind, which is then no literal one
+        inside = paths and ([], state[1], "")
+        return [_walk(v, f"{path}[{i}]", leaf, paths, inside) for i, v in enumerate(node)]
+    return leaf(path, node) if paths is None or paths.matches(state, path) else node
 
 
 def _parsed(text: str) -> tuple[Any, str | None]:
@@ -62,11 +126,6 @@ def _parsed(text: str) -> tuple[Any, str | None]:
         return None, f"malformed document: {exc}"
 
 
-def _matcher(patterns: Sequence[str]) -> Callable[[str], bool]:
-    compiled = [re.compile(p, re.IGNORECASE) for p in patterns]
-    return lambda path: any(c.search(path) for c in compiled)
-
-
 def _map_documents(df: DataFrame, column: str, needs: Sequence[str], added: list[tuple[str, T.DataType, pa.DataType]],
                    change: Callable[..., tuple]) -> DataFrame:
     """Replace `column` and add columns by ``change(text, *needs)`` for each row; `needs` are dropped."""
@@ -91,9 +150,10 @@ def scrub(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, existing: Da
     A leaf whose path (``/a/b[0]/c``) matches a pattern, in any case, becomes ``$ref:`` plus the
     path in lower case.  Empty texts and references stay.  Secrets are rows (key, secret_key, value
     as JSON); `existing` ones are kept unless there is a new value.  A document that does not parse
-    is replaced by null, as it may hold anything, and `config_error` says so.
+    is replaced by null, as it may hold anything, and `config_error` says so.  Each of the two frames walks the documents when it
+    is used: a written table between them would leave the secrets in the shared folder.
     """
-    matches = _matcher(patterns)
+    paths = Paths(patterns)
 
     def change(text: str | None) -> tuple:
         if text is None:
@@ -104,7 +164,7 @@ def scrub(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, existing: Da
         found: dict[str, str] = {}
 
         def leaf(path: str, value: Any) -> Any:
-            if value is None or value == "" or not matches(path):
+            if value is None or value == "":
                 return value
             if isinstance(value, str) and value.startswith(REFERENCE):
                 return value
@@ -112,7 +172,7 @@ def scrub(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, existing: Da
             found[reference] = json.dumps(value)
             return reference
 
-        redacted = _walk(tree, "", leaf)
+        redacted = _walk(tree, "", leaf, paths)
         return json.dumps(redacted), list(found.items()), None
 
     walked = _map_documents(df, column, (), [(
@@ -151,13 +211,13 @@ def restore(df: DataFrame, secrets: DataFrame, key: str = "name", column: str =
 
 def has_refs(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, column: str = "config") -> DataFrame:
     """Add `has_refs`: whether a sensitive path holds a reference; null for a text that does not parse."""
-    matches = _matcher(patterns)
+    paths = Paths(patterns)
 
     def change(text: str | None) -> tuple:
         seen = []
 
         def leaf(path: str, value: Any) -> Any:
-            if isinstance(value, str) and value.startswith(REFERENCE) and matches(path):
+            if isinstance(value, str) and value.startswith(REFERENCE):
                 seen.append(path)
             return value
 
@@ -165,7 +225,7 @@ def has_refs(df: DataFrame, patterns: Sequence[str] = SENSITIVE_PATHS, column: s
             tree, error = _parsed(text)
             if error is not None:
                 return text, None
-            _walk(tree, "", leaf)
+            _walk(tree, "", leaf, paths)
         return text, bool(seen)
 
     return _map_documents(df, column, (), [("has_refs", T.BooleanType(), pa.bool_())], change)

@@ -67,6 +67,13 @@ def _r2(spark, sf_dir):
     return R.streams_of(function_configs(spark, sf_dir))
 
 
+@query("r2_streams_of_kinds", """
+SELECT c_name || '@log' AS stream, 't' AS topic, CASE WHEN c_custkey % 8 = 0 THEN 'pool' ELSE 'static' END AS allocation
+FROM customer WHERE c_custkey % 3 = 0""")
+def _r2_kinds(spark, sf_dir):
+    return R.streams_of(function_configs(spark, sf_dir), ["kafka-cluster"], {"topic": "topic", "allocation": "workerAllocationMode"})
+
+
 @query("r3_match_labels", """
 SELECT c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey <> 3 AND c_nationkey NOT IN (5, 6)""")
 def _r3(spark, sf_dir):
@@ -177,6 +184,15 @@ def _r8(spark, sf_dir):
                       log["url"].alias("url"))
 
 
+@query("r9_violations_kinds", """WITH f AS (SELECT c_custkey AS k, c_name AS name, CASE c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS low,
+  CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS high FROM customer)
+SELECT name, NULL AS "trigger", 'stream trigger does not scale' AS rule FROM f WHERE k % 3 = 0 AND low <> high
+UNION ALL SELECT name, 'log', 'explicit ack needs static allocation' FROM f WHERE k % 3 = 0 AND k % 8 = 0""")
+def _r9_kinds(spark, sf_dir):
+    return R.violations(function_configs(spark, sf_dir), stream_kinds=["kafka-cluster"], kafka_kinds=[]).filter(
+        F.col("rule").isin("stream trigger does not scale", "explicit ack needs static allocation"))
+
+
 @query("r9_violations", """WITH f AS (SELECT c_custkey AS k, c_name AS name, CASE c_custkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 3 END AS low,
   CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS high FROM customer)
 SELECT name, NULL AS "trigger", 'max replicas must be set when min replicas is zero' AS rule FROM f WHERE low = 0 AND high IS NULL

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import re
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,45 @@ def test_scrub_and_restore(spark):
     assert json.loads(again.filter("name = 'mill'").first().config) == clean
 
 
+def test_paths_are_the_regular_expressions():
+    patterns = [*S.SENSITIVE_PATHS, "^/a/b", "^/a/bc*/d$", "^/a/x-.+-k$", "password$", "^/(a|b)/c$", "^/a/[^/]+/e$", r"^/l\\[\\d+\\]/p$", "^/s/i$", "^/n//m$"]
+    keys = ["a", "A", "b", "bc", "B", "c", "d", "e", "x-1/2-k", "spec", "Spec", "triggers", "volumes", "volume", "flexVolume", "options", "accessKey", "attributes",
+            "password", "metadata", "annotations", "x/kafka-ca-cert", "l", "p", "\u017f", "s", "i", "\u0130", "\u0131", "", "n", "m", "sasl", "build", "codeEntryAttributes", "headers"]
+    rng = random.Random(5)
+
+    def tree(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.1:
+            return 1
+        if kind < 0.25:
+            return [tree(depth - 1) for _ in range(2)]
+        return {k: tree(depth - 1) for k in rng.sample(keys, 9)}
+
+    def wanted(node, path, chosen):
+        if isinstance(node, dict):
+            return [p for k, v in node.items() for p in wanted(v, f"{path}/{k}", chosen)]
+        if isinstance(node, list):
+            return [p for i, v in enumerate(node) for p in wanted(v, f"{path}[{i}]", chosen)]
+        return [path] if any(re.search(p, path, re.IGNORECASE) for p in chosen) else []
+
+    found = 0
+    for chosen in (patterns, S.SENSITIVE_PATHS, patterns[-9:-6] + patterns[-3:], [r"^/l\[\d+\]/p$", "^/s/i$", "^/spec/triggers/.+/password$"]):
+        paths = S.Paths(chosen)
+        for document in [tree(4) for _ in range(30)] + [{"spec": {"triggers": tree(4)}, "l": [{"p": 1}]}, [tree(2)], 1]:
+            seen = []
+            S._walk(document, "", lambda path, value: seen.append(path), paths)
+            assert seen == wanted(document, "", chosen)
+            found += len(seen)
+    assert found > 500
+
+
+def test_walk_leaves_out_what_no_pattern_reaches():
+    paths = S.Paths(S.SENSITIVE_PATHS)
+    assert paths.dead(paths.down(paths.begin, "status")) and not paths.dead(paths.down(paths.begin, "spec"))
+    spec = paths.down(paths.begin, "Spec")
+    assert paths.dead(paths.down(spec, "env")) and not paths.dead(paths.down(spec, "volumes"))
+
+
 def test_new_secret_beats_old(spark):
     df = spark.createDataFrame([("f", json.dumps({"spec": {"triggers": {"t": {"password": "new"}}}}))], "name string, config string")
     old = spark.createDataFrame([("f", "$ref:/spec/triggers/t/password", '"old"'), ("f", "$ref:/other", '"o"')],
