@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from eventflow.functions.durations import duration_text_us
 from eventflow.operators.batching import DEFAULT_SIZE, DEFAULT_TIMEOUT, assign_batches
 from eventflow.operators.ordered import CHUNK_ROWS
+from eventflow.sources.shard_log import file_place
 
 
 def batch_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str], size: int = DEFAULT_SIZE,
@@ -76,7 +78,8 @@ def write_batched(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
     `size` per key) and batches them with `assign_batches`, which spreads a hot key over tasks.
     Rows get `batch_id` (key values, the microsecond the batch opened, `tie` of its first row) and
     `pos`.  Rows later than the watermark are dropped.  A micro-batch that runs again replaces its
-    folders; folders older than the last one are only read as results.
+    folders.  Its work tables are removed once its batches are written, and so are the open rows and the watermark of
+    micro-batches that cannot run again: only ``closed`` grows.
     """
     keys, tie, limit, late = list(keys), list(tie), duration_text_us(timeout), duration_text_us(delay)
     schema, batch_keys = stream.schema, [*keys, "batch_no"]
@@ -113,6 +116,11 @@ def write_batched(stream: DataFrame, keys: Sequence[str], ts: str, tie: Sequence
         name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys], F.col("opened").cast("string"), "first")
         done.select(*schema.names, name.alias("batch_id"), "pos").write.mode("overwrite").parquet(folder("closed"))
 
+        for kind, number in (("rows", batch_id), ("numbered", batch_id), ("open", batch_id - 2), ("mark", batch_id - 2)):
+            files, old = file_place(folder(kind, number))
+            if files.get_file_info(old).type == pyarrow.fs.FileType.Directory:
+                files.delete_dir(old)
+
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 

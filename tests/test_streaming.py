@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,5 @@ def test_written_batches(spark, landing, chunk_rows):
     assert as_set(got, *columns) == as_set(want, *columns)
     assert max(r["count"] for r in spark.read.option("basePath", f"{folder}/b/open").parquet(f"{folder}/b/open").groupBy(
         "batch", "topic", "shard_id").count().collect()) < 4
+    left = {kind: len(list(Path(folder, "b", kind).glob("batch=*"))) for kind in ("rows", "numbered", "open", "mark", "closed")}
+    assert left == {"rows": 0, "numbered": 0, "open": 2, "mark": 2, "closed": left["closed"]} and left["closed"] > 2
