@@ -35,6 +35,15 @@ def build_session(app: str = "eventflow", master: str | None = None, **overrides
     return builder.getOrCreate()
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Streams started from now on may hold states and timers of their own: only this store has room for several in a state.
+
+    A session made elsewhere has another default; streams that go on from a checkpoint keep the store they began with.
+    """
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, SETTINGS[key])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: computed once, however often it is read."""
     spark = df.sparkSession

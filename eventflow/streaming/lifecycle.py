@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from eventflow.functions.durations import duration_text_us
 from eventflow.operators.delivery import POSITION
+from eventflow.session import keyed_state
 
 DELAY = "10m"
 LIFE = "received_us bigint, acked_us bigint, told boolean"
@@ -88,6 +89,7 @@ def event_changes(events: DataFrame, acks: DataFrame, timeout: str | None = None
     A position's state is deleted `delay` after event and ack have met, or after an ack without event; repeated rows are known until
     then.  Rows without a full position are left out.  Append mode.
     """
+    keyed_state(events.sparkSession)
     limit, keep = duration_text_us(timeout) if timeout else None, duration_text_us(delay)
     whole = F.col("topic").isNotNull() & F.col("shard_id").isNotNull() & F.col("offset").isNotNull()
     side = lambda df, acked: df.filter(whole).select(*POSITION, F.col("ts").alias("at"), F.lit(acked).alias("acked"))
@@ -213,6 +215,7 @@ def correlate_stream(events: DataFrame, responses: DataFrame, timeout: str, dela
     Other responses without event id are dropped.  Rows of one micro-batch count in the
     order of time, those of one time in the order event, answers by `answer_no`, failed batch.  A batch's state is deleted `delay` after its last wait has ended.  Append mode.
     """
+    keyed_state(events.sparkSession)
     limit, keep = duration_text_us(timeout), duration_text_us(delay)
     known = events.select(F.col(batch).alias("batch_id"), "event_id", "ts", F.lit(0).alias("side"), F.lit(None).cast("int").alias("status_code"),
                           F.lit(False).alias("failed"), F.lit(0).alias("answer_no"))

@@ -105,3 +105,18 @@ def test_one_batch_is_the_batch_form(spark, folder, limit):
     rows = [("t", i % 3, i, at(i), False) for i in range(200)] + [("t", i % 3, i, at(i + 5), True) for i in range(200) if i % 4]
     got, _ = run(spark, folder, [rows], EVENTS, lambda s: changes(s, timeout=limit))
     assert got.filter("change = 'pending'").count() == 50 and lifecycle.pending_now(got).count() == 50
+
+
+def test_sessions_with_another_state_store(spark, folder):
+    """In a session made elsewhere the default store has no room for several states; the operators ask for one that has."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, before.replace("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider"))
+    try:
+        got, _ = run(spark, f"{folder}/a", [[("t", 0, 1, at(0), False), ("t", 0, 2, at(0), False), ("t", 0, 2, at(5), True)]], EVENTS, changes)
+        assert [r.offset for r in lifecycle.pending_now(got).collect()] == [1]
+        spark.conf.set(key, before.replace("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider"))
+        got, _ = run(spark, f"{folder}/b", [[event("a", "x", 1), answer("a", "x", 2)]], WAITS, lambda s: answered(s, timeout="1m"))
+        assert [tuple(r) for r in got.collect()] == [("a", "x", "success", 200)]
+    finally:
+        spark.conf.set(key, before)
