@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -83,7 +84,8 @@ def kneser_ney(words: DataFrame, order: int = ORDER) -> DataFrame:
     counts = {order: stored(words.select("lang", F.explode(grams).alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for size in range(order - 1, 0, -1):
         longer = counts[size + 1]
-        counts[size] = longer.groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        # written, as each size is read several times: by its own weights, its discount and the next size
+        counts[size] = stored(longer.groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"counts{size}")
     # one row per language
     letters = counts[1].groupBy("lang").agg(F.count(F.lit(1)).alias("letters"))
     lower = None
@@ -168,31 +170,34 @@ def named(grams: DataFrame) -> DataFrame:
 
 def tables(grams: DataFrame, order: int = ORDER) -> dict:
     """The model as plain values: languages, log probability of an unseen character, and per size sorted hashes with a row of
-    log probabilities and back-off weights per language.
+    log probabilities and back-off weights per language (no weights with the longest).
 
     A gram that some language has gets its probability in all of them, those without it by backing off; so the longest gram that
     is known decides a place.
     """
-    rows = named(grams).toArrow()  # at most `MODEL_GRAMS` rows of numbers
-    names = rows.column("lang").combine_chunks().dictionary_encode()
-    langs = sorted(names.dictionary.to_pylist())
-    lang = np.array([langs.index(x) for x in names.dictionary.to_pylist()])[names.indices.to_numpy()]
-    size = rows.column("size").to_numpy()
+    # every language has single characters
+    langs = sorted(r.lang for r in grams.filter("size = 1").select("lang").distinct().collect())
+    place = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("smallint")
+    grams = named(grams).withColumn("lang", place)
     model = {"langs": langs, "order": order, "sizes": [], "unseen": np.zeros(len(langs), np.float32)}
     for k in range(1, order + 1):
-        at = np.flatnonzero(size == k)
-        name, before, rest, logp, back = (rows.column(c).to_numpy()[at] for c in ("name", "before", "rest", "logp", "back"))
+        # one size at a time, numbers only: all sizes together are at most `MODEL_GRAMS` rows; nothing goes on after the longest
+        rows = grams.filter(F.col("size") == k).select("lang", "name", "before", "rest", "logp", *(["back"] if k < order else [])).toArrow()
+        lang, name, before, rest, logp = (rows.column(c).to_numpy() for c in ("lang", "name", "before", "rest", "logp"))
         keys, first, where = np.unique(name.view(np.uint64), return_index=True, return_inverse=True)
-        p, b = np.full((len(keys), len(langs)), np.nan, np.float32), np.zeros((len(keys), len(langs)), np.float32)
-        p[where, lang[at]], b[where, lang[at]] = logp, np.nan_to_num(back, nan=0.0)
+        p, b = np.full((len(keys), len(langs)), np.nan, np.float32), np.zeros((len(keys) if k < order else 0, len(langs)), np.float32)
+        p[where, lang] = logp
+        if k < order:
+            b[where, lang] = np.nan_to_num(rows.column("back").to_numpy(), nan=0.0)
         if k == 1:  # as with the interpolation above: a share of the weight of all characters
-            letters = np.bincount(lang[at], minlength=len(langs))
+            letters = np.bincount(lang, minlength=len(langs))
             model["unseen"] = -np.log(letters + 1.0).astype(np.float32) - 2.0
             missing = np.broadcast_to(model["unseen"], p.shape)
         else:
             shorter, its_p, its_b = model["sizes"][-1]
             missing = its_b[_find(shorter, before[first].view(np.uint64))] + its_p[_find(shorter, rest[first].view(np.uint64))]
-        model["sizes"].append((keys, np.where(np.isnan(p), missing, p), b))
+        np.copyto(p, missing, where=np.isnan(p))
+        model["sizes"].append((keys, p, b))
     return model
 
 
@@ -268,10 +273,9 @@ class Scorer:
         return sums / np.maximum(sizes, 1)[:, None], sizes
 
 
-def with_scores(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """`docs` with `best` (language, null without a letter), `margin` (how much nats a character the next one is behind) and
+def with_scores(docs: DataFrame, sent: Broadcast, text: str = "text") -> DataFrame:
+    """From a model that was sent to the tasks: `docs` with `best` (language, null without a letter), `margin` (how much nats a character the next one is behind) and
     `evidence` (the logarithm of margin times length, plus 1)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # plain arrays, at most `MODEL_GRAMS` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = Scorer(sent.value), np.array(sent.value["langs"], object)
@@ -324,10 +328,17 @@ class Identifier:
         below = min(100_000, math.floor(1_000_000 * calibration / total)) if total else 0
         counts = word_counts(rows.filter(F.col("draw") >= below), F.lit(0)).select("lang", "word", "n")
         grams = stored(kneser_ney(stored(counts, "words"), order), "model")
-        self.model = None if is_empty(grams) else tables(frequent(grams, most), order)
+        # plain arrays, at most `MODEL_GRAMS` rows; sent once, and not kept in the driver's Python
+        self.sent = None if is_empty(grams) else docs.sparkSession.sparkContext.broadcast(tables(frequent(grams, most), order))
+        pa.default_memory_pool().release_unused()
         self.calibration = None
-        if self.model:
-            self.calibration = calibrated(with_scores(rows.filter(F.col("draw") < below).select("text", "lang"), self.model))
+        if self.sent:
+            self.calibration = calibrated(with_scores(rows.filter(F.col("draw") < below).select("text", "lang"), self.sent))
+
+    @property
+    def model(self) -> dict | None:
+        """The model as plain values."""
+        return self.sent.value if self.sent else None
 
     def identify(self, docs: DataFrame, reject: float = 0.5, text: str = "text") -> DataFrame:
         """`docs` with `lang_pred` (`und` without a letter, or where nothing was learnt), `score` and `accepted`.
@@ -337,10 +348,10 @@ class Identifier:
         `docs` with these names are replaced.
         """
         kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-        if self.model is None:
+        if self.sent is None:
             out = docs.select(*kept).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
         else:
-            out = with_scores(docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text")), self.model)
+            out = with_scores(docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text")), self.sent)
             if self.calibration is None:
                 chance = 1 / (1 + F.exp(-F.expm1("evidence")))
             else:

@@ -180,6 +180,21 @@ def test_small_models_keep_short_grams(spark):
     assert L.frequent(grams, total).count() == total
 
 
+def test_the_driver_holds_little(spark, learnt, monkeypatch):
+    """Counts of a size are made once, the model is sent once, and what is not needed is not in it."""
+    words = spark.createDataFrame([("a", "abra", 3), ("b", "bar", 1)], "lang string, word string, n bigint")
+    plan = L.kneser_ney(words)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") <= 10 and "Generate" not in plan
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    docs, _ = learnt
+    model = L.Identifier(docs)
+    model.identify(docs).collect()
+    assert sum(isinstance(x, dict) and "sizes" in x for x in sent) == 1
+    keys, p, back = model.model["sizes"][-1]
+    assert len(keys) == len(p) > 0 and len(back) == 0
+
+
 def test_held_out_languages(spark):
     sf_dir = "/root/testdata/sf0.1"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
