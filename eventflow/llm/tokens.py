@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMORY = 700_000  # distinct words a worker remembers (under 200 MB); beyond that it starts anew
 PARTS = 100_000  # parts of words that it remembers
@@ -137,9 +139,9 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
             self.parts.update((w, e.ids) for w, e in zip(group, found))
 
-    def _learn(self, words: set[str]) -> dict[str, int]:
-        """The places of the words."""
-        new = list(words.difference(self.place))
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The places of the words, which are distinct."""
+        new = [w for w in words if w not in self.place]
         if len(self.parts) > PARTS:
             self.parts.clear()
         split = [PLAIN.fullmatch(w) for w in new]
@@ -154,21 +156,23 @@ class Encoder:
         self.starts[first:first + n] = self.used + sizes.cumsum() - sizes
         self.place.update(zip(new, range(first, first + n)))
         self.used += total
-        return dict(zip(words, map(self.place.__getitem__, words)))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.place) > MEMORY:
             self._forget()
-        split = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-        place = self._learn(set().union(*split))  # of the words of these texts: small enough for the processor's caches
-        out = []
-        for words in split:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            n = self.lengths[at]
-            ends = n.cumsum()
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + n, n)])
-        return out
+        if not texts:
+            return []
+        # words are Python strings once for all these texts, however often they occur
+        split = pc.split_pattern(pa.array([lowered(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        at = self._learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        n = self.lengths[at]
+        ends = n.cumsum()
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + n, n)]
+        # each text has a word, if an empty one
+        return np.split(ids, ends[split.offsets.to_numpy()[1:-1] - 1])
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:

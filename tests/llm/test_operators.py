@@ -521,3 +521,19 @@ def test_queries_run_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert done.returncode == 0 and done.stdout.count("op") == 6, done.stderr[-2000:]
+
+
+def test_encoder_looks_words_up_together():
+    """Ids of texts encoded together are the tokenizer's for each alone; each distinct word of a group is looked up once."""
+    import public_tokenizers
+
+    from eventflow.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain, learnt = tokens.Encoder(path), tokens.load(path), []
+    learn = encoder._learn
+    encoder._learn = lambda words: learnt.append(len(words)) or learn(words)
+    texts = ["the cat, the Cat", "", " ", "a  b\n c ", "\n", "ß É θα", "<|x|> A", "the " * 3000, "﻿ x​y", ""]
+    for group in (texts, texts[::-1], texts[1:2], texts[:1]):
+        assert [x.tolist() for x in encoder.encode(group)] == [plain.encode(t, add_special_tokens=False).ids for t in group]
+    assert encoder.encode([]) == [] and learnt[0] == len(set(" ".join(tokens.lowered(t).replace("\n", " ") for t in texts).split(" ")))
