@@ -7,17 +7,17 @@ safe boundaries also let a batch encode each distinct part once, however often i
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 MEMORY = 700_000  # distinct words a worker remembers (under 200 MB); beyond that it starts anew
-PARTS = 100_000  # parts of words that it remembers
+NUMBERED = 600_000  # the same for an encoder, below the size at which its dictionary doubles
 BATCH_BYTES = 1 << 20  # text encoded at a time
+CALL_BYTES = 1 << 15  # words that an encoder sends at a time; the library needs a multiple of that
 HUGE = 1 << 44  # count of a part that must not stand alone
 ODD_SPACE = "\u180e\u200b\ufeff"  # space to some Unicode versions
 
@@ -87,7 +87,7 @@ class Counter:
 
 
 #: Letters that are lower case, one code point and composed, then punctuation: a word tokenizer always splits between the two.
-PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([-!#$%&()*+,./:;=?@_{}~\"]*)")
+PLAIN = "^(?P<stem>[a-z\u00df-\u00f6\u00f8-\u00ff]+)(?P<rest>[-!#$%&()*+,./:;=?@_{}~\"]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -111,63 +111,82 @@ def lowered(text: str) -> str:
 class Encoder:
     """Token ids with a tokenizer that drops space and case and merges only within words: any blank is a safe boundary.
 
-    Words are remembered by their number.  Plain ones are letters, which go straight to the tokenizer's model, and punctuation
-    behind them; all others are encoded whole.
+    Words are remembered by their number.  Plain ones are letters and punctuation behind them; many of these go to the
+    tokenizer's model in one call, which tells by the mark on last tokens where each ends.  All others are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if self.suffix:
+            from tokenizers import Tokenizer, pre_tokenizers
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.letters = byte_letters() | {ord(" "): " "}
+            vocabulary = self.model.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(self.suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}  # of words, in `starts` and `lengths`
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _letters(self, stem: str) -> list[int]:
-        ids = self.parts.get(stem)
-        if ids is None:
-            known = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[stem] = [t.id for t in self.model.tokenize(known)]
-        return ids
-
-    def _whole(self, words: list[str]) -> None:
-        for group in by_bytes(words):
-            found = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
-            self.parts.update((w, e.ids) for w, e in zip(group, found))
-
-    def _learn(self, words: list[str]) -> np.ndarray:
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain words, with a blank between letters and punctuation."""
+        joined = " ".join(words).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        pieces = np.fromiter((1 + (" " in w) for w in words), np.int64, len(words)).cumsum()
+        if len(ends) != pieces[-1] or ends[-1] != len(ids):  # a vocabulary that lacks a letter, or the mark
+            return self._whole([w.replace(" ", "") for w in words])
+        return ids, np.diff(ends[pieces - 1], prepend=0)
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray, first: int) -> None:
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.starts, self.lengths = _room(self.starts, first + len(sizes)), _room(self.lengths, first + len(sizes))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.lengths[first:first + len(sizes)] = sizes
+        self.starts[first:first + len(sizes)] = self.used + sizes.cumsum() - sizes
+        self.used += len(ids)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
         """The places of the words, which are distinct."""
-        new = [w for w in words if w not in self.place]
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        split = [PLAIN.fullmatch(w) for w in new]
-        self._whole(list({m[2] if m else w for w, m in zip(new, split)}.difference(self.parts)))
-        ids = [self._letters(m[1]) + self.parts[m[2]] if m else self.parts[w] for w, m in zip(new, split)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, n, total = len(self.place), len(new), int(sizes.sum())
-        self.flat = _room(self.flat, self.used + total)
-        self.starts, self.lengths = _room(self.starts, first + n), _room(self.lengths, first + n)
-        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.lengths[first:first + n] = sizes
-        self.starts[first:first + n] = self.used + sizes.cumsum() - sizes
-        self.place.update(zip(new, range(first, first + n)))
-        self.used += total
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        names, known = _strings(words), len(self.place)
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(new))
+        cut = pc.extract_regex(fresh, PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False) if self.suffix else np.zeros(len(fresh), bool)
+        stem, rest = (part.filter(pa.array(plain)) for part in cut.flatten())
+        both = pc.if_else(pc.equal(rest, ""), stem, pc.binary_join_element_wise(stem, rest, " "))
+        first = known
+        for encode, kind in ((self._plain, both), (self._whole, fresh.filter(pa.array(~plain)))):
+            for group in by_bytes(_strings(kind), CALL_BYTES):
+                self._add(*encode(group), first)
+                first += len(group)
+        new = np.concatenate([new[plain], new[~plain]])
+        at[new] = np.arange(known, first)
+        self.place.update((names[k], p) for k, p in zip(new.tolist(), range(known, first)))
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.place) > MEMORY:
+        if len(self.place) > NUMBERED:
             self._forget()
         if not texts:
             return []
         # words are Python strings once for all these texts, however often they occur
         split = pc.split_pattern(pa.array([lowered(t).replace("\n", " ") for t in texts], pa.string()), " ")
         words = split.flatten().dictionary_encode()
-        at = self._learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        at = self._learn(words.dictionary)[words.indices.to_numpy()]
         n = self.lengths[at]
         ends = n.cumsum()
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + n, n)]
@@ -175,6 +194,10 @@ class Encoder:
         return np.split(ids, ends[split.offsets.to_numpy()[1:-1] - 1])
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     """The array with room for `size` entries, doubled as often as needed."""
     grown = len(array)

@@ -537,3 +537,46 @@ def test_encoder_looks_words_up_together():
     for group in (texts, texts[::-1], texts[1:2], texts[:1]):
         assert [x.tolist() for x in encoder.encode(group)] == [plain.encode(t, add_special_tokens=False).ids for t in group]
     assert encoder.encode([]) == [] and learnt[0] == len(set(" ".join(tokens.lowered(t).replace("\n", " ") for t in texts).split(" ")))
+
+
+def test_encoder_sends_plain_words_together(tmp_path, monkeypatch):
+    """Many distinct words cost few calls of the model, and the ids are the tokenizer's, also without marks of last tokens."""
+    import json
+
+    import public_tokenizers
+
+    from eventflow.llm import tokens
+
+    class Counted:
+        def __init__(self, kind):
+            self.kind, self.calls = kind, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return getattr(self.kind, name)
+
+    rng = random.Random(7)
+    letters = [*"abcdefghijklmnopqrstuvwxyz", *"\u00df\u00e0\u00e9\u00ed\u00f6\u00f8\u00ff"]
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) + rng.choice(["", "", ",", ".)", "--", "_", "'s", "</w>", "7", "\u00f7"]) for _ in range(5000)]
+    texts = [" ".join(words[k:k + 500]) for k in range(0, 5000, 500)] + ["", "  x  ", "\u00d7 a\u0300 A\u0300 ,", "w" * 3000]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = tokens.Encoder(path), tokens.load(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.model = Counted(encoder.model)
+    assert [x.tolist() for x in encoder.encode(texts)] == want and encoder.model.calls < 20
+    known = encoder.model.calls
+    assert [x.tolist() for x in encoder.encode(texts[::-1])] == want[::-1] and encoder.model.calls == known
+    monkeypatch.setattr(tokens, "NUMBERED", 100)
+    assert [x.tolist() for t in texts for x in encoder.encode([t])] == want
+
+    unmarked = tokens.Encoder(path)
+    unmarked.last[:] = False  # as if no token told where its word ends
+    assert [x.tolist() for x in unmarked.encode(texts)] == want
+
+    with open(path) as f:
+        other = json.load(f)
+    other["model"]["end_of_word_suffix"] = None
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    plain = tokens.load(str(tmp_path / "other.json"))
+    got = tokens.Encoder(str(tmp_path / "other.json")).encode(texts)
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
