@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 from collections.abc import Callable, Iterator
@@ -84,12 +85,21 @@ def remembered(kind: type, *key):
     return held[name]
 
 
-def forget() -> None:
-    """Give up what earlier operators keep in this worker."""
-    if kept():
-        kept().clear()
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's and C's allocators would keep until the worker ends."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
+
+
+def forget(but: type | None = None) -> None:
+    """Give up what earlier operators keep in this worker, other than remembered objects of the kind `but`."""
+    held, stays = kept(), but and (but.__module__, but.__qualname__)
+    if gone := [name for name in held if name[:2] != stays]:
+        for name in gone:
+            del held[name]
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    give_back()  # also what the last task has freed
 
 
 def small_batches(spark: SparkSession, most: str = "8m") -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, remembered, small_batches, text_groups
+from .common import filled, forget, give_back, remembered, small_batches, text_groups
 from .tokens import Encoder
 
 BUCKET_AT, TASK_AT = 58, 34  # bits of a sequence id: bucket, task, number within the bucket of the task
@@ -40,6 +40,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
     of_id = frame.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        forget(but=Encoder)
         encoder = remembered(Encoder, tokenizer)
         used = [0] * 64
         for batch in batches:
@@ -54,6 +55,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
                                (bucket << BUCKET_AT) + (task << TASK_AT) + used[bucket], 0)
                         used[bucket] += 1
                         start += length
+                give_back()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"]

@@ -162,6 +162,47 @@ def test_packing_of_odd_texts(spark):
     assert packing.binary_lengths(10_000, 4096) == [4096, 4096, 1024, 512, 256, 16]
 
 
+def test_packing_gives_memory_back(spark, monkeypatch):
+    import pyarrow as pa
+    from eventflow.llm import common
+    path, sent, freed = tokenizer("word_bpe_49k.json"), [], []
+    monkeypatch.setattr(common, "kept", lambda held={("other", "Model", 1): "large"}: held)
+    monkeypatch.setattr(packing, "give_back", lambda: freed.append(1))
+    frame = docs(spark, [(1, "one")])
+    with monkeypatch.context() as m:
+        m.setattr(type(frame), "mapInArrow", lambda self, f, schema: sent.append(f))
+        packing.pack(frame, path)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["ab " * 400_000] * 3), pa.array([0, 0, 0])], ["doc_id", "text", "task"])
+    encoders = []
+    for _ in range(2):
+        assert sum(b.num_rows for b in sent[0](iter([batch])))
+        assert [name[:2] for name in common.kept()] == [("eventflow.llm.tokens", "Encoder")]
+        encoders += common.kept().values()
+    assert encoders[0] is encoders[1] and len(freed) == 6  # words stay known; each text is a group of its own
+
+
+def test_forget_gives_memory_back():
+    import os
+    import subprocess
+    import sys
+    code = """
+import re, numpy as np, pyarrow as pa
+from eventflow.llm.common import forget
+def own(): return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+before = own()
+small = [np.ones(1000) for _ in range(10_000)]
+arrow = [pa.array(["x" * 2000] * 100) for _ in range(400)]
+kept, most = small[::500], own()
+del small, arrow
+forget()
+print(before, most, own())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=100)
+    before, most, after = map(int, done.stdout.split()[-3:])
+    assert most - before > 140 and after - before < 30
+
+
 # near-dedup
 
 def brute_components(rows, percent=85):
