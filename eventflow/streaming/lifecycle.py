@@ -1,14 +1,19 @@
 """Stateful streams whose state goes away: pending and stuck events, and answers that a waiter still waits for.
 
-State is kept per event position or per batch, changed by the rows in order of time, and deleted by timers of the event time, so that it
-holds what is open and what came within the watermark's delay, however long the stream runs.
+State is kept for event positions or batches, changed by the rows in order of time, and deleted by timers of the event time, so that it
+holds what is open and what came within the watermark's delay, however long the stream runs.  Positions or batches of a bucket share one
+state, an Arrow table, and one timer, the earliest of theirs: a call handles all of them as columns, whatever their keys look like.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventflow.functions.durations import duration_text_us
@@ -16,67 +21,50 @@ from eventflow.operators.delivery import POSITION
 from eventflow.session import keyed_state
 
 DELAY = "10m"
-LIFE = "received_us bigint, acked_us bigint, told boolean"
-CHANGE = Row("topic", "shard_id", "offset", "change", "us")
+BUCKETS = 1024  # states of a stream at most; fixed for as long as a checkpoint is used
+BLOCK_BITS = 10  # 2^10 neighbouring offsets are in one bucket, so that rows that come together meet in few states
+FOLD_ROWS = 1_000_000  # rows of a bucket that a task holds before it joins them to the positions
+NONE = 2**63 - 1  # a time or number that is not there; as a time later than any
+STATE = "held binary"
 CHANGES = "topic string, shard_id int, offset bigint, change string, us bigint"
+HELD = pa.schema([("topic", pa.string()), ("shard_id", pa.int64()), ("offset", pa.int64()), ("received", pa.int64()), ("acked", pa.int64()),
+                  ("told", pa.bool_())])
+TOLD, KNOWN, MET = 1, 2, 4  # of a position before this micro-batch: found stuck, received, received and acked
 
 
-def _ms(us: int) -> int:
-    """The millisecond at which a time in microseconds has been reached."""
-    return -(-us // 1000)
+def _packed(schema: pa.Schema, columns: dict) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(pa.table(columns, schema=schema))
+    return sink.getvalue().to_pybytes()
 
 
-class EventLife(StatefulProcessor):
-    """One event: received, perhaps acked, perhaps found stuck, then forgotten."""
+def _unpacked(schema: pa.Schema, data: bytes | None) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(pa.py_buffer(data)).read_all() if data else schema.empty_table()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
 
-    def __init__(self, timeout_us: int | None, keep_us: int) -> None:
-        self.timeout, self.keep = timeout_us, keep_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.life = handle.getValueState("life", LIFE)
+def _wake(state: GroupState, due: np.ndarray) -> None:
+    """A timer for the earliest of `due` (microseconds, all after the watermark; NONE: no timer)."""
+    first = int(due.min(initial=NONE))
+    if first != NONE:  # whole milliseconds, never before the time; a timer goes off when the watermark has passed it
+        state.setTimeoutTimestamp(max(-(-first // 1000) - 1, 1))
 
-    def _wake(self, us: int, again: bool) -> None:
-        for timer in list(self.handle.listTimers()) if again else ():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(_ms(us))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.life.get()
-        received, acked, told = before = held or (None, None, False)
-        begun = received is not None, acked is not None
-        for row in rows:
-            if row.acked:
-                acked = row.us if acked is None else min(acked, row.us)
-            else:
-                received = row.us if received is None else min(received, row.us)
-        late = (self.timeout is not None and not told and received is not None and acked is not None and begun != (True, True)
-                and acked >= received + self.timeout)
-        told = told or late
-        if (received, acked, told) != tuple(before):
-            self.life.update((received, acked, told))
-            if acked is not None:  # copies that come a little later are still known, an ack may wait for its event
-                self._wake(max(received or acked, acked) + self.keep, held is not None)
-            elif self.timeout is not None and not told:
-                self._wake(received + self.timeout, held is not None)
-        if late:
-            yield CHANGE(*key, "stuck", received + self.timeout)
-        if received is not None and acked is not None and begun != (True, True):
-            if begun[0]:
-                yield CHANGE(*key, "settled", acked)
-        elif received is not None and not begun[0]:
-            yield CHANGE(*key, "pending", received)
+def _codes(values: np.ndarray, known: dict) -> np.ndarray:
+    """Numbers of values, the same ones in every call with the same `known`."""
+    codes, names = pd.factorize(values, use_na_sentinel=False)
+    return np.array([known.setdefault(n, len(known)) for n in names], np.int64)[codes]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        received, acked, told = self.life.get()
-        if acked is None and received is not None:
-            self.life.update((received, acked, True))
-            yield CHANGE(*key, "stuck", received + self.timeout)
-        else:
-            self.life.clear()
 
-    def close(self) -> None:
-        pass
+def _positions(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row per (topic number, shard, offset), with its earliest times received and acked, and what it was before."""
+    topic, shard, offset, received, acked, was = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((offset, shard, topic))
+    topic, shard, offset = topic[order], shard[order], offset[order]
+    first = np.flatnonzero(np.r_[True, (topic[1:] != topic[:-1]) | (shard[1:] != shard[:-1]) | (offset[1:] != offset[:-1])][:len(order)])
+    return (topic[first], shard[first], offset[first], np.minimum.reduceat(received[order], first), np.minimum.reduceat(acked[order], first),
+            np.bitwise_or.reduceat(was[order], first)) if len(first) else (topic, shard, offset, received, acked, was)
 
 
 def event_changes(events: DataFrame, acks: DataFrame, timeout: str | None = None, delay: str = DELAY) -> DataFrame:
@@ -87,14 +75,61 @@ def event_changes(events: DataFrame, acks: DataFrame, timeout: str | None = None
     changes of a position add up to whether it is pending: 1 for each ``pending``, -1 for each ``settled``.
 
     A position's state is deleted `delay` after event and ack have met, or after an ack without event; repeated rows are known until
-    then.  Rows without a full position are left out.  Append mode.
+    then.  Rows without a full position or a time are left out.  Append mode.
     """
     keyed_state(events.sparkSession)
     limit, keep = duration_text_us(timeout) if timeout else None, duration_text_us(delay)
-    whole = F.col("topic").isNotNull() & F.col("shard_id").isNotNull() & F.col("offset").isNotNull()
+
+    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The positions of a bucket: each is received, perhaps acked, perhaps found stuck, then forgotten."""
+        now, topics = state.getCurrentWatermarkMs() * 1000, {}
+        held = _unpacked(HELD, state.get[0] if state.exists else None)
+        known, met = held["received"] != NONE, (held["received"] != NONE) & (held["acked"] != NONE)
+        rows = [(_codes(held["topic"], topics), held["shard_id"], held["offset"], held["received"], held["acked"],
+                 (held["told"] * TOLD | known * KNOWN | met * MET).astype(np.int8))]
+        for part in () if state.hasTimedOut else parts:
+            us, is_ack = part["us"].to_numpy(), part["acked"].to_numpy(bool)
+            rows.append((_codes(part["topic"].to_numpy(), topics), part["shard_id"].to_numpy(np.int64), part["offset"].to_numpy(),
+                         np.where(is_ack, NONE, us), np.where(is_ack, us, NONE), np.zeros(len(part), np.int8)))
+            if sum(len(r[0]) for r in rows[1:]) >= FOLD_ROWS:
+                rows = [_positions(rows)]
+        topic, shard, offset, received, acked, was = _positions(rows)
+        names, told, known, met = np.array(list(topics), object), was & TOLD != 0, was & KNOWN != 0, was & MET != 0
+        has_event, has_ack = received != NONE, acked != NONE
+        stuck_at = np.where(has_event, received + limit, NONE) if limit is not None else np.full(len(offset), NONE)
+        changes = []
+
+        def change(name: str, which: np.ndarray, us: np.ndarray) -> None:
+            if which.any():
+                changes.append(pd.DataFrame({"topic": names[topic[which]], "shard_id": shard[which].astype(np.int32), "offset": offset[which],
+                                             "change": name, "us": us[which]}))
+
+        late = has_event & has_ack & ~met & ~told & (limit is not None) & (acked >= stuck_at)
+        change("stuck", late, stuck_at)
+        change("settled", has_event & has_ack & ~met & known, acked)
+        change("pending", has_event & ~has_ack & ~known, received)
+        overdue = has_event & ~has_ack & ~told & (stuck_at <= now)
+        change("stuck", overdue, stuck_at)
+        told = told | late | overdue
+
+        # copies that come a little later are still known, an ack may wait for its event
+        until = np.where(has_ack, np.maximum(np.where(has_event, received, acked), acked) + keep, NONE)
+        stay = until > now
+        if stay.any():
+            state.update((_packed(HELD, {"topic": names[topic[stay]], "shard_id": shard[stay], "offset": offset[stay], "received": received[stay],
+                                         "acked": acked[stay], "told": told[stay]}),))
+            _wake(state, np.where(has_ack, until, np.where(told, NONE, stuck_at))[stay])
+        elif state.exists:
+            state.remove()
+        yield from changes
+
+    whole = F.col("topic").isNotNull() & F.col("shard_id").isNotNull() & F.col("offset").isNotNull() & F.col("ts").isNotNull()
     side = lambda df, acked: df.filter(whole).select(*POSITION, F.col("ts").alias("at"), F.lit(acked).alias("acked"))
-    rows = side(events, False).unionByName(side(acks, True)).withWatermark("at", f"{keep} microseconds").withColumn("us", F.unix_micros("at"))
-    out = rows.groupBy(*POSITION).transformWithState(EventLife(limit, keep), CHANGES, "Append", "EventTime")
+    rows = side(events, False).unionByName(side(acks, True)).withWatermark("at", f"{keep} microseconds").select(
+        "topic", "shard_id", F.col("offset").cast("bigint").alias("offset"), "at", "acked", F.unix_micros("at").alias("us"))
+    bucket = F.pmod(F.xxhash64("topic", "shard_id", F.shiftright("offset", BLOCK_BITS)), F.lit(BUCKETS)).cast("int")
+    out = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        take, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select(*POSITION, "change", F.timestamp_micros("us").alias("ts"))
 
 
@@ -110,6 +145,11 @@ OUTCOME = Row("batch_id", "event_id", "outcome", "status_code")
 TIMED_OUT = 408  # fixed value
 
 
+def _ms(us: int) -> int:
+    """The millisecond at which a time in microseconds has been reached."""
+    return -(-us // 1000)
+
+
 class Waiting(StatefulProcessor):
     """The events of a batch: waiting, answered, failed with the batch, or timed out."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -120,3 +121,62 @@ def test_sessions_with_another_state_store(spark, folder):
         assert [tuple(r) for r in got.collect()] == [("a", "x", "success", 200)]
     finally:
         spark.conf.set(key, before)
+
+
+def test_positions_share_states(spark, folder):
+    """Thousands of open positions whose offsets lie far apart are held in a bounded number of states, each with one timer at most."""
+    dice = random.Random(5)
+    offsets = dice.sample(range(-2**61, 2**61), 4000)
+    rows = [("t", i % 3, o, at(0), False) for i, o in enumerate(offsets)] + [("t", i % 3, o, at(9), True) for i, o in enumerate(offsets) if i % 4]
+    got, state = run(spark, folder, [rows, [("u", 0, 1, at(4000), False)]], EVENTS, lambda s: changes(s, timeout="1m"))
+    assert max(state) <= lifecycle.BUCKETS
+    found = {c: sorted(r.offset for r in got.collect() if r.change == c and r.topic == "t") for c in ("pending", "stuck", "settled")}
+    open_ones = sorted(o for i, o in enumerate(offsets) if not i % 4)
+    assert found == {"pending": open_ones, "stuck": open_ones, "settled": []}
+
+
+def life_by_row(parts, limit, keep):
+    """The changes of `event_changes`, one position and row at a time; no row is late."""
+    lives, out, mark, seen = {}, [], 0, 0
+
+    def wake():
+        for key, (received, acked, told) in list(lives.items()):
+            if acked is not None:
+                if max(received or acked, acked) + keep <= mark:
+                    del lives[key]
+            elif not told and received + limit <= mark:
+                lives[key] = received, acked, True
+                out.append((*key, "stuck", received + limit))
+
+    for part in [*parts, []]:
+        for key in {r[:3] for r in part}:
+            received, acked, told = lives.get(key, (None, None, False))
+            knew, met = received is not None, received is not None and acked is not None
+            for t in [r[3] for r in part if r[:3] == key and not r[4]]:
+                received = t if received is None else min(received, t)
+            for t in [r[3] for r in part if r[:3] == key and r[4]]:
+                acked = t if acked is None else min(acked, t)
+            if received is not None and acked is not None and not met:
+                if not told and acked >= received + limit:
+                    told = True
+                    out.append((*key, "stuck", received + limit))
+                if knew:
+                    out.append((*key, "settled", acked))
+            elif received is not None and acked is None and not knew:
+                out.append((*key, "pending", received))
+            lives[key] = received, acked, told
+        wake()
+        seen = max([seen, *[r[3] for r in part]])
+        mark = max(mark, seen - keep)
+    return sorted(out)
+
+
+def test_random_rows_are_as_one_by_one(spark, folder):
+    """Repeated rows, acks before and long after their event, positions that come again when they are forgotten."""
+    dice = random.Random(11)
+    parts = [[(dice.choice("ab"), dice.randrange(2), dice.choice([-3, 1, 2, 5, 1024, 10**12]), b * 60 + dice.randrange(100), dice.random() < 0.4)
+              for _ in range(12)] for b in range(8)]
+    rows = [[(*r[:3], at(r[3]), r[4]) for r in part] for part in parts]
+    got, _ = run(spark, folder, rows, EVENTS, lambda s: changes(s, timeout="70s", delay="200s"))
+    found = [(r.topic, r.shard_id, r.offset, r.change, int(r.ts.timestamp() - START.timestamp())) for r in got.collect()]
+    assert sorted(found) == life_by_row(parts, 70, 200)
