@@ -123,16 +123,17 @@ def test_sessions_with_another_state_store(spark, folder):
         spark.conf.set(key, before)
 
 
-def test_positions_share_states(spark, folder):
+@pytest.mark.parametrize("limit", [None, "1m"])
+def test_positions_share_states(spark, folder, limit):
     """Thousands of open positions whose offsets lie far apart are held in a bounded number of states, each with one timer at most."""
     dice = random.Random(5)
     offsets = dice.sample(range(-2**61, 2**61), 4000)
     rows = [("t", i % 3, o, at(0), False) for i, o in enumerate(offsets)] + [("t", i % 3, o, at(9), True) for i, o in enumerate(offsets) if i % 4]
-    got, state = run(spark, folder, [rows, [("u", 0, 1, at(4000), False)]], EVENTS, lambda s: changes(s, timeout="1m"))
+    got, state = run(spark, folder, [rows, [("u", 0, 1, at(4000), False)]], EVENTS, lambda s: changes(s, timeout=limit))
     assert max(state) <= lifecycle.BUCKETS
     found = {c: sorted(r.offset for r in got.collect() if r.change == c and r.topic == "t") for c in ("pending", "stuck", "settled")}
     open_ones = sorted(o for i, o in enumerate(offsets) if not i % 4)
-    assert found == {"pending": open_ones, "stuck": open_ones, "settled": []}
+    assert found == {"pending": open_ones, "stuck": open_ones if limit else [], "settled": []}
 
 
 def life_by_row(parts, limit, keep):
