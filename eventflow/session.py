@@ -36,7 +36,7 @@ def build_session(app: str = "eventflow", master: str | None = None, **overrides
 
 
 def keyed_state(spark: SparkSession) -> None:
-    """Streams started from now on may hold states and timers of their own: only this store has room for several in a state.
+    """Streams started from now on keep their state in this store, outside the heap.
 
     A session made elsewhere has another default; streams that go on from a checkpoint keep the store they began with.
     """

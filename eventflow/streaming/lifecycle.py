@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from eventflow.functions.durations import duration_text_us
 from eventflow.operators.delivery import POSITION
@@ -54,7 +53,7 @@ def _wake(state: GroupState, due: np.ndarray) -> None:
 def _codes(values: np.ndarray, known: dict) -> np.ndarray:
     """Numbers of values, the same ones in every call with the same `known`."""
     codes, names = pd.factorize(values, use_na_sentinel=False)
-    return np.array([known.setdefault(n, len(known)) for n in names], np.int64)[codes]
+    return np.array([known.setdefault(None if n != n else n, len(known)) for n in names], np.int64)[codes]
 
 
 def _positions(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -139,111 +138,18 @@ def pending_now(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*POSITION).agg(F.sum(step).alias("n")).filter("n > 0").drop("n")
 
 
-WAIT = "known_us bigint, answer_us bigint, status_code int, failed boolean, done boolean"
 OUTCOMES = "batch_id string, event_id string, outcome string, status_code int"
-OUTCOME = Row("batch_id", "event_id", "outcome", "status_code")
 TIMED_OUT = 408  # fixed value
+WAITS = pa.schema([("batch_id", pa.string()), ("event_id", pa.string()), ("known", pa.int64()), ("answered", pa.int64()), ("status", pa.int64()),
+                   ("failed", pa.bool_()), ("done", pa.bool_())])
+BROKEN = pa.schema([("batch_id", pa.string()), ("broken", pa.int64())])
 
 
-def _ms(us: int) -> int:
-    """The millisecond at which a time in microseconds has been reached."""
-    return -(-us // 1000)
-
-
-class Waiting(StatefulProcessor):
-    """The events of a batch: waiting, answered, failed with the batch, or timed out."""
-
-    def __init__(self, timeout_us: int, keep_us: int) -> None:
-        self.timeout, self.keep = timeout_us, keep_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getMapState("events", "event_id string", WAIT)  # at most a batch's events and their orphans
-        self.broken = handle.getValueState("broken", "us bigint")
-
-    def _load(self) -> tuple[dict, int | None]:
-        held, broken = {k[0]: list(v) for k, v in self.events.iterator()}, self.broken.get()
-        return held, broken[0] if broken else None
-
-    def _due(self, wait: list) -> int:
-        """When there is something to do for an entry: the wait ends, or it is forgotten."""
-        known, answered = wait[0], wait[1]
-        return known + self.timeout + (self.keep if wait[4] else 0) if known is not None else answered + self.keep
-
-    def _save(self, held: dict, before: dict, broken: int | None) -> None:
-        for name in before.keys() - held.keys():
-            self.events.removeKey((name,))
-        for name, wait in held.items():
-            if before.get(name) != wait:
-                self.events.updateValue((name,), tuple(wait))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = [self._due(w) for w in held.values()] + ([broken + self.timeout + self.keep] if broken is not None else [])
-        if due:
-            self.handle.registerTimer(_ms(min(due)))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, broken = self._load()
-        before = {k: list(v) for k, v in held.items()}
-        out = []
-
-        def answer(name: str, wait: list) -> None:
-            known, answered, status, failed, done = wait
-            if known is None or done:
-                return
-            first = [t for t in (answered, broken) if t is not None and t < known + self.timeout]
-            if not first:
-                return
-            wait[4] = True
-            if answered is not None and answered == min(first):
-                out.append(OUTCOME(key[0], name, "failure" if failed else "success", status))
-            else:
-                out.append(OUTCOME(key[0], name, "failure", None))
-
-        for row in sorted(rows, key=lambda r: (r.us, r.side, not r.event_id, r.answer_no or 0)):
-            if row.side == 0:
-                wait = held.setdefault(row.event_id, [None, None, None, None, False])
-                if wait[0] is None:
-                    wait[0] = row.us
-                answer(row.event_id, wait)
-            elif row.event_id:
-                wait = held.setdefault(row.event_id, [None, None, None, None, False])
-                if wait[1] is None:  # of several answers the first counts
-                    wait[1:4] = row.us, row.status_code, bool(row.failed)
-                answer(row.event_id, wait)
-            elif row.failed and broken is None:
-                broken = row.us
-                self.broken.update((broken,))
-                for name, wait in held.items():
-                    answer(name, wait)
-        self._save(held, before, broken)
-        yield from out
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held, broken = self._load()
-        before = {k: list(v) for k, v in held.items()}
-        now = timerValues.getCurrentWatermarkInMs() * 1000  # all that is due, not just what the timer was set for
-        for name, wait in list(held.items()):
-            if self._due(wait) > now:
-                continue
-            known, _, status, _, done = wait
-            if known is None:
-                yield OUTCOME(key[0], name, "orphan", status)
-                del held[name]
-            elif done:
-                del held[name]
-            else:
-                wait[4] = True
-                yield OUTCOME(key[0], name, "timeout", TIMED_OUT)
-                if self._due(wait) <= now:
-                    del held[name]
-        if broken is not None and broken + self.timeout + self.keep <= now and not held:
-            self.broken.clear()
-            broken = None
-        self._save(held, before, broken)
-
-    def close(self) -> None:
-        pass
+def _first(which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that rows of `which` name, and the first row that names each."""
+    rows = np.flatnonzero(which)
+    places, first = np.unique(place[rows], return_index=True)
+    return places, rows[first]
 
 
 def correlate_stream(events: DataFrame, responses: DataFrame, timeout: str, delay: str = DELAY, batch: str = "batch_id") -> DataFrame:
@@ -252,14 +158,107 @@ def correlate_stream(events: DataFrame, responses: DataFrame, timeout: str, dela
     An event waits `timeout` from its time.  ``success`` or ``failure`` with the first answer in that time; ``failure`` without a status
     when the whole batch fails first (a response without event id, with an error); else ``timeout`` with status 408 when the watermark
     gets there, and later answers are dropped.  An answer to an event that is not known within `delay` is an ``orphan``.
-    Other responses without event id are dropped.  Rows of one micro-batch count in the
+    Other responses without event id are dropped, and so are rows without a batch or a time.  Rows of one micro-batch count in the
     order of time, those of one time in the order event, answers by `answer_no`, failed batch.  A batch's state is deleted `delay` after its last wait has ended.  Append mode.
     """
     keyed_state(events.sparkSession)
     limit, keep = duration_text_us(timeout), duration_text_us(delay)
+
+    def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The batches of a bucket: their events are waiting, answered, failed with the batch, or timed out."""
+        now = state.getCurrentWatermarkMs() * 1000
+        waits, lost = (_unpacked(s, d) for s, d in zip((WAITS, BROKEN), state.get if state.exists else (None, None)))
+        rows = None if state.hasTimedOut else pd.concat(list(parts), ignore_index=True)
+        if rows is None:
+            rows = pd.DataFrame({c: np.zeros(0, object if c.endswith("_id") else np.int64) for c in (
+                "batch_id", "event_id", "us", "side", "status_code", "failed", "answer_no")})
+        us, side, failed, status = (rows[c].to_numpy(t) for c, t in (("us", np.int64), ("side", np.int64), ("failed", bool), ("status_code", np.int64)))
+        batch_ids, event_ids = rows["batch_id"].to_numpy(object), rows["event_id"].to_numpy(object)
+        unnamed = np.array([not e for e in event_ids], bool)
+        order = np.lexsort((rows["answer_no"].to_numpy(np.int64), unnamed, side, us))
+        us, side, failed, status, unnamed, batch_ids, event_ids = (a[order] for a in (us, side, failed, status, unnamed, batch_ids, event_ids))
+
+        # numbers of the batches, and of the events that rows or the state name: those held come first
+        batches, names, pairs = {}, {}, {}
+        old, named = len(waits["known"]), (side == 0) | ~unnamed
+        wait_batch, lost_batch, row_batch = _codes(waits["batch_id"], batches), _codes(lost["batch_id"], batches), _codes(batch_ids, batches)
+        pair = np.concatenate([wait_batch, row_batch[named]]) + len(batches) * np.concatenate([
+            _codes(waits["event_id"], names), _codes(event_ids[named], names)])
+        place, found = pd.factorize(pair)
+        of_batch, of_name = found % len(batches), found // len(batches)
+        batch_names, event_names = np.array(list(batches), object), np.array([*names, None], object)[:-1]
+        row_place = np.full(len(us), -1)
+        row_place[named] = place[old:]
+
+        # the first time of each kind, and the row it came with: -1 if held, the number of rows if there is none
+        n, more = len(us), len(found) - old
+        known, answered, code, bad, done = (np.concatenate([waits[c], np.full(more, v)]) for c, v in (
+            ("known", NONE), ("answered", NONE), ("status", NONE), ("failed", False), ("done", False)))
+        broken = np.full(len(batches), NONE)
+        broken[lost_batch] = lost["broken"]
+        known_at, answered_at, broken_at = (np.where(t == NONE, n, -1) for t in (known, answered, broken))
+
+        def set_first(which: np.ndarray, places: np.ndarray, at: np.ndarray, *columns: tuple[np.ndarray, np.ndarray]) -> None:
+            p, r = _first(which, places)
+            p, r = p[at[p] == n], r[at[p] == n]
+            for column, values in columns:
+                column[p] = values[r]
+            at[p] = r
+
+        set_first(side == 0, row_place, known_at, (known, us))
+        set_first((side == 1) & ~unnamed, row_place, answered_at, (answered, us), (code, status), (bad, failed))
+        set_first((side == 1) & unnamed & failed, row_batch, broken_at, (broken, us))
+
+        # an answer or a failed batch in time ends the wait, at the row that brings the two together
+        ends = np.where(known == NONE, -NONE, known + np.where(known == NONE, 0, limit))
+        lost_us, lost_at = broken[of_batch], broken_at[of_batch]
+        has_answer, has_lost = answered < ends, lost_us < ends
+        end_at = np.minimum(np.where(has_answer, np.maximum(known_at, answered_at), n), np.where(has_lost, np.maximum(known_at, lost_at), n))
+        ended = ~done & (end_at < n)
+        by_answer = has_answer & (answered_at <= end_at) & ~(has_lost & (lost_at <= end_at) & (lost_us < answered))
+        done = done | ended
+
+        outcomes = []
+
+        def outcome(name: str, which: np.ndarray, codes: np.ndarray | int) -> None:
+            if which.any():
+                codes = codes[which] if isinstance(codes, np.ndarray) else np.full(which.sum(), codes)
+                outcomes.append(pd.DataFrame({"batch_id": batch_names[of_batch[which]], "event_id": event_names[of_name[which]], "outcome": name,
+                                              "status_code": np.where(codes == NONE, None, codes)}))
+
+        outcome("success", ended & by_answer & ~bad, code)
+        outcome("failure", ended & by_answer & bad, code)
+        outcome("failure", ended & ~by_answer, NONE)
+
+        # what the watermark has reached: waits time out, answers nobody waited for and ended waits are forgotten
+        def due() -> np.ndarray:
+            return np.where(known == NONE, answered + np.where(known == NONE, keep, 0), known + np.where(known == NONE, 0, limit + keep * done))
+
+        outcome("orphan", (known == NONE) & (due() <= now), code)
+        overdue = (known != NONE) & ~done & (due() <= now)
+        outcome("timeout", overdue, TIMED_OUT)
+        done = done | overdue
+        until = due()
+        stay = until > now
+        in_use = np.zeros(len(batches), bool)
+        in_use[of_batch[stay]] = True
+        lost_until = np.where(broken == NONE, NONE, broken + np.where(broken == NONE, 0, limit + keep))
+        lost_stay = (broken != NONE) & (in_use | (lost_until > now))
+        if stay.any() or lost_stay.any():
+            state.update((_packed(WAITS, {
+                "batch_id": batch_names[of_batch[stay]], "event_id": event_names[of_name[stay]], "known": known[stay], "answered": answered[stay],
+                "status": code[stay], "failed": bad[stay], "done": done[stay]}),
+                _packed(BROKEN, {"batch_id": batch_names[lost_stay], "broken": broken[lost_stay]})))
+            _wake(state, np.concatenate([until[stay], lost_until[lost_stay & ~in_use]]))
+        elif state.exists:
+            state.remove()
+        yield from outcomes
+
     known = events.select(F.col(batch).alias("batch_id"), "event_id", "ts", F.lit(0).alias("side"), F.lit(None).cast("int").alias("status_code"),
                           F.lit(False).alias("failed"), F.lit(0).alias("answer_no"))
     said = responses.select(F.col(batch).alias("batch_id"), "event_id", "ts", F.lit(1).alias("side"), F.col("status_code").cast("int").alias("status_code"),
                             F.col("error").isNotNull().alias("failed"), F.col("answer_no").cast("int").alias("answer_no"))
-    rows = known.unionByName(said).filter("batch_id is not null").withWatermark("ts", f"{keep} microseconds").withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("batch_id").transformWithState(Waiting(limit, keep), OUTCOMES, "Append", "EventTime")
+    rows = known.unionByName(said).filter("batch_id is not null and ts is not null").withWatermark("ts", f"{keep} microseconds").withColumns({
+        "us": F.unix_micros("ts"), "bucket": F.pmod(F.xxhash64("batch_id"), F.lit(BUCKETS)).cast("int"),
+        "status_code": F.coalesce(F.col("status_code").cast("bigint"), F.lit(NONE)), "answer_no": F.coalesce("answer_no", F.lit(0))})
+    return rows.groupBy("bucket").applyInPandasWithState(take, OUTCOMES, "waits binary, broken binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -181,3 +181,82 @@ def test_random_rows_are_as_one_by_one(spark, folder):
     got, _ = run(spark, folder, rows, EVENTS, lambda s: changes(s, timeout="70s", delay="200s"))
     found = [(r.topic, r.shard_id, r.offset, r.change, int(r.ts.timestamp() - START.timestamp())) for r in got.collect()]
     assert sorted(found) == life_by_row(parts, 70, 200)
+
+
+def test_batches_share_states(spark, folder):
+    """The events of thousands of batches are held in a bounded number of states."""
+    parts = [[event(f"b{b}", str(i), b % 7) for b in range(3000) for i in range(2)] + [answer(f"b{b}", "0", 8, 200 + b % 3) for b in range(3000)]
+             + [answer(f"b{b}", None, 9, 500, "bad batch") for b in range(0, 3000, 3)], [event("c", "end", 4000)], [event("c", "end2", 4001)]]
+    got, state = run(spark, folder, parts, WAITS, lambda s: answered(s, timeout="1m", delay="10s"))
+    assert max(state) <= lifecycle.BUCKETS and state[-1] == 1
+    assert {(r.batch_id, r.event_id, r.outcome, r.status_code) for r in got.collect()} == {
+        (f"b{b}", "0", "success", 200 + b % 3) for b in range(3000)} | {
+        (f"b{b}", "1", *(("timeout", 408) if b % 3 else ("failure", None))) for b in range(3000)}
+
+
+def outcomes_by_row(parts, limit, keep):
+    """The outcomes of `correlate_stream`, one row at a time; no row is late."""
+    waits, broken, out, mark, seen = {}, {}, [], 0, 0
+
+    def look(key):
+        known, said, status, failed, done = waits[key]
+        first = [t for t in (said, broken.get(key[0])) if t is not None and known is not None and not done and t < known + limit]
+        if first:
+            waits[key][4] = True
+            by_answer = said is not None and said == min(first)
+            out.append((*key, "failure" if failed or not by_answer else "success", status if by_answer else None))
+
+    for part in [*parts, []]:
+        for b, name, t, status, error, no, side in sorted(part, key=lambda r: (r[2], r[6], not r[1], r[5] or 0)):
+            if side == 0 or name:
+                wait = waits.setdefault((b, name), [None, None, None, None, False])
+                if side == 0 and wait[0] is None:
+                    wait[0] = t
+                elif side and wait[1] is None:
+                    wait[1:4] = t, status, error is not None
+                look((b, name))
+            elif error is not None and b not in broken:
+                broken[b] = t
+                for key in waits:
+                    if key[0] == b:
+                        look(key)
+        for key, (known, said, status, _, done) in list(waits.items()):
+            if known is None and said + keep <= mark:
+                out.append((*key, "orphan", status))
+                del waits[key]
+            elif known is not None and known + limit <= mark:
+                if not done:
+                    out.append((*key, "timeout", 408))
+                    waits[key][4] = True
+                if known + limit + keep <= mark:
+                    del waits[key]
+        for b, t in list(broken.items()):
+            if t + limit + keep <= mark and not any(key[0] == b for key in waits):
+                del broken[b]
+        seen = max([seen, *[r[2] for r in part]])
+        mark = max(mark, seen - keep)
+    return sorted(out, key=str)
+
+
+def test_random_answers_are_as_one_by_one(spark, folder):
+    """Answers before and after their events, repeated, for no event, failed batches at any time, batches that come again."""
+    dice = random.Random(3)
+    parts = []
+    for b in range(8):
+        part = []
+        for k in range(60):
+            # no two rows of a batch at one time differ in their answer only
+            row = (dice.choice("pqrstu"), dice.choice("abcdefghijkl"), b * 60 + dice.randrange(100))
+            kind = dice.random()
+            if kind < 0.5:
+                part.append((*row, None, None, None, 0))
+            elif kind < 0.97:
+                part.append((*row, 200 + b * 60 + k if k % 9 else None, "bad" if k % 3 == 0 else None, k, 1))
+            else:
+                part.append((row[0], dice.choice([None, ""]), row[2], 500, "bad batch" if k % 4 else None, k, 1))
+        parts.append(part)
+    rows = [[(r[0], r[1], at(r[2]), *r[3:]) for r in part] for part in parts]
+    got, _ = run(spark, folder, rows, WAITS, lambda s: answered(s, timeout="30s", delay="150s"))
+    want = outcomes_by_row(parts, 30, 150)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    assert {o[2] for o in want} == {"success", "failure", "timeout", "orphan"}
